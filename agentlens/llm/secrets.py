@@ -91,7 +91,8 @@ def trigram_query(pattern: str) -> list[list[frozenset[str]]]:
 
     def flush(run: list[str]) -> None:
         if all(len(s) >= 3 for s in run):
-            clauses.append([trigrams(s) for s in run])
+            each = {trigrams(s) for s in run}
+            clauses.append([t for t in each if not any(other < t for other in each)])  # what another alternative implies adds nothing
 
     run = [""]
     for item in pattern_parser.parse(pattern):
