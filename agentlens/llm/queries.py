@@ -1,10 +1,15 @@
 """The queries of this subpackage and their SQL, by registered name."""
 
-from agentlens.llm import decontaminate, secrets, url_filter
+from agentlens.llm import decontaminate, neighbours, page_text, quality, secrets, sentence_pieces, templates, url_filter
 
 QUERIES = {
+    "op1_sentencepiece": sentence_pieces.op1_sentencepiece,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_neighbours": neighbours.op3_neighbours,
+    "op4_line_dedup": templates.op4_line_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_url_filter": url_filter.op6_url_filter,
     "op7_secrets": secrets.op7_secrets,
+    "op9_page_text": page_text.op9_page_text,
 }
 SQL = {**url_filter.SQL}
