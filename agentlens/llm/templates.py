@@ -16,7 +16,7 @@ body of a document isn't lost for having copies. Lines of recurring templates
 are dropped from every document, copies too.
 
 Defined cases: a null text has no lines and stays null; empty lines and lines of
-fewer than `MIN_WORDS` words are kept and make no templates; equal texts count
+fewer than `MIN_WORDS` words (words are what single spaces part) are kept and make no templates; equal texts count
 once; rows with one id and one text are treated alike; other columns are kept.
 """
 
@@ -35,16 +35,15 @@ HOLDS_DIGIT = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
 
 def masked(line: Column) -> Column:
-    """The line's words with one space between, those with digits as fields."""
-    return F.regexp_replace(F.regexp_replace(F.trim(line), r"[\s]+", " "), HOLDS_DIGIT, FIELD)
+    """The line with its words that hold digits as fields."""
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, HOLDS_DIGIT, FIELD)).otherwise(line)
 
 
 def line_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, _text_id, _at, _chars, _words, _leaf, _masked): the lines that can have a template; `_masked` is the line itself."""
-    split = docs.filter(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("_text_id"), F.posexplode(F.split(text, "\n")).alias("_at", "_line"))
-    words = split.select(key, "_text_id", "_at", F.char_length("_line").alias("_chars"), masked(F.col("_line")).alias("_masked"))
-    counted = words.withColumn("_words", F.char_length("_masked") - F.char_length(F.replace("_masked", F.lit(" "))) + 1).filter(F.col("_words") >= MIN_WORDS)
-    return counted.withColumn("_leaf", F.xxhash64("_words", F.substring_index("_masked", " ", DEPTH)))
+    """(key, _text_id, _at, _line, _leaf): the lines that can have a template; the leaf looks at the line's length and first words only."""
+    split = docs.filter(F.col(text).isNotNull()).select(key, F.xxhash64(text).alias("_text_id"), F.posexplode(F.split(text, "\n")).alias("_at", "_line")).withColumn("_line", F.trim("_line"))
+    counted = split.withColumn("_words", F.octet_length("_line") - F.octet_length(F.replace("_line", F.lit(" "))) + 1).filter(F.col("_words") >= MIN_WORDS)
+    return counted.withColumn("_leaf", F.xxhash64("_words", masked(F.substring_index("_line", " ", DEPTH)))).drop("_words")
 
 
 def recurring(lines: DataFrame, *by: str) -> DataFrame:
@@ -57,7 +56,7 @@ def generalised(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataF
     leaves = lines.select("_leaf", "_line_id").distinct().groupBy("_leaf").agg(F.count("*").alias("_n")).filter("_n > 1").join(recurring(lines, "_leaf"), "_leaf").select("_leaf")
     leaves = written(leaves)
     few = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
-    again = line_rows(docs, key, text).select("_leaf", "_masked", "_text_id").join(F.broadcast(leaves) if few else leaves, "_leaf").distinct()
+    again = line_rows(docs, key, text).select("_leaf", "_line", "_text_id").join(F.broadcast(leaves) if few else leaves, "_leaf").select("_leaf", masked(F.col("_line")).alias("_masked"), "_text_id").distinct()
     word = again.select("_leaf", F.xxhash64("_masked").alias("_line_id"), "_text_id", F.posexplode(F.split("_masked", " ")).alias("_place", "_word")).withColumn("_word", F.xxhash64("_word"))
     # a text counts once for a word and place however many of its lines have it
     often = word.select("_leaf", "_place", "_word", "_text_id").distinct().groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_docs")).filter(F.col("_docs") >= MIN_DOCS).drop("_docs")
@@ -71,7 +70,7 @@ def generalised(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataF
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, _text_id, _at): places of the lines whose template recurs."""
-    lines = written(line_rows(docs, key, text).withColumn("_line_id", F.xxhash64("_masked")).drop("_masked", "_words"))
+    lines = written(line_rows(docs, key, text).select(key, "_text_id", "_at", F.char_length("_line").alias("_chars"), "_leaf", F.xxhash64(masked(F.col("_line"))).alias("_line_id")))
     shapes = generalised(docs, lines, key, text)
     placed = written(lines.join(shapes, "_line_id", "left").select(key, "_text_id", "_at", "_chars", F.coalesce("_template", "_line_id").alias("_template")))
     found = placed.join(recurring(placed, "_template"), "_template")
