@@ -44,3 +44,14 @@ def whole_text(c: str = "text") -> Column:
 def text_bytes(docs: DataFrame, c: str = "text") -> int:
     """Bytes of all texts; one cheap scan of one column."""
     return docs.agg(F.coalesce(F.sum(F.octet_length(c)), F.lit(0)).alias("n")).first()["n"]
+
+
+#: Ids up to this number are broadcast (8 bytes each); more join by shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """`docs` without the rows whose id is among `ids`; rows with a null id stay."""
+    gone = written(ids.select(key).distinct())
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, key, "left_anti")

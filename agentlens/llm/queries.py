@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by registered name."""
 
-from agentlens.llm import decontaminate, neighbours, ngram_join, page_text, quality, secrets, sentence_pieces, templates, url_filter
+from agentlens.llm import decontaminate, neighbours, ngram_join, page_text, quality, repeats, secrets, sentence_pieces, templates, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentence_pieces.op1_sentencepiece,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_secrets": secrets.op7_secrets,
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_page_text": page_text.op9_page_text,
+    "op10_repeats": repeats.op10_repeats,
 }
 SQL = {**url_filter.SQL}

@@ -17,7 +17,8 @@ are dropped from every document, copies too.
 
 Defined cases: a null text has no lines and stays null; empty lines and lines of
 fewer than `MIN_WORDS` words (words are what single spaces part) are kept and make no templates; equal texts count
-once; rows with one id and one text are treated alike; other columns are kept.
+once; rows with one id and one text are treated alike; other columns are kept, but for ones named
+`n_lines_dropped`, `_text_id` or `_gone`, which are replaced.
 """
 
 from __future__ import annotations
@@ -83,10 +84,11 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 def without_templates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with recurring lines taken out of `text`, and n_lines_dropped."""
+    docs = docs.drop("n_lines_dropped", "_text_id", "_gone")
     gone = dropped_lines(docs, key, text).distinct().groupBy(key, "_text_id").agg(F.collect_list("_at").alias("_gone"))
-    rows = docs.drop("n_lines_dropped").withColumn("_text_id", F.xxhash64(text)).join(gone, [key, "_text_id"], "left")
+    rows = docs.withColumn("_text_id", F.xxhash64(text)).join(gone, [key, "_text_id"], "left")
     rest = F.array_join(F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains("_gone", at)), "\n")
-    return rows.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text) if c == text else F.col(c) for c in docs.columns if c != "n_lines_dropped"], F.coalesce(F.size("_gone"), F.lit(0)).alias("n_lines_dropped"))
+    return rows.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text) if c == text else F.col(c) for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).alias("n_lines_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,8 @@ longest rule that fits decides.
 
 Defined cases: a null url or one without `://` has an empty host and path and
 gets the default verdict; of two rules with the same host and path the blocking
-one counts; repeated rows are judged each; other columns are kept.
+one counts; repeated rows are judged each; other columns are kept, but for ones with the names of the
+four results (or `_head`, `_verdict`), which are replaced.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
     spark = pages.sparkSession
     lengths = sorted({len(path) for _, _, path in rules}) or [0]
     labels = max((host.count(".") + 1 for _, host, _ in rules), default=1)
-    taken = [c for c in pages.columns if c in {"host", "path", "rule", "verdict"}]
+    taken = [c for c in pages.columns if c in {"host", "path", "rule", "verdict", "_head", "_verdict"}]
     parts = pages.drop(*taken).withColumns({"host": url_host(F.col(url)), "path": url_path(F.col(url))}).withColumn("_head", F.substring("path", 1, lengths[-1]))
     requests = parts.filter(F.col("host") != "").select("host", "_head").distinct()
     names = F.split("host", r"\.")
