@@ -45,12 +45,12 @@ BINS = 4096
 LAST_ROWS = 20_000
 
 
-def grams(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket) for each n-gram of each document; one narrow stage."""
-    words = docs.select(key, F.explode(F.regexp_extract_all(whole_text(text), F.lit(TOKEN), F.lit(0))).alias("_word"))
+def grams(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
+    """(key, *keep, bucket) for each n-gram of each document; one narrow stage."""
+    words = docs.select(key, *keep, F.explode(F.regexp_extract_all(whole_text(text), F.lit(TOKEN), F.lit(0))).alias("_word"))
     bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
     stem = lambda n, least: F.when(F.char_length("_word") >= least, bucket(F.lit(n), F.lower(F.substring("_word", 1, n))))
-    return words.select(key, F.explode(F.array(bucket("_word"), stem(5, 6), stem(7, 8))).alias("bucket")).filter(F.col("bucket").isNotNull())
+    return words.select(key, *keep, F.explode(F.array(bucket("_word"), stem(5, 6), stem(7, 8))).alias("bucket")).filter(F.col("bucket").isNotNull())
 
 
 def labelled(labels: DataFrame, key: str) -> DataFrame:
@@ -61,14 +61,12 @@ def labelled(labels: DataFrame, key: str) -> DataFrame:
 
 
 def bucket_weights(docs: DataFrame, fit: DataFrame, key: str, text: str) -> DataFrame:
-    """(bucket, weight) for every bucket that occurs."""
-    raw = grams(docs, key, text).groupBy("bucket").agg(F.count("*").alias("n_raw"))
-    good = docs.select(key, text).join(fit.filter("target = 1").select(key), key, "left_semi")
-    target = grams(good, key, text).groupBy("bucket").agg(F.count("*").alias("n_target"))
-    both = written(raw.join(target, "bucket", "left").fillna(0, ["n_target"]))
-    sums = both.agg(F.sum("n_raw").alias("raw"), F.sum("n_target").alias("target")).first()
+    """(bucket, weight) for every bucket that occurs; both models are counted in one scan."""
+    marked = docs.select(key, text).join(F.broadcast(fit), key, "left")  # at most FIT_ROWS ids
+    counts = written(grams(marked, key, text, "target").groupBy("bucket").agg(F.count("*").alias("n_raw"), F.sum(F.coalesce("target", F.lit(0))).alias("n_target")))
+    sums = counts.agg(F.sum("n_raw").alias("raw"), F.sum("n_target").alias("target")).first()
     expected = F.col("n_raw") * F.lit((sums["target"] or 0) / (sums["raw"] or 1))
-    return both.select("bucket", F.log((F.col("n_target") + SMOOTHING) / (expected + SMOOTHING)).alias("weight"))
+    return counts.select("bucket", F.log((F.col("n_target") + SMOOTHING) / (expected + SMOOTHING)).alias("weight"))
 
 
 def log_weights(docs: DataFrame, weights: DataFrame, key: str, text: str) -> DataFrame:
@@ -125,7 +123,7 @@ def selected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ids = docs.select(key).distinct()
     weights = bucket_weights(docs, fit, key, text)
     scores = written(ids.join(log_weights(docs, weights, key, text), key, "left").fillna(0, ["log_weight", "n_grams"]))
-    known = scores.join(fit, key).select("log_weight", "target").toPandas()  # at most FIT_ROWS rows
+    known = scores.join(F.broadcast(fit), key).select("log_weight", "target").toPandas()  # at most FIT_ROWS rows
     if known["target"].nunique() < 2:
         return scores.withColumns({"log_odds": F.lit(0.0), "sample_score": F.lit(0.0), "kept": F.lit(True)})
     slope, offset = fitted_line(known["log_weight"].to_numpy(float), known["target"].to_numpy(float))
