@@ -2,12 +2,13 @@
 
 Two generative models over hashed n-grams are fitted: the target model on
 labelled rows that are good, the raw model on all documents. The n-grams are
-tokens and the first 5 and 7 characters of longer ones (word stems); they fall
+tokens and the first 4 to 7 characters of longer ones (word stems); they fall
 into `BUCKETS` buckets. A bucket's weight is the log ratio of the number of times
 the target model has it to the number that the raw model leads one to expect,
 both with `SMOOTHING` added, so that rare buckets weigh little. A document's log
 weight is the sum over its n-grams, over `n ** LENGTH_POWER`. One line is fitted
-on labelled rows to turn weights into log odds of being target, the number to
+on other labelled rows than the target model's (so that these stand for unlabelled
+documents) to turn weights into log odds of being target, the number to
 keep is the expected number of target documents, and the sample is the Gumbel
 top-k of the log odds times `SHARPNESS`: k documents without replacement, by
 noise that a hash of the id fixes. The sharpness keeps clear cases out of chance's
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from agentlens.llm.common import table, whole_text, written
 
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
+STEMS = (4, 5, 6, 7)
 BUCKETS = 1 << 20
+FOLDS = 4  # of labelled rows: one for the line, the others for the target model
 SMOOTHING = 1.0
 LENGTH_POWER = 0.5
 SHARPNESS = 4.0
@@ -49,20 +52,23 @@ def grams(docs: DataFrame, key: str, text: str, *keep: str) -> DataFrame:
     """(key, *keep, bucket) for each n-gram of each document; one narrow stage."""
     words = docs.select(key, *keep, F.explode(F.regexp_extract_all(whole_text(text), F.lit(TOKEN), F.lit(0))).alias("_word"))
     bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
-    stem = lambda n, least: F.when(F.char_length("_word") >= least, bucket(F.lit(n), F.lower(F.substring("_word", 1, n))))
-    return words.select(key, *keep, F.explode(F.array(bucket("_word"), stem(5, 6), stem(7, 8))).alias("bucket")).filter(F.col("bucket").isNotNull())
+    stem = lambda n: F.when(F.char_length("_word") > n, bucket(F.lit(n), F.substring("_lower", 1, n)))
+    each = F.array(bucket("_word"), *map(stem, STEMS))
+    return words.withColumn("_lower", F.lower("_word")).select(key, *keep, F.explode(each).alias("bucket")).filter(F.col("bucket").isNotNull())
 
 
 def labelled(labels: DataFrame, key: str) -> DataFrame:
-    """(key, target): bounded by `FIT_ROWS`; a row is target if its quality is 1 and it isn't toxic."""
+    """(key, target, for_line): bounded by `FIT_ROWS`; a row is target if its quality is 1 and it isn't toxic."""
     known = labels.filter(F.col(key).isNotNull() & F.col("quality").isNotNull())
     one = known.groupBy(key).agg(F.min((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int").alias("target"))
-    return one.orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(FIT_ROWS)
+    some = one.orderBy(F.xxhash64(key, F.lit(SEED)), key).limit(FIT_ROWS)
+    return some.withColumn("for_line", F.pmod(F.xxhash64(key, F.lit(SEED + 1)), F.lit(FOLDS)) == 0)
 
 
 def bucket_weights(docs: DataFrame, fit: DataFrame, key: str, text: str) -> DataFrame:
     """(bucket, weight) for every bucket that occurs; both models are counted in one scan."""
-    marked = docs.select(key, text).join(F.broadcast(fit), key, "left")  # at most FIT_ROWS ids
+    model = fit.filter(~F.col("for_line")).select(key, "target")
+    marked = docs.select(key, text).join(F.broadcast(model), key, "left")  # at most FIT_ROWS ids
     counts = written(grams(marked, key, text, "target").groupBy("bucket").agg(F.count("*").alias("n_raw"), F.sum(F.coalesce("target", F.lit(0))).alias("n_target")))
     sums = counts.agg(F.sum("n_raw").alias("raw"), F.sum("n_target").alias("target")).first()
     expected = F.col("n_raw") * F.lit((sums["target"] or 0) / (sums["raw"] or 1))
@@ -123,7 +129,7 @@ def selected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     ids = docs.select(key).distinct()
     weights = bucket_weights(docs, fit, key, text)
     scores = written(ids.join(log_weights(docs, weights, key, text), key, "left").fillna(0, ["log_weight", "n_grams"]))
-    known = scores.join(F.broadcast(fit), key).select("log_weight", "target").toPandas()  # at most FIT_ROWS rows
+    known = scores.join(F.broadcast(fit.filter("for_line")), key).select("log_weight", "target").toPandas()  # at most FIT_ROWS rows
     if known["target"].nunique() < 2:
         return scores.withColumns({"log_odds": F.lit(0.0), "sample_score": F.lit(0.0), "kept": F.lit(True)})
     slope, offset = fitted_line(known["log_weight"].to_numpy(float), known["target"].to_numpy(float))
