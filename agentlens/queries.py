@@ -318,9 +318,9 @@ query("j11_churn", f"""WITH {BUDGET} SELECT repo_root, commit_sha, CAST(sum(leas
     JOIN commit_hashes e ON e.side = '-' AND e.on_mainline = 1 AND e.repo_root = b.repo_root AND e.rel_path = b.rel_path AND e.line_hash = b.line_hash AND e.commit_time BETWEEN b.commit_time AND b.commit_time + INTERVAL 14 DAY GROUP BY ALL) GROUP BY ALL""", FACT_LINES)(
     lambda read: outcomes.churn(timed_budget(read), mainline_events(read, "-"), read("commits").filter("on_mainline = 1"))
 )
-query("j12_bug_signals", f"""WITH {BUDGET}, fixes AS (SELECT h.repo_root, h.commit_sha AS ref, h.commit_time AS at, h.rel_path, h.line_hash, sum(h.count) AS n FROM commit_hashes h JOIN commits c ON c.repo_root = h.repo_root AND c.commit_sha = h.commit_sha WHERE side = '-' AND c.message = 'fix parser' GROUP BY ALL),
-    found AS (SELECT b.repo_root, b.commit_sha, f.ref, f.at, sum(least(b.budget, f.n)) AS overlap FROM budget b JOIN fixes f USING (repo_root, rel_path, line_hash) WHERE f.at > b.commit_time AND f.at <= b.commit_time + INTERVAL 60 DAY GROUP BY ALL)
-    SELECT repo_root, commit_sha, 1 AS bug_after_merge_flag, first(ref ORDER BY at, ref) AS first_bug_signal_commit_sha, min(at) AS first_bug_signal_commit_time, count(*) AS bug_signal_count, 60 AS window_days, 'git_fix_commit' AS signal_source FROM found WHERE overlap > 0 GROUP BY ALL""", FACT_LINES)(
+query("j12_bug_signals", f"""WITH {BUDGET}, fixes AS (SELECT h.repo_root, h.commit_sha AS ref, h.commit_time AS fixed, h.rel_path, h.line_hash, sum(h.count) AS n FROM commit_hashes h JOIN commits c ON c.repo_root = h.repo_root AND c.commit_sha = h.commit_sha WHERE side = '-' AND c.message = 'fix parser' GROUP BY ALL),
+    found AS (SELECT b.repo_root, b.commit_sha, f.ref, f.fixed, sum(least(b.budget, f.n)) AS overlap FROM budget b JOIN fixes f USING (repo_root, rel_path, line_hash) WHERE f.fixed > b.commit_time AND f.fixed <= b.commit_time + INTERVAL 60 DAY GROUP BY ALL)
+    SELECT repo_root, commit_sha, 1 AS bug_after_merge_flag, first(ref ORDER BY fixed, ref) AS first_bug_signal_commit_sha, min(fixed) AS first_bug_signal_commit_time, count(*) AS bug_signal_count, 60 AS window_days, 'git_fix_commit' AS signal_source FROM found WHERE overlap > 0 GROUP BY ALL""", FACT_LINES)(
     lambda read: outcomes.bug_signals(outcomes.overlapping_signals(timed_budget(read), outcomes.fix_signals(read("commits"), read("commit_hashes"))))
 )
 query("m4_pr_outcomes", """SELECT o.repo_root, o.commit_sha, l.status AS lookup_status, l.owning_pr_number AS pr_number, CASE WHEN l.status = 'resolved' THEN 1 ELSE 0 END AS pr_opened_flag,
@@ -365,9 +365,9 @@ query("m1_session_productivity", f"""WITH {SESSION_ROWS} SELECT provider, sessio
 query("m1_session_quality", f"""{SIGNED}, {MATCHES}, {SESSION_ROWS}, counts AS (SELECT provider, session_id, count(*) AS user_turn_count FROM turns WHERE regexp_matches(user_text, '\\S') GROUP BY ALL), pastes AS ({PASTES}),
     hits AS (SELECT DISTINCT provider, session_id FROM rows_s r JOIN matches m USING (provider, session_id) WHERE m.commit_time >= r.begin_ AND m.commit_time <= coalesce(r.ended_at, r.started_at, r.last_, coalesce(r.lo, r.started_at)) + INTERVAL 4 HOUR)
     SELECT r.provider, r.session_id, repo_root, {nm("r.provider", "model_name")} AS model_name, started_at, ended_at, c.user_turn_count, coalesce(d.debug_loop_flag, 0) AS debug_loop_flag, coalesce(p.mid_session_error_paste_flag, 0) AS mid_session_error_paste_flag,
-        coalesce(flag, 0) AS accepted_output_flag, first_at AS first_accepted_change_at, round((epoch_us(first_at) - epoch_us(begin_)) / 60000000.0, 5) AS minutes_to_first_accepted_change, CASE WHEN h.provider IS NULL THEN 0 ELSE 1 END AS session_commit_within_4h_flag
+        coalesce(flag, 0) AS accepted_output_flag, first_at AS first_accepted_change_at, round((epoch_us(first_at) - epoch_us(begin_)) / 60000000.0, 8) AS minutes_to_first_accepted_change, CASE WHEN h.provider IS NULL THEN 0 ELSE 1 END AS session_commit_within_4h_flag
     FROM rows_s r JOIN counts c USING (provider, session_id) LEFT JOIN loops d USING (provider, session_id) LEFT JOIN pastes p USING (provider, session_id) LEFT JOIN hits h USING (provider, session_id)""", ("sessions", "messages", "changes", "commits", "commit_hashes", "change_hashes"))(
-    lambda read: events.session_events(read("sessions"), read("messages"), read("changes"), matches(read))[0].withColumn("minutes_to_first_accepted_change", F.round("minutes_to_first_accepted_change", 5))
+    lambda read: events.session_events(read("sessions"), read("messages"), read("changes"), matches(read))[0].withColumn("minutes_to_first_accepted_change", F.round("minutes_to_first_accepted_change", 8))
 )
 query("m3_task_sessions", """SELECT t.repo_root, t.task_key, s.provider, s.session_id, min(t.branch_name) AS branch_name, max(s.model_name) AS model_name, max(q.started_at) AS started_at, sum(s.matched_lines) AS attribution_weight, max(q.user_turn_count) AS user_turn_count,
     max(q.debug_loop_flag) AS debug_loop_flag, max(q.mid_session_error_paste_flag) AS mid_session_error_paste_flag, max(q.accepted_output_flag) AS accepted_output_flag, max(q.first_accepted_change_at) AS first_accepted_change_at,
