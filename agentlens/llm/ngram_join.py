@@ -46,7 +46,7 @@ from agentlens.llm.components import components
 WORDS, PERCENT = 5, 75
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) % 2**64 | 1 for i in range(WORDS)], np.uint64)
-PART_BYTES = 8_000_000  # of text in one packed part
+PART_BYTES = 4_000_000  # of text in one packed part
 FRAGMENT_ENTRIES = 1_500_000
 BITS = 1024  # of a parity bitmap
 #: Ids of documents to look at again are broadcast up to this number (8 bytes each); more join by shuffle.
@@ -63,7 +63,7 @@ class WordHashes(dict):
     """Hashes of words, kept while they are few."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
@@ -90,13 +90,15 @@ def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]
     texts: list[str] = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            ids.append(i)
-            texts.append(t)
-            size += len(t)
-            if size >= PART_BYTES or len(ids) >= 60_000:
-                yield ids, texts
-                ids, texts, size = [], [], 0
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if size >= PART_BYTES or len(ids) >= 60_000:
+                    yield ids, texts
+                    ids, texts, size = [], [], 0
     if ids:
         yield ids, texts
 
