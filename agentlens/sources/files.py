@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 def log_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """One row for each `.jsonl` file, with its whole text; a session's log is one file, and its lines are in order."""
-    reader = spark.read.option("pathGlobFilter", "*.jsonl").option("wholetext", True)
+    reader = spark.read.option("pathGlobFilter", "*.jsonl")
     if recursive:
         reader = reader.option("recursiveFileLookup", True)
     meta = F.col("_metadata")
-    return reader.text(path).select(meta["file_path"].alias("source_file"), F.unix_seconds(meta["file_modification_time"]).alias("mtime"), meta["file_size"].alias("size"), F.col("value").alias("text"))
+    return reader.text(path, wholetext=True).select(meta["file_path"].alias("source_file"), F.unix_seconds(meta["file_modification_time"]).alias("mtime"), meta["file_size"].alias("size"), F.col("value").alias("text"))
 
 
 def log_lines(files: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from agentlens.functions.columns import is_error_paste
 
 def new_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of log files as they appear; the checkpoint remembers the files that have been read."""
-    return spark.readStream.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter(F.trim("value") != "")
+    return spark.readStream.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter(F.trim("value") != "")
 
 
 def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
