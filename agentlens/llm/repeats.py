@@ -9,13 +9,15 @@ it is cut where equal strings can't be parted:
 
 1. Every window of `LENGTH` bytes is dealt to the least of the hashes of its
    `K`-byte strings (its anchor). Neighbouring windows mostly share an anchor and
-   make one context, so there are about 17 bytes to a context. Equal windows
+   make one context, so there are about 18 bytes to a context. Equal windows
    have equal anchors at equal places.
 2. All documents, packed in parts: each part sends the names of its distinct
-   contexts (24 bits and the fragment of the anchor, 56 of the context) with
-   their smallest document. A fragment finds contexts that an earlier document
-   has as a whole: all their windows go. Where different contexts share an
-   anchor, the first document of each has to show its bytes.
+   contexts (24 bits and the fragment of the anchor, 40 of the context, 16 each
+   of the bytes left and right of the anchor) with their smallest document. A
+   fragment finds contexts that an earlier document has as a whole: all their
+   windows go. A window reaches `SIDE` bytes or more beyond its anchor on one
+   side, so contexts that share one also share the name of a side; where others
+   do, the first document of each context has to show its bytes.
 3. These contexts meet by anchor. There the windows are put in suffix order and
    the longest previous factor decides, byte for byte.
 4. The spans found are brought back to the parts, and each document is cut.
@@ -44,10 +46,11 @@ from pyspark.sql import functions as F
 
 from agentlens.llm.common import table, text_bytes, whole_text, written
 
-LENGTH, K = 50, 18
+LENGTH, K = 50, 16
 WINDOW = LENGTH - K + 1
-PART_BYTES = 8_000_000
-FRAGMENT_BYTES, SHOWN_BYTES = 20_000_000, 16_000_000  # of text to a fragment of the two exchanges
+SIDE = (LENGTH - K) // 2
+PART_BYTES = 3_000_000
+FRAGMENT_BYTES, SHOWN_BYTES = 8_000_000, 8_000_000  # of text to a fragment of the two exchanges
 PIECE_BITS = 17
 PIECE = 1 << PIECE_BITS
 STEP = PIECE - 128
@@ -106,6 +109,7 @@ class Contexts:
         n = len(data) - LENGTH + 1
         self.start = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.name = np.zeros(0, U)
+        self.sides = np.zeros(0, np.uint32)
         self.offset = np.zeros(0, np.int64)
         if n <= 0:
             return
@@ -124,6 +128,7 @@ class Contexts:
         place = anchors[self.start].astype(np.int64)
         self.offset = place - self.start
         self.anchor, self.name = np.empty(len(place), U), np.empty(len(place), U)
+        self.sides = np.empty(len(place), np.uint32)
         for at in range(0, n, STEP):
             a, b = np.searchsorted(self.start, [at, at + STEP])
             if a == b:
@@ -133,12 +138,15 @@ class Contexts:
             self.anchor[a:b] = mixed((sums[p + K] - sums[p]) * INVERSES[p])
             shape = (e - s).astype(U) * U(0xD6E8FEB86659FD93) + self.offset[a:b].astype(U) * U(0xA0761D6478BD642F)
             self.name[a:b] = mixed((sums[e] - sums[s]) * INVERSES[s] + shape)
+            left, right = np.maximum(p - SIDE, 0), np.minimum(p + K + SIDE, len(sums) - 1)
+            names = [(mixed((sums[j] - sums[i]) * INVERSES[i]) >> U(49)).astype(np.uint32) + 1 for i, j in ((left, p), (p + K, right))]
+            self.sides[a:b] = np.where(p - s >= SIDE, names[0], 0) << 16 | np.where(e - p - K >= SIDE, names[1], 0)  # 0: the side isn't that long
 
     def entries(self, n_fragments: int):
         """Distinct contexts in order of fragment and name: (fragment, key, rest, owner's number, entry of each context)."""
         fragment = (((self.anchor >> U(32)) * U(n_fragments)) >> U(32)).astype(np.int32)
         key = (self.anchor << U(40)) | (self.name >> U(24))
-        rest = (self.name & U(0xFFFF)).astype(np.uint16)
+        rest = self.sides
         order = np.argsort(key, kind="stable")  # contexts come by document, so the first of equals is the owner's
         order = order[np.argsort(fragment[order], kind="stable")]
         f, k, r = fragment[order], key[order], rest[order]
@@ -168,12 +176,14 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PART)], schema=PART)
 
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            rows.append((LAST if i is None else i, b := t.encode()))
-            size += len(b)
-            if size >= PART_BYTES or len(rows) >= 60_000:
-                yield part()
-                rows, size, count = [], 0, count + 1
+        for at in range(0, batch.num_rows, 500):
+            some = batch.slice(at, 500)
+            for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
+                rows.append((LAST if i is None else i, b := t.encode()))
+                size += len(b)
+                if size >= PART_BYTES or len(rows) >= 60_000:
+                    yield part()
+                    rows, size, count = [], 0, count + 1
     if rows:
         yield part()
 
@@ -215,23 +225,29 @@ GONE, SHOW = 1, 2
 
 
 def flag_contexts(group: pa.Table) -> pa.Table:
-    """In one fragment: GONE, if an earlier document than any of the part's has the whole context; SHOW, if it is the first but not the only context of its anchor."""
+    """In one fragment: GONE, if an earlier document than any of the part's has the whole context; SHOW, if it is first with the context, and another document with one that shares the anchor and a side."""
     rows = group.to_pylist()
     key = np.concatenate([np.frombuffer(r["keys"], U) for r in rows])
-    rest = np.concatenate([np.frombuffer(r["rest"], np.uint16) for r in rows])
+    rest = np.concatenate([np.frombuffer(r["rest"], np.uint32) for r in rows])
     owner = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["owners"], np.uint16)] for r in rows])
     order = np.lexsort((owner, rest, key))
     k, r, o = key[order], rest[order], owner[order]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
     first = o[np.flatnonzero(new)][np.cumsum(new) - 1]
-    a = k >> U(40)
-    anchor_new = np.ones(len(k), bool)
-    anchor_new[1:] = a[1:] != a[:-1]
-    number = np.cumsum(anchor_new) - 1
-    several = np.bincount(number, weights=new)[number] > 1
+    show = np.zeros(len(k), bool)
+    for side in (r >> 16, r & np.uint32(0xFFFF)):
+        # contexts of one anchor and side; they matter to each other if more than one document is first with one
+        own = np.flatnonzero((o == first) & (side > 0))
+        by = own[np.lexsort((side[own], k[own] >> U(40)))]
+        a, x, f = k[by] >> U(40), side[by], o[by]
+        if not len(by):
+            continue
+        start = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (x[1:] != x[:-1])]))
+        several = np.minimum.reduceat(f, start) < np.maximum.reduceat(f, start)
+        show[by[np.repeat(several, np.diff(np.append(start, len(by))))]] = True
     flags = np.empty(len(k), np.uint8)
-    flags[order] = np.where(o > first, GONE, np.where(several, SHOW, 0))
+    flags[order] = np.where(o > first, GONE, np.where(show, SHOW, 0))
     cuts = np.concatenate([[0], np.cumsum([len(x["keys"]) // 8 for x in rows])])
     return arrow_rows([(x["part"], x["fragment"], flags[i:j].tobytes()) for x, i, j in zip(rows, cuts[:-1], cuts[1:])], FLAGS)
 
@@ -285,7 +301,7 @@ def show_contexts(n_fragments: int, n_shown: int):
 
 
 SPANS = pa.schema([("part", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
-AT_ONCE = 1_000_000  # windows put in suffix order together, if one anchor hasn't more
+AT_ONCE = 150_000  # windows put in suffix order together, if one anchor hasn't more
 
 
 def previous_factors(strings: np.ndarray, owners: np.ndarray, anchors: np.ndarray) -> np.ndarray:
@@ -389,7 +405,7 @@ def cut_parts(parts: pa.Table, spans: pa.Table) -> pa.Table:
         for x in spans.to_pylist():
             np.add.at(change, np.frombuffer(x["starts"], np.uint32), 1)
             np.add.at(change, np.frombuffer(x["ends"], np.uint32), -1)
-        gone = np.cumsum(change[:-1]) > 0
+        gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         end = 0
         for i, length in zip(ids.tolist(), lengths.tolist()):
             begin, end = end, end + length
