@@ -135,7 +135,7 @@ class Contexts:
                 continue
             sums = prefix_sums(data[at : at + PIECE])
             s, e, p = self.start[a:b] - at, self.last[a:b] - at + LENGTH, place[a:b] - at
-            self.anchor[a:b] = mixed((sums[p + K] - sums[p]) * INVERSES[p])
+            self.anchor[a:b] = mixed(mixed((sums[p + K] - sums[p]) * INVERSES[p]) + U(1))  # anew: the hashes that made anchors are small ones
             shape = (e - s).astype(U) * U(0xD6E8FEB86659FD93) + self.offset[a:b].astype(U) * U(0xA0761D6478BD642F)
             self.name[a:b] = mixed((sums[e] - sums[s]) * INVERSES[s] + shape)
             left, right = np.maximum(p - SIDE, 0), np.minimum(p + K + SIDE, len(sums) - 1)
