@@ -14,4 +14,4 @@ QUERIES = {
     "op9_page_text": page_text.op9_page_text,
     "op10_repeats": repeats.op10_repeats,
 }
-SQL = {**url_filter.SQL}
+SQL = {**url_filter.SQL, **secrets.SQL, **ngram_join.SQL}

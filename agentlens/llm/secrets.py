@@ -189,3 +189,28 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(told(F.filter("spans", lambda s: s["rank"] < len(BASE))), 256).alias("base_sha256"),
         told(F.col("spans")).alias("spans"),
     )
+
+
+def lists_sql(rule: Rule) -> str:
+    """Lengths of the pieces between a rule's matches, of the matches and of what counts of them."""
+    pattern = ("[0-9a-f]{32,}" if rule.kind == "hex" else rule.pattern).replace("'", "''")  # runs are maximal, so shorter ones may be left out at once
+    lengths = lambda x: f"list_transform({x}, lambda x: length(x))"
+    return ", ".join(f"{x} AS {rule.kind}_{n}" for n, x in (("gap", lengths(f"string_split_regex(t, '{pattern}')")), ("own", lengths(f"regexp_extract_all(t, '{pattern}', 0)")), ("told", lengths(f"regexp_extract_all(t, '{pattern}', {rule.group})"))))
+
+
+def spans_sql(rule: Rule, rank: int) -> str:
+    k = rule.kind
+    begin = f"CAST(list_sum({k}_gap[1:i]) + coalesce(list_sum({k}_own[1:i - 1]), 0) AS BIGINT)"
+    return f"""list_filter(list_transform(range(1, len({k}_own) + 1), lambda i: {{'start': {begin}, 'rank': {rank}, 'kind': '{k}', 'end': {begin} + {k}_own[i], 'told': {k}_told[i]}}), lambda s: s.told >= {rule.least})"""
+
+
+def told_sql(spans: str) -> str:
+    return f"coalesce(array_to_string(list_transform(list_sort({spans}), lambda s: s.kind || ':' || s.start || ':' || s.end), ','), '')"
+
+
+SQL = {
+    "op7_secrets": f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS MATERIALIZED (SELECT doc_id, {", ".join(map(lists_sql, RULES))} FROM d),
+    b AS MATERIALIZED (SELECT doc_id, {" || ".join(spans_sql(r, n) for n, r in enumerate(BASE))} AS base, {" || ".join(spans_sql(r, len(BASE) + n) for n, r in enumerate(MORE))} AS more FROM m)
+    SELECT doc_id, len(list_filter(base, lambda s: s.kind = 'assign')) AS n_assign, len(list_filter(base, lambda s: s.kind = 'access')) AS n_access, len(list_filter(base, lambda s: s.kind = 'hex')) AS n_hex,
+        sha256({told_sql("base")}) AS base_sha256, {told_sql("base || more")} AS spans FROM b"""
+}
