@@ -29,16 +29,16 @@ RELATIONS = {
         CASE WHEN event_type = 'purchase' THEN 'tool_write' ELSE 'accepted_change' END AS source_kind, CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 30 END AS lines_added,
         CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 7 END AS lines_removed FROM base WHERE event_type IN ('purchase', 'click')""",
     "numbers": f"SELECT k FROM (VALUES {KEYS}) AS v(k)",
-    "change_hashes": """SELECT provider, session_id, repo_root, rel_path, '+' AS side, md5('line ' || CAST(CASE WHEN k < 32 THEN change_id * 100 + k ELSE k END AS STRING)) AS line_hash,
+    "change_hashes": """SELECT provider, session_id, repo_root, rel_path, '+' AS side, md5('line ' || CAST(CASE WHEN k < 32 THEN change_id * 100 + k ELSE (change_id % 50) * 40 + k END AS STRING)) AS line_hash,
         CAST(1 + k % 3 AS BIGINT) AS count FROM changes CROSS JOIN numbers WHERE k < 36 AND source_kind = 'tool_write' AND repo_root IS NOT NULL""",
     "commits": """SELECT repo_root, md5('c' || CAST(event_id AS STRING)) AS commit_sha, event_id, ts AS commit_time, user_id, branch,
         CASE event_type WHEN 'purchase' THEN 'add parser' ELSE CASE event_id % 3 WHEN 0 THEN 'fix parser' WHEN 1 THEN 'Revert x' || chr(10) || 'This reverts commit 0123456789abcdef0123456789abcdef01234567.'
             ELSE 'update docs' END END AS message, event_type, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS on_mainline
         FROM base WHERE event_type IN ('purchase', 'error') AND repo_root IS NOT NULL""",
     "commit_hashes": """SELECT repo_root, commit_sha, commit_time, CASE WHEN event_id % 4 = 0 THEN 'lib/f' ELSE 'src/f' END || CAST(event_id % 6 AS STRING) || '.py' AS rel_path, '+' AS side,
-            md5('line ' || CAST(CASE WHEN k < 32 THEN event_id * 100 + k ELSE k END AS STRING)) AS line_hash, CAST(1 + k % 2 AS BIGINT) AS count, on_mainline
+            md5('line ' || CAST(CASE WHEN k < 32 THEN event_id * 100 + k ELSE (event_id % 50) * 40 + k END AS STRING)) AS line_hash, CAST(1 + k % 2 AS BIGINT) AS count, on_mainline
         FROM commits CROSS JOIN numbers WHERE event_type = 'purchase'
-        UNION ALL SELECT repo_root, commit_sha, commit_time, 'src/f' || CAST(event_id % 3 AS STRING) || '.py', '-', md5('line ' || CAST(32 + (event_id + k) % 4 AS STRING)), CAST(1 + k % 2 AS BIGINT), on_mainline
+        UNION ALL SELECT repo_root, commit_sha, commit_time, 'src/f' || CAST(event_id % 3 AS STRING) || '.py', '-', md5('line ' || CAST((event_id % 50) * 40 + 32 + (event_id + k) % 4 AS STRING)), CAST(1 + k % 2 AS BIGINT), on_mainline
         FROM commits CROSS JOIN numbers WHERE event_type = 'error' AND k < 4""",
     "branch_commits": """SELECT repo_root, branch, commit_sha, commit_time, CAST(row_number() OVER (PARTITION BY repo_root, branch ORDER BY commit_time DESC, commit_sha) - 1 AS BIGINT) AS distance,
             CASE WHEN event_id % 4 <> 3 THEN 1 ELSE 0 END AS on_first_parent
