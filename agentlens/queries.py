@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from agentlens.functions import columns as C
 from agentlens.functions import hashing
 from agentlens.operators import attribution, branches, conversation, incremental, outcomes
-from agentlens.plans import events, reports, stream, views
+from agentlens.plans import events, reports, scorecards, stream, views
 from agentlens.sources.adapter import prelude, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -410,3 +410,22 @@ query("i4_scan_starts", "SELECT repo_root, min(change_ts) - INTERVAL 1 DAY AS sc
 query("i5_lookups_to_retry", "SELECT c.* FROM (SELECT repo_key, commit_sha FROM ev_outcome) c WHERE NOT EXISTS (SELECT 1 FROM pr_lookups l WHERE l.status = 'resolved' AND l.repo_key = c.repo_key AND l.commit_sha = c.commit_sha)", ("ev_outcome", "pr_lookups"))(
     lambda read: incremental.lookups_to_retry(read("ev_outcome").select("repo_key", "commit_sha"), read("pr_lookups"))
 )
+
+
+# ---- scorecards
+
+
+def card_sql(report: str, signals) -> str:
+    def row(place: int, signal: tuple) -> str:
+        name, number, total, unit, first, second, higher = signal
+        m = f"CAST({number} AS DOUBLE)" if total is None else f"CASE WHEN {total} > 0 THEN {number} / {total} * 100 END"
+        value = f"printf('%.2f', {m}) || '{unit}'" if total is None else f"printf('%.2f', {m}) || '% (' || {number} || '/' || {total} || ')'"
+        band = f"CASE WHEN m IS NULL THEN 'n/a' WHEN m {'>=' if higher else '<'} {first} THEN 'good' WHEN m {'>=' if higher else '<='} {second} THEN 'watch' ELSE 'risk' END"
+        return f"SELECT {place} AS place, '{name}' AS signal, coalesce(v, 'N/A') AS value, {band} AS status FROM (SELECT {m} AS m, CASE WHEN {m} IS NOT NULL THEN {value} END AS v FROM rep)"
+
+    return f"WITH rep AS ({report}) " + " UNION ALL ".join(row(n, x) for n, x in enumerate(signals))
+
+
+query("snk5_session_scorecard", card_sql(session_sql(V1, False, None, False), scorecards.SESSION), COMMIT_EVENTS)(lambda read: scorecards.scorecard(reports.session_report(event_tables(read), reports.ReportArgs()), scorecards.SESSION))
+query("snk5_delivery_scorecard", card_sql(delivery_sql(V4, False, None, False), scorecards.DELIVERY), COMMIT_EVENTS)(lambda read: scorecards.scorecard(reports.delivery_report(event_tables(read), reports.ReportArgs()), scorecards.DELIVERY))
+query("snk5_quality_scorecard", card_sql(quality_sql(V4, False, None, False), scorecards.QUALITY), COMMIT_EVENTS)(lambda read: scorecards.scorecard(reports.quality_report(event_tables(read), reports.ReportArgs()), scorecards.QUALITY))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from agentlens.operators import attribution, branches, conversation, incremental, outcomes
 from agentlens.functions import hashing
+from agentlens.sources import pull_files
 
 LINE = "repo_root string, commit_sha string, rel_path string, side string, line_hash string, count bigint"
 SESSION_LINE = "repo_root string, provider string, session_id string, rel_path string, side string, line_hash string, count bigint"
@@ -185,3 +186,19 @@ def test_incremental(spark):
     known = spark.createDataFrame([("c", "s", 4)], "provider string, session_id string, change_index bigint")
     more = spark.createDataFrame([("c", "s", 1, DAY), ("c", "s", 2, DAY), ("c", "t", 1, DAY)], "provider string, session_id string, change_id int, change_ts timestamp")
     assert sorted((r["session_id"], r["change_index"]) for r in incremental.running_index(more, known).collect()) == [("s", 5), ("s", 6), ("t", 0)]
+
+
+def test_issue_linked_signals(spark):
+    files = spark.createDataFrame([("k", 1, "a.py", None, "modified", "@@\n-x\n-x\n+y\n--- z"), ("k", 1, "new.py", "old.py", "renamed", "-q"), ("k", 2, "b.py", None, "modified", None), ("k", 3, "c.py", None, "added", None)],
+        "repo_key string, pr_number int, filename string, previous_filename string, status string, patch string")
+    hashes, complete = pull_files.removed_hashes(files)
+    assert sorted((r["rel_path"], r["count"]) for r in hashes.collect()) == [("a.py", 2), ("old.py", 1)]
+    assert {r["pr_number"]: r["removed_hashes_complete_flag"] for r in complete.collect()} == {1: 1, 2: 0, 3: 1}
+    issues = spark.createDataFrame([("k", 7, 1, 0), ("k", 8, 0, 0), ("k", 9, 1, 1)], "repo_key string, issue_number int, bug_candidate_flag int, is_pull_request_flag int")
+    links = spark.createDataFrame([("k", i, 1) for i in (7, 8, 9)], "repo_key string, issue_number int, pr_number int")
+    pulls = complete.withColumn("repo_root", F.lit("r")).withColumn("merged_at", F.lit(DAY + timedelta(days=5)))
+    signals = outcomes.issue_signals(issues, links, pulls, hashes)
+    line = signals.filter("rel_path = 'a.py'").first()
+    budget = spark.createDataFrame([("r", "c", "a.py", line["line_hash"], 1, DAY)], "repo_root string, commit_sha string, rel_path string, line_hash string, budget bigint, commit_time timestamp")
+    (r,) = outcomes.bug_signals(outcomes.overlapping_signals(budget, signals)).collect()
+    assert (r["first_bug_signal_commit_sha"], r["bug_signal_count"], r["signal_source"]) == ("issue#7/pr#1", 1, "github_issue_fix_pr_exact_hash")

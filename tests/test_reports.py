@@ -5,7 +5,7 @@ from functools import reduce
 import pytest
 from pyspark.sql import functions as F
 
-from agentlens.plans import reports, stream
+from agentlens.plans import reports, scorecards, stream
 from agentlens.plans.events import task_sessions
 
 QUALITY = """codex,019cb311-b93e-7423-aeb4-81249c578638,R,codex/gpt-5.3-codex,2026-03-03T09:40:09.156Z,2026-03-03T16:10:00.000Z,117,0,1,1,2026-03-03T15:22:37.117Z,342.46601678431034,1
@@ -103,3 +103,13 @@ def test_empty_tables(e):
     gone = reports.Events(**{k: v.filter(F.lit(False)) for k, v in e.__dict__.items()})
     assert rows(reports.quality_report(gone, reports.ReportArgs()), "heavy_commit_count", "churn_d") == [(0, 0)]
     assert reduce(lambda n, f: n + f(gone, reports.ReportArgs(group_by="provider")).count(), (reports.session_report, reports.delivery_report, reports.quality_report), 0) == 0
+
+
+def test_scorecard(e):
+    text = scorecards.scorecard_text(scorecards.scorecard(reports.session_report(e, reports.ReportArgs()), scorecards.SESSION))
+    assert text.split("\n")[3:9] == [
+        "│ Time to first change │ 160.19 min   │ risk   │", "│ No-output sessions   │ 0.00% (0/4)  │ good   │", "│ Sessions to commit   │ 75.00% (3/4) │ good   │",
+        "│ Error pastes         │ 50.00% (2/4) │ risk   │", "│ Avg prompts          │ 33.50        │ risk   │", "│ Debug loops          │ 0.00% (0/4)  │ good   │",
+    ]
+    cards = scorecards.scorecard(reports.delivery_report(e, reports.ReportArgs()), scorecards.DELIVERY).collect()
+    assert [(c["value"], c["status"]) for c in cards] == [("100.00% (3/3)", "good"), ("N/A", "n/a"), ("N/A", "n/a")]
