@@ -74,11 +74,12 @@ def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     lines = written(line_rows(docs, key, text).select(key, "_text_id", "_at", F.char_length("_line").alias("_chars"), "_leaf", F.xxhash64(masked(F.col("_line"))).alias("_line_id")))
     shapes = generalised(docs, lines, key, text)
     placed = written(lines.join(shapes, "_line_id", "left").select(key, "_text_id", "_at", "_chars", F.coalesce("_template", "_line_id").alias("_template")))
-    found = placed.join(recurring(placed, "_template"), "_template")
+    # counts are written before they are joined to lines again: both sides of the join then come from their own exchange, and a hot template's lines can be split
+    found = placed.join(written(recurring(placed, "_template").select("_template")), "_template")
     sizes = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(text).alias("_text_id"), F.char_length(text).alias("_size")).distinct()
     share = found.select("_text_id", "_at", "_chars").distinct().groupBy("_text_id").agg(F.sum("_chars").alias("_covered"))
     copies = share.join(sizes, "_text_id").filter(F.col("_covered") > F.lit(COPY_SHARE) * F.col("_size")).select("_text_id")
-    evident = recurring(found.select("_template", "_text_id").join(copies, "_text_id", "left_anti"), "_template").select("_template")
+    evident = written(recurring(found.select("_template", "_text_id").join(copies, "_text_id", "left_anti"), "_template").select("_template"))
     return found.join(evident, "_template", "left_semi").select(key, "_text_id", "_at")
 
 
