@@ -221,7 +221,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     few = open_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     sets = written(shingle_sets(rows.join(F.broadcast(open_ids) if few else open_ids, "doc_id", "left_semi")))
     name = ["n", "sum", "xor"]
-    groups = sets.groupBy(*name).agg(F.min("doc_id").alias("representative"))
+    groups = written(sets.groupBy(*name).agg(F.min("doc_id").alias("representative")))  # so that a large class is split in the join with its members
     members = written(sets.select("doc_id", *name).join(groups, name).groupBy("doc_id").agg(F.min("representative").alias("representative")))
     chosen = groups.select(F.col("representative").alias("doc_id"), *name)
     own = written(sets.join(chosen, ["doc_id", *name], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "shingles", "bits"))
