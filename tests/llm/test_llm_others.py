@@ -106,3 +106,10 @@ def test_copied_articles_stay(spark):
     page = "<html><body><article><p>The same article</p></article></body></html>"
     df = spark.createDataFrame([(i, f"http://a.org/{i}", page) for i in range(12)], "page_id bigint, url string, html string")
     assert {r["text"] for r in page_text.extracted(df).collect()} == {"The same article"}
+
+
+def test_names_of_elements():
+    text = lambda page: "|".join(t for _, _, t in page_text.candidates(page))
+    assert text('<div class="layout with-sidebar"><article><p>in</p></article><div class="siteHeader">out</div></div>') == "in"
+    assert text('<article><p>in</p><article class="comment"><p>out</p></article><div id="related-posts">out</div></article>') == "in"
+    assert text('<main><p>a <span>b</span> c</p><div role="navigation">out</div><div class="adventure">in</div></main>') == "a b c|in"
