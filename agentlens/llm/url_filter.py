@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import ascii_lower, table
+from agentlens.llm.common import ascii_lower, table, written
 
 #: (verdict, host, path); fixed values of the query.
 RULES = (
@@ -81,7 +81,8 @@ def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES,
         .agg(F.max(F.struct("rule_chars", "rule", "rule_verdict")).alias("_best"))
         .select("host", "_head", F.col("_best.rule").alias("rule"), F.col("_best.rule_verdict").alias("_verdict"))
     )
-    return parts.join(best, ["host", "_head"], "left").withColumn("verdict", F.coalesce("_verdict", F.lit(default))).drop("_head", "_verdict")
+    # written before it is joined: the pages of a hot host then come from an exchange of their own, which can be split
+    return parts.join(written(best), ["host", "_head"], "left").withColumn("verdict", F.coalesce("_verdict", F.lit(default))).drop("_head", "_verdict")
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
