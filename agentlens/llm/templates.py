@@ -2,12 +2,15 @@
 
 The tree has a fixed depth: a line goes down by its number of words and then by
 its first `DEPTH` words, where a word that holds a digit counts as `<*>`. In the
-leaf it reaches, a word at a place is constant if it stands there in lines of
-`MIN_DOCS` documents or more, and else a variable field. A line whose constant
-words make up `CONSTANT_SHARE` of it takes the template with its fields as
-wildcards; any other line is its own template. The leaf's words are counted
-instead of compared line by line, so the result doesn't depend on the order of
-lines, and a hot leaf is an ordinary aggregation.
+leaf it reaches, each word of a line has the number of documents with that word at
+its place. A line fits if words of `MIN_DOCS` documents or more make up
+`CONSTANT_SHARE` of it; the rarest word that this share needs tells how common its
+template is. Words that are at least `FIELD_SHARE` times as common are constant,
+all others variable fields, so a field's value is none the more constant for having
+come up in many documents of a large leaf. A line that fits takes the template with
+its fields as wildcards; any other line is its own template. The leaf's words are
+counted instead of compared line by line, so the result doesn't depend on the order
+of lines, and a hot leaf is an ordinary aggregation.
 
 A template recurs if it stands in `MIN_DOCS` documents with different texts or
 more. Documents of which recurring lines make up over half are copies of each
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from agentlens.llm.common import table, written
 
-DEPTH, MIN_WORDS, MIN_DOCS, CONSTANT_SHARE, COPY_SHARE = 3, 3, 5, 0.75, 0.5
+DEPTH, MIN_WORDS, MIN_DOCS, CONSTANT_SHARE, FIELD_SHARE, COPY_SHARE = 3, 3, 5, 0.75, 0.5, 0.5
 #: Leaves to look at again up to this number are broadcast (8 bytes each); more join by shuffle.
 BROADCAST_LEAVES = 200_000
 FIELD = "<*>"
@@ -58,15 +61,17 @@ def generalised(docs: DataFrame, lines: DataFrame, key: str, text: str) -> DataF
     leaves = written(leaves)
     few = leaves.limit(BROADCAST_LEAVES + 1).count() <= BROADCAST_LEAVES
     again = line_rows(docs, key, text).select("_leaf", "_line", "_text_id").join(F.broadcast(leaves) if few else leaves, "_leaf").select("_leaf", masked(F.col("_line")).alias("_masked"), "_text_id").distinct()
-    word = again.select("_leaf", F.xxhash64("_masked").alias("_line_id"), "_text_id", F.posexplode(F.split("_masked", " ")).alias("_place", "_word")).withColumn("_word", F.xxhash64("_word"))
+    words = F.split("_masked", " ")
+    word = again.select("_leaf", F.xxhash64("_masked").alias("_line_id"), "_text_id", F.size(words).alias("_n"), F.posexplode(words).alias("_place", "_word")).withColumn("_word", F.xxhash64("_word"))
     # a text counts once for a word and place however many of its lines have it
-    often = word.select("_leaf", "_place", "_word", "_text_id").distinct().groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_docs")).filter(F.col("_docs") >= MIN_DOCS).drop("_docs")
-    own = word.select("_leaf", "_line_id", "_place", "_word").distinct().join(often.withColumn("_constant", F.lit(1)), ["_leaf", "_place", "_word"], "left")
-    field = F.xxhash64(F.lit(FIELD))
-    kept = F.when(F.col("_constant").isNotNull(), F.col("_word")).otherwise(field)
-    shaped = own.groupBy("_leaf", "_line_id").agg(F.count("_constant").alias("_constants"), F.count("*").alias("_n"), F.bit_xor(F.xxhash64("_place", kept)).alias("_shape"))
-    fits = (F.col("_constants") >= F.lit(CONSTANT_SHARE) * F.col("_n")) & (F.col("_constants") > DEPTH)
-    return shaped.filter(fits).select("_line_id", F.xxhash64("_leaf", "_shape").alias("_template"))
+    often = word.select("_leaf", "_place", "_word", "_text_id").distinct().groupBy("_leaf", "_place", "_word").agg(F.count("*").alias("_docs")).filter(F.col("_docs") >= MIN_DOCS)
+    own = word.select("_leaf", "_line_id", "_n", "_place", "_word").distinct().join(often, ["_leaf", "_place", "_word"])
+    # from the most common word down; at most as many as the line has words
+    line = own.groupBy("_leaf", "_line_id", "_n").agg(F.sort_array(F.collect_list(F.struct("_docs", "_place", "_word")), asc=False).alias("_common"))
+    needed = F.ceil(F.lit(CONSTANT_SHARE) * F.col("_n")).cast("int")
+    shaped = line.filter(F.size("_common") >= needed).withColumn("_least", F.lit(FIELD_SHARE) * F.element_at("_common", needed)["_docs"])
+    shaped = shaped.withColumn("_constants", F.filter("_common", lambda w: w["_docs"] >= F.col("_least"))).filter(F.size("_constants") > DEPTH)
+    return shaped.select("_line_id", F.xxhash64("_leaf", F.transform("_constants", lambda w: F.struct(w["_place"], w["_word"]))).alias("_template"))
 
 
 def dropped_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

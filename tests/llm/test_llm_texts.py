@@ -113,6 +113,13 @@ def test_variable_fields_without_digits(spark):
     assert all("last edited" not in r["text"] for r in kept)
 
 
+def test_fields_whose_values_recur(spark):
+    """Every name stands in 8 documents and every section in 32, but each pair of them in one."""
+    texts = [f"{' '.join(prose(60, 1000 + i))}\nThis page was last edited by {WORDS[i // 8 % 32]} in {WORDS[i % 8]} today" for i in range(256)]
+    kept = templates.without_templates(docs(spark, texts)).collect()
+    assert all(r["n_lines_dropped"] == 1 and r["text"] == texts[r["doc_id"]].split("\n")[0] for r in kept)
+
+
 def test_copies_are_no_boilerplate(spark):
     copy = "\n".join(" ".join(prose(10, 300 + i)) for i in range(6))
     kept = templates.without_templates(docs(spark, [copy + f"\n{' '.join(prose(8, 400 + i))}" for i in range(9)])).collect()
