@@ -5,13 +5,17 @@ the page's presentation). The trees of one host are merged: a branch of the
 style tree is a path, and beside it stand the contents that the host's pages
 have there. A branch's importance is the entropy of these contents, between 0
 (every page has the same) and 1 (each page has its own), as a share of the
-largest that so many pages could have. Branches outside the article whose
-importance is below `LEAST_IMPORTANCE` on `LEAST_PAGES` pages or more are
-removed from each page. What presentation alone shows to be no main text (menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts, styles)
-has no importance in any tree, and the article element is the page's content: if
-there is one, only its branches are kept, and repeated contents there stay,
-since a copied article is still an article.
+largest that so many pages could have. Branches whose importance is below
+`LEAST_IMPORTANCE` on `LEAST_PAGES` pages or more are removed from each page,
+inside the article element (or main) as well as outside. What presentation alone
+shows to be no main text (menus, headers, footers, sidebars, notices, adverts,
+forms, comments, scripts, styles) has no importance in any tree.
+
+A copied article is still an article: branches inside count once for each body,
+the longest content that a page has at a branch inside, however many pages show
+it. Of the branches that stay, those inside articles are the page's content,
+unless there is more text around them: then the articles are no more than part of
+it (teasers beside the body), and all of it stays.
 
 Style nodes are counted as (host, branch, hash of content), so a host with a
 third of all pages is a partial aggregation like any other.
@@ -154,32 +158,45 @@ def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
     return iter(found)
 
 
-def candidates(page: str) -> list[tuple[str, bool, str]]:
-    """(path, inside the article, text) of the blocks that presentation leaves; only the article's, if there is one."""
-    kept = [(path, content, text) for path, content, outside, text in blocks(page) if not outside]
-    return [b for b in kept if b[1]] or kept
+def shown(page: str) -> list[tuple[str, bool, str]]:
+    """(path, inside the article, text) of the blocks that presentation leaves."""
+    return [(path, content, text) for path, content, outside, text in blocks(page) if not outside]
+
+
+def candidates(page: str, low: frozenset[str] = frozenset()) -> list[tuple[str, bool, str]]:
+    """The blocks of `shown` at other branches than `low`; only the articles', unless there is more text around them."""
+    kept = [b for b in shown(page) if b[0] not in low]
+    inside = [b for b in kept if b[1]]
+    length = sum(len(text) for _, _, text in inside)
+    return inside if 2 * length >= sum(len(text) for _, _, text in kept) else kept
 
 
 def branch_contents(pages: DataFrame, html: str) -> DataFrame:
-    """(_host, branch, content): what each page has at each branch outside an article."""
+    """(_host, branch, content, body): what each page has at each branch; inside articles with the longest such content of the page, elsewhere with null."""
 
     def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for host, page in zip(batch["_host"], batch[html]):
                 at: dict[str, list[str]] = {}
-                for path, content, text in candidates(page or ""):
-                    if not content:
-                        at.setdefault(path, []).append(text)
-                rows += [(host, path, xxhash.xxh3_64_intdigest("\n".join(texts)) - (1 << 63)) for path, texts in at.items()]
-            yield pd.DataFrame(rows, columns=["_host", "branch", "content"])
+                within: set[str] = set()
+                for path, content, text in shown(page or ""):
+                    at.setdefault(path, []).append(text)
+                    if content:
+                        within.add(path)
+                joined = {path: "\n".join(texts) for path, texts in at.items()}
+                digests = {path: xxhash.xxh3_64_intdigest(text) - (1 << 63) for path, text in joined.items()}
+                body = digests[max(within, key=lambda path: (len(joined[path]), joined[path]))] if within else None
+                rows += [(host, path, digest, body if path in within else None) for path, digest in digests.items()]
+            yield pd.DataFrame(rows, columns=["_host", "branch", "content", "body"]).astype({"body": "Int64"})
 
-    return pages.select("_host", html).mapInPandas(contents, "_host string, branch string, content bigint")
+    return pages.select("_host", html).mapInPandas(contents, "_host string, branch string, content bigint, body bigint")
 
 
 def style_tree(pages: DataFrame, html: str = "html") -> DataFrame:
     """(_host, branch, n_pages, importance): the merged tree of each host, with the entropy of its branches."""
-    each = branch_contents(pages, html).groupBy("_host", "branch", "content").agg(F.count("*").alias("n"))
+    bodies = branch_contents(pages, html).groupBy("_host", "branch", "content", "body").agg(F.count("*").alias("n"))
+    each = bodies.groupBy("_host", "branch", "content").agg(F.sum(F.when(F.col("body").isNull(), F.col("n")).otherwise(1)).alias("n"))
     sums = each.groupBy("_host", "branch").agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
     n = F.col("n_pages")
     return sums.select("_host", "branch", "n_pages", F.when(n > 1, 1 - F.col("s") / (n * F.log(n))).otherwise(F.lit(1.0)).alias("importance"))
@@ -197,8 +214,7 @@ def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
         for batch in batches:
             out = []
             for page, low in zip(batch[html], batch["_low"]):
-                gone = set() if low is None else set(low)
-                out.append("\n\n".join(text for path, content, text in candidates(page or "") if content or path not in gone))
+                out.append("\n\n".join(text for _, _, text in candidates(page or "", frozenset(() if low is None else low))))
             own = batch.drop(columns=[html, "_low"])
             own["text"] = out
             own["n_chars"] = [len(t) for t in out]

@@ -108,6 +108,21 @@ def test_copied_articles_stay(spark):
     assert {r["text"] for r in page_text.extracted(df).collect()} == {"The same article"}
 
 
+def test_style_tree_reaches_into_articles(spark):
+    """Boilerplate without a telling class inside the article goes, of copied articles too; their bodies stay."""
+    page = "<html><body><main><div class=x1>Tell your friends</div><article><p>{}</p></article></main></body></html>"
+    bodies = [f"Body {i} of an article with words of its own" for i in range(10)] + ["The article that was copied again and again"] * 20
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", page.format(b)) for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in page_text.extracted(df).collect()} == dict(enumerate(bodies))
+
+
+def test_body_beside_a_teaser_stays(spark):
+    page = "<html><body><article class=card><p>Read this too</p></article><div class=x2><p>{}</p></div></body></html>"
+    bodies = [f"Body {i}, which is much longer than the teaser beside it" for i in range(10)]
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", page.format(b)) for i, b in enumerate(bodies)], "page_id bigint, url string, html string")
+    assert all(bodies[r["page_id"]] in r["text"] for r in page_text.extracted(df).collect())
+
+
 def test_names_of_elements():
     text = lambda page: "|".join(t for _, _, t in page_text.candidates(page))
     assert text('<div class="layout with-sidebar"><article><p>in</p></article><div class="siteHeader">out</div></div>') == "in"
