@@ -11,7 +11,8 @@
 
 Spans are code points, end exclusive, leftmost and non-overlapping per kind.
 Defined cases: a null text is empty; a document without a match has no spans;
-repeated rows (the same id again) are scanned each; other columns are ignored.
+repeated rows (the same id again) and rows with a null id are scanned each; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -162,7 +163,8 @@ def find_secrets(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str =
     """(key, spans array<struct<start, rank, kind, end>>) for every row of `docs`, by start and then by rule."""
     chosen = candidates(postings(docs, rules, key, text), rules, key)
     few = chosen.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
-    rows = docs.select(key, whole_text(text).alias("_text")).join(F.broadcast(chosen) if few else chosen, key, "left")
+    chosen = chosen.withColumnRenamed(key, "_held_by")  # rows with a null id share their postings; the patterns verify each
+    rows = docs.select(key, whole_text(text).alias("_text")).join(F.broadcast(chosen) if few else chosen, F.col(key).eqNullSafe(F.col("_held_by")), "left")
     none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     each = []
     for rank, rule in enumerate(rules):
