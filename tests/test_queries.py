@@ -41,6 +41,11 @@ def test_queries_without_sql_have_rows(spark):
         assert engine.QUERIES[name](spark, DATA).count() > 0, name
 
 
+def test_changed_multisets_read_all_events(spark):
+    late = spark.range(60_000, 60_100).withColumnRenamed("id", "event_id")
+    assert sorted(r["id"] for r in engine.changed_multisets(late).collect()) == list(range(0, 100, 10))
+
+
 def test_entry_module(spark):
     import __spark_entry__ as entry
 
