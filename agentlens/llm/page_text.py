@@ -1,224 +1,140 @@
 """HTML extraction by a site style tree.
 
-Pages are parsed into blocks, each under its path of elements (name and class:
-the page's presentation). The trees of one host are merged: a branch of the
-style tree is a path, and beside it stand the contents that the host's pages
-have there. A branch's importance is the entropy of these contents, between 0
-(every page has the same) and 1 (each page has its own), as a share of the
-largest that so many pages could have. Branches whose importance is below
-`LEAST_IMPORTANCE` on `LEAST_PAGES` pages or more are removed from each page,
-inside the article element (or main) as well as outside. What presentation alone
-shows to be no main text (menus, headers, footers, sidebars, notices, adverts,
-forms, comments, scripts, styles) has no importance in any tree.
-
-A copied article is still an article: branches inside count once for each body,
-the longest content that a page has at a branch inside, however many pages show
-it. Of the branches that stay, those inside articles are the page's content,
+Pages are parsed into blocks, each under its path of elements (name and class).
+The trees of one host are merged: a branch of the style tree is a path, and at it
+stand the presentations that the host's pages have there (the order of what the
+branch's elements hold) and the contents (the blocks' texts). Both are scored by
+their entropy over the pages, as a share of the largest that so many pages could
+have:
+
+* presentation: 0 if every page arranges the branch alike, 1 if each has its own way;
+* content: the mean over the branch's texts of `1 - log k / log n` for a text on k of
+  the n pages, so 0 if all have the same and 1 if no text comes twice;
+* importance: `1 - (1 - presentation) * (1 - content)`: only what is arranged alike and
+  says the same is unimportant, on hosts of any size.
+
+Branches of `LEAST_PAGES` pages or more whose importance is below `LEAST_IMPORTANCE`
+are removed from each page, inside articles and outside alike. What the tree can't see
+is a menu or advert whose entries differ on every page and are laid out alike, which
+looks just like a headline: an element that is one by its name (`nav`, `footer`, class
+`ad`, `comments`) is outside on every host, and so is one whose longer name holds such
+a word, unless over three quarters of the page's text are in it. A repeated paragraph at a branch that
+stays, stays too: it is part of the articles that hold it.
+
+Pages that show one body count once: a page's body is the longest content that it has
+at a branch inside an article, or all its text if there is none. So an article doesn't
+become boilerplate by being copied.
+
+Of the branches that stay, those inside articles (or main) are the page's content,
 unless there is more text around them: then the articles are no more than part of
 it (teasers beside the body), and all of it stays.
 
-Style nodes are counted as (host, branch, hash of content), so a host with a
-third of all pages is a partial aggregation like any other.
+Style nodes are counted as (host, branch, digest, body), so a host with a third of
+all pages is a partial aggregation like any other.
 
 Defined cases: null or empty html has no text; character references are decoded
-(also ones without a semicolon, where HTML allows it); unclosed elements end
-with their parent; repeated pages are extracted each; a null url is a host of
-its own; other columns are kept, but for ones named `text`, `n_chars`, `_host` or
-`_low`, which are replaced.
+(also ones without a semicolon, where HTML allows it); `br` is white space, other
+elements within a block part no words; unclosed elements end with their parent; a
+tag that the page's end cuts off is left out; repeated pages are extracted each; a
+null url is a host of its own; other columns are kept, but for ones named `text`,
+`n_chars`, `_host`, `_low` or `_texts`, which are replaced.
 """
 
 from __future__ import annotations
 
-import html as references
-import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import table
+from agentlens.llm.common import table, written
+from agentlens.llm.markup import Block, Page, parsed
 from agentlens.llm.url_filter import url_host
 
 LEAST_IMPORTANCE, LEAST_PAGES = 0.25, 8
 #: Removed branches up to this number are broadcast (under 200 bytes each); more join by host.
 BROADCAST_BRANCHES = 50_000
+STYLE, TEXT, PAGE = 0, 1, 2
 
-MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-CLASS = re.compile(r"(?:\A|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-SPACE = re.compile(r"\s+")
-# fixed values: element and class names of HTML pages
-RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "noframes", "xmp"}
-VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-OUTSIDE = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "select", "svg", "math", "object", "canvas", "audio", "video", "head"} | RAW
-OUTSIDE_WORDS = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner",
-    "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "toc",
-    "header", "masthead", "footer", "sidebar", "aside", "widget", "related", "recommended", "share", "sharing", "social",
-    "notice", "notices", "cookie", "cookies", "consent", "gdpr", "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "signup",
-    "comment", "comments", "disqus", "replies", "respond", "form", "search", "login", "copyright", "complementary", "contentinfo",
-}
-OUTSIDE_ARTICLES = {"ad", "ads", "advert", "advertisement", "sponsored", "promo", "comment", "comments", "reply", "replies", "related", "teaser"}
-LAYOUT_WORDS = {"with", "has", "no", "without"}  # `with-sidebar` names a layout, not a sidebar
-BLOCKS = {
-    "address", "article", "blockquote", "body", "caption", "center", "dd", "details", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure",
-    "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section",
-    "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul", "aside", "menu", "dialog", "legend", "optgroup", "option",
-}
-CLOSES_P = BLOCKS - {"body", "html", "tbody", "td", "tfoot", "th", "thead", "tr", "caption", "legend", "option", "optgroup"}
-SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-CONTENT = {"article", "main"}
-
-
-@lru_cache(maxsize=4096)
-def element(name: str, attributes: str) -> tuple[str, bool]:
-    """Its name in paths, and whether presentation alone puts it outside the main text."""
-    told = " ".join(next(filter(None, m.groups()), "") for m in CLASS.finditer(attributes)) if attributes else ""
-    names = [re.split("[_-]+", re.sub("(?<=[a-z])(?=[A-Z])", "-", c).lower()) for c in told.split()]
-    words = {w for n in names if n[0] not in LAYOUT_WORDS for w in n}
-    outside = name in OUTSIDE or (name not in ("html", "body") and bool(words & (OUTSIDE_ARTICLES if name in CONTENT else OUTSIDE_WORDS)))
-    return (f"{name}.{'.'.join(told.split())}" if told else name), outside
-
-
-def blocks(page: str) -> Iterator[tuple[str, bool, bool, str]]:
-    """(path, inside article or main, outside by presentation, text) of each block of text, in page order."""
-    open_: list[tuple[str, str, bool, bool]] = [("", "", False, False)]  # name, path, content, outside
-    pieces: list[str] = []
-    found: list[tuple[str, bool, bool, str]] = []
-    at, end = 0, len(page)
-
-    def flush() -> None:
-        if pieces:
-            text = SPACE.sub(" ", references.unescape("".join(pieces))).strip()
-            pieces.clear()
-            if text:
-                _, path, content, outside = open_[-1]
-                found.append((path, content, outside, text))
-
-    while at < end:
-        m = MARKUP.search(page, at)
-        if m is None:
-            rest = page[at:]
-            cut = re.search(r"<[a-zA-Z/!?][^>]*\Z", rest)  # a tag that the page's end cuts off
-            pieces.append(rest[: cut.start()] if cut else rest)
-            break
-        if m.start() > at:
-            pieces.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
-            if m[1]:
-                pieces.append(m[1])
-            continue
-        name = m[3].lower()
-        if m[2]:
-            if name in BLOCKS:
-                flush()
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == name:
-                    if any(o[0] in BLOCKS or o[3] != open_[k - 1][3] for o in open_[k:]):
-                        flush()
-                    del open_[k:]
-                    break
-                if name not in BLOCKS and open_[k][0] in BLOCKS:
-                    break  # an inline end tag doesn't close blocks
-            continue
-        if name in VOID:
-            if name == "hr":
-                flush()
-            else:
-                pieces.append(" ")
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = close.end() if close else end
-            continue
-        label, outside = element(name, m[4])
-        if name in BLOCKS or outside:
-            flush()
-        if name in CLOSES_P:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] == "p":
-                    del open_[k:]
-                    break
-                if open_[k][0] in BLOCKS:
-                    break
-        if name in SAME_ENDS:
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k][0] in SAME_ENDS[name]:
-                    del open_[k:]
-                    break
-                if open_[k][0] in ("ul", "ol", "dl", "table", "select", "menu"):
-                    break
-        _, path, content, out = open_[-1]
-        if not m[4].rstrip().endswith("/") or name in BLOCKS:
-            open_.append((name, f"{path}/{label}" if name in BLOCKS or outside else path, content or name in CONTENT, out or outside))
-    flush()
-    return iter(found)
-
-
-def shown(page: str) -> list[tuple[str, bool, str]]:
-    """(path, inside the article, text) of the blocks that presentation leaves."""
-    return [(path, content, text) for path, content, outside, text in blocks(page) if not outside]
-
-
-def candidates(page: str, low: frozenset[str] = frozenset()) -> list[tuple[str, bool, str]]:
-    """The blocks of `shown` at other branches than `low`; only the articles', unless there is more text around them."""
-    kept = [b for b in shown(page) if b[0] not in low]
-    inside = [b for b in kept if b[1]]
-    length = sum(len(text) for _, _, text in inside)
-    return inside if 2 * length >= sum(len(text) for _, _, text in kept) else kept
-
-
-def branch_contents(pages: DataFrame, html: str) -> DataFrame:
-    """(_host, branch, content, body): what each page has at each branch; inside articles with the longest such content of the page, elsewhere with null."""
-
-    def contents(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def digest(*parts: str) -> int:
+    return xxhash.xxh3_64_intdigest("\0".join(parts)) - (1 << 63)
+
+
+def shown(page: Page) -> list[Block]:
+    """The blocks that names leave."""
+    return [b for b in page.blocks if not b.outside]
+
+
+def kept_blocks(page: Page, low: frozenset[str] = frozenset()) -> list[Block]:
+    """The blocks at other branches than `low`; only the articles', unless there is more text around them."""
+    kept = [b for b in shown(page) if b.path not in low]
+    inside = [b for b in kept if b.content]
+    return inside if 2 * sum(len(b.text) for b in inside) >= sum(len(b.text) for b in kept) else kept
+
+
+def style_nodes(page: Page) -> list[tuple[str, int, int, int]]:
+    """(branch, kind, node, body): the page's branches with text, and their styles and texts by digest."""
+    at: dict[str, list[str]] = {}
+    for b in shown(page):
+        at.setdefault(b.path, []).append(b.text)
+    inside = {b.path for b in page.blocks if b.content and not b.outside}
+    joined = max(("\n".join(at[path]) for path in inside), key=lambda t: (len(t), t), default=None)
+    body = digest(*(b.text for b in shown(page) or page.blocks)) if joined is None else digest("", joined)
+    paths = {b.path for b in page.blocks}
+    nodes = {(path, PAGE, 0, body) for path in paths} | {(path, STYLE, digest(*page.styles.get(path, ())), body) for path in paths}
+    return sorted(nodes | {(b.path, TEXT, digest(b.path, b.text), body) for b in page.blocks})
+
+
+def merged_nodes(pages: DataFrame, html: str) -> DataFrame:
+    """(_host, branch, kind, node, body) for each page and node."""
+
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for host, page in zip(batch["_host"], batch[html]):
-                at: dict[str, list[str]] = {}
-                within: set[str] = set()
-                for path, content, text in shown(page or ""):
-                    at.setdefault(path, []).append(text)
-                    if content:
-                        within.add(path)
-                joined = {path: "\n".join(texts) for path, texts in at.items()}
-                digests = {path: xxhash.xxh3_64_intdigest(text) - (1 << 63) for path, text in joined.items()}
-                body = digests[max(within, key=lambda path: (len(joined[path]), joined[path]))] if within else None
-                rows += [(host, path, digest, body if path in within else None) for path, digest in digests.items()]
-            yield pd.DataFrame(rows, columns=["_host", "branch", "content", "body"]).astype({"body": "Int64"})
-
-    return pages.select("_host", html).mapInPandas(contents, "_host string, branch string, content bigint, body bigint")
-
-
-def style_tree(pages: DataFrame, html: str = "html") -> DataFrame:
-    """(_host, branch, n_pages, importance): the merged tree of each host, with the entropy of its branches."""
-    bodies = branch_contents(pages, html).groupBy("_host", "branch", "content", "body").agg(F.count("*").alias("n"))
-    each = bodies.groupBy("_host", "branch", "content").agg(F.sum(F.when(F.col("body").isNull(), F.col("n")).otherwise(1)).alias("n"))
-    sums = each.groupBy("_host", "branch").agg(F.sum("n").alias("n_pages"), F.sum(F.col("n") * F.log("n")).alias("s"))
-    n = F.col("n_pages")
-    return sums.select("_host", "branch", "n_pages", F.when(n > 1, 1 - F.col("s") / (n * F.log(n))).otherwise(F.lit(1.0)).alias("importance"))
+            rows = [(host, *node) for host, page in zip(batch["_host"], batch[html]) for node in style_nodes(parsed(page or ""))]
+            yield pd.DataFrame(rows, columns=["_host", "branch", "kind", "node", "body"])
+
+    return pages.select("_host", html).mapInPandas(nodes, "_host string, branch string, kind int, node bigint, body bigint")
+
+
+def node_counts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """(_host, branch, kind, node, k): on how many of a host's bodies a node stands."""
+    return merged_nodes(pages, html).distinct().groupBy("_host", "branch", "kind", "node").agg(F.count("*").alias("k"))
+
+
+def style_tree(nodes: DataFrame) -> DataFrame:
+    """(_host, branch, n_pages, styles, presentation, content, importance) of `node_counts`."""
+    k, kind = F.col("k"), F.col("kind")
+    of = lambda what, value: F.when(kind == what, value)
+    sums = nodes.groupBy("_host", "branch").agg(
+        F.max(of(PAGE, k)).alias("n_pages"),
+        F.count(of(STYLE, 1)).alias("styles"), F.sum(of(STYLE, k)).alias("_n"), F.sum(of(STYLE, k * F.log(k))).alias("_s"),
+        F.coalesce(F.avg(of(TEXT, F.log(k))), F.lit(0.0)).alias("_t"),
+    )
+    n, pages = F.col("_n"), F.col("n_pages")
+    spread = F.when(n > 1, 1 - F.col("_s") / (n * F.log(n))).otherwise(F.lit(1.0))
+    own = F.when(pages > 1, 1 - F.col("_t") / F.log(pages)).otherwise(F.lit(1.0))
+    return sums.select("_host", "branch", "n_pages", "styles", spread.alias("presentation"), own.alias("content"), (1 - (1 - spread) * (1 - own)).alias("importance"))
 
 
 def extracted(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """`pages` with text (empty if none) and n_chars."""
     rows = pages.drop("text", "n_chars", "_host", "_low").withColumn("_host", url_host(F.col(url)))
-    tree = style_tree(rows, html)
+    tree = style_tree(node_counts(rows, html))
     low = tree.filter((F.col("importance") < LEAST_IMPORTANCE) & (F.col("n_pages") >= LEAST_PAGES)).groupBy("_host").agg(F.collect_set("branch").alias("_low"))
+    low = written(low)  # so that the pages are parsed once for the tree and once for their text, and a hot host's pages can be split
     few = low.agg(F.coalesce(F.sum(F.size("_low")), F.lit(0))).first()[0] <= BROADCAST_BRANCHES
     joined = rows.join(F.broadcast(low) if few else low, "_host", "left")
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for page, low in zip(batch[html], batch["_low"]):
-                out.append("\n\n".join(text for _, _, text in candidates(page or "", frozenset(() if low is None else low))))
-            own = batch.drop(columns=[html, "_low"])
-            own["text"] = out
-            own["n_chars"] = [len(t) for t in out]
-            yield own
+            out = ["\n\n".join(b.text for b in kept_blocks(parsed(page or ""), frozenset(() if low is None else low))) for page, low in zip(batch[html], batch["_low"])]
+            rest = batch.drop(columns=[html, "_low"])
+            rest["text"] = out
+            rest["n_chars"] = [len(t) for t in out]
+            yield rest
 
     kept = [f for f in joined.schema if f.name not in (html, "_low", "_host")]
     ordered = joined.select(*[f.name for f in kept], html, "_low")

@@ -1,10 +1,15 @@
+import html as references
 import math
+import random
+import re
+import time
 
 import duckdb
 import numpy as np
 from pyspark.sql import functions as F
 
-from agentlens.llm import neighbours, page_text, url_filter
+from agentlens.llm import markup, neighbours, page_text, url_filter
+from agentlens.llm.common import table
 
 # ---- urls
 
@@ -98,8 +103,64 @@ def test_style_tree_drops_what_a_site_repeats(spark):
     got = {r["page_id"]: r["text"] for r in page_text.extracted(df).collect()}
     assert all(got[i] == f"Text {i} of page {i}" for i in range(12))
     assert got[99] == "Welcome to our site\n\nText 99 of page 99\n\nAll rights kept"  # one page tells nothing of its site
-    tree = {r["branch"]: r["importance"] for r in page_text.style_tree(df.withColumn("_host", url_filter.url_host(F.col("url")))).filter("_host = 'a.org'").collect()}
-    assert min(tree.values()) == 0 and max(tree.values()) == 1
+    tree = {r["branch"]: r["importance"] for r in page_text.style_tree(page_text.node_counts(df.withColumn("_host", url_filter.url_host(F.col("url"))))).filter("_host = 'a.org'").collect()}
+    assert math.isclose(min(tree.values()), 0, abs_tol=1e-12) and max(tree.values()) == 1
+
+
+def plain_tree(pages):
+    """The tree of (host, html) pages in dictionaries: branch -> (n_pages, presentation, content)."""
+    bodies, styles, texts = {}, {}, {}
+    for host, html in pages:
+        page = markup.parsed(html)
+        at = {}
+        for b in page.blocks:
+            at.setdefault((host, b.path), []).append(b)
+        inside = ["\n".join(b.text for b in bs) for bs in at.values() if bs[0].content and not bs[0].outside]
+        body = max(inside, key=lambda t: (len(t), t)) if inside else tuple(b.text for b in page.blocks if not b.outside)
+        for key, bs in at.items():
+            bodies.setdefault(key, set()).add(body)
+            styles.setdefault(key, {}).setdefault(tuple(page.styles[key[1]]), set()).add(body)
+            for b in bs:
+                texts.setdefault(key, {}).setdefault(b.text, set()).add(body)
+    out = {}
+    for key, all_bodies in bodies.items():
+        n, ks, kt = len(all_bodies), [len(x) for x in styles[key].values()], [len(x) for x in texts[key].values()]
+        total = sum(ks)
+        entropy = -sum(k / total * math.log(k / total) for k in ks) / math.log(total) if total > 1 else 1.0
+        out[key] = (n, entropy, sum(1 - math.log(k) / math.log(n) for k in kt) / len(kt) if n > 1 else 1.0)
+    return out
+
+
+def test_tree_equals_dictionaries(spark):
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(["ab", "cd", "ef", "gh"]) for _ in range(rng.randint(1, 3)))
+    part = lambda: rng.choice([f"<p>{line()}</p>", f"<ul><li>{line()}<li>{line()}</ul>", f"<div class='box'><b>{line()}</b></div>", f"<div class='related'><p>{line()}</p></div>"])
+    pages = [(f"h{i % 3}.org", f"<html><body><div class=top>{rng.choice(['x', 'x', line()])}</div><article>{''.join(part() for _ in range(rng.randint(1, 4)))}</article></body></html>") for i in range(90)]
+    df = spark.createDataFrame(pages, "_host string, html string").repartition(5)
+    got = {(r["_host"], r["branch"]): (r["n_pages"], r["presentation"], r["content"], r["importance"]) for r in page_text.style_tree(page_text.node_counts(df)).collect()}
+    want = plain_tree(pages)
+    assert set(got) == set(want) and len(got) > 12
+    for key, (n, presentation, content) in want.items():
+        assert got[key][0] == n
+        assert np.allclose(got[key][1:], (presentation, content, 1 - (1 - presentation) * (1 - content)))
+
+
+def test_the_tree_decides(spark, monkeypatch):
+    """With the same pages and no least importance, boilerplate stays: it is the tree that removes it, in articles and around them."""
+    page = "<html><body><div class=x1>Welcome, reader</div><article><div class=x2>Tell all your friends</div><p>{0}</p><p>{1}</p></article><div class=x3>Built with care</div></body></html>"
+    df = spark.createDataFrame([(i, f"http://a.org/{i}", page.format(f"First words of page {i}", f"and others, {i * i}")) for i in range(20)], "page_id bigint, url string, html string")
+    texts = lambda: {r["page_id"]: r["text"] for r in page_text.extracted(df).collect()}
+    assert texts() == {i: f"First words of page {i}\n\nand others, {i * i}" for i in range(20)}
+    monkeypatch.setattr(page_text, "LEAST_IMPORTANCE", -1.0)
+    assert all("Tell all your friends" in t for t in texts().values())
+
+
+def test_articles_on_test_pages_are_whole(spark):
+    """Whole contract text: every block of the article element, in order, and nothing else."""
+    for r in page_text.op9_page_text(spark, "/root/testdata/sf0.001").join(table(spark, "/root/testdata/sf0.001", "pages").select("page_id", "html"), "page_id").collect():
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(references.unescape(re.sub(r"<(?!br)[^>]*>", "", re.sub(r"<br>", " ", b))).split()) for b in re.split(r"</?(?:p|h1|div|ul|li)\b[^>]*>", article)]
+        assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
 def test_copied_articles_stay(spark):
@@ -124,7 +185,20 @@ def test_body_beside_a_teaser_stays(spark):
 
 
 def test_names_of_elements():
-    text = lambda page: "|".join(t for _, _, t in page_text.candidates(page))
+    text = lambda page: "|".join(b.text for b in page_text.kept_blocks(markup.parsed(page)))
     assert text('<div class="layout with-sidebar"><article><p>in</p></article><div class="siteHeader">out</div></div>') == "in"
     assert text('<article><p>in</p><article class="comment"><p>out</p></article><div id="related-posts">out</div></article>') == "in"
     assert text('<main><p>a <span>b</span> c</p><div role="navigation">out</div><div class="adventure">in</div></main>') == "a b c|in"
+    for name in ("post-with-comments", "search-results", "related-work", "form-factor"):
+        assert text(f'<article><div class="{name}"><p>the body of it</p></div><div class="cookie-notice">out</div></article>') == "the body of it"
+
+
+def test_odd_markup():
+    text = lambda page: "|".join(b.text for b in markup.parsed(page).blocks)
+    assert text("<p class=x' >hello</p>") == "hello" and text('<b title="never closed>bold</b> and <p>more') == "bold and|more"
+    assert text("foo<wbr>bar <p>a<img src=x alt='>'>b<br>c") == "foobar|ab c" and text("1 < 2 <3 &lt;4") == "1 < 2 <3 <4"
+    assert text("<p a = '>' b=\"<\">x<!-- > --><![CDATA[ <y> ]]></p><script>'</p>'</script >z") == "x <y>|z"
+    for odd in ('<a href="x ', "<a ", "<", "<!--", "</", "<p>", "<b></i>", "<div class='a", "<script>"):
+        began = time.time()
+        markup.parsed(odd * (400_000 // len(odd)))
+        assert time.time() - began < 20
