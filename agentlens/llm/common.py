@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,9 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only where the session names none (tests)."""
+    """The cluster's checkpoint folder. Only a session within one process, as in tests, may do without and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="agentlens-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -32,6 +35,15 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Partitions of an exchange at most; beyond it a partition takes several fragments, one after another.
+MOST_PARTITIONS = 100_000
+
+
+def dealt(df: DataFrame, n_fragments: int, fragment: str = "fragment") -> DataFrame:
+    """`df` with one fragment to a partition, however many there are: hashed, some partitions would take several and most none."""
+    return df.repartitionById(min(n_fragments, MOST_PARTITIONS), fragment)
+
+
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, LOWER)
 

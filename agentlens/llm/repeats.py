@@ -12,23 +12,31 @@ it is cut where equal strings can't be parted:
    make one context, so there are about 18 bytes to a context. Equal windows
    have equal anchors at equal places.
 2. All documents, packed in parts: each part sends the names of its distinct
-   contexts (24 bits and the fragment of the anchor, 40 of the context, 16 each
-   of the bytes left and right of the anchor) with their smallest document. A
-   fragment finds contexts that an earlier document has as a whole: all their
-   windows go. A window reaches `SIDE` bytes or more beyond its anchor on one
-   side, so contexts that share one also share the name of a side; where others
-   do, the first document of each context has to show its bytes.
-3. These contexts meet by anchor. There the windows are put in suffix order and
-   the longest previous factor decides, byte for byte.
+   contexts (24 bits and the fragment of the anchor, 40 of the context, 15 each
+   of the bytes left and right of the anchor, 32 of the context by other powers
+   and other numbers for its bytes) with their smallest document. A fragment
+   finds contexts that an earlier document has as a whole: all their windows go.
+   A window reaches `SIDE` bytes or more beyond its anchor on one side, so contexts
+   that share one also share the name of a side; where others do, the first
+   document of each context has to show its bytes.
+3. These contexts meet by anchor. There their suffixes are put in order, with the
+   common prefixes of neighbours, and for each suffix the previous and the next
+   smaller document in that order give its longest previous factor, byte for byte.
 4. The spans found are brought back to the parts, and each document is cut.
 
 A part sends a context once, however many of its documents have it, so a passage
 in a third of all documents is as many entries as there are parts. Parts are
 written once, compressed, and travel as they are.
 
+At 100 TB there are about 2 ** 83 pairs of contexts, and two different ones have the
+same names with a chance of 2 ** -134 (24 bits tell fragments apart there, and at
+least 15 + 32 bits come to the 64 of anchor and context), so one wrong removal is to be
+expected in some 10 ** 15 such corpora.
+
 Defined cases: a null text is empty; a text shorter than `LENGTH` keeps all; rows
-with one id don't cover each other; a null id comes after all others; other
-columns are ignored. Bytes that remain need not be UTF-8, so only digests of
+with one id don't cover each other; a null id comes after all others (beside the
+largest id there is, with which it counts as one document); other columns, whatever
+their names, are ignored. Bytes that remain need not be UTF-8, so only digests of
 them are returned beside the spans.
 """
 
@@ -44,7 +52,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import table, text_bytes, whole_text, written
+from agentlens.llm.common import dealt, table, text_bytes, whole_text, written
 
 LENGTH, K = 50, 16
 WINDOW = LENGTH - K + 1
@@ -55,11 +63,18 @@ PIECE_BITS = 17
 PIECE = 1 << PIECE_BITS
 STEP = PIECE - 128
 U = np.uint64
-LAST = (1 << 63) - 1  # stands for a null id
+LAST = (1 << 63) - 1  # where a null id stands in the order; that it is null travels beside it
+
+
 
-BASE = 0x9E3779B97F4A7C15
-POWERS, INVERSES = (np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(PIECE, b, U))]) for b in (BASE, pow(BASE, -1, 1 << 64)))
-BYTES = np.random.default_rng(50).integers(1, 1 << 63, 256, dtype=np.int64).astype(U)
+def powers(base: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(PIECE, base, U))])
+
+
+BASES = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F  # two independent hashes
+POWERS, OTHER_POWERS = map(powers, BASES)
+INVERSES, OTHER_INVERSES = (powers(pow(b, -1, 1 << 64)) for b in BASES)
+BYTES, OTHER_BYTES = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) for seed in (50, 51))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -68,10 +83,10 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-def prefix_sums(piece: np.ndarray) -> np.ndarray:
+def prefix_sums(piece: np.ndarray, values: np.ndarray = BYTES, by: np.ndarray = POWERS) -> np.ndarray:
     """Sums of bytes times powers: the hash of piece[a:b] is (sums[b] - sums[a]) * INVERSES[a]."""
     sums = np.zeros(len(piece) + 1, U)
-    np.cumsum(BYTES[piece] * POWERS[: len(piece)], out=sums[1:])
+    np.cumsum(values[piece] * by[: len(piece)], out=sums[1:])
     return sums
 
 
@@ -109,7 +124,7 @@ class Contexts:
         n = len(data) - LENGTH + 1
         self.start = self.last = self.doc = np.zeros(0, np.int64)
         self.anchor = self.name = np.zeros(0, U)
-        self.sides = np.zeros(0, np.uint32)
+        self.rest = np.zeros(0, U)
         self.offset = np.zeros(0, np.int64)
         if n <= 0:
             return
@@ -128,7 +143,7 @@ class Contexts:
         place = anchors[self.start].astype(np.int64)
         self.offset = place - self.start
         self.anchor, self.name = np.empty(len(place), U), np.empty(len(place), U)
-        self.sides = np.empty(len(place), np.uint32)
+        self.rest = np.empty(len(place), U)
         for at in range(0, n, STEP):
             a, b = np.searchsorted(self.start, [at, at + STEP])
             if a == b:
@@ -140,13 +155,15 @@ class Contexts:
             self.name[a:b] = mixed((sums[e] - sums[s]) * INVERSES[s] + shape)
             left, right = np.maximum(p - SIDE, 0), np.minimum(p + K + SIDE, len(sums) - 1)
             names = [(mixed((sums[j] - sums[i]) * INVERSES[i]) >> U(49)).astype(np.uint32) + 1 for i, j in ((left, p), (p + K, right))]
-            self.sides[a:b] = np.where(p - s >= SIDE, names[0], 0) << 16 | np.where(e - p - K >= SIDE, names[1], 0)  # 0: the side isn't that long
+            sides = np.where(p - s >= SIDE, names[0], 0) << 16 | np.where(e - p - K >= SIDE, names[1], 0)  # 0: the side isn't that long
+            other = prefix_sums(data[at : at + PIECE], OTHER_BYTES, OTHER_POWERS)
+            self.rest[a:b] = sides.astype(U) << U(32) | mixed((other[e] - other[s]) * OTHER_INVERSES[s]) >> U(32)
 
     def entries(self, n_fragments: int):
         """Distinct contexts in order of fragment and name: (fragment, key, rest, owner's number, entry of each context)."""
         fragment = (((self.anchor >> U(32)) * U(n_fragments)) >> U(32)).astype(np.int32)
         key = (self.anchor << U(40)) | (self.name >> U(24))
-        rest = self.sides
+        rest = self.rest
         order = np.argsort(key, kind="stable")  # contexts come by document, so the first of equals is the owner's
         order = order[np.argsort(fragment[order], kind="stable")]
         f, k, r = fragment[order], key[order], rest[order]
@@ -159,6 +176,7 @@ class Contexts:
 
 PART = pa.schema([("part", pa.int64()), ("ids", pa.list_(pa.int64())), ("lengths", pa.binary()), ("data", pa.binary())])
 PART_SQL = "part bigint, ids array<bigint>, lengths binary, data binary"
+in_order = lambda i: LAST if i is None else i
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,10 +184,10 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     task, count, size = TaskContext.get().partitionId(), 0, 0
-    rows: list[tuple[int, bytes]] = []
+    rows: list[tuple[int | None, bytes]] = []
 
     def part() -> pa.RecordBatch:
-        rows.sort(key=lambda r: r[0])
+        rows.sort(key=lambda r: in_order(r[0]))
         data = b"".join(t for _, t in rows)
         lengths = np.array([len(t) for _, t in rows], np.int64)
         cols = [[(task << 32) + count], [[i for i, _ in rows]], [lengths.tobytes()], [zstandard.ZstdCompressor(level=3).compress(data)]]
@@ -179,7 +197,7 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
             for i, t in zip(some.column(0).to_pylist(), some.column(1).to_pylist()):
-                rows.append((LAST if i is None else i, b := t.encode()))
+                rows.append((i, b := t.encode()))
                 size += len(b)
                 if size >= PART_BYTES or len(rows) >= 60_000:
                     yield part()
@@ -192,7 +210,7 @@ def unpacked(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids, lengths, data) of a part."""
     lengths = np.frombuffer(row["lengths"], np.int64)
     data = zstandard.ZstdDecompressor().decompress(row["data"], max_output_size=max(1, int(lengths.sum())))
-    return np.array(row["ids"], np.int64), lengths, np.frombuffer(data, np.uint8)
+    return np.array([in_order(i) for i in row["ids"]], np.int64), lengths, np.frombuffer(data, np.uint8)
 
 
 def arrow_rows(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -228,7 +246,7 @@ def flag_contexts(group: pa.Table) -> pa.Table:
     """In one fragment: GONE, if an earlier document than any of the part's has the whole context; SHOW, if it is first with the context, and another document with one that shares the anchor and a side."""
     rows = group.to_pylist()
     key = np.concatenate([np.frombuffer(r["keys"], U) for r in rows])
-    rest = np.concatenate([np.frombuffer(r["rest"], np.uint32) for r in rows])
+    rest = np.concatenate([np.frombuffer(r["rest"], U) for r in rows])
     owner = np.concatenate([np.frombuffer(r["ids"], np.int64)[np.frombuffer(r["owners"], np.uint16)] for r in rows])
     order = np.lexsort((owner, rest, key))
     k, r, o = key[order], rest[order], owner[order]
@@ -236,7 +254,7 @@ def flag_contexts(group: pa.Table) -> pa.Table:
     new[1:] = (k[1:] != k[:-1]) | (r[1:] != r[:-1])
     first = o[np.flatnonzero(new)][np.cumsum(new) - 1]
     show = np.zeros(len(k), bool)
-    for side in (r >> 16, r & np.uint32(0xFFFF)):
+    for side in (r >> U(48), r >> U(32) & U(0xFFFF)):
         # contexts of one anchor and side; they matter to each other if more than one document is first with one
         own = np.flatnonzero((o == first) & (side > 0))
         by = own[np.lexsort((side[own], k[own] >> U(40)))]
@@ -301,28 +319,60 @@ def show_contexts(n_fragments: int, n_shown: int):
 
 
 SPANS = pa.schema([("part", pa.int64()), ("starts", pa.binary()), ("ends", pa.binary())])
-AT_ONCE = 150_000  # windows put in suffix order together, if one anchor hasn't more
-
-
-def previous_factors(strings: np.ndarray, owners: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Whether each string's longest previous factor is the whole string.
-
-    The strings are put in suffix order (here: cut at their length). In this order equal strings
-    stand together, so the previous or the next place with a smaller document has a common
-    prefix of full length if and only if the string's run holds a smaller document.
+AT_ONCE = 150_000  # suffixes put in order together, if one anchor hasn't more
+WIDEST = LENGTH + WINDOW - 1  # bytes of a context at most
+COLUMNS = -(-WIDEST // 8)
+
+
+def suffix_order(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, anchors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, common): suffixes by anchor and bytes, and the length of the common prefix of each with the one before it."""
+    padded = np.zeros((len(starts), 8 * COLUMNS), np.uint8)
+    inside = np.arange(8 * COLUMNS) < lengths[:, None]
+    padded[inside] = data[(starts[:, None] + np.arange(8 * COLUMNS))[inside]]
+    words = padded.view(">u8").astype(U)
+    order = np.lexsort((lengths, *words.T[::-1], anchors))
+    common = np.zeros(len(order), np.int64)
+    if len(order) > 1:
+        left, right = order[:-1], order[1:]
+        same = padded[left] == padded[right]
+        length = np.where(same.all(axis=1), 8 * COLUMNS, same.argmin(axis=1))
+        common[1:] = np.where(anchors[left] == anchors[right], np.minimum(length, np.minimum(lengths[left], lengths[right])), 0)
+    return order, common
+
+
+def smaller_before(owners: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """For each place, the length of the common prefix with the nearest place before it that has a smaller owner (0 if none).
+
+    Both minima, of owners and of common prefixes, are kept over the 2 ** j places before each one, and the way to
+    the smaller owner is taken in such steps, the widest first.
     """
-    order = np.lexsort((strings, anchors))
-    s, a, o = strings[order], anchors[order], owners[order]
-    new = np.ones(len(s), bool)
-    new[1:] = (s[1:] != s[:-1]) | (a[1:] != a[:-1])
-    least = np.minimum.reduceat(o, np.flatnonzero(new))[np.cumsum(new) - 1]
-    out = np.empty(len(s), bool)
-    out[order] = o > least
-    return out
+    n = len(owners)
+    least, lcp = [owners], [common]  # over places i - 2 ** j + 1 .. i
+    step = 1
+    while step < n:
+        a, c = least[-1], lcp[-1]
+        least.append(np.concatenate([a[:step], np.minimum(a[step:], a[:-step])]))
+        lcp.append(np.concatenate([np.minimum(c[:step], 0), np.minimum(c[step:], c[:-step])]))
+        step *= 2
+    at = np.arange(n) - 1  # everything after `at`, up to the place itself, is no smaller
+    shared = common.copy()
+    for j in range(len(least) - 1, -1, -1):
+        able = at >= (1 << j) - 1
+        over = able & (least[j][np.maximum(at, 0)] >= owners)
+        shared[over] = np.minimum(shared[over], lcp[j][at[over]])
+        at[over] -= 1 << j
+    return np.where(at >= 0, shared, 0)
+
+
+def previous_factors(owners: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The longest previous factor of each suffix in suffix order: the longer of the common prefixes with the previous and the next one of a smaller document."""
+    before = smaller_before(owners, common)
+    after = smaller_before(owners[::-1], np.concatenate([[0], common[:0:-1]]))[::-1]
+    return np.maximum(before, after)
 
 
 def compare_contexts(group: pa.Table) -> pa.Table:
-    """In one fragment: spans of the windows with an earlier document. Rows without bytes pass."""
+    """In one fragment: spans of the factors that an earlier document has. Rows without bytes pass."""
     rows = group.to_pylist()
     out = [(r["part"], r["starts"], r["ends"]) for r in rows if r["bytes"] is None]
     rows = [r for r in rows if r["bytes"] is not None]
@@ -354,44 +404,35 @@ def compare_contexts(group: pa.Table) -> pa.Table:
     for x, y in zip(cut[:-1], cut[1:]):
         own, n = order[x:y], n_windows[x:y]
         places = ranges(at[own], n)
-        strings = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, LENGTH)[places]).view(f"V{LENGTH}").ravel()
+        heads = np.zeros((len(places), 56), np.uint8)
+        heads[:, :LENGTH] = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[places]
         names = np.repeat(anchor[own], n)
-        # most windows are alone; a hash sorts those out before the strings are put in order
-        words = np.zeros((len(places), 56), np.uint8)
-        words[:, :LENGTH] = strings.view(np.uint8).reshape(-1, LENGTH)
-        h = mixed((words.view(U) * POWERS[1:8]).sum(axis=1) + names)
+        # most suffixes share `LENGTH` bytes with no other; a hash leaves those out of the order, whose long factors stay the same
+        h = mixed((heads.view(U) * POWERS[1:8]).sum(axis=1) + names)
         by = np.argsort(h, kind="stable")
         same = np.zeros(len(h), bool)
         same[1:] = h[by][1:] == h[by][:-1]
         same[:-1] |= same[1:].copy()
-        some = by[same]
+        some = np.sort(by[same])
         if not len(some):
             continue
-        hit = some[previous_factors(ranked(strings[some]), np.repeat(owner[own], n)[some], names[some])]
-        found.append(np.stack([np.repeat(part[own], n)[hit], (places + np.repeat(start[own] - at[own], n))[hit]]))
+        lengths = (np.repeat((at + end - start)[own], n) - places)[some]
+        by, common = suffix_order(data, places[some], lengths, names[some])
+        factors = np.empty(len(some), np.int64)
+        factors[by] = previous_factors(np.repeat(owner[own], n)[some][by], common)
+        long = factors >= LENGTH
+        hit = some[long]
+        found.append(np.stack([np.repeat(part[own], n)[hit], (places + np.repeat(start[own] - at[own], n))[hit], factors[long]]))
     if found:
-        p, s = np.concatenate(found, axis=1)
+        p, s, length = np.concatenate(found, axis=1)
         by = np.lexsort((s, p))
-        p, s = p[by], s[by]
+        p, s, length = p[by], s[by], length[by]
         for x, y in zip(*(lambda c: (c[:-1], c[1:]))(np.append(np.flatnonzero(np.diff(p, prepend=-1)), len(p)))):
-            b, e = union_of(s[x:y], s[x:y] + LENGTH)
+            b, e = union_of(s[x:y], s[x:y] + length[x:y])
             out.append((rows[p[x]]["part"], b.astype(np.uint32).tobytes(), e.astype(np.uint32).tobytes()))
     return arrow_rows(out, SPANS)
 
 
-def ranked(strings: np.ndarray) -> np.ndarray:
-    """The rank of each string (bytes of one length) in byte order; equal strings have one rank."""
-    words = np.zeros((len(strings), 56), np.uint8)
-    words[:, :LENGTH] = strings.view(np.uint8).reshape(-1, LENGTH)
-    columns = words.view(">u8").astype(U)
-    order = np.lexsort(columns.T[::-1])
-    new = np.ones(len(order), bool)
-    new[1:] = (columns[order][1:] != columns[order][:-1]).any(axis=1)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new) - 1
-    return rank
-
-
 RESULT_SQL = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<start:bigint,`end`:bigint>>"
 RESULT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
@@ -407,13 +448,13 @@ def cut_parts(parts: pa.Table, spans: pa.Table) -> pa.Table:
             np.add.at(change, np.frombuffer(x["ends"], np.uint32), -1)
         gone = np.cumsum(change[:-1], dtype=np.int32) > 0
         end = 0
-        for i, length in zip(ids.tolist(), lengths.tolist()):
+        for i, length in zip(row["ids"], lengths.tolist()):
             begin, end = end, end + length
             own = gone[begin:end]
             edges = np.flatnonzero(np.diff(own.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
             kept = data[begin:end] if not len(edges) else data[begin:end][~own]
             told = [{"start": int(a), "end": int(b)} for a, b in edges]
-            out.append((None if i == LAST else i, length, int((edges[:, 1] - edges[:, 0]).sum()), len(edges), hashlib.sha256(kept.tobytes()).hexdigest(), told))
+            out.append((i, length, int((edges[:, 1] - edges[:, 0]).sum()), len(edges), hashlib.sha256(kept.tobytes()).hexdigest(), told))
     return arrow_rows(out, RESULT)
 
 
@@ -423,9 +464,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     total = text_bytes(rows)
     n_fragments, n_shown = max(1, -(-total // FRAGMENT_BYTES)), max(1, -(-total // SHOWN_BYTES))
     parts = written(rows.mapInArrow(pack, PART_SQL))
-    flags = parts.mapInArrow(name_contexts(n_fragments), NAMES_SQL).groupBy("fragment").applyInArrow(flag_contexts, "part bigint, fragment int, flags binary")
+    flags = dealt(parts.mapInArrow(name_contexts(n_fragments), NAMES_SQL), n_fragments).groupBy("fragment").applyInArrow(flag_contexts, "part bigint, fragment int, flags binary")
     shown = parts.groupBy("part").cogroup(flags.groupBy("part")).applyInArrow(show_contexts(n_fragments, n_shown), SHOWN_SQL)
-    spans = shown.groupBy("fragment").applyInArrow(compare_contexts, "part bigint, starts binary, ends binary")
+    spans = dealt(shown, n_shown).groupBy("fragment").applyInArrow(compare_contexts, "part bigint, starts binary, ends binary")
     cut = parts.groupBy("part").cogroup(spans.groupBy("part")).applyInArrow(cut_parts, RESULT_SQL)
     return cut.withColumnRenamed("doc_id", key)
 

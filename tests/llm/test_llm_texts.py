@@ -1,6 +1,7 @@
 """Operators over texts, held against plain versions of their rules."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -258,6 +259,33 @@ def test_repeats_equal_windows(spark, monkeypatch):
         assert got == cut(rows)
 
 
+def test_factors_equal_their_definition():
+    rng = random.Random(8)
+    for letters, n in (("ab", 60), ("abc", 200), ("a", 40), ("abcdefgh", 90)):
+        data = np.frombuffer("".join(rng.choices(letters, k=3000)).encode(), np.uint8)
+        starts = np.array([rng.randint(0, 2900) for _ in range(n)])
+        lengths = np.array([rng.randint(1, repeats.WIDEST) for _ in range(n)])
+        anchors = np.array([rng.randint(0, 2) for _ in range(n)], np.uint64)
+        owners = np.array([rng.randint(-3, 6) for _ in range(n)])
+        order, common = repeats.suffix_order(data, starts, lengths, anchors)
+        text = [bytes(data[s : s + m]) for s, m in zip(starts, lengths)]
+        assert [(anchors[i], text[i]) for i in order] == sorted((a, t) for a, t in zip(anchors, text))
+        shared = lambda i, j: len(os.path.commonprefix([text[i], text[j]])) if anchors[i] == anchors[j] else 0
+        assert common.tolist() == [0, *[shared(i, j) for i, j in zip(order[:-1], order[1:])]]
+        got = np.empty(n, int)
+        got[order] = repeats.previous_factors(owners[order], common)
+        assert got.tolist() == [max((shared(i, j) for j in range(n) if owners[j] < owners[i]), default=0) for i in range(n)]
+
+
+def test_repeats_of_odd_ids(spark):
+    """Ids below 0 come first, the largest id is itself, rows without an id come last and don't cover each other."""
+    text = "".join(random.Random(3).choices("abcdefghij", k=200))
+    rows = [(None, text, "x"), (None, text, "x"), ((1 << 63) - 2, text, "x"), (-5, text, "x"), (-1, "q" + text, "x"), ((1 << 63) - 1, "", "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, spans string")
+    got = sorted(((r["doc_id"] is None, r["doc_id"] or 0), r["n_bytes"], r["n_removed"]) for r in repeats.without_repeats(df).collect())
+    assert got == [((False, -5), 200, 0), ((False, -1), 201, 200), ((False, (1 << 63) - 2), 200, 200), ((False, (1 << 63) - 1), 0, 0), ((True, 0), 200, 200), ((True, 0), 200, 200)]
+
+
 def test_repeats_across_pieces_and_empty(spark):
     rng = random.Random(11)
     long = "".join(rng.choices("abcdefghij ", k=300_000))
