@@ -10,24 +10,27 @@ it. What happens in a fragment needs only the documents' parts there.
    no partner. Parts travel as packed arrays of 4 bytes a shingle, so a false
    repetition is possible here, and only lets a document through.
 2. What is left: documents with equal sets fall into classes (copies are never
-   paired), and the rest works on class representatives. Their shingles are
-   ordered by frequency; two that link share one of their first
-   `n - ceil(0.75 n) + 1`.
-3. Links, first round: of the documents that share such a shingle, each is paired
-   with the most central one (the one with the largest share of shingles that
-   occur elsewhere). Second round: pairs that share such a shingle, are in
-   different components so far and pass the bounds on sizes and on the parity
-   bitmaps (which no linked pair fails). Pairs within a component need no check.
-4. A pair's overlap is counted in each fragment apart and summed, and the pair
-   links if 100 * intersection >= 75 * union.
+   paired), and the rest works on classes. Their shingles are ordered by
+   frequency; two classes that link share one of the first `n - ceil(3/4 n) + 1`
+   of the larger and the first `n - ceil(6/7 n) + 1` of the smaller.
+3. Links, first round: of the classes that share a shingle of their first, each is
+   paired with the most central one (the one with the largest share of shingles
+   that occur elsewhere). Second round: pairs of a larger and a smaller class that
+   share such a shingle, are in different components so far and pass the bounds on
+   sizes, on what can follow the shared place and on the parity bitmaps (which no
+   linked pair fails). Pairs within a component need no check.
+4. The order of n-grams is cut into fragments again, a pair's overlap is counted in
+   each fragment apart and summed, and the pair links if 100 * intersection >=
+   75 * union.
 
 So the components are those of all links, though a group of m near copies is
 not expanded into m * m pairs.
 
 Defined cases: a null text, or one without words, has an empty set, is linked
 with nothing and is its own component; a text with fewer than five words has
-them as one shingle; rows with a null id have a null component; rows that repeat
-an id are one document in the components; other columns are ignored.
+them as one shingle; rows with a null id have a null component, and ids below 0 are
+ids like others; rows that repeat an id with other texts are one document, linked
+with whatever any of them is linked with; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,10 +40,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import LOWER, UPPER, table, text_bytes, whole_text, written
+from agentlens.llm.common import LOWER, UPPER, dealt, table, text_bytes, whole_text, written
 from agentlens.llm.components import components
 
 WORDS, PERCENT = 5, 75
@@ -49,6 +52,7 @@ PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) % 2**64 | 1 for i in range
 PART_BYTES = 4_000_000  # of text in one packed part
 FRAGMENT_ENTRIES = 1_500_000
 BITS = 1024  # of a parity bitmap
+LEAST_FRAGMENTS = 4  # in which overlaps are counted
 #: Ids of documents to look at again are broadcast up to this number (8 bytes each); more join by shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -126,7 +130,7 @@ def packed_parts(rows: DataFrame, n_fragments: int) -> DataFrame:
             fragment = (((flat >> np.uint64(32)) * np.uint64(n_fragments)) >> np.uint64(32)).astype(np.int32)
             order = np.argsort(fragment, kind="stable")
             flat, doc, fragment = flat[order].astype(np.uint32), doc[order], fragment[order]
-            out = [(int(name % n_fragments), name, [-1 if i is None else i for i in ids], sizes.tobytes(), None, None)]
+            out = [(int(name % n_fragments), name, ids, sizes.tobytes(), None, None)]
             for start, length in zip(*runs(fragment)):
                 own = doc[start : start + length]
                 first, n = runs(own)
@@ -175,7 +179,7 @@ def sum_repeated(group: pa.Table) -> pa.Table:
 
 def possible(rows: DataFrame, n_fragments: int) -> DataFrame:
     """(doc_id, n, repeated) of every document."""
-    counted = packed_parts(rows, n_fragments).groupBy("fragment").applyInArrow(count_repeated, "part bigint, ids array<bigint>, docs binary, counts binary")
+    counted = dealt(packed_parts(rows, n_fragments), n_fragments).groupBy("fragment").applyInArrow(count_repeated, "part bigint, ids array<bigint>, docs binary, counts binary")
     return counted.groupBy("part").applyInArrow(sum_repeated, "doc_id bigint, n bigint, repeated bigint")
 
 
@@ -203,66 +207,80 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sets, "doc_id bigint, n bigint, `sum` bigint, `xor` bigint, shingles array<bigint>, bits array<bigint>")
 
 
+def cut_of(shingle: str, fragments: int) -> Column:
+    """The fragment of the n-gram order that a shingle is in."""
+    return F.shiftright(F.shiftrightunsigned(F.col(shingle), 40) * F.lit(fragments), 24).cast("int")
+
+
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     """The pairs (a, b) that link: partial overlaps are counted in each fragment and summed."""
-    left = segments.select(F.col("doc_id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("segment").alias("of_a"))
-    right = segments.select(F.col("doc_id").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("segment").alias("of_b"))
+    left = segments.select(F.col("set_id").alias("a"), "fragment", F.col("n").alias("n_a"), F.col("segment").alias("of_a"))
+    right = segments.select(F.col("set_id").alias("b"), "fragment", F.col("n").alias("n_b"), F.col("segment").alias("of_b"))
     partial = pairs.join(left, "a").join(right, ["b", "fragment"]).select("a", "b", "n_a", "n_b", F.size(F.array_intersect("of_a", "of_b")).alias("overlap"))
     both = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
     return both.filter(100 * F.col("overlap") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sizes (doc_id, n) of all documents; members (doc_id, representative); links (a, b) that join up the representatives."""
+    """Sizes (doc_id, n) of all rows; members (doc_id, set_id, representative); links (a, b) that join up sets."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
     n_fragments = max(1, text_bytes(rows) // 6 // FRAGMENT_ENTRIES)
     sizes = written(possible(rows, n_fragments))
-    open_ids = sizes.filter((F.col("n") > 0) & (100 * F.col("repeated") >= PERCENT * F.col("n")) & (F.col("doc_id") >= 0)).select("doc_id").distinct()
+    open_ids = sizes.filter((F.col("n") > 0) & (100 * F.col("repeated") >= PERCENT * F.col("n")) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     few = open_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     sets = written(shingle_sets(rows.join(F.broadcast(open_ids) if few else open_ids, "doc_id", "left_semi")))
     name = ["n", "sum", "xor"]
-    groups = written(sets.groupBy(*name).agg(F.min("doc_id").alias("representative")))  # so that a large class is split in the join with its members
-    members = written(sets.select("doc_id", *name).join(groups, name).groupBy("doc_id").agg(F.min("representative").alias("representative")))
-    chosen = groups.select(F.col("representative").alias("doc_id"), *name)
-    own = written(sets.join(chosen, ["doc_id", *name], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", "shingles", "bits"))
-
-    # frequencies among representatives; a shingle of one set only is at the head of the order and takes no part in joins
-    long = own.select("doc_id", "n", F.explode("shingles").alias("shingle"))
+    # one number for each distinct set; written, so that it stays the same and a large class is split in the join with its members
+    groups = written(sets.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("representative")).withColumn("set_id", F.monotonically_increasing_id()))
+    members = written(sets.select("doc_id", *name).join(groups, name).select("doc_id", "set_id", "representative").distinct())
+    chosen = groups.withColumnRenamed("representative", "doc_id")
+    own = written(sets.join(chosen, ["doc_id", *name]).dropDuplicates(["set_id"]).select("set_id", "n", "shingles", "bits"))
+
+    # frequencies among sets; a shingle of one set only is at the head of the order and takes no part in joins
+    long = own.select("set_id", "n", F.explode("shingles").alias("shingle"))
     often = long.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
-    shared = long.join(often, "shingle").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
-    head = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - (F.col("n") - F.size("shared"))).cast("int")
+    shared = long.join(often, "shingle").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
     # by whole numbers: ceil(n * 75 / 100) is exact in doubles for any size of a text
-    heads = written(shared.withColumn("take", head).filter(F.col("take") > 0).select("doc_id", "n", F.size("shared").alias("central"), F.transform(F.slice("shared", F.lit(1), F.col("take")), lambda x: x["shingle"]).alias("head")))
-    fragments = max(1, n_fragments // 8)
-    cut = F.pmod(F.shiftright("shingle", 40), F.lit(fragments)).cast("int")
-    segments = written(long.join(heads.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id", "n", cut.alias("fragment")).agg(F.collect_list("shingle").alias("segment")))
-
-    entries = heads.select("doc_id", "n", F.explode("head").alias("shingle"), (F.col("central") / F.col("n")).alias("central"))
-    hubs = entries.groupBy("shingle").agg(F.max(F.struct("central", -F.col("doc_id"), "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("shingle", (-F.col("hub.col2")).alias("hub"), F.col("hub.n").alias("n_hub"))
+    first = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
+    alone = (F.col("n") - F.size("shared")).cast("int")
+    heads = written(shared.withColumn("alone", alone).withColumn("take", first - alone).filter(F.col("take") > 0).select("set_id", "n", "alone", F.transform(F.slice("shared", F.lit(1), F.col("take")), lambda x: x["shingle"]).alias("head")))
+    fragments = max(LEAST_FRAGMENTS, n_fragments // 8)
+    segments = written(long.join(heads.select("set_id"), "set_id", "left_semi").groupBy("set_id", "n", cut_of("shingle", fragments).alias("fragment")).agg(F.collect_list("shingle").alias("segment")))
+
+    entries = heads.select("set_id", "n", "alone", F.posexplode("head").alias("at", "shingle")).withColumn("at", F.col("at") + F.col("alone"))
+    central = (F.col("n") - F.col("alone")) / F.col("n")
+    hubs = entries.groupBy("shingle").agg(F.max(F.struct(central.alias("central"), -F.col("set_id"), "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("shingle", (-F.col("hub.col2")).alias("hub"), F.col("hub.n").alias("n_hub"))
     close = lambda x, y: (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
-    star = entries.join(hubs, "shingle").filter((F.col("doc_id") != F.col("hub")) & close("n", "n_hub")).select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
-    first = written(verified(star, segments))
-    found = components(first)
+    star = entries.join(hubs, "shingle").filter((F.col("set_id") != F.col("hub")) & close("n", "n_hub")).select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+    by_hubs = written(verified(star, segments))
+    found = components(by_hubs)
 
-    placed = entries.drop("central").join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    placed = entries.join(found.withColumnRenamed("vertex", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     split = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    rest = written(placed.join(split, "shingle", "left_semi").join(own.select("doc_id", "bits"), "doc_id"))
-    x, y = rest.alias("x"), rest.alias("y")
+    rest = written(placed.join(split, "shingle", "left_semi").join(own.select("set_id", "bits"), "set_id"))
+    # linked sets overlap in 3/7 of their sizes' sum or more, so in 6/7 of the smaller one, and differ by at most a seventh of the sum
+    x, y = rest.filter(7 * F.col("at") <= F.col("n")).alias("x"), rest.alias("y")
+    sum_of = F.col("x.n") + F.col("y.n")
     apart = F.aggregate(F.zip_with("x.bits", "y.bits", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, v: s + v)
-    # linked sets differ by at most a seventh of their sizes' sum: |A xor B| = |A| + |B| - 2 * overlap, overlap >= 3/7 * (|A| + |B|)
-    near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") < F.col("y.component")) & close(F.col("x.n"), F.col("y.n")) & (7 * apart <= F.col("x.n") + F.col("y.n"))
-    cross = x.join(y, near).select(F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b")).distinct()
+    ahead = 7 * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= 3 * sum_of  # holds where the pair first meets
+    near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & close(F.col("x.n"), F.col("y.n")) & ahead & (7 * apart <= sum_of)
+    cross = x.join(y, near).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
     second = written(verified(cross.join(star, ["a", "b"], "left_anti"), segments))
-    return sizes.select("doc_id", "n"), members, first.unionByName(second)
+    return sizes.select("doc_id", "n"), members, by_hubs.unionByName(second)
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_shingles, component_id) for each document."""
+    """(key, n_shingles, component_id) for each row."""
     sizes, members, links = classes(docs, key, text)
-    joined = members.join(components(links).withColumnRenamed("vertex", "representative"), "representative", "left").select("doc_id", F.coalesce("component", "representative").alias("component_id"))
-    every = sizes.join(joined, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    known = F.when(F.col("doc_id") >= 0, F.col("doc_id"))
-    return every.select(known.alias(key), F.col("n").alias("n_shingles"), F.when(F.col("doc_id") >= 0, F.col("component_id")).alias("component_id"))
+    # an id that repeats with several texts ties their sets together
+    one = members.groupBy("doc_id").agg(F.min("set_id").alias("set_id"), F.max("set_id").alias("_last"))
+    ties = members.join(one.filter("set_id < _last").select("doc_id", F.col("set_id").alias("a")), "doc_id").filter(F.col("a") < F.col("set_id")).select("a", F.col("set_id").alias("b"))
+    found = components(links.unionByName(ties)).withColumnRenamed("vertex", "set_id")
+    least = members.select("set_id", "representative").distinct().join(found, "set_id").groupBy("component").agg(F.min("representative").alias("component_id"))
+    named = written(found.join(least, "component").select("set_id", "component_id"))
+    own = members.select("doc_id", "set_id", "representative").join(named, "set_id", "left").groupBy("doc_id").agg(F.min(F.coalesce("component_id", "representative")).alias("component_id"))
+    every = sizes.join(own, "doc_id", "left")
+    return every.select(F.col("doc_id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

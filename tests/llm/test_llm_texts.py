@@ -213,6 +213,23 @@ def test_near_duplicates_of_nothing(spark):
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in rows) == [(-1, None), (2, 2), (3, 2)]
 
 
+def test_near_duplicates_of_odd_ids(spark):
+    """Ids below 0 are ids; an id that repeats with two texts ties both together, whatever the order of ids."""
+    t, u, v = (" ".join(prose(30, 40 + k)) for k in range(3))
+    rows = [(-5, t), (-7, t), (1, u), (5, u), (5, v), (9, v), (None, t), (12, "other words"), (12, "and others"), (13, "and others"), (14, "Other  words")]
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["component_id"]) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(False, -7, -7), (False, -5, -7), (False, 1, 1), (False, 5, 1), (False, 5, 1), (False, 9, 1), (False, 12, 12), (False, 12, 12), (False, 13, 12), (False, 14, 12), (True, 0, None)]
+
+
+def test_near_duplicates_of_short_texts(spark):
+    """Short documents that share a phrase, where a document's first shingles are nearly all it has."""
+    rng = random.Random(12)
+    phrase = prose(8, 60)
+    texts = [" ".join([*prose(rng.randint(0, 2), k), *phrase[: rng.randint(4, 8)], *prose(rng.randint(0, 3), 90 + k % 7)]) for k in range(120)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.near_duplicates(docs(spark, texts)).collect()}
+    assert got == linked(texts)
+
+
 def test_components_equal_union_find(spark):
     rng = random.Random(5)
     links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(2000, 2000 + i) for i in range(1, 50)]
