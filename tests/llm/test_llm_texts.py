@@ -1,6 +1,7 @@
 """Operators over texts, held against plain versions of their rules."""
 
 import hashlib
+import math
 import os
 import random
 import re
@@ -134,6 +135,74 @@ def test_copies_are_no_boilerplate(spark):
     assert all(r["n_lines_dropped"] == 0 for r in kept)
 
 
+def plain_templates(texts):
+    """Lines that go, counted in dictionaries: {text: places}."""
+    fields = lambda w: "<*>" if re.search("[0-9]", w) else w
+    rows = []  # text, place, leaf, start, words as they make templates
+    for t in set(texts) - {None}:
+        for at, line in enumerate(t.split("\n")):
+            w = line.strip(" ").split(" ")
+            if line.strip():
+                m = [fields(x) for x in w]
+                rows.append((t, at, (len(w), *m[:3]), (len(w), *w[:3]), tuple(m if 2 * m.count("<*>") <= len(w) else w)))
+    texts_of = lambda pairs: {k: {t for j, t in pairs if j == k} for k in {j for j, _ in pairs}}
+    words = texts_of({((leaf, i, x), t) for t, _, leaf, _, w in rows for i, x in enumerate(w)})
+    in_leaf = texts_of({(leaf, t) for t, _, leaf, _, _ in rows})
+    template = {}
+    for _, _, leaf, _, w in rows:
+        common = sorted((len(words[leaf, i, x]) for i, x in enumerate(w) if len(words[leaf, i, x]) >= 5), reverse=True)
+        needed = -(-len(w) * 3 // 4)
+        least = common[needed - 1] / 2 if len(common) >= needed else math.inf
+        constants = tuple((i, x) for i, x in enumerate(w) if len(words[leaf, i, x]) >= max(least, 5))
+        several = len({v for _, _, other, _, v in rows if other == leaf}) > 1 and len(in_leaf[leaf]) >= 5
+        template[w] = (leaf, constants) if several and len(w) > 3 and len(constants) > 3 else w
+    starts = texts_of({(t, start) for t, _, _, start, _ in rows})
+    root = {t: t for t in starts}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in starts:
+        for b in starts:
+            if 100 * len(starts[a] & starts[b]) >= 75 * len(starts[a] | starts[b]):
+                root[find(a)] = find(b)
+    bodies = texts_of({(template[w], find(t)) for t, _, _, _, w in rows})
+    gone = {}
+    for t, at, _, _, w in rows:
+        if len(bodies[template[w]]) >= 5:
+            gone.setdefault(t, set()).add(at)
+    return gone
+
+
+def test_templates_equal_dictionaries(spark):
+    rng = random.Random(21)
+    common = [" ".join(prose(rng.randint(1, 9), 50 + k)) for k in range(7)]
+    texts = []
+    for k in range(70):
+        lines = [" ".join(prose(rng.randint(1, 20), 5000 + 10 * k + j)) for j in range(rng.randint(0, 4))]
+        lines += rng.sample(common, rng.randint(0, 3)) + [f"Page {k} of the long report by {rng.choice(WORDS)} and others"] * rng.randint(0, 1) + [f"{k}a {k}b c{k}"] * rng.randint(0, 1) + ["", "7 8"][: rng.randint(0, 2)]
+        rng.shuffle(lines)
+        texts.append("\n".join(lines))
+    for k in range(12):  # copies with a line of their own
+        texts.append("\n".join([" ".join(prose(10, 800 + j)) for j in range(8)] + [" ".join(prose(9, 900 + k))]))
+    texts += [texts[3]] * 9 + [None, "", "\n", " ", "Read more"]
+    want = plain_templates(texts)
+    got = {r["doc_id"]: r for r in templates.without_templates(docs(spark, texts)).collect()}
+    assert sum(map(len, want.values())) > 60
+    for i, t in enumerate(texts):
+        kept = None if t is None else "\n".join(x for at, x in enumerate(t.split("\n")) if at not in want.get(t, ()))
+        assert (got[i]["text"], got[i]["n_lines_dropped"]) == (kept, len(want.get(t, ())) if t is not None else 0)
+
+
+def test_short_boilerplate_goes(spark):
+    """Short lines, and lines that are most of their documents, go as well; also where words hold digits or ids are null."""
+    texts = [f"{' '.join(prose(25, 6000 + i))}\nRead more\nCookie policy" for i in range(9)]
+    kept = templates.without_templates(docs(spark, texts)).collect()
+    assert all(r["n_lines_dropped"] == 2 and r["text"] == texts[r["doc_id"]].split("\n")[0] for r in kept)
+    texts = [f"{' '.join(prose(2, 7000 + i))}\nAll that is said here was said before" for i in range(40)]
+    assert {r["text"] for r in templates.without_templates(docs(spark, texts)).collect()} == {t.split("\n")[0] for t in texts}
+    texts = [" ".join(f"{w}{i}" for w in prose(12, 8000 + i)) + "\nSent from my telephone" for i in range(9)]
+    rows = spark.createDataFrame([(None, t, k) for k, t in enumerate(texts)], "doc_id bigint, text string, `_gone` int")
+    assert {r["text"] for r in templates.without_templates(rows).collect()} == {t.split("\n")[0] for t in texts}
+
+
 # ---- quality
 
 
