@@ -1,6 +1,7 @@
 """Operators over texts, held against plain versions of their rules."""
 
 import hashlib
+import itertools
 import math
 import os
 import random
@@ -100,6 +101,57 @@ def test_leaks_with_replaced_words(spark):
     assert decontaminate.leaks(empty(spark), items).count() == 0 and decontaminate.leaks(docs(spark, texts), items.limit(0)).count() == 0
 
 
+def test_masks_miss_no_pattern():
+    """Of every window that agrees enough, whatever its places that differ, some mask at some place sees only equal ones."""
+    for width in range(1, decontaminate.WINDOW + 1):
+        masks = decontaminate.MASKS[max(n for n in decontaminate.MASKS if n <= width)]
+        seen = [{at + i for i, c in enumerate(m) if c == "1"} for m in masks for at in range(width - len(m) + 1)]
+        most = width - -(-width * decontaminate.AGREE_PERCENT // 100)
+        assert all(any(not places & set(differ) for places in seen) for differ in itertools.combinations(range(width), most))
+
+
+def leaking(texts, items):
+    """All items at all places of all documents, word by word: {(document, item): best window}."""
+    words = lambda t: [w for w in re.split(r"[^\w]+|_", (t or "").lower()) if w]
+    out = {}
+    for d, t in enumerate(texts):
+        for i, item in items:
+            a, b = words(t), words(item)
+            width = min(13, len(b))
+            for shift in range(-len(b), len(a)) if b else ():
+                equal = [a[k + shift] == w for k, w in enumerate(b) if 0 <= k + shift < len(a)]
+                best = max((sum(equal[k : k + width]) for k in range(len(equal) - width + 1)), default=0)
+                if 100 * best >= 80 * width:
+                    out[d, i] = max(out.get((d, i), 0), best)
+    return out
+
+
+def test_leaks_equal_all_windows(spark, monkeypatch):
+    rng = random.Random(6)
+    items = [(k, " ".join(prose(n, 70 + k))) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14, 20, 45])] + [(20, None), (21, " , "), (3, "another text with the same id")]
+    texts = []
+    for k in range(60):
+        item = rng.choice(items)[1] or ""
+        changed = [w if rng.random() > rng.choice([0, 0.1, 0.2]) else "xyz" for w in item.split(" ")]
+        texts.append(" ".join(prose(rng.randint(0, 9), 300 + k) + changed[rng.randint(0, 1) :] + prose(rng.randint(0, 9), 400 + k)))
+    texts += [" ".join(prose(13, 82)[:3] + ["x", "y"] + prose(13, 82)[5:]), None, "", " ".join(prose(20_000, 9) + prose(13, 82)), texts[0]]
+    rows = spark.createDataFrame(items, "item_id bigint, text string").withColumn("start", F.lit(1))
+    want = leaking(texts, items)
+    assert len(want) > 60 and (60, 12) in want
+    df = docs(spark, texts).withColumn("_item", F.lit(0)).withColumn("seed", F.lit(0))
+    for most in (decontaminate.BROADCAST_SEEDS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_SEEDS", most)
+        monkeypatch.setattr(decontaminate, "BROADCAST_HITS", most)
+        assert {(r["doc_id"], r["item_id"]): r["best_window"] for r in decontaminate.leaks(df, rows).collect()} == want
+
+
+def test_leaks_without_ids(spark):
+    text = " ".join(prose(20, 1))
+    rows = spark.createDataFrame([(None, text), (None, text + " and"), (1, text), (1, "other")], "doc_id bigint, text string")
+    items = spark.createDataFrame([(None, text), (5, text)], "item_id bigint, text string")
+    assert sorted(((r["doc_id"] or 0), (r["item_id"] or 0), r["n_equal"]) for r in decontaminate.leaks(rows, items).collect()) == [(0, 0, 20), (0, 5, 20), (1, 0, 20), (1, 5, 20)]
+
+
 # ---- line templates
 
 
