@@ -34,7 +34,7 @@ from agentlens.llm.common import table
 
 PROJECTIONS, THRESHOLD = 64, 54
 SEED = 20
-BLOCK_ROWS, CHUNK_ROWS = 12_000, 2_000
+BLOCK_ROWS, CHUNK_ROWS = 12_000, 20_000  # 10 MB of queries to a block at once, so that a block is sorted anew only for as many
 WIDTHS = tuple(0.1 * 1.15**n for n in range(24))  # of windows, on unit vectors; the last holds everything
 VERIFIED_SHARE, VERIFIED_LEAST = 0.03, 100
 

@@ -24,7 +24,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import table, whole_text
+from agentlens.llm.common import table, whole_text, written
 
 
 @dataclass(frozen=True)
@@ -161,7 +161,7 @@ BROADCAST_CANDIDATES = 100_000
 
 def find_secrets(docs: DataFrame, rules=RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, spans array<struct<start, rank, kind, end>>) for every row of `docs`, by start and then by rule."""
-    chosen = candidates(postings(docs, rules, key, text), rules, key)
+    chosen = written(candidates(postings(docs, rules, key, text), rules, key))  # the index is built once, for the count and the join
     few = chosen.limit(BROADCAST_CANDIDATES + 1).count() <= BROADCAST_CANDIDATES
     chosen = chosen.withColumnRenamed(key, "_held_by")  # rows with a null id share their postings; the patterns verify each
     rows = docs.select(key, whole_text(text).alias("_text")).join(F.broadcast(chosen) if few else chosen, F.col(key).eqNullSafe(F.col("_held_by")), "left")

@@ -37,14 +37,17 @@ BLOCK_CHARS = 2_000_000
 
 @lru_cache(maxsize=2)
 def processor(path: str):
+    """The model, once a worker; fails where a piece could hold a mark after another character."""
     import sentencepiece
 
-    return sentencepiece.SentencePieceProcessor(model_file=path)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    if not pieces_keep_marks_first(sp):
+        raise ValueError(f"{path}: chunks can't be segmented apart with this model")
+    return sp
 
 
-def pieces_keep_marks_first(path: str) -> bool:
+def pieces_keep_marks_first(sp) -> bool:
     """What the chunks rest on: a mark only stands at a piece's start or in a piece of marks alone."""
-    sp = processor(path)
     return all(MARK not in sp.id_to_piece(i).lstrip(MARK) for i in range(sp.get_piece_size()))
 
 

@@ -32,7 +32,7 @@ def empty(spark):
 
 def test_pieces_equal_the_library(spark):
     sp = sentence_pieces.processor(sentence_pieces.model_path())
-    assert sentence_pieces.pieces_keep_marks_first(sentence_pieces.model_path())
+    assert sentence_pieces.pieces_keep_marks_first(sp)
     got = {r["doc_id"]: r for r in sentence_pieces.digested(docs(spark, [*ODD, None, ODD[3]]), sentence_pieces.model_path()).collect()}
     for i, t in enumerate([*ODD, "", ODD[3]]):
         ids = sp.encode(t)
