@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions.columns import basename
+from agentlens.operators.tables import written
 
 WEAK_RATIO, MIN_RATIO, MIN_LINES, MARGIN = 0.20, 0.80, 30, 0.20
 HEAVY_SHARE = 0.5
@@ -46,44 +47,58 @@ def confident_pick(ranked: DataFrame, keys: list[str], name: str) -> DataFrame:
     return first.filter((ratio >= MIN_RATIO) & (F.col("score") >= MIN_LINES) & (ratio - runner >= MARGIN)).select(*keys, F.col("candidate").alias(name))
 
 
-def alias_paths(rows: DataFrame, candidates: DataFrame, keys: list[str], on: list[str], amount: str) -> DataFrame:
-    """(keys, alias): the other path that holds a file's lines.
+def alias_candidates(rows: DataFrame, lines: DataFrame, keys: list[str], on: list[str]) -> DataFrame:
+    """(keys, candidate): other paths that can hold enough of a file's lines to win or to come near a winner.
 
-    `rows` have keys (with rel_path), the columns of `on`, count and total_lines; `candidates` have
-    rel_path, `on` and `amount`. Paths with the file's own name are asked first.
+    A winner has `MIN_RATIO` of the lines and only a path with over `MIN_RATIO - MARGIN` of them can contest it, so a
+    candidate that matters has one of any lines that make up more than the rest. These are the file's rarest ones:
+    lines that every path has don't join unless a file consists of them. `rows` have keys (with rel_path), the columns of
+    `on`, count and total_lines; `lines` are (rel_path, on).
     """
-    other = candidates.select(*on, F.col("rel_path").alias("candidate"), F.col(amount).alias("_have"))
-    scored = rows.join(other, on).filter(F.col("candidate") != F.col("rel_path")).groupBy(*keys, "total_lines", "candidate").agg(F.sum(F.least("count", "_have")).alias("score")).filter("score > 0")
+    known = written(lines.select("rel_path", *on).distinct())
+    paths = known.groupBy(*on).agg(F.count("*").alias("_paths"))
+    ranked = rows.join(paths, on, "left").withColumn("_paths", F.coalesce("_paths", F.lit(0)))
+    before = Window.partitionBy(*keys).orderBy("_paths", *on).rowsBetween(Window.unboundedPreceding, -1)
+    rare = ranked.withColumn("_before", F.coalesce(F.sum("count").over(before), F.lit(0))).filter(F.col("_before") <= (1 - MIN_RATIO + MARGIN) * F.col("total_lines"))
+    other = known.withColumnRenamed("rel_path", "candidate")
+    return rare.filter("_paths > 0").join(other, on).filter(F.col("candidate") != F.col("rel_path")).select(*keys, "candidate").distinct()
+
+
+def alias_names(scored: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, alias) of (keys, total_lines, candidate, score): paths with the file's own name are asked first."""
     same_name = confident_pick(scored.filter(basename(F.col("candidate")) == basename(F.col("rel_path"))), keys, "_same")
     any_name = confident_pick(scored, keys, "_any")
     return any_name.join(same_name, keys, "full").select(*keys, F.coalesce("_same", "_any").alias("alias"))
 
 
-def matched_lines(rows: DataFrame, availability: DataFrame, path: str) -> DataFrame:
-    """(FILE, side, line_hash, matched): commit lines that sessions have under `path`."""
-    have = availability.groupBy(*LINE).agg(F.sum("avail").alias("_total")).withColumnRenamed("rel_path", "_path")
-    joined = rows.withColumn("_path", F.col(path)).join(have, ["repo_root", "_path", "side", "line_hash"])
-    return joined.select(*FILE, "side", "line_hash", "_path", F.least("count", "_total").alias("matched"), "_total").filter("matched > 0")
+def chosen_lines(commit_rows: DataFrame, session_rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Commit lines (FILE, side, line_hash, count), what sessions have (LINE, provider, session_id, avail), and which lines
+    they match under which path: (FILE, side, line_hash, _path, matched, _total). All three are written, once each."""
+    availability = written(session_availability(session_rows))
+    have = availability.groupBy(*LINE).agg(F.sum("avail").alias("_total"), F.max("avail").alias("_most"))
+    lines = written(file_rows(commit_rows).join(have.drop("_most"), LINE, "left").withColumn("matched", F.when(F.col("_total").isNull(), 0).otherwise(F.least("count", "_total"))))
+    sums = lines.groupBy(*FILE).agg(F.sum("count").alias("total_lines"), F.sum("matched").alias("strict_lines"))
+    weak = written(sums.filter(F.col("strict_lines") / F.col("total_lines") < WEAK_RATIO))
+    weak_rows = lines.select(*FILE, "side", "line_hash", "count").join(weak, FILE)
+    tried = weak_rows.join(alias_candidates(weak_rows, availability, FILE, ["repo_root", "side", "line_hash"]), FILE)
+    there = tried.join(have.withColumnRenamed("rel_path", "candidate"), ["repo_root", "candidate", "side", "line_hash"])
+    there = written(there.select(*FILE, "side", "line_hash", "candidate", "total_lines", "strict_lines", F.least("count", "_most").alias("_score"), F.least("count", "_total").alias("matched"), "_total"))
+    scored = there.groupBy(*FILE, "total_lines", "candidate").agg(F.sum("_score").alias("score")).filter("score > 0")
+    renamed = there.join(alias_names(scored, FILE).withColumnRenamed("alias", "candidate"), [*FILE, "candidate"])
+    better = renamed.groupBy(*FILE, "strict_lines").agg(F.sum("matched").alias("_got")).filter(F.col("_got") > F.col("strict_lines")).select(*FILE)
+    matched = [*FILE, "side", "line_hash", "_path", "matched", "_total"]
+    strict = lines.filter("matched > 0").withColumn("_path", F.col("rel_path")).select(*matched)
+    moved = renamed.filter("matched > 0").withColumn("_path", F.col("candidate")).select(*matched)
+    return lines, availability, written(strict.join(better, FILE, "left_anti").unionByName(moved.join(better, FILE, "left_semi")))
 
 
 def attributed(commit_rows: DataFrame, session_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per commit (totals, share, heavy_ai) and per commit and session (lines and shares; a human row if nothing matched)."""
-    rows = file_rows(commit_rows)
-    sizes = rows.groupBy(*FILE).agg(F.sum("count").alias("total_lines"))
-    availability = session_availability(session_rows)
-    strict = matched_lines(rows, availability, "rel_path")
-    strict_sums = sizes.join(strict.groupBy(*FILE).agg(F.sum("matched").alias("strict_lines")), FILE, "left").fillna(0, ["strict_lines"])
-    weak = strict_sums.filter(F.col("strict_lines") / F.col("total_lines") < WEAK_RATIO)
-    weak_rows = rows.join(weak.select(*FILE, "total_lines", "strict_lines"), FILE)
-    names = alias_paths(weak_rows, path_availability(session_rows), FILE, ["repo_root", "side", "line_hash"], "avail")
-    renamed = matched_lines(weak_rows.join(names, FILE), availability, "alias")
-    better = renamed.groupBy(*FILE).agg(F.sum("matched").alias("alias_lines")).join(weak.select(*FILE, "strict_lines"), FILE).filter(F.col("alias_lines") > F.col("strict_lines")).select(*FILE)
-    chosen = strict.join(better, FILE, "left_anti").unionByName(renamed.join(better, FILE, "left_semi"))
-
+    rows, availability, chosen = chosen_lines(commit_rows, session_rows)
     commit = ["repo_root", "commit_sha"]
-    side_total = lambda df, side, c: F.sum(F.when(F.col("side") == side, F.col(c)).otherwise(0))
-    lines = rows.groupBy(*commit).agg(side_total(rows, "+", "count").alias("total_added"), side_total(rows, "-", "count").alias("total_removed"))
-    got = chosen.groupBy(*commit).agg(side_total(chosen, "+", "matched").alias("matched_added_lines"), side_total(chosen, "-", "matched").alias("matched_removed_lines"))
+    side_total = lambda side, c: F.sum(F.when(F.col("side") == side, F.col(c)).otherwise(0))
+    lines = rows.groupBy(*commit).agg(side_total("+", "count").alias("total_added"), side_total("-", "count").alias("total_removed"))
+    got = chosen.groupBy(*commit).agg(side_total("+", "matched").alias("matched_added_lines"), side_total("-", "matched").alias("matched_removed_lines"))
     totals = lines.join(got, commit, "left").fillna(0, ["matched_added_lines", "matched_removed_lines"])
     changed, matched = F.col("total_added") + F.col("total_removed"), F.col("matched_added_lines") + F.col("matched_removed_lines")
     commits = totals.withColumn("matched_total_lines", matched).withColumn("ai_share", F.when(changed > 0, matched / changed).otherwise(0.0)).withColumn("heavy_ai", (F.col("ai_share") >= HEAVY_SHARE).cast("int"))
@@ -102,6 +117,22 @@ def attributed(commit_rows: DataFrame, session_rows: DataFrame) -> tuple[DataFra
     return commits, sessions.unionByName(human)
 
 
+def matches_within(commit_rows: DataFrame, session_rows: DataFrame, commits: DataFrame, spans: DataFrame, hours: int = 4) -> DataFrame:
+    """(provider, session_id, commit_time) of commits that match lines of a session, from its begin until `hours` after its end.
+
+    `spans` are (provider, session_id, _begin, _end). Weeks are part of the join's key, so lines that all sessions share
+    only meet commits of their own time.
+    """
+    _, availability, chosen = chosen_lines(commit_rows, session_rows)
+    week = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (7 * 86400))
+    until = F.col("_end") + F.expr(f"INTERVAL {hours} HOURS")
+    held = availability.select("repo_root", F.col("rel_path").alias("_path"), "side", "line_hash", "provider", "session_id").join(spans, ["provider", "session_id"])
+    held = held.withColumn("_until", until).filter(F.col("_until") >= F.col("_begin")).withColumn("_week", F.explode(F.sequence(week(F.col("_begin")), week(F.col("_until")))))
+    timed = chosen.select("repo_root", "commit_sha", "_path", "side", "line_hash").join(commits.select("repo_root", "commit_sha", "commit_time"), ["repo_root", "commit_sha"]).withColumn("_week", week(F.col("commit_time")))
+    met = timed.join(held, ["repo_root", "_path", "side", "line_hash", "_week"]).filter(F.col("commit_time").between(F.col("_begin"), F.col("_until")))
+    return met.select("provider", "session_id", "commit_time").distinct()
+
+
 def ai_budget(commit_rows: DataFrame, session_rows: DataFrame) -> DataFrame:
     """(FILE, line_hash, budget): added lines of a commit that sessions can account for."""
     added = commit_rows.filter("side = '+'").groupBy(*FILE, "line_hash").agg(F.sum("count").alias("n"))

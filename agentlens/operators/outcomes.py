@@ -1,16 +1,19 @@
 """What became of commits: mainline reach, churn, later bugs and reverts, pull requests.
 
-The as-of and interval joins are equi-joins on path and line hash with the time as
-residual condition, so they shuffle on those keys and never compare all pairs.
+As-of and interval aggregates are sweeps: commits and mainline events of a line are
+sorted by time together, and a running maximum or sum tells each commit what comes
+after it. So a line that k commits and k events share costs k log k, not k * k. Only
+bug signals, which are pairs of a commit and a fix, join, with the time in the key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns as C
-from agentlens.operators.attribution import FILE, MIN_LINES, MIN_RATIO, alias_paths
+from agentlens.operators.attribution import FILE, MIN_LINES, MIN_RATIO, alias_candidates, alias_names
+from agentlens.operators.tables import written
 
 CHURN_DAYS, BUG_DAYS = 14, 60
 LINE = ["repo_root", "rel_path", "line_hash"]
@@ -21,25 +24,35 @@ def days(n: int) -> Column:
     return F.expr(f"INTERVAL {n} DAYS")
 
 
+def most_later(marks: DataFrame, added: DataFrame) -> DataFrame:
+    """`marks` (LINE, commit_time, ...) with found: the most that one event at or after commit_time adds of the line (0 if none)."""
+    own = [c for c in marks.columns if c not in (*LINE, "commit_time")]
+    events = added.filter(F.col("event_time").isNotNull()).groupBy(*LINE, F.col("event_time").alias("_t")).agg(F.max("count").alias("_n"))
+    asked = marks.select(*LINE, F.col("commit_time").alias("_t"), F.struct(*own).alias("_own"))
+    rows = asked.unionByName(events, allowMissingColumns=True)
+    # events come before the commits of their time
+    from_end = Window.partitionBy(*LINE).orderBy(F.desc("_t"), F.col("_own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = rows.withColumn("_most", F.max("_n").over(from_end)).filter(F.col("_own").isNotNull())
+    found = F.coalesce(F.when(F.col("_t").isNotNull(), F.col("_most")), F.lit(0))
+    return swept.select(*LINE, F.col("_t").alias("commit_time"), "_own.*", found.alias("found"))
+
+
 def added_later(budget: DataFrame, added: DataFrame) -> DataFrame:
-    """(FILE, line_hash, budget, found): the most that one mainline event at or after the commit adds of each line, under its own path."""
-    events = added.select(*LINE, F.col("event_time"), F.col("count").alias("_n"))
-    found = budget.join(events, LINE, "left").withColumn("_n", F.when(F.col("event_time") >= F.col("commit_time"), F.col("_n")))
-    return found.groupBy(*FILE, "commit_time", "line_hash", "budget").agg(F.coalesce(F.max("_n"), F.lit(0)).alias("found"))
+    """(FILE, commit_time, line_hash, budget, found): the most that one mainline event at or after the commit adds of each line, under its own path."""
+    return most_later(budget.select(*LINE, "commit_time", "commit_sha", "budget"), added)
 
 
 def content_merged(budget: DataFrame, added: DataFrame) -> DataFrame:
     """(COMMIT): commits whose lines reached the mainline, in their files or in renamed ones."""
     own = added_later(budget, added)
-    files = own.groupBy(*FILE, "commit_time").agg(F.sum("budget").alias("total_lines"), F.sum(F.least("budget", "found")).alias("strict"))
+    files = written(own.groupBy(*FILE).agg(F.sum("budget").alias("total_lines"), F.sum(F.least("budget", "found")).alias("strict")))
     weak = files.filter(F.col("strict") / F.col("total_lines") < 0.20)
     rows = budget.join(weak.select(*FILE, "total_lines"), FILE)
-    # a candidate is a path of one commit's future, so it is found by the commit and the line
-    events = added.select("repo_root", "line_hash", F.col("rel_path").alias("_other"), "event_time", F.col("count").alias("_n"))
-    later = rows.select(*COMMIT, "commit_time", "line_hash").distinct().join(events, ["repo_root", "line_hash"]).filter(F.col("event_time") >= F.col("commit_time"))
-    paths = later.groupBy(*COMMIT, "line_hash", F.col("_other").alias("rel_path")).agg(F.max("_n").alias("have"))
-    names = alias_paths(rows.withColumnRenamed("budget", "count"), paths, FILE, [*COMMIT, "line_hash"], "have")
-    moved = rows.join(names, FILE).join(paths.withColumnRenamed("rel_path", "alias"), [*COMMIT, "alias", "line_hash"]).groupBy(*FILE).agg(F.sum(F.least("budget", "have")).alias("alias_lines"))
+    other = alias_candidates(rows.withColumnRenamed("budget", "count"), added, FILE, ["repo_root", "line_hash"])
+    tried = rows.join(other, FILE).select("repo_root", F.col("candidate").alias("rel_path"), "line_hash", "commit_time", "commit_sha", F.col("rel_path").alias("_own_path"), "budget", "total_lines")
+    there = most_later(tried, added).select("repo_root", "commit_sha", F.col("rel_path").alias("candidate"), F.col("_own_path").alias("rel_path"), "total_lines", F.least("budget", "found").alias("got"))
+    scored = written(there.groupBy(*FILE, "total_lines", "candidate").agg(F.sum("got").alias("score")).filter("score > 0"))
+    moved = scored.join(alias_names(scored, FILE).withColumnRenamed("alias", "candidate"), [*FILE, "candidate"]).select(*FILE, F.col("score").alias("alias_lines"))
     best = files.join(moved, FILE, "left").withColumn("_best", F.greatest("strict", F.coalesce("alias_lines", F.lit(0))))
     sums = best.groupBy(*COMMIT).agg(F.sum("total_lines").alias("total"), F.sum("_best").alias("got"))
     return sums.filter((F.col("got") >= MIN_LINES) & (F.col("got") / F.col("total") >= MIN_RATIO)).select(*COMMIT)
@@ -69,21 +82,29 @@ def outcomes(commits: DataFrame, budget: DataFrame, added: DataFrame, mainline:
 
 def churn(budget: DataFrame, removed: DataFrame, merged: DataFrame) -> DataFrame:
     """(COMMIT, ai_added_lines_removed_within_window): lines of merged commits that the mainline removes in 14 days."""
-    events = removed.select(*LINE, "event_time", F.col("count").alias("_n"))
-    rows = budget.join(merged.select(*COMMIT), COMMIT, "left_semi").join(events, LINE)
-    inside = rows.filter((F.col("event_time") >= F.col("commit_time")) & (F.col("event_time") <= F.col("commit_time") + days(CHURN_DAYS)))
-    lines = inside.groupBy(*FILE, "line_hash", "budget").agg(F.sum("_n").alias("gone"))
+    events = removed.groupBy(*LINE, F.col("event_time").alias("_t")).agg(F.sum("count").alias("_n")).withColumn("_kind", F.lit(1))
+    rows = budget.join(merged.select(*COMMIT), COMMIT, "left_semi")
+    # each commit is marked before the events of its own time and after those of the window's end: what is removed between the marks counts
+    mark = lambda t, kind: rows.select(*LINE, t.alias("_t"), F.lit(kind).alias("_kind"), F.struct("commit_sha", "budget").alias("_own"))
+    marks = mark(F.col("commit_time"), 0).unionByName(mark(F.col("commit_time") + days(CHURN_DAYS), 2))
+    until = Window.partitionBy(*LINE).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = marks.unionByName(events, allowMissingColumns=True).withColumn("_sum", F.coalesce(F.sum("_n").over(until), F.lit(0))).filter("_kind <> 1")
+    lines = swept.groupBy(*LINE, F.col("_own.commit_sha").alias("commit_sha"), F.col("_own.budget").alias("budget")).agg(F.sum((F.col("_kind") - 1) * F.col("_sum")).alias("gone")).filter("gone > 0")
     return lines.groupBy(*COMMIT).agg(F.sum(F.least("budget", "gone")).alias("ai_added_lines_removed_within_window"))
 
 
 def overlapping_signals(budget: DataFrame, signals: DataFrame) -> DataFrame:
     """(COMMIT, signal_ref, signal_time, source): signals after a commit, within 60 days, that remove lines of it.
 
-    `signals` have LINE, count, anchor_time (which the window is about), signal_time, signal_ref and source.
+    `signals` have LINE, count, anchor_time (which the window is about), signal_time, signal_ref and source. A window
+    reaches into two spans of 61 days, which are part of the key: a line only meets signals of about its own time.
     """
-    rows = budget.join(signals.select(*LINE, F.col("count").alias("_n"), "anchor_time", "signal_time", "signal_ref", "source"), LINE)
+    span = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / ((BUG_DAYS + 1) * 86400))
+    told = signals.filter("count > 0").select(*LINE, "anchor_time", "signal_time", "signal_ref", "source").distinct().withColumn("_span", span(F.col("anchor_time")))
+    asked = budget.filter("budget > 0").select(*LINE, "commit_sha", "commit_time").withColumn("_span", F.explode(F.array(span(F.col("commit_time")), span(F.col("commit_time")) + 1)))
+    rows = asked.join(told, [*LINE, "_span"])
     inside = rows.filter((F.col("anchor_time") > F.col("commit_time")) & (F.col("anchor_time") <= F.col("commit_time") + days(BUG_DAYS)))
-    return inside.groupBy(*COMMIT, "signal_ref", "signal_time", "source").agg(F.sum(F.least("budget", "_n")).alias("overlap")).filter("overlap > 0")
+    return inside.select(*COMMIT, "signal_ref", "signal_time", "source").distinct()
 
 
 def fix_signals(commits: DataFrame, commit_rows: DataFrame) -> DataFrame:
