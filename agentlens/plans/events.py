@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns as C
 from agentlens.operators import attribution, conversation, outcomes
+from agentlens.operators.tables import written
 from agentlens.plans import views as V
 
 SESSION = V.SESSION
@@ -29,15 +32,20 @@ def signals(sessions: DataFrame, messages: DataFrame, changes: DataFrame) -> Dat
     return joined.filter(told[0] | told[1] | told[2] | told[3] | told[4])
 
 
-def session_events(sessions: DataFrame, messages: DataFrame, changes: DataFrame, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """event_session_quality and event_session_productivity; `matches` are (SESSION, commit_time) of attributed commits."""
-    rows = signals(sessions, messages, changes)
+def timed_signals(sessions: DataFrame, messages: DataFrame, changes: DataFrame) -> DataFrame:
+    """`signals` with the times that they and the session's own rows give: _begin, _end, _first, _last."""
     begin = F.coalesce("started_at", "min_signal_ts")
     last = F.when(F.col("provider") == "cursor", F.coalesce("max_signal_ts", "ended_at", "started_at")).otherwise(F.coalesce("max_signal_ts", "started_at"))
-    timed = rows.withColumn("_begin", begin).withColumn("_last", last).withColumn("_first", F.coalesce("min_signal_ts", "started_at"))
-    end = F.coalesce("ended_at", "started_at", "_last", "_first")
-    spans = timed.select(*SESSION, "_begin", end.alias("_end"))
-    hits = matches.join(spans, SESSION).filter(V.within_window(F.col("commit_time"), F.col("_begin"), F.col("_end")) == 1).select(*SESSION, F.lit(1).alias("_hit")).distinct()
+    timed = signals(sessions, messages, changes).withColumn("_begin", begin).withColumn("_last", last).withColumn("_first", F.coalesce("min_signal_ts", "started_at"))
+    return timed.withColumn("_end", F.coalesce("ended_at", "started_at", "_last", "_first"))
+
+
+def session_events(sessions: DataFrame, messages: DataFrame, changes: DataFrame, matches: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """event_session_quality and event_session_productivity; `matches` gives (SESSION, commit_time) of attributed commits for
+    (SESSION, _begin, _end), of these spans or more."""
+    timed = timed_signals(sessions, messages, changes)
+    spans = timed.select(*SESSION, "_begin", "_end")
+    hits = matches(spans).join(spans, SESSION).filter(V.within_window(F.col("commit_time"), F.col("_begin"), F.col("_end")) == 1).select(*SESSION, F.lit(1).alias("_hit")).distinct()
     told = timed.join(hits, SESSION, "left").withColumn("model_name", C.normalized_model(F.col("provider"), F.col("model_name")))
     minutes = C.minutes_between(F.col("first_accepted_change_at"), F.col("_begin"))
     quality = told.join(conversation.summaries(messages), SESSION).select(
@@ -55,22 +63,23 @@ def session_events(sessions: DataFrame, messages: DataFrame, changes: DataFrame,
 
 
 def commit_events(commits: DataFrame, commit_rows: DataFrame, session_rows: DataFrame, sessions: DataFrame, mainline: DataFrame, merges: DataFrame, extra_signals: DataFrame | None = None) -> dict[str, DataFrame]:
-    """outcome, churn, bug and commit_session; commits that are merges have no events.
+    """outcome, churn, bug and commit_session; merges have no events and are returned as `rejected`, for the caller to report.
 
     Mainline events run from the first commit to 14 days after the last one of a repository.
     """
     plain = commits.join(merges.select(*COMMIT), COMMIT, "left_anti")
+    rejected = commits.join(merges.select(*COMMIT), COMMIT, "left_semi").select(*COMMIT, "commit_time", F.lit("merge commit").alias("reason"))
     facts, shares = attribution.attributed(commit_rows, session_rows)
     known = plain.join(facts, COMMIT)
-    budget = attribution.ai_budget(commit_rows, session_rows).join(plain.select(*COMMIT, "commit_time"), COMMIT)
+    budget = written(attribution.ai_budget(commit_rows, session_rows).join(plain.select(*COMMIT, "commit_time"), COMMIT))
     bounds = commits.groupBy("repo_root").agg(F.min("commit_time").alias("_low"), (F.max("commit_time") + outcomes.days(outcomes.CHURN_DAYS)).alias("_high"))
     on_main = commit_rows.join(mainline.select(*COMMIT, F.col("commit_time").alias("event_time")), COMMIT).join(bounds, "repo_root").filter(F.col("event_time").between(F.col("_low"), F.col("_high")))
     added, removed = on_main.filter("side = '+'"), on_main.filter("side = '-'")
     derived = outcomes.outcomes(known, budget, added, mainline, outcomes.revert_times(commits))
-    outcome = derived.select(
+    outcome = written(derived.select(
         *COMMIT, "commit_time", F.col("heavy_ai").alias("heavy_ai_flag"), "merged_to_mainline_flag", "reverted_later_flag", (F.col("total_added") + F.col("total_removed")).alias("commit_total_changed_lines"),
         "matched_total_lines", "ai_added_lines_reaching_mainline",
-    )
+    ))
     merged = outcome.filter("merged_to_mainline_flag = 1")
     lost = outcomes.churn(budget, removed, merged)
     churn = outcome.select(*COMMIT, "ai_added_lines_reaching_mainline").join(lost, COMMIT, "left").fillna(0, ["ai_added_lines_removed_within_window"]).withColumn("window_days", F.lit(outcomes.CHURN_DAYS))
@@ -80,8 +89,8 @@ def commit_events(commits: DataFrame, commit_rows: DataFrame, session_rows: Data
     if extra_signals is not None:
         found = found.unionByName(outcomes.overlapping_signals(at_risk, extra_signals))
     models = sessions.select(*SESSION, "model_name")
-    commit_session = shares.join(commits.select(*COMMIT, "commit_time"), COMMIT).join(models, SESSION, "left").withColumn("model_name", C.normalized_model(F.col("provider"), F.col("model_name")))
-    return {"commit": facts, "outcome": outcome.drop("ai_added_lines_reaching_mainline"), "churn": churn, "bug": outcomes.bug_signals(found), "commit_session": commit_session}
+    commit_session = shares.join(plain.select(*COMMIT, "commit_time"), COMMIT).join(models, SESSION, "left").withColumn("model_name", C.normalized_model(F.col("provider"), F.col("model_name")))
+    return {"commit": facts, "outcome": outcome.drop("ai_added_lines_reaching_mainline"), "churn": churn, "bug": outcomes.bug_signals(found), "commit_session": commit_session, "rejected": rejected}
 
 
 def task_commits(assignments: DataFrame, commits: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns as C
 from agentlens.functions import hashing
 from agentlens.operators import attribution, branches, conversation, incremental, outcomes
+from agentlens.operators.tables import written
 from agentlens.plans import events, reports, scorecards, stream, views
 from agentlens.sources.adapter import prelude, relation
 
@@ -43,8 +44,20 @@ def as_text(df: DataFrame) -> DataFrame:
     return df.withColumn("week_start", F.col("week_start").cast("string"))
 
 
-def event_tables(read: Read) -> reports.Events:
-    return reports.Events(*[read(f"ev_{n}") for n in ("quality", "productivity", "outcome", "churn", "bug", "commit_session", "task_commit", "task_session")], read("pr_lookups"), read("ev_pr_outcome"), read("ev_commit"))
+class EventTables:
+    """The event tables by name, each read when a report first asks for it."""
+
+    def __init__(self, read: Read):
+        self._read = read
+
+    def __getattr__(self, name: str) -> DataFrame:
+        table = self._read("pr_lookups" if name == "pr_lookup" else f"ev_{name}")
+        setattr(self, name, table)
+        return table
+
+
+def event_tables(read: Read) -> EventTables:
+    return EventTables(read)
 
 
 # ---- views
@@ -242,9 +255,13 @@ query("x10_natural_order", """SELECT task_key, row_number() OVER (ORDER BY NOT r
 
 
 def natural_places(keys: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    return keys.withColumn("place", F.row_number().over(Window.orderBy(C.natural_task_key(F.col("task_key")))))
+    """The place of each key: in its range of keys, after all of the ranges before it."""
+    order = C.natural_task_key(F.col("task_key"))
+    ranged = written(keys.repartitionByRange(order).withColumn("_range", F.spark_partition_id()))
+    counts = ranged.groupBy("_range").agg(F.count("*").alias("_n"))  # a row for each partition
+    before = counts.withColumnRenamed("_range", "_other").join(ranged.select("_range").distinct(), F.col("_other") < F.col("_range"), "right").groupBy("_range").agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return ranged.withColumn("_place", within).join(before, "_range").select("task_key", (F.col("_before") + F.col("_place")).cast("int").alias("place"))
 
 
 # ---- line hashes over whole documents
@@ -347,10 +364,6 @@ query("w8_branch_assignment", ASSIGNED, ("branch_commits", "commits"))(lambda re
 MATCHES = f"""{SHARES}, matches AS (SELECT s.provider, s.session_id, c.commit_time FROM shares s JOIN commits c ON c.repo_root = s.repo_root AND c.commit_sha = s.commit_sha)"""
 
 
-def matches(read: Read) -> DataFrame:
-    return attribution.attributed(read("commit_hashes"), read("change_hashes"))[1].join(read("commits"), ["repo_root", "commit_sha"]).select("provider", "session_id", "commit_time")
-
-
 SESSION_ROWS = f"""signals_ AS (SELECT provider, session_id, min(ts) AS lo, max(ts) AS hi FROM (SELECT provider, session_id, message_ts AS ts FROM messages UNION ALL SELECT provider, session_id, change_ts FROM changes WHERE source_kind = 'accepted_change') WHERE ts IS NOT NULL GROUP BY ALL),
     lines_ AS (SELECT provider, session_id, sum(lines_added) AS a, sum(lines_removed) AS r FROM changes WHERE source_kind = 'accepted_change' GROUP BY ALL),
     output_ AS (SELECT provider, session_id, min(CASE WHEN lines_added > 0 OR lines_removed > 0 THEN change_ts END) AS first_at, max(CASE WHEN lines_added > 0 OR lines_removed > 0 THEN 1 ELSE 0 END) AS flag FROM changes GROUP BY ALL),
@@ -360,14 +373,14 @@ SESSION_ROWS = f"""signals_ AS (SELECT provider, session_id, min(ts) AS lo, max(
         LEFT JOIN output_ o USING (provider, session_id) LEFT JOIN words_ w USING (provider, session_id) WHERE s.started_at IS NOT NULL OR w.user_word_count IS NOT NULL OR l.a IS NOT NULL OR l.r IS NOT NULL OR o.flag IS NOT NULL)"""
 query("m1_session_productivity", f"""WITH {SESSION_ROWS} SELECT provider, session_id, repo_root, {nm("provider", "model_name")} AS model_name, coalesce(nullif(trim(project_path, ' '), ''), '(unknown)') AS project_path, coalesce(lo, started_at) AS started_at, last_ AS ended_at,
     CAST(coalesce(a, 0) AS BIGINT) AS accepted_lines_added, CAST(coalesce(r, 0) AS BIGINT) AS accepted_lines_removed, CAST(coalesce(a, 0) + coalesce(r, 0) AS BIGINT) AS accepted_total_changed_lines, coalesce(words, 0) AS user_word_count FROM rows_s""", ("sessions", "messages", "changes"))(
-    lambda read: events.session_events(read("sessions"), read("messages"), read("changes"), read("commits").select(F.lit("").alias("provider"), F.lit("").alias("session_id"), "commit_time"))[1]
+    lambda read: events.session_events(read("sessions"), read("messages"), read("changes"), lambda spans: spans.select("provider", "session_id", F.col("_end").alias("commit_time")).filter("false"))[1]
 )
 query("m1_session_quality", f"""{SIGNED}, {MATCHES}, {SESSION_ROWS}, counts AS (SELECT provider, session_id, count(*) AS user_turn_count FROM turns WHERE regexp_matches(user_text, '\\S') GROUP BY ALL), pastes AS ({PASTES}),
     hits AS (SELECT DISTINCT provider, session_id FROM rows_s r JOIN matches m USING (provider, session_id) WHERE m.commit_time >= r.begin_ AND m.commit_time <= coalesce(r.ended_at, r.started_at, r.last_, coalesce(r.lo, r.started_at)) + INTERVAL 4 HOUR)
     SELECT r.provider, r.session_id, repo_root, {nm("r.provider", "model_name")} AS model_name, started_at, ended_at, c.user_turn_count, coalesce(d.debug_loop_flag, 0) AS debug_loop_flag, coalesce(p.mid_session_error_paste_flag, 0) AS mid_session_error_paste_flag,
         coalesce(flag, 0) AS accepted_output_flag, first_at AS first_accepted_change_at, round((epoch_us(first_at) - epoch_us(begin_)) / 60000000.0, 8) AS minutes_to_first_accepted_change, CASE WHEN h.provider IS NULL THEN 0 ELSE 1 END AS session_commit_within_4h_flag
     FROM rows_s r JOIN counts c USING (provider, session_id) LEFT JOIN loops d USING (provider, session_id) LEFT JOIN pastes p USING (provider, session_id) LEFT JOIN hits h USING (provider, session_id)""", ("sessions", "messages", "changes", "commits", "commit_hashes", "change_hashes"))(
-    lambda read: events.session_events(read("sessions"), read("messages"), read("changes"), matches(read))[0].withColumn("minutes_to_first_accepted_change", F.round("minutes_to_first_accepted_change", 8))
+    lambda read: events.session_events(read("sessions"), read("messages"), read("changes"), lambda spans: attribution.matches_within(read("commit_hashes"), read("change_hashes"), read("commits"), spans))[0].withColumn("minutes_to_first_accepted_change", F.round("minutes_to_first_accepted_change", 8))
 )
 query("m3_task_sessions", """SELECT t.repo_root, t.task_key, s.provider, s.session_id, min(t.branch_name) AS branch_name, max(s.model_name) AS model_name, max(q.started_at) AS started_at, sum(s.matched_lines) AS attribution_weight, max(q.user_turn_count) AS user_turn_count,
     max(q.debug_loop_flag) AS debug_loop_flag, max(q.mid_session_error_paste_flag) AS mid_session_error_paste_flag, max(q.accepted_output_flag) AS accepted_output_flag, max(q.first_accepted_change_at) AS first_accepted_change_at,
@@ -376,13 +389,49 @@ query("m3_task_sessions", """SELECT t.repo_root, t.task_key, s.provider, s.sessi
       ("ev_task_commit", "ev_commit_session", "ev_quality"))(lambda read: events.task_sessions(read("ev_task_commit"), read("ev_commit_session"), read("ev_quality")))
 
 
+COMMIT_KEY = "repo_root, commit_sha"
+PICK = "score / total_lines >= 0.8 AND score >= 30 AND score / total_lines - coalesce({0}, 0) / total_lines >= 0.2"
+OUTCOMES = f"""{SHARES}, {LATER}, m_files AS (SELECT repo_root, commit_sha, rel_path, sum(budget) AS total_lines, sum(least(budget, found)) AS strict FROM own GROUP BY ALL),
+    m_rows AS (SELECT b.*, f.total_lines FROM budget b JOIN m_files f USING (repo_root, commit_sha, rel_path) WHERE f.strict / f.total_lines < 0.2),
+    m_have AS (SELECT b.repo_root, b.commit_sha, b.rel_path, b.line_hash, b.budget, b.total_lines, e.rel_path AS candidate, max(e.count) AS have FROM m_rows b JOIN commit_hashes e ON e.side = '+' AND e.on_mainline = 1
+        AND e.repo_root = b.repo_root AND e.line_hash = b.line_hash AND e.rel_path <> b.rel_path AND e.commit_time >= b.commit_time GROUP BY ALL),
+    m_scored AS (SELECT repo_root, commit_sha, rel_path, total_lines, candidate, sum(least(budget, have)) AS score, regexp_extract(candidate, '[^/]*$') = regexp_extract(rel_path, '[^/]*$') AS same FROM m_have GROUP BY ALL),
+    m_ranked AS (SELECT *, row_number() OVER (PARTITION BY repo_root, commit_sha, rel_path ORDER BY score DESC, candidate) AS ra, lead(score) OVER (PARTITION BY repo_root, commit_sha, rel_path ORDER BY score DESC, candidate) AS na,
+        row_number() OVER (PARTITION BY repo_root, commit_sha, rel_path, same ORDER BY score DESC, candidate) AS rs, lead(score) OVER (PARTITION BY repo_root, commit_sha, rel_path, same ORDER BY score DESC, candidate) AS ns FROM m_scored),
+    m_picked AS (SELECT repo_root, commit_sha, rel_path, coalesce(max(candidate) FILTER (same AND rs = 1 AND {PICK.format("ns")}), max(candidate) FILTER (ra = 1 AND {PICK.format("na")})) AS candidate FROM m_ranked GROUP BY ALL),
+    m_moved AS (SELECT s.repo_root, s.commit_sha, s.rel_path, s.score FROM m_scored s JOIN m_picked p USING (repo_root, commit_sha, rel_path, candidate)),
+    m_content AS (SELECT repo_root, commit_sha FROM (SELECT f.repo_root, f.commit_sha, sum(f.total_lines) AS total, sum(greatest(f.strict, coalesce(m.score, 0))) AS got FROM m_files f LEFT JOIN m_moved m USING (repo_root, commit_sha, rel_path) GROUP BY ALL)
+        WHERE got >= 30 AND got / total >= 0.8),
+    m_reverts AS (SELECT repo_root, sha AS commit_sha, min(commit_time) AS reverted_at FROM (SELECT repo_root, commit_time, regexp_extract(message, 'This reverts commit ([0-9a-f]+)', 1) AS sha FROM commits) WHERE sha <> '' GROUP BY ALL),
+    m_sums AS (SELECT repo_root, commit_sha, CAST(sum(budget) AS BIGINT) AS n FROM budget GROUP BY ALL),
+    m_plain AS (SELECT * FROM commits WHERE event_id % 23 <> 0),
+    m_outcome AS (SELECT p.repo_root, p.commit_sha, p.commit_time, CASE WHEN (matched_added_lines + matched_removed_lines) / (total_added + total_removed) >= 0.5 THEN 1 ELSE 0 END AS heavy_ai_flag,
+        CASE WHEN p.on_mainline = 1 OR c.commit_sha IS NOT NULL THEN 1 ELSE 0 END AS merged_to_mainline_flag, CASE WHEN r.reverted_at > p.commit_time THEN 1 ELSE 0 END AS reverted_later_flag,
+        total_added + total_removed AS commit_total_changed_lines, matched_added_lines + matched_removed_lines AS matched_total_lines, coalesce(b.n, 0) AS budget_total
+        FROM m_plain p JOIN facts f USING ({COMMIT_KEY}) LEFT JOIN m_content c USING ({COMMIT_KEY}) LEFT JOIN m_reverts r USING ({COMMIT_KEY}) LEFT JOIN m_sums b USING ({COMMIT_KEY})),
+    m_gone AS (SELECT repo_root, commit_sha, CAST(sum(least(budget, gone)) AS BIGINT) AS gone FROM (SELECT b.repo_root, b.commit_sha, b.rel_path, b.line_hash, b.budget, sum(e.count) AS gone FROM budget b
+        JOIN commit_hashes e ON e.side = '-' AND e.on_mainline = 1 AND e.repo_root = b.repo_root AND e.rel_path = b.rel_path AND e.line_hash = b.line_hash AND e.commit_time BETWEEN b.commit_time AND b.commit_time + INTERVAL 14 DAY GROUP BY ALL) GROUP BY ALL),
+    m_fixes AS (SELECT h.repo_root, h.commit_sha AS ref, h.commit_time AS fixed, h.rel_path, h.line_hash FROM commit_hashes h JOIN commits c ON c.repo_root = h.repo_root AND c.commit_sha = h.commit_sha WHERE side = '-' AND c.message = 'fix parser' GROUP BY ALL),
+    m_found AS (SELECT DISTINCT b.repo_root, b.commit_sha, f.ref, f.fixed FROM budget b JOIN m_outcome o ON o.repo_root = b.repo_root AND o.commit_sha = b.commit_sha AND o.heavy_ai_flag = 1 AND o.merged_to_mainline_flag = 1
+        JOIN m_fixes f ON f.repo_root = b.repo_root AND f.rel_path = b.rel_path AND f.line_hash = b.line_hash AND f.fixed > b.commit_time AND f.fixed <= b.commit_time + INTERVAL 60 DAY)"""
+M2_LINES = ("commit_hashes", "change_hashes", "commits", "sessions")
+
+
 def commit_tables(read: Read) -> dict[str, DataFrame]:
     commits = read("commits")
     return events.commit_events(commits, read("commit_hashes").select("repo_root", "commit_sha", "rel_path", "side", "line_hash", "count"), read("change_hashes"), read("sessions"), commits.filter("on_mainline = 1"), commits.filter("event_id % 23 = 0"))
 
 
-query("m2_commit_outcomes")(lambda read: commit_tables(read)["outcome"])
-query("m2_commit_churn")(lambda read: commit_tables(read)["churn"])
+query("m2_commit_outcomes", f"WITH {OUTCOMES} SELECT * EXCLUDE (budget_total) FROM m_outcome", M2_LINES)(lambda read: commit_tables(read)["outcome"])
+query("m2_commit_churn", f"""WITH {OUTCOMES} SELECT o.repo_root, o.commit_sha, CASE WHEN merged_to_mainline_flag = 1 THEN budget_total ELSE 0 END AS ai_added_lines_reaching_mainline,
+    CASE WHEN merged_to_mainline_flag = 1 THEN coalesce(g.gone, 0) ELSE 0 END AS ai_added_lines_removed_within_window, 14 AS window_days FROM m_outcome o LEFT JOIN m_gone g ON g.repo_root = o.repo_root AND g.commit_sha = o.commit_sha""", M2_LINES)(lambda read: commit_tables(read)["churn"])
+query("m2_commit_bugs", f"""WITH {OUTCOMES} SELECT repo_root, commit_sha, 1 AS bug_after_merge_flag, first(ref ORDER BY fixed, ref) AS first_bug_signal_commit_sha, min(fixed) AS first_bug_signal_commit_time, count(*) AS bug_signal_count, 60 AS window_days,
+    'git_fix_commit' AS signal_source FROM m_found GROUP BY ALL""", M2_LINES)(lambda read: commit_tables(read)["bug"])
+query("m2_commit_sessions", f"""WITH {OUTCOMES} SELECT s.repo_root, s.commit_sha, s.provider, s.session_id, round(s.matched_lines, 5) AS matched_lines, round(s.share_of_commit, 5) AS share_of_commit, round(s.share_of_ai, 5) AS share_of_ai, p.commit_time,
+    {nm("s.provider", "e.model_name")} AS model_name FROM shares s JOIN m_plain p ON p.repo_root = s.repo_root AND p.commit_sha = s.commit_sha LEFT JOIN sessions e ON e.provider = s.provider AND e.session_id = s.session_id""", M2_LINES)(
+    lambda read: commit_tables(read)["commit_session"].withColumns({c: F.round(c, 5) for c in ("matched_lines", "share_of_commit", "share_of_ai")})
+)
+query("m8_rejected_merges", "SELECT repo_root, commit_sha, commit_time, 'merge commit' AS reason FROM commits WHERE event_id % 23 = 0", ("commits",))(lambda read: commit_tables(read)["rejected"])
 
 # ---- incremental work
 

@@ -13,8 +13,11 @@ SESSION_KEY = "'u' || CAST(user_id AS STRING) || '-' || CAST(CAST(date_trunc('we
 PROVIDER = "CASE user_id % 3 WHEN 0 THEN 'claude' WHEN 1 THEN 'codex' ELSE 'cursor' END"
 MODEL = f"CASE user_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '  ' WHEN 2 THEN ({PROVIDER}) || '/m1' ELSE 'm2' END"
 REPO = "CASE WHEN user_id % 5 = 4 THEN NULL ELSE '/repo/' || CAST(user_id % 5 AS STRING) END"
-BRANCH = "CASE user_id % 6 WHEN 0 THEN 'PAC-12_x' WHEN 1 THEN 'feature/pac-7' WHEN 2 THEN 'codex/ABC-999-demo' WHEN 3 THEN 'plain' WHEN 4 THEN 'staging' ELSE 'develop' END"
-KEYS = ", ".join(f"({k})" for k in range(40))
+BRANCH = "CASE user_id % 6 WHEN 0 THEN 'PAC-12_x' WHEN 1 THEN 'feature/pac-7' WHEN 2 THEN 'codex/QRS-4-sort' WHEN 3 THEN 'plain' WHEN 4 THEN 'staging' ELSE 'develop' END"
+#: A sha has 40 hexadecimal digits.
+SHA = "md5('c' || CAST({0} AS STRING)) || substr(md5('d' || CAST({0} AS STRING)), 1, 8)"
+#: Each row 40 times, with k from 0.
+NUMBERS = {"spark": "LATERAL VIEW explode(sequence(0, 39)) v AS k", "sql": "CROSS JOIN (SELECT unnest(range(40)) AS k)"}
 
 RELATIONS = {
     "base": f"""SELECT event_id, ts, user_id, event_type, value, {SESSION_KEY} AS session_id, {PROVIDER} AS provider, {MODEL} AS model_name, {REPO} AS repo_root,
@@ -22,24 +25,23 @@ RELATIONS = {
     "sessions": """SELECT provider, session_id, max(repo_root) AS repo_root, max(model_name) AS model_name, max(CASE WHEN user_id % 7 = 0 THEN ' ' ELSE repo_root END) AS project_path,
         min(CASE WHEN user_id % 11 <> 0 THEN ts END) AS started_at, max(CASE WHEN user_id % 4 <> 0 THEN ts END) AS ended_at FROM base GROUP BY provider, session_id""",
     "messages": """SELECT provider, session_id, 2 * event_id AS message_index, ts AS message_ts, CASE WHEN event_type = 'purchase' THEN 'system' ELSE 'user' END AS role,
-            CASE event_type WHEN 'error' THEN 'TypeError: parser exploded at line ' || CAST(event_id % 100 AS STRING) WHEN 'view' THEN 'same error' WHEN 'click' THEN 'still failing'
-                WHEN 'signup' THEN 'Need help with parser ' || CAST(event_id % 9 AS STRING) ELSE 'note' END AS content FROM base
+            CASE event_type WHEN 'error' THEN 'ValueError: wrong shape of row ' || CAST(event_id % 100 AS STRING) WHEN 'view' THEN 'same error' WHEN 'click' THEN 'still failing'
+                WHEN 'signup' THEN 'Please sort the columns ' || CAST(event_id % 9 AS STRING) ELSE 'note' END AS content FROM base
         UNION ALL SELECT provider, session_id, 2 * event_id + 1, ts, 'assistant', CASE WHEN event_id % 5 = 0 THEN ' ' ELSE 'try again' END FROM base WHERE event_id % 13 <> 0""",
     "changes": """SELECT provider, session_id, repo_root, event_id AS change_id, 'src/f' || CAST(event_id % 6 AS STRING) || '.py' AS rel_path, ts AS change_ts,
         CASE WHEN event_type = 'purchase' THEN 'tool_write' ELSE 'accepted_change' END AS source_kind, CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 30 END AS lines_added,
         CASE WHEN event_id % 10 = 0 THEN 0 ELSE event_id % 7 END AS lines_removed FROM base WHERE event_type IN ('purchase', 'click')""",
-    "numbers": f"SELECT k FROM (VALUES {KEYS}) AS v(k)",
-    "change_hashes": """SELECT provider, session_id, repo_root, rel_path, '+' AS side, md5('line ' || CAST(CASE WHEN k < 32 THEN change_id * 100 + k ELSE k END AS STRING)) AS line_hash,
-        CAST(1 + k % 3 AS BIGINT) AS count FROM changes CROSS JOIN numbers WHERE k < 36 AND source_kind = 'tool_write' AND repo_root IS NOT NULL""",
-    "commits": """SELECT repo_root, md5('c' || CAST(event_id AS STRING)) AS commit_sha, event_id, ts AS commit_time, user_id, branch,
-        CASE event_type WHEN 'purchase' THEN 'add parser' ELSE CASE event_id % 3 WHEN 0 THEN 'fix parser' WHEN 1 THEN 'Revert x' || chr(10) || 'This reverts commit 0123456789abcdef0123456789abcdef01234567.'
+    "change_hashes": """SELECT provider, session_id, repo_root, rel_path, '+' AS side, md5('line ' || CAST(CASE WHEN k < 32 THEN (change_id - change_id % 8) * 100 + k ELSE k END AS STRING)) AS line_hash,
+        CAST(1 + k % 3 AS BIGINT) AS count FROM changes {numbers} WHERE k < 36 AND source_kind = 'tool_write' AND repo_root IS NOT NULL""",
+    "commits": f"""SELECT repo_root, {SHA.format("event_id")} AS commit_sha, event_id, ts AS commit_time, user_id, branch,
+        CASE event_type WHEN 'purchase' THEN 'add parser' ELSE CASE event_id % 3 WHEN 0 THEN 'fix parser' WHEN 1 THEN 'Revert x' || chr(10) || 'This reverts commit ' || {SHA.format("(event_id - event_id % 40 + 5 * (event_id % 8) + event_id % 5)")} || '.'
             ELSE 'update docs' END END AS message, event_type, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS on_mainline
         FROM base WHERE event_type IN ('purchase', 'error') AND repo_root IS NOT NULL""",
     "commit_hashes": """SELECT repo_root, commit_sha, commit_time, CASE WHEN event_id % 4 = 0 THEN 'lib/f' ELSE 'src/f' END || CAST(event_id % 6 AS STRING) || '.py' AS rel_path, '+' AS side,
-            md5('line ' || CAST(CASE WHEN k < 32 THEN event_id * 100 + k ELSE k END AS STRING)) AS line_hash, CAST(1 + k % 2 AS BIGINT) AS count, on_mainline
-        FROM commits CROSS JOIN numbers WHERE event_type = 'purchase'
+            md5('line ' || CAST(CASE WHEN k < 32 THEN (event_id - event_id % 8) * 100 + k ELSE k END AS STRING)) AS line_hash, CAST(1 + k % 2 AS BIGINT) AS count, on_mainline
+        FROM commits {numbers} WHERE event_type = 'purchase' AND k < CASE WHEN event_id % 6 = 1 THEN 12 ELSE 40 END
         UNION ALL SELECT repo_root, commit_sha, commit_time, 'src/f' || CAST(event_id % 3 AS STRING) || '.py', '-', md5('line ' || CAST(32 + (event_id + k) % 4 AS STRING)), CAST(1 + k % 2 AS BIGINT), on_mainline
-        FROM commits CROSS JOIN numbers WHERE event_type = 'error' AND k < 4""",
+        FROM commits {numbers} WHERE event_type = 'error' AND k < 4""",
     "branch_commits": """SELECT repo_root, branch, commit_sha, commit_time, CAST(row_number() OVER (PARTITION BY repo_root, branch ORDER BY commit_time DESC, commit_sha) - 1 AS BIGINT) AS distance,
             CASE WHEN event_id % 4 <> 3 THEN 1 ELSE 0 END AS on_first_parent
         FROM (SELECT repo_root, branch, commit_sha, commit_time, event_id FROM commits
@@ -81,19 +83,19 @@ RELATIONS = {
     "ev_commit": "SELECT repo_root, commit_sha, event_id % 70 AS total_added, event_id % 20 AS total_removed FROM commits",
 }
 NEEDS = {
-    "base": [], "sessions": ["base"], "messages": ["base"], "changes": ["base"], "numbers": [], "change_hashes": ["base", "changes", "numbers"], "commits": ["base"],
+    "base": [], "sessions": ["base"], "messages": ["base"], "changes": ["base"], "change_hashes": ["base", "changes"], "commits": ["base"],
     "ev_quality": ["base"], "ev_productivity": ["base"], "ev_outcome": ["base", "commits"], "ev_churn": ["base", "commits"], "ev_bug": ["base", "commits"], "ev_commit_session": ["base", "commits"],
     "ev_task_commit": ["base", "commits"], "ev_task_session": ["base", "commits", "ev_quality", "ev_commit_session", "ev_task_commit"], "ev_pr_outcome": ["base", "commits"], "ev_commit": ["base", "commits"],
-    "commit_hashes": ["base", "commits", "numbers"], "branch_commits": ["base", "commits"], "pr_lookups": ["base", "commits"], "pulls": ["base", "commits", "pr_lookups"],
+    "commit_hashes": ["base", "commits"], "branch_commits": ["base", "commits"], "pr_lookups": ["base", "commits"], "pulls": ["base", "commits", "pr_lookups"],
 }
 
 
-def prelude(*names: str, events: str = "events") -> str:
+def prelude(*names: str, events: str = "events", dialect: str = "sql") -> str:
     """`WITH` and the named relations, after what they need."""
     wanted = {n for name in names for n in [name, *NEEDS[name]]}
-    return "WITH " + ",\n".join(f"{n} AS ({RELATIONS[n].replace('{events}', events)})" for n in RELATIONS if n in wanted)
+    return "WITH " + ",\n".join(f"{n} AS ({RELATIONS[n].replace('{events}', events).replace('{numbers}', NUMBERS[dialect])})" for n in RELATIONS if n in wanted)
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     events = f"parquet.`{sf_dir}/events.parquet`"
-    return spark.sql(f"{prelude(name, events=events)} SELECT * FROM {name}")
+    return spark.sql(f"{prelude(name, events=events, dialect="spark")} SELECT * FROM {name}")
