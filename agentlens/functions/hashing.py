@@ -52,9 +52,14 @@ def differs(left: DataFrame, right: DataFrame, keys: list[str], on: list[str]) -
     return both.filter(~F.col("_left").eqNullSafe(F.col("_right"))).select(*keys).distinct()
 
 
+def split_lines(text: str) -> list[str]:
+    """As `lines_of`: only line feeds part lines."""
+    return text.removesuffix("\n").split("\n") if text else []
+
+
 def diff_counts(before: str, after: str) -> tuple[int, int, list[tuple[str, str]]]:
     """Added lines, removed lines, and each as (side, line)."""
-    old, new = before.splitlines(), after.splitlines()
+    old, new = split_lines(before), split_lines(after)
     out: list[tuple[str, str]] = []
     for op, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
         if op != "equal":

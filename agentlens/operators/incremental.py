@@ -50,6 +50,35 @@ def new_sessions(found: DataFrame, known: DataFrame) -> DataFrame:
     return found.join(known.select("session_id").distinct(), "session_id", "left_anti")
 
 
+def first_of_key(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """One row for each key: the first in order."""
+    rest = [c for c in rows.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.struct(*order)).alias("_first")
+    return rows.groupBy(*keys).agg(first).select(*keys, "_first.*")
+
+
+def reconciled(old: DataFrame, new: DataFrame, keys: list[str], version: int) -> tuple[DataFrame, DataFrame]:
+    """The operations of a source after another read of it, and those that are gone: what changed or is new takes `version`, the rest keeps its own.
+
+    `old` have keys, (repo_root, side, line_hash, count) and version; `new` the same without version.
+    """
+    on = ["repo_root", "side", "line_hash"]
+    changed = differs(old.drop("version"), new, keys, on).withColumn("_changed", F.lit(1))
+    before = old.select(*keys, "version").distinct()
+    now = new.join(changed, keys, "left").join(before, keys, "left")
+    kept = now.withColumn("version", F.when(F.col("_changed").isNull(), F.col("version")).otherwise(F.lit(version))).drop("_changed")
+    return kept, before.join(new.select(*keys).distinct(), keys, "left_anti")
+
+
+def repositories(commits: DataFrame) -> DataFrame:
+    return commits.agg(F.count_distinct("repo_root").alias("n_repositories"))
+
+
+def issue_scan_starts(commits: DataFrame) -> DataFrame:
+    """From when on a repository's issues matter: its first commit."""
+    return commits.groupBy("repo_root").agg(F.min("commit_time").alias("scan_from"))
+
+
 def dirty_hashes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """(repo_root, side, line_hash) of operations that came, went or changed between two reads of a source."""
     on = ["repo_root", "side", "line_hash"]

@@ -46,7 +46,7 @@ def tool_calls(rows: DataFrame) -> DataFrame:
     last = outputs.groupBy("source_file", "call_id").agg(F.max_by("output", "_line").alias("output"))
     exited = F.contains("output", F.lit("Process exited with code 0"))
     patched = F.get_json_object("output", "$.metadata.exit_code").try_cast("int") == 0
-    good = F.when(F.col("name") == "apply_patch", patched).otherwise(exited)
+    good = F.when(F.col("name") == "apply_patch", patched).when(F.col("name") == "exec_command", exited)  # no other tool changes files
     return calls.join(last, ["source_file", "call_id"], "left").filter(F.coalesce(good, F.lit(False)))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,16 +15,26 @@ WRITERS = ("edit_file_v2", "apply_patch", "write_file", "write_file_v2")
 HEADERS = "array<struct<bubbleId:string,type:int>>"
 
 
-def read_store(spark: SparkSession, url: str, table: str = "cursorDiskKV") -> DataFrame:
-    """(key, value) of a store that a JDBC driver reaches."""
-    return spark.read.format("jdbc").option("url", url).option("dbtable", table).load().select("key", "value")
+def key_range(prefix: str) -> tuple[str, str]:
+    """From the first key of a kind until before the first that is no more of it."""
+    mark = "-" if prefix == "inlineDiffUndoRedo" else ":"
+    return f"{prefix}{mark}", f"{prefix}{chr(ord(mark) + 1)}"
+
+
+def read_store(spark: SparkSession, url: str, table: str = "cursorDiskKV", sessions: Sequence[str] = ()) -> DataFrame:
+    """(key, value) of a store that a JDBC driver reaches, in a task for each range of keys: each kind, or each kind and session."""
+    ranges = [key_range(p) for p in PREFIXES] if not sessions else [(f"{low}{s}", f"{low}{s};") for p in PREFIXES for low, _ in [key_range(p)] for s in sessions]
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return spark.read.jdbc(url, table, predicates=[f"key >= {quoted(low)} AND key < {quoted(high)}" for low, high in ranges]).select("key", "value")
 
 
 def entries(store: DataFrame) -> DataFrame:
-    """(kind, session_id, item, value): keys are `kind:session:item`; the two undo kinds part with a dash."""
-    kind = F.regexp_extract("key", "^(" + "|".join(PREFIXES) + ")[:-]", 1)
+    """(kind, session_id, item, value): keys are `kind:session:item`; the undo kind parts with a dash. The ranges reach the scan."""
+    within = lambda p: (F.col("key") >= key_range(p)[0]) & (F.col("key") < key_range(p)[1])
+    kind = F.coalesce(*[F.when(within(p), p) for p in PREFIXES])
+    wanted = reduce(lambda a, b: a | b, map(within, PREFIXES))
     parts = F.split(F.regexp_replace("key", "^[A-Za-z]+[:-]", ""), ":", 2)
-    return store.withColumn("kind", kind).filter(F.col("kind") != "").select("kind", parts[0].alias("session_id"), F.get(parts, F.lit(1)).alias("item"), "value")
+    return store.filter(wanted).select(kind.alias("kind"), parts[0].alias("session_id"), F.get(parts, F.lit(1)).alias("item"), "value")
 
 
 def sessions(rows: DataFrame) -> DataFrame:

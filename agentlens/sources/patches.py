@@ -102,10 +102,13 @@ def heredoc_changes(docs: DataFrame, session: list[str], order: list[str]) -> Da
     """
     place = Window.partitionBy(*session, "path").orderBy(*order)
     runs = docs.withColumn("_run", F.sum((F.col("mode") == "overwrite").cast("int")).over(place))
-    inner = Window.partitionBy(*session, "path", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    within = F.array_join(F.collect_list("content").over(inner), "")
-    total = runs.groupBy(*session, "path", "_run").agg(F.array_sort(F.collect_list(F.struct(*order, "content"))).alias("_all"))
-    whole = total.select(*session, "path", (F.col("_run") + 1).alias("_run"), F.array_join(F.transform("_all", lambda x: x["content"]), "").alias("_previous"), (F.col("_run") > 0).alias("_known"))
-    joined = runs.withColumn("_within", within).join(whole, [*session, "path", "_run"], "left")
-    before = F.when(F.col("mode") == "overwrite", F.when(F.col("_known"), F.col("_previous"))).otherwise(F.when(F.col("_run") > 0, F.col("_within")))
-    return joined.withColumn("before", before).drop("_run", "_within", "_previous", "_known")
+    inner = Window.partitionBy(*session, "path", "_run").orderBy(*order)
+    # each run's contents are gathered once; a write takes those before it, or all of the run before
+    gathered = runs.groupBy(*session, "path", "_run").agg(F.array_sort(F.collect_list(F.struct(*order, "content"))).alias("_all"))
+    contents = F.transform("_all", lambda x: x["content"])
+    own = gathered.select(*session, "path", "_run", contents.alias("_own"))
+    earlier = gathered.filter("_run > 0").select(*session, "path", (F.col("_run") + 1).alias("_run"), F.array_join(contents, "").alias("_previous"))
+    joined = runs.withColumn("_rank", F.row_number().over(inner)).join(own, [*session, "path", "_run"]).join(earlier, [*session, "path", "_run"], "left")
+    within = F.array_join(F.slice("_own", F.lit(1), F.col("_rank") - 1), "")
+    before = F.when(F.col("mode") == "overwrite", F.col("_previous")).otherwise(F.when(F.col("_run") > 0, within))
+    return joined.withColumn("before", before).drop("_run", "_rank", "_own", "_previous")

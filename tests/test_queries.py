@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from agentlens import queries as engine
+from agentlens import source_queries  # noqa: F401  registers more of them
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
