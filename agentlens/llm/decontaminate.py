@@ -66,7 +66,7 @@ def seeds(rows: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
     last = F.floor((F.size("_hashes") - 1) / BLOCK).cast("int")
     parts = F.transform(F.sequence(F.lit(0), last), lambda b: F.slice("_hashes", b * BLOCK + 1, F.lit(BLOCK + max(map(len, masks)) - 1)))
     placed = hashed.select(*keep, F.posexplode(parts).alias("_block", "_part")).select(*keep, "_block", "_part", F.explode(F.sequence(F.lit(0), F.least(F.size("_part"), F.lit(BLOCK)) - 1)).alias("_in"))
-    return placed.select(*keep, (F.col("_block") * BLOCK + F.col("_in")).alias("_at"), F.explode(F.array_compact(F.array(*map(masked_hash, masks)))).alias("seed"))
+    return placed.select(*keep, (F.col("_block") * BLOCK + F.col("_in")).alias("_at"), F.explode(F.array(*map(masked_hash, masks))).alias("seed")).filter(F.col("seed").isNotNull())
 
 
 def item_seeds(items: DataFrame) -> tuple[DataFrame, tuple[str, ...]]:
