@@ -2,8 +2,8 @@
 
 Two generative models over hashed n-grams are fitted: the target model on
 labelled rows that are good, the raw model on all documents. The n-grams are
-tokens and the first 4 to 7 characters of longer ones (word stems); they fall
-into `BUCKETS` buckets. A bucket's weight is the log ratio of the number of times
+single tokens and the first 4 to 7 characters of longer ones (word stems), so the
+models know nothing of the order of words; they fall into `BUCKETS` buckets. A bucket's weight is the log ratio of the number of times
 the target model has it to the number that the raw model leads one to expect,
 both with `SMOOTHING` added, so that rare buckets weigh little. A document's log
 weight is the sum over its n-grams, over `n ** LENGTH_POWER`. One line is fitted
@@ -22,7 +22,9 @@ reach the driver.
 Defined cases: a null or empty text has no n-grams and the weight 0, which the
 fitted line maps like any other; ties in the sample go to the smaller id;
 without labels of both kinds every document is kept; repeated rows of one id
-are kept or left together; other columns are kept by `selected`.
+are one document, kept or left together, and so are the rows without an id; labels
+without an id or a quality are ignored; other columns, whatever their names, are
+ignored by `selected`.
 """
 
 from __future__ import annotations
@@ -125,10 +127,12 @@ def top_k(scored: DataFrame, k: int, key: str, score: str) -> DataFrame:
 
 def selected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, log_weight, n_grams, log_odds, sample_score, kept): a row for each distinct id."""
+    docs = docs.select(key, text)
     fit = written(labelled(labels, key))
     ids = docs.select(key).distinct()
     weights = bucket_weights(docs, fit, key, text)
-    scores = written(ids.join(log_weights(docs, weights, key, text), key, "left").fillna(0, ["log_weight", "n_grams"]))
+    found = log_weights(docs, weights, key, text).withColumnRenamed(key, "_of")
+    scores = written(ids.join(found, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of").fillna(0, ["log_weight", "n_grams"]))
     known = scores.join(F.broadcast(fit.filter("for_line")), key).select("log_weight", "target").toPandas()  # at most FIT_ROWS rows
     if known["target"].nunique() < 2:
         return scores.withColumns({"log_odds": F.lit(0.0), "sample_score": F.lit(0.0), "kept": F.lit(True)})
@@ -136,8 +140,8 @@ def selected(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     odds = F.col("log_weight") * slope + offset
     sampled = scores.withColumn("log_odds", odds).withColumn("sample_score", F.col("log_odds") * SHARPNESS + gumbel(key))
     expected = sampled.agg(F.sum(F.round(1e6 / (1 + F.exp(-F.col("log_odds")))).cast("bigint"))).first()[0] or 0
-    kept = top_k(sampled.filter(F.col(key).isNotNull()).select(key, "sample_score"), int(math.ceil(expected / 1e6)), key, "sample_score").select(key, F.lit(True).alias("kept"))
-    return sampled.join(kept, key, "left").fillna(False, ["kept"])
+    kept = top_k(sampled.select(key, "sample_score"), int(math.ceil(expected / 1e6)), key, "sample_score").select(F.col(key).alias("_of"), F.lit(True).alias("kept"))
+    return sampled.join(kept, F.col(key).eqNullSafe(F.col("_of")), "left").drop("_of").fillna(False, ["kept"])
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

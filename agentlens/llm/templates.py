@@ -30,8 +30,8 @@ text, so ids take no part.
 Defined cases: a null text has no lines and stays null; empty lines (or ones of white
 space) are kept and make no templates; words are what single spaces part; lines of one
 word are lines like others; equal texts count once; rows with a null id, and rows that
-repeat an id, are treated like any others; other columns are kept, but for ones named
-`n_lines_dropped`, `_text_id`, `_check` or `_gone`, which are replaced.
+repeat an id, are treated like any others; other columns are kept, whatever their names,
+but for one named `n_lines_dropped`, which is replaced.
 """
 
 from __future__ import annotations
@@ -131,11 +131,12 @@ def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def without_templates(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with recurring lines taken out of `text`, and n_lines_dropped."""
-    docs = docs.drop("n_lines_dropped", "_text_id", "_check", "_gone")
-    gone = written(dropped_lines(docs, text).groupBy("_text_id", "_check").agg(F.collect_set("_at").alias("_gone")))
-    rows = docs.select("*", *text_names(text)).join(gone, ["_text_id", "_check"], "left")
-    rest = F.array_join(F.filter(F.split(text, "\n"), lambda line, at: ~F.array_contains("_gone", at)), "\n")
-    return rows.select(*[F.when(F.col("_gone").isNull(), F.col(text)).otherwise(rest).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("_gone"), F.lit(0)).alias("n_lines_dropped"))
+    gone = written(dropped_lines(docs.select(text), text).groupBy("_text_id", "_check").agg(F.collect_set("_at").alias("_gone")))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_lines_dropped"]).alias("_row"), *text_names(text)).join(gone, ["_text_id", "_check"], "left")
+    own = lambda c: F.col("_row").getField(c)
+    rest = F.array_join(F.filter(F.split(own(text), "\n"), lambda line, at: ~F.array_contains("_gone", at)), "\n")
+    kept = F.when(F.col("_gone").isNull(), own(text)).otherwise(rest)
+    return rows.select(*[(kept if c == text else own(c)).alias(c) for c in docs.columns if c != "n_lines_dropped"], F.coalesce(F.size("_gone"), F.lit(0)).alias("n_lines_dropped"))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

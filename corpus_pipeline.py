@@ -1,4 +1,11 @@
-"""A training corpus from `documents`: five stages, each written as Parquet and reread as the next one's documents."""
+"""A training corpus from `documents`: five stages, each written as Parquet and reread as the next one's documents.
+
+All stages but the last return the columns of documents, more columns included, and
+treat odd rows alike: a null text is empty and stays null; rows that repeat an id are
+one document in decisions (they stay or go together); rows without an id can't be
+named by a decision and stay; equal texts are treated equally; a text of any length
+is worked on as a whole; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

@@ -6,13 +6,14 @@ import math
 import os
 import random
 import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from agentlens.llm import decontaminate, ngram_join, quality, repeats, secrets, sentence_pieces, templates
 from agentlens.llm.components import components
-from agentlens.llm.common import written
+from agentlens.llm.common import table, written
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 ODD = ["", " ", "  ", "a  b ", " a", "▁▁x ▁", "\n\n", "x\0y", "😀 ü　z  \t", "a" * 500, "  " * 17 + "q", " " * 40, "<s> </s> <unk>", "▁", "word " * 3000, "x" * 20000]
@@ -270,6 +271,53 @@ def test_quality_keeps_good_documents(spark):
     assert all(again[i] == got[i]["kept"] for i in again)
 
 
+def test_quality_equals_plain_models(spark):
+    """The models in dictionaries, the odds' sum and the k largest noisy odds; for rows without an id and repeated ids too."""
+    rng = random.Random(17)
+    rows = [(i, " ".join(prose(rng.randint(0, 40), 4000 + i) + [rng.choice(["Fine", "Awful!", "x"])] * (i % 4))) for i in range(160)] + [(3, "another row of it"), (None, "No id here"), (None, "nor here"), (200, None)]
+    labels = spark.createDataFrame([(i, int(i % 4 != 1), int(i % 9 == 0)) for i in range(0, 160, 2)] + [(i, int(i % 8 == 5), 0) for i in range(1, 160, 6)], "doc_id bigint, quality int, toxic int")
+    df = spark.createDataFrame([(i, t, 7, 7, 7) for i, t in rows], "doc_id bigint, text string, kept int, target int, bucket int")
+    fit = {r["doc_id"]: r for r in quality.labelled(labels, "doc_id").collect()}
+
+    def grams(t):
+        for w in re.findall(r"[A-Za-z0-9]+|[^A-Za-z0-9\s]+", t or ""):
+            yield (0, w)
+            yield from ((n, w.lower()[:n]) for n in quality.STEMS if len(w) > n)
+
+    raw, target = Counter(), Counter()
+    for i, t in rows:
+        raw.update(grams(t))
+        if i in fit and not fit[i]["for_line"] and fit[i]["target"]:
+            target.update(grams(t))
+    share = sum(target.values()) / sum(raw.values())
+    weight = {g: math.log((target[g] + 1) / (n * share + 1)) for g, n in raw.items()}
+    total, count = Counter(), Counter()
+    for i, t in rows:
+        for g in grams(t):
+            total[i] += round(weight[g] * 1e6)
+            count[i] += 1
+    want = {i: total[i] / 1e6 / math.sqrt(count[i]) if count[i] else 0.0 for i, _ in rows}
+    line = [(want[i], r["target"]) for i, r in fit.items() if r["for_line"] and i in want]
+    slope, offset = quality.fitted_line(np.array([x for x, _ in line]), np.array([float(y) for _, y in line]))
+    odds = {i: x * slope + offset for i, x in want.items()}
+    k = math.ceil(sum(1 / (1 + math.exp(-o)) for o in odds.values()) - 1e-6)
+    noise = {r["doc_id"]: r["g"] for r in df.select("doc_id", quality.gumbel("doc_id").alias("g")).distinct().collect()}
+    best = set(sorted(odds, key=lambda i: -(odds[i] * quality.SHARPNESS + noise[i]))[:k])
+    got = {r["doc_id"]: r for r in quality.selected(df, labels).collect()}
+    assert set(got) == set(want) and {i for i, r in got.items() if r["kept"]} == best and 20 < len(best) < 150
+    for i, r in got.items():
+        assert math.isclose(r["log_weight"], want[i], abs_tol=1e-6) and r["n_grams"] == count[i] and math.isclose(r["log_odds"], odds[i], abs_tol=1e-4)
+
+
+def test_quality_on_held_out_labels(spark):
+    """Of labelled rows that the fit hasn't seen, on the small test table: most good ones stay, most others go."""
+    docs_, labels = (table(spark, "/root/testdata/sf0.01", n) for n in ("documents", "labels"))
+    held = labels.filter(F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(3)) == 0)
+    found = quality.selected(docs_, labels.join(held.select("doc_id"), "doc_id", "left_anti")).select("doc_id", "kept").join(held, "doc_id").toPandas()
+    good = (found["quality"] == 1) & (found["toxic"] == 0)
+    assert found[good]["kept"].mean() > 0.75 and found[found["quality"] == 0]["kept"].mean() < 0.35
+
+
 def test_quality_without_labels_or_documents(spark):
     labels = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     assert all(r["kept"] for r in quality.selected(docs(spark, ["a", None]), labels).collect())

@@ -49,3 +49,22 @@ def test_leaks_go(spark, steps):
 
 def test_ids_decode(steps):
     assert steps[5].filter(~F.col("round_trip")).count() == 0 and steps[5].filter("n_tokens <> size(ids)").count() == 0
+
+
+def test_odd_rows_pass_through(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows and ids, more columns with clashing names, and empty tables."""
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (None, 1, 0), (3, None, None)], "doc_id bigint, quality int, toxic int")
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, "a b")], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(1, "some text of it", "en", "s", 15), (1, "some text of it", "en", "s", 15), (2, None, None, None, None), (None, "no id", "en", None, 5), (None, None, None, None, None), (4, "", "de", "s", 0), (5, "word " * 50_000, "en", "s", 250_000), (-6, "below zero", "en", "s", 10)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    for table_rows in (rows, []):
+        docs = spark.createDataFrame(table_rows, schema)
+        for extra in ("kept", "_gone", "component_id", "_item", "seed"):
+            docs = docs.withColumn(extra, F.lit("mine"))
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            out = written(stage(spark, docs, str(tmp_path)))
+            assert out.columns == docs.columns, name
+            assert out.filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count() and out.filter("kept <> 'mine'").count() == 0, name
+        last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+        assert last.count() == len(table_rows) and last.filter("NOT coalesce(round_trip, true)").count() == 0
