@@ -5,13 +5,14 @@ The SQL tells from the events what the parsers have to find in the texts made of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import hashing
 from agentlens.operators import incremental, outcomes
 from agentlens.queries import Read, query
-from agentlens.sources import claude_logs, codex_logs, kv_store, log_relations, patches, pull_files
+from agentlens.sources import claude_logs, codex_logs, kv_store, patches, pull_files, store_changes
+from agentlens.sources.log_relations import NEEDS, RELATIONS  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
 NAMED = f"SELECT *, session_id || '.jsonl' AS source_file, {SECOND} AS t0 FROM placed_"
@@ -171,4 +172,36 @@ query("j16_dirty_commits", """SELECT DISTINCT h.repo_root, h.commit_sha FROM com
     lambda read: incremental.dirty_commits(read("commit_hashes"), read("change_hashes").filter("provider = 'codex' AND count = 2").select("repo_root", "side", "line_hash").distinct())
 )
 query("u4_first_of_key", "SELECT user_id, first(event_id ORDER BY ts, event_id) AS event_id FROM base GROUP BY user_id", ("base",))(lambda read: incremental.first_of_key(read("base"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id"))
-__all__ = ["log_relations"]
+
+# ---- records of the store beyond tool calls
+
+query("p16_project_paths", """SELECT session_id, CASE WHEN count(DISTINCT event_id % 3) = 1 THEN '/repo/x/d' || min(event_id % 3) ELSE '/repo/x' END AS project_path FROM base GROUP BY session_id""", ("base",))(
+    lambda read: store_changes.project_paths(read("base").select("session_id", F.lit(0).alias("source"), F.concat(F.lit("file:///repo/x/d"), F.col("event_id") % 3, F.lit("/f"), F.col("event_id"), F.lit(".py")).alias("path")).unionByName(read("base").select("session_id", F.lit(1).alias("source"), F.lit("/other").alias("path"))).unionByName(read("base").select("session_id", F.lit(0).alias("source"), F.concat(F.lit("/repo/x/d"), F.col("event_id") % 3, F.lit("/g.py")).alias("path"))))
+)
+query("p17_model_names", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'gpt-' || (event_id % 7) WHEN 1 THEN 'default' WHEN 2 THEN 'Claude-' || (event_id % 5) END AS model_name FROM base""", ("base",))(
+    lambda read: read("base").select("event_id", F.concat(F.lit('{"a":[{"defaultModel":"default"},{"model":{"name":" '), F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("gpt-"), F.col("event_id") % 7)).otherwise("none"), F.lit(' "}}],"b":{"chatModel":"'), F.when(F.col("event_id") % 4 == 2, F.concat(F.lit("Claude-"), F.col("event_id") % 5)).otherwise("x"), F.lit('"}}')).alias("v"), F.col("event_id").alias("e"))
+    .withColumn("v", F.when(F.col("e") % 4 == 3, F.lit('{"model":"mine"}')).otherwise(F.col("v"))).select("event_id", store_changes.model_name("v").alias("model_name"))
+)
+BLOCKS = """SELECT session_id, event_id, '{"file:///r/f' || CAST(event_id % 6 AS STRING) || '.py":[{"status":"accepted","partialInlineDiffFatesId":"p' || CAST(event_id AS STRING) || '","version":2,"content":"x' || CAST(event_id AS STRING) || '"},{"status":"accepted","isNoOp":true,"diffId":"d"},{"status":"rejected"}],"/r/g.py":{"0":{"status":"accepted","content":"y","codeBlockIdx":1}}}' AS value FROM base WHERE event_type = 'click'"""
+RELATIONS["code_blocks"], NEEDS["code_blocks"] = BLOCKS, ["base"]
+query("p18_targets", """SELECT event_id AS session_id, x.path, CASE WHEN x.k = 0 THEN 'p' || event_id END AS partial_id, CASE WHEN x.k = 1 THEN 'd' END AS diff_id, CASE x.k WHEN 0 THEN 'x' || event_id WHEN 2 THEN 'y' END AS content, CASE WHEN x.k = 0 THEN 2 ELSE 0 END AS version, CASE WHEN x.k = 2 THEN 1 ELSE 0 END AS idx, x.k <> 1 AS applied
+    FROM code_blocks, unnest([{'k': 0, 'path': '/r/f' || (event_id % 6) || '.py'}, {'k': 1, 'path': '/r/f' || (event_id % 6) || '.py'}, {'k': 2, 'path': '/r/g.py'}]) AS u(x)""", ("code_blocks",))(lambda read: store_changes.targets(read("code_blocks").withColumn("session_id", F.col("event_id")), "value"))
+query("p20_history_lines", """SELECT 's' AS session_id, 'f' || (user_id % 50) AS path, count(*) AS lines_added, count(*) AS lines_removed FROM (SELECT *, lead(event_id) OVER (PARTITION BY user_id % 50 ORDER BY event_id) AS after FROM base) WHERE event_id % 3 = 0 AND event_id >= 100 AND after IS NOT NULL GROUP BY ALL""", ("base",))(
+    lambda read: store_changes.history_lines(*(lambda h: (h.drop("_last"), h.filter("_last = id").select(F.lit("s").alias("session_id"), "path", F.lit(100).alias("begin_ms"), (F.col("_last") - 1).alias("end_ms"))))(
+        read("base").select(F.concat(F.lit("f"), F.col("user_id") % 50).alias("path"), F.col("event_id").alias("id"), F.col("event_id").alias("timestamp"), F.when(F.col("event_id") % 3 == 0, "Undo edit").otherwise("Edit").alias("source"), F.concat(F.lit("a\n"), F.col("event_id"), F.lit("\nb\n")).alias("content"), F.max("event_id").over(Window.partitionBy(F.col("user_id") % 50)).alias("_last"))))
+)
+query("p22_inline_changes", """SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'c,d' WHEN 1 THEN 'z' || event_id ELSE '' END AS added, CASE WHEN event_id % 4 = 1 THEN 'q' ELSE '' END AS removed, CASE event_id % 4 WHEN 2 THEN 'a range out of bounds' WHEN 3 THEN 'no changes' END AS error FROM base""", ("base",))(
+    lambda read: store_changes.inline_changes(read("base").select("event_id", F.concat(F.lit('{"newTextLines":["b","c","d"],'), F.when(F.col("event_id") % 4 == 0, F.lit('"changes":[{"addedRange":{"startLineNumber":2,"endLineNumberExclusive":4}}]')).when(F.col("event_id") % 4 == 1, F.concat(F.lit('"changes":[{"addedTextLines":["z'), F.col("event_id"), F.lit('"],"removedTextLines":["q"]}]')))
+        .when(F.col("event_id") % 4 == 2, F.lit('"changes":[{"addedRange":{"startLineNumber":2,"endLineNumberExclusive":5}}]')).otherwise('"other":1'), F.lit("}")).alias("value")), ["event_id"]).withColumns({c: F.array_join(c, ",") for c in ("added", "removed")})
+)
+SCORES = [("historical_removed", 2), ("live_added", 3), ("live_removed", 3), ("checkpoint", 2), ("strong_hint", 2), ("weak_hint", 2), ("basename", 2), ("proximity", 4)]
+RELATIONS["path_candidates"] = "SELECT user_id AS session_id, CAST(event_id % 3 AS STRING) AS item, '/r/' || CAST(event_id AS STRING) AS path, " + ", ".join(f"CAST((event_id * {2 * k + 7} + event_id % {k + 11}) % {m} AS INT) AS {n}" for k, (n, m) in enumerate(SCORES)) + " FROM base"
+NEEDS["path_candidates"] = ["base"]
+RANKED = ", ".join(f"{n} DESC" for n, _ in SCORES)
+query("p25_confident_paths", f"""WITH s AS (SELECT *, 100 * historical_removed + 10 * live_added + live_removed AS a, 100 * checkpoint + 10 * strong_hint + 5 * weak_hint + 2 * basename + proximity AS b, ({", ".join(n for n, _ in SCORES)}) AS r FROM path_candidates),
+    o AS (SELECT *, row_number() OVER w AS place, lead(a) OVER w AS na, lead(b) OVER w AS nb, lead(r) OVER w AS nr FROM s WINDOW w AS (PARTITION BY session_id, item ORDER BY {RANKED}, path))
+    SELECT session_id, item, path FROM o WHERE place = 1 AND a > 0 AND CASE WHEN na IS NULL THEN historical_removed > 0 OR live_added > 0 OR live_removed >= 2 WHEN r = nr THEN false WHEN a > na THEN historical_removed > 0 OR live_added > 0 OR live_removed >= 2
+        ELSE a = na AND b > nb AND (historical_removed > 0 OR live_added >= 2 OR live_removed >= 2) END""", ("path_candidates",))(lambda read: store_changes.confident_paths(read("path_candidates")))
+query("p27_block_versions", """SELECT user_id AS session_id, 'f' AS path, count(*) AS lines_added, count(*) - 1 AS lines_removed FROM base GROUP BY user_id""", ("base",))(
+    lambda read: store_changes.legacy_changes(read("base").select(F.col("user_id").alias("session_id"), F.lit("f").alias("path"), F.lit(None).cast("string").alias("diff_id"), F.concat(F.lit("v"), F.col("event_id")).alias("content"), F.col("event_id").cast("int").alias("version"), F.lit(0).alias("idx"), F.lit(True).alias("applied")))
+)

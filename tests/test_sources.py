@@ -2,7 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
-from agentlens.sources import claude_logs, codex_logs, files, kv_store, patches
+from agentlens.sources import claude_logs, codex_logs, files, kv_store, patches, store_changes
 from agentlens.streaming import ingest
 
 
@@ -115,3 +115,20 @@ def test_live_pastes(spark):
     rows = spark.createDataFrame([("c", "user", "2026-03-01 00:00:00", "TypeError: x"), ("c", "user", "2026-03-01 00:10:00", "fine"), ("c", "user", "2026-03-01 02:00:00", "fine"), ("c", "assistant", "2026-03-01 02:00:00", "TypeError: x")], "provider string, role string, t string, content string")
     got = ingest.live_error_pastes(rows.withColumn("message_ts", F.col("t").cast("timestamp"))).orderBy("window_start").collect()
     assert [(r["n_messages"], r["n_pastes"]) for r in got] == [(2, 1), (1, 0)]
+
+
+def test_store_changes_by_stage(spark):
+    rows = lambda *x: spark.createDataFrame(list(x), "session_id string, path string, lines_added int, lines_removed int")
+    found = store_changes.cascade(rows(("s", "a", 1, 0)), rows(("s", "a", 9, 9), ("s", "b", 2, 0)), rows(("s", "b", 9, 9), ("t", "a", 3, 0)), rows(("s", "c", 4, 0), ("t", "a", 9, 9)))
+    assert sorted((r["session_id"], r["path"], r["lines_added"], r["stage"]) for r in found.collect()) == [("s", "a", 1, 0), ("s", "b", 2, 1), ("s", "c", 4, 3), ("t", "a", 3, 2)]
+
+
+def test_project_path_is_a_repository(spark):
+    hints = spark.createDataFrame([("s", 2, "file:///r/x%20y/src/a/f.py"), ("s", 2, "/r/x y/src/b/g.py"), ("s", 3, "/elsewhere"), ("t", 1, "/w/only.py"), ("u", 0, "/p/a"), ("u", 0, "/q/b")], "session_id string, source int, path string")
+    repos = spark.createDataFrame([("/r",), ("/r/x y",), ("/r/x y/src/a",)], "repo_root string")
+    assert {r["session_id"]: r["project_path"] for r in store_changes.project_paths(hints).collect()} == {"s": "/r/x y/src", "t": "/w", "u": ""}
+    assert {r["session_id"]: r["project_path"] for r in store_changes.project_paths(hints, repos).collect()}["s"] == "/r/x y"
+
+
+def test_store_key_ranges():
+    assert kv_store.key_range("bubbleId") == ("bubbleId:", "bubbleId;") and kv_store.key_range("inlineDiffUndoRedo") == ("inlineDiffUndoRedo-", "inlineDiffUndoRedo.")
