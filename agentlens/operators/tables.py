@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,9 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+@lru_cache(maxsize=64)
+def own_folder(folder: str, application: str, session: SparkSession) -> str:
+    """A folder of this application's within the shared one; the file system deletes it when the driver ends."""
+    path = session._jvm.org.apache.hadoop.fs.Path(f"{folder}/agentlens-{application}")
+    files = path.getFileSystem(session._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return path.toString()
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder: what several plans start from is computed once, and a lost executor loses nothing."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{own_folder(shared_folder(spark), spark.sparkContext.applicationId, spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -13,7 +13,7 @@ DAY = datetime(2026, 3, 1)
 
 
 def test_debug_loop_and_paste(spark):
-    texts = ["Need help with parser", "TypeError: parser exploded at line 12", "same error", "still failing", "doesnt work, same error", "TypeError: parser exploded at line 12"]
+    texts = ["Please sort the columns", "ValueError: wrong shape of row 31", "same error", "still failing", "still failing, same error", "ValueError: wrong shape of row 77"]
     rows = [("c", "s", 2 * i + j, r, t) for i, u in enumerate(texts) for j, (r, t) in enumerate((("user", u), ("assistant", "try again")))]
     rows += [("c", "none", 0, "assistant", "hello"), ("c", "blank", 0, "user", "  ")]
     got = conversation.summaries(spark.createDataFrame(rows, "provider string, session_id string, message_index bigint, role string, content string")).collect()

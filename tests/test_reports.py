@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from agentlens.plans import reports, scorecards, stream
 from agentlens.plans.events import task_sessions
 
+# fixed values: rows of a reporting fixture (session ids, shas, times, counts) whose reports are known figures
 QUALITY = """codex,019cb311-b93e-7423-aeb4-81249c578638,R,codex/gpt-5.3-codex,2026-03-03T09:40:09.156Z,2026-03-03T16:10:00.000Z,117,0,1,1,2026-03-03T15:22:37.117Z,342.46601678431034,1
 cursor,b052dae4-a1d2-43f0-a3ba-6faf6a40489e,,cursor/default,2026-03-05T07:02:58+00:00,2026-03-05T07:05:00+00:00,1,0,0,1,2026-03-05T07:02:58+00:00,0.0,0
 codex,019cd678-8f72-7b43-a07f-d49cdbbb81c9,R,codex/gpt-5.3-codex,2026-03-10T06:39:11.222Z,2026-03-10T12:00:00.000Z,15,0,1,1,2026-03-10T11:37:27.402Z,298.26966628432274,1
