@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, by registered name."""
 
-from agentlens.llm import decontaminate, neighbours, ngram_join, page_text, quality, repeats, secrets, sentence_pieces, templates, url_filter
+from agentlens.llm import collocations, decontaminate, exact_copies, lexical_search, neighbours, ngram_join, page_text, quality, repeats, secrets, sentence_pieces, templates, url_filter
 
 QUERIES = {
     "op1_sentencepiece": sentence_pieces.op1_sentencepiece,
@@ -13,5 +13,8 @@ QUERIES = {
     "op8_ngram_join": ngram_join.op8_ngram_join,
     "op9_page_text": page_text.op9_page_text,
     "op10_repeats": repeats.op10_repeats,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_lexical_search": lexical_search.op12_lexical_search,
+    "op13_exact_dedup": exact_copies.op13_exact_dedup,
 }
-SQL = {**url_filter.SQL, **secrets.SQL, **ngram_join.SQL}
+SQL = {**url_filter.SQL, **secrets.SQL, **ngram_join.SQL, **collocations.SQL, **lexical_search.SQL, **exact_copies.SQL}
