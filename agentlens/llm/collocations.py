@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -51,8 +52,9 @@ def words(text: str) -> list[bytes]:
     return text.encode().translate(BYTES).replace(END, b" . ").split()
 
 
-def hash_of(word: bytes, lang: str) -> int:
-    return xxhash.xxh64_intdigest(word, xxhash.xxh64_intdigest(lang))
+def hashes_of(words: list[bytes], lang: str) -> np.ndarray:
+    seed, digest = xxhash.xxh64_intdigest(lang), xxhash.xxh64_intdigest
+    return np.fromiter((digest(w, seed) for w in words), np.uint64, len(words))
 
 
 def chained(first: np.ndarray, k: int) -> np.ndarray:
@@ -82,7 +84,7 @@ def filter_of(phrases: DataFrame, k: int, n: int) -> Filter:
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h = np.array([chained(np.array([hash_of(w, lang) for w in p.encode().split(b" ")], np.uint64), k)[0] for lang, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.uint64)
+            h = np.array([chained(hashes_of(p.encode().split(b" "), lang), k)[0] for lang, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], np.uint64)
             h &= np.uint64(bits - 1)
             yield pa.RecordBatch.from_arrays([pa.array((h >> np.uint64(6)).astype(np.int64)), pa.array((np.uint64(1) << (h & np.uint64(63))).view(np.int64))], names=["place", "mask"])
 
@@ -90,31 +92,36 @@ def filter_of(phrases: DataFrame, k: int, n: int) -> Filter:
     return Filter(bits, rows["place"].to_numpy(), rows["mask"].to_numpy().view(np.uint64))
 
 
-def counted_phrases(lang: str, tokens: list[bytes], k: int, passing: Filter | None) -> tuple[list[str], np.ndarray]:
+def counted_phrases(lang: str, tokens: list[bytes], k: int, passing: Filter | None) -> tuple[pa.Array, np.ndarray]:
     """The distinct phrases of `k` words in `tokens`, of which both parts pass, and how often each occurs."""
-    codes_of: dict[bytes, int] = {END: 0}
-    codes = np.fromiter((codes_of.setdefault(w, len(codes_of)) for w in tokens), np.int64, len(tokens))
-    names = list(codes_of)
-    if len(codes) < k:
-        return [], np.empty(0, np.int64)
+    names = list(dict.fromkeys([END, *tokens]))
+    codes = np.fromiter(map(dict(zip(names, range(len(names)))).__getitem__, tokens), np.int64, len(tokens))
+    text = pa.array(names, pa.binary()).cast(pa.string())
     if k == 1:
-        starts = np.flatnonzero(codes)
-    else:
-        hashes = np.array([hash_of(w, lang) for w in names], np.uint64)[codes]
-        inside = codes != 0
-        whole = inside[: len(codes) - k + 1].copy()
-        for j in range(1, k):
-            whole &= inside[j : len(codes) - k + 1 + j]
-        part = passing.has(chained(hashes, k - 1))
-        starts = np.flatnonzero(whole & part[:-1] & part[1:])
-    if not len(starts):
-        return [], np.empty(0, np.int64)
-    key = codes[starts]
-    for j in range(1, k):  # a number for each distinct phrase so far, so that the next word fits in 64 bits
-        key = np.unique(key * len(names) + codes[starts + j], return_inverse=True)[1]
-    _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    text = [w.decode() for w in names]
-    return [" ".join([text[c] for c in codes[s : s + k]]) for s in starts[first]], counts
+        counts = np.bincount(codes, minlength=len(names))
+        return text[1:], counts[1:]
+    if len(codes) < k:
+        return text[:0], np.empty(0, np.int64)
+    hashes = hashes_of(names, lang)[codes]
+    inside = codes != 0
+    whole = inside[: len(codes) - k + 1].copy()
+    for j in range(1, k):
+        whole &= inside[j : len(codes) - k + 1 + j]
+    part = passing.has(chained(hashes, k - 1))
+    starts = np.flatnonzero(whole & part[:-1] & part[1:])
+    # a number for each distinct phrase of two words, then of three, ..., so that the next word always fits in 64 bits
+    number, told = codes[starts], []
+    for j in range(1, k):
+        both = number * len(names) + codes[starts + j]
+        distinct, counts = np.unique(both, return_counts=True)
+        told.append(distinct)
+        number = np.searchsorted(distinct, both) if j < k - 1 else None
+    last, parts = told[-1], []
+    for _ in told:
+        parts.append(text.take(pa.array(last % len(names))))
+        first = last // len(names)
+        last = told[len(told) - len(parts) - 1][first] if len(parts) < len(told) else first
+    return pc.binary_join_element_wise(text.take(pa.array(last)), *reversed(parts), " "), counts
 
 
 def level(docs: DataFrame, k: int, passing: Filter | None) -> DataFrame:
@@ -125,8 +132,8 @@ def level(docs: DataFrame, k: int, passing: Filter | None) -> DataFrame:
     def block(lang: str, tokens: list[bytes]) -> pa.RecordBatch:
         phrases, counts = counted_phrases(lang, tokens, k, sent.value)
         if k == 1 and len(counts):
-            phrases, counts = [*phrases, ""], np.append(counts, counts.sum())
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(phrases), pa.string()), pa.array(phrases, pa.string()), pa.array(counts, pa.int64())], schema=COUNTED)
+            phrases, counts = pa.concat_arrays([phrases, pa.array([""])]), np.append(counts, counts.sum())
+        return pa.RecordBatch.from_arrays([pa.repeat(lang, len(phrases)), phrases, pa.array(counts, pa.int64())], schema=COUNTED)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[bytes]] = {}

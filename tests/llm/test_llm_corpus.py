@@ -194,7 +194,7 @@ def test_parts_of_a_long_text_add_up():
         every = collocations.Filter(64, np.array([0]), np.array([2**64 - 1], np.uint64))
         for at in range(0, len(tokens), 7):
             for p, n in zip(*collocations.counted_phrases("en", [*tokens[at : at + 7 + k - 1], collocations.END], k, every)):
-                found[p] += int(n)
+                found[p.as_py()] += int(n)
         pieces = " ".join(t.decode() for t in tokens).split(".")
         told = Counter(" ".join(ws[i : i + k]) for p in pieces for ws in [p.split()] for i in range(len(ws) - k + 1))
         assert found == told
