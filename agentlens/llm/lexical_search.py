@@ -70,9 +70,15 @@ def impacts(counts: np.ndarray, lengths: np.ndarray, n_docs: int, n_terms: int)
 
 def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, int, int]:
     """The written index, the number of documents with terms and the number of all their terms."""
-    words = F.regexp_count(whole_text(text), F.lit(TERM)).cast("bigint")
-    size = docs.agg(F.count_if(words > 0).alias("docs"), F.coalesce(F.sum(words), F.lit(0)).alias("terms")).first()
-    n_docs, n_terms = size["docs"], size["terms"]
+    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
+
+    def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [n for t in batch.column(0) if (n := len(terms(t.as_py())))]
+            yield pa.RecordBatch.from_pydict({"docs": [len(found)], "terms": [sum(found)]})
+
+    sizes = rows.select("_text").mapInArrow(size, "docs bigint, terms bigint").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("docs", "terms"))).first()
+    n_docs, n_terms = sizes["docs"], sizes["terms"]
 
     def block_row(name: int, held: list[tuple[int | None, Counter, int]]) -> dict:
         table_of: dict[bytes, int] = {}
@@ -103,7 +109,6 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
         if held:
             yield pa.RecordBatch.from_pylist([block_row(name, held)], schema=INDEX)
 
-    rows = docs.select(F.col(key).cast("bigint").alias("_key"), F.col(text).alias("_text"))
     return written(rows.mapInArrow(build, INDEX_SQL)), n_docs, n_terms
 
 
