@@ -43,8 +43,8 @@ BLOCK_DOCS, BLOCK_TERMS = 64, 100_000
 FIRST_BLOCKS = 4
 #: Items of a lot and their terms, at most; an item with more terms is a lot of its own. A task holds a matrix of terms by items.
 LOT_ITEMS, LOT_TERMS = 256, 40_000
-#: Blocks that a task holds at once.
-GROUP_BLOCKS = 16
+#: Blocks that a task holds at once, and bytes of a row group of the index, which is decoded as a whole.
+GROUP_BLOCKS, ROW_GROUP = 8, str(4 << 20)
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: In UTF-8 a term is a run of ASCII letters, digits and bytes of other characters; all else becomes a blank.
 BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -109,7 +109,7 @@ def build_index(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
         if held:
             yield pa.RecordBatch.from_pylist([block_row(name, held)], schema=INDEX)
 
-    return written(rows.mapInArrow(build, INDEX_SQL)), n_docs, n_terms
+    return written(rows.mapInArrow(build, INDEX_SQL), **{"parquet.block.size": ROW_GROUP}), n_docs, n_terms
 
 
 class Lot:
