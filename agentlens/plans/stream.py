@@ -44,7 +44,7 @@ def text_or_null(df: DataFrame, name: str) -> Column:
 
 def envelope(df: DataFrame, stream: str, category: str) -> DataFrame:
     kind, time, identity = STREAMS[stream]
-    fields = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX"})
+    fields = F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"})
     return df.select(
         F.lit(stream).alias("stream_type"),
         F.lit(kind if category == "all" else category).alias("category"),

@@ -212,6 +212,28 @@ def stream_sql(view_sql: str, name: str, time: str, task: bool, provider: bool)
 STREAM = " UNION ALL ".join([stream_sql(V1, "session-base", "started_at", False, True), stream_sql(V2, "task-session-base", "started_at", True, True), stream_sql(V4, "change-base", "commit_time", False, False),
                              stream_sql(V5, "commit-session-base", "commit_time", False, True), stream_sql(V6, "task-commit-base", "commit_time", True, False)])
 query("r5_event_stream", STREAM, COMMIT_EVENTS)(lambda read: stream.event_stream(event_tables(read)).drop("fields"))
+#: The columns of each base as the stream's `fields` have them, by name.
+SESSION_FIELDS = "accepted_output_flag debug_loop_flag first_accepted_change_at mid_session_error_paste_flag minutes_to_first_accepted_change model_name provider repo_root session_commit_within_4h_flag session_id started_at user_turn_count week_start".split()
+CHANGE_FIELDS = "ai_added_lines_reaching_mainline ai_added_lines_removed_within_window bug_after_merge_flag bug_signal_count commit_sha commit_time commit_total_changed_lines first_bug_signal_commit_sha first_bug_signal_commit_time heavy_ai_flag merged_to_mainline_flag repo_root reverted_later_flag week_start".split()
+TIMES = ("first_accepted_change_at", "started_at", "commit_time", "first_bug_signal_commit_time")
+
+
+def fields_sql(view_sql: str, keys: list[str]) -> str:
+    text = lambda c: f"strftime({c}, '%Y-%m-%dT%H:%M:%S.%gZ')" if c in TIMES else f"CAST(round({c}, 6) AS VARCHAR)" if c.startswith("minutes") else f"CAST({c} AS VARCHAR)"
+    return f"SELECT {', '.join(f'{text(c)} AS f_{c}' for c in keys)}, {len(keys)} AS n_fields FROM ({view_sql})"
+
+
+def field_by_field(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Each key of `fields` as a column, and how many keys there are."""
+    value = lambda c: F.round(F.get_json_object("fields", f"$.{c}").cast("double"), 6).cast("string") if c.startswith("minutes") else F.get_json_object("fields", f"$.{c}")
+    return rows.select(*[value(c).alias(f"f_{c}") for c in keys], F.size(F.json_object_keys("fields")).alias("n_fields"))
+
+
+query("r5_session_fields", fields_sql(V1, SESSION_FIELDS), COMMIT_EVENTS)(lambda read: field_by_field(stream.event_stream(event_tables(read), "session-base"), SESSION_FIELDS))
+query("r5_change_fields", fields_sql(V4, CHANGE_FIELDS), COMMIT_EVENTS)(lambda read: field_by_field(stream.event_stream(event_tables(read), "change-base"), CHANGE_FIELDS))
+for category, views_ in (("session", [("session-base", V1, "started_at", False, True), ("task-session-base", V2, "started_at", True, True)]), ("quality", [("change-base", V4, "commit_time", False, False), ("commit-session-base", V5, "commit_time", False, True), ("task-commit-base", V6, "commit_time", True, False)])):
+    query(f"r5_event_stream_of_{category}", f"SELECT * REPLACE ('{category}' AS category) FROM (" + " UNION ALL ".join(stream_sql(sql, *more[:2], *more[2:]) for name, sql, *rest in views_ for more in [[name, *rest]]) + ")", COMMIT_EVENTS)(lambda read, c=category: stream.event_stream(event_tables(read), category=c).drop("fields"))
+query("f2_stream_of_a_task", f"SELECT * FROM ({STREAM}) WHERE task_key = 'AB-1'", COMMIT_EVENTS)(lambda read: stream.event_stream(event_tables(read), args=reports.ReportArgs(task="AB-1")).drop("fields"))
 query("r5_event_stream_ndjson")(lambda read: stream.ndjson(stream.event_stream(event_tables(read), "session-base")))
 
 # ---- conversations
@@ -435,13 +457,13 @@ query("m8_rejected_merges", "SELECT repo_root, commit_sha, commit_time, 'merge c
 
 # ---- incremental work
 
-OLD_NEW = """WITH o AS (SELECT event_id % 3000 AS id, md5(CAST(event_id AS VARCHAR)) AS line_hash, CAST(event_id % 3 AS BIGINT) AS count FROM events WHERE event_id < 6000), n AS (SELECT event_id % 3000 AS id, md5(CAST(event_id AS VARCHAR)) AS line_hash,
-    CAST(CASE WHEN event_id % 10 = 0 THEN 9 ELSE event_id % 3 END AS BIGINT) AS count FROM events WHERE event_id < 6000 AND event_id % 50 <> 0)"""
+OLD_NEW = """WITH o AS (SELECT event_id // 7 AS id, md5(CAST(event_id AS VARCHAR)) AS line_hash, CAST(event_id % 3 AS BIGINT) AS count FROM events), n AS (SELECT event_id // 7 AS id, md5(CAST(event_id AS VARCHAR)) AS line_hash,
+    CAST(CASE WHEN event_id % 10 = 0 THEN 9 ELSE event_id % 3 END AS BIGINT) AS count FROM events WHERE event_id % 50 <> 0)"""
 query("h8_changed_multisets", f"{OLD_NEW} SELECT DISTINCT coalesce(o.id, n.id) AS id FROM o FULL JOIN n ON o.id = n.id AND o.line_hash = n.line_hash WHERE o.count IS DISTINCT FROM n.count")(lambda read: changed_multisets(read("base")))
 
 
 def changed_multisets(base: DataFrame) -> DataFrame:
-    old = base.select((F.col("event_id") % 3000).alias("id"), F.md5(F.col("event_id").cast("string")).alias("line_hash"), (F.col("event_id") % 3).alias("count"), "event_id")
+    old = base.select(F.floor(F.col("event_id") / 7).alias("id"), F.md5(F.col("event_id").cast("string")).alias("line_hash"), (F.col("event_id") % 3).alias("count"), "event_id")
     new = old.filter(F.col("event_id") % 50 != 0).withColumn("count", F.when(F.col("event_id") % 10 == 0, 9).otherwise(F.col("count")))
     return hashing.differs(old.drop("event_id"), new.drop("event_id"), ["id"], ["line_hash"])
 

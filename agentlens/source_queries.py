@@ -103,12 +103,12 @@ U = "WITH c AS (SELECT * FROM base WHERE provider = 'cursor'), h AS (SELECT sess
 query("p12_store_sessions", f"{U} SELECT session_id, to_timestamp(min(event_id)) AT TIME ZONE 'UTC' AS started_at, coalesce(max(CASE WHEN event_type = 'click' THEN 'named' END), '') AS model_name, 2 AS n_headers FROM c GROUP BY session_id", ("store_rows",))(
     lambda read: plain(kv_store.sessions(store(read)).select("session_id", "started_at", "model_name", F.size("headers").alias("n_headers")))
 )
-query("p13_store_messages", f"""{U} SELECT c.session_id, CASE c.event_id WHEN h.hi THEN 0 WHEN h.lo THEN 1 END AS message_index, CASE WHEN event_type = 'signup' THEN 'user' ELSE 'assistant' END AS role, CASE WHEN event_type = 'signup' THEN 'please  go on' ELSE 'sure' END AS content,
-    CASE WHEN event_type = 'signup' THEN 3 ELSE 1 END AS content_words FROM c JOIN h ON h.session_id = c.session_id WHERE h.lo < h.hi AND (event_type = 'view' OR event_type = 'signup' AND event_id % 4 <> 0)""", ("store_rows",))(
-    lambda read: kv_store.messages(store(read)).join(kv_store.sessions(store(read)).filter("headers[0].bubbleId <> headers[1].bubbleId").select("session_id"), "session_id").select("session_id", "message_index", "role", "content", F.col("content_words").cast("int").alias("content_words"))
+query("p13_store_messages", f"""{U} SELECT c.session_id, CASE c.event_id WHEN h.lo THEN 1 WHEN h.hi THEN 0 END AS message_index, CASE WHEN event_type = 'signup' THEN 'user' ELSE 'assistant' END AS role, CASE WHEN event_type = 'signup' THEN 'please  go on' ELSE 'sure' END AS content,
+    CASE WHEN event_type = 'signup' THEN 3 ELSE 1 END AS content_words FROM c JOIN h ON h.session_id = c.session_id WHERE (event_type = 'view' OR event_type = 'signup' AND event_id % 4 <> 0)""", ("store_rows",))(
+    lambda read: kv_store.messages(store(read)).select("session_id", "message_index", "role", "content", F.col("content_words").cast("int").alias("content_words"))
 )
-query("p15_store_edits", f"""{U} SELECT c.session_id, '/r/f' || (event_id % 6) || '.py' AS path, 2 * count(*) AS lines_added, count(*) AS lines_removed FROM c JOIN h ON h.session_id = c.session_id WHERE h.lo < h.hi AND event_type = 'click' AND event_id % 5 <> 0 AND event_id % 3 <> 0 GROUP BY ALL""", ("store_rows",))(
-    lambda read: kv_store.tool_edits(store(read)).join(kv_store.sessions(store(read)).filter("headers[0].bubbleId <> headers[1].bubbleId").select("session_id"), "session_id")
+query("p15_store_edits", f"""{U} SELECT c.session_id, '/r/f' || (event_id % 6) || '.py' AS path, 2 * count(*) AS lines_added, count(*) AS lines_removed FROM c WHERE event_type = 'click' AND event_id % 5 <> 0 AND event_id % 3 <> 0 GROUP BY ALL""", ("store_rows",))(
+    lambda read: kv_store.tool_edits(store(read))
 )
 query("p23_accepted_lines", f"{U} SELECT session_id, CAST(event_id AS VARCHAR) AS item, '/r/p' || (event_id % 4) AS path, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS lines_added FROM c WHERE event_type = 'error'", ("store_rows",))(
     lambda read: kv_store.accepted_fates(store(read)).select("session_id", "item", "path", F.size("added").alias("lines_added"))
@@ -133,9 +133,9 @@ BUGS = f"""WITH b AS (SELECT i.repo_key, i.issue_number, f.pr_number, {FORMER} A
 query("j14_issue_signals", f"""{BUGS} SELECT '/repo/' || substr(repo_key, 2) AS repo_root, rel_path, md5(x) AS line_hash, CAST(1 AS BIGINT) AS count, 'issue#' || issue_number || '/pr#' || pr_number AS signal_ref, 'github_issue_fix_pr_exact_hash' AS source
     FROM b, unnest(['x' || (pr_number % 5), 'same']) AS u(x)""", ("issues", "pull_files"))(lambda read: hosted_signals(read).select("repo_root", "rel_path", "line_hash", "count", "signal_ref", "source"))
 query("j13_issue_bugs", f"""{BUGS}, s AS (SELECT DISTINCT '/repo/' || substr(repo_key, 2) AS repo_root, rel_path, md5('same') AS line_hash, 'issue#' || issue_number || '/pr#' || pr_number AS ref FROM b),
-    w AS (SELECT event_id, 'c' || event_id AS commit_sha, '/repo/' || (user_id % 3) AS repo_root, CASE WHEN event_id % 2 = 0 THEN 'a.py' ELSE 'old.py' END AS rel_path, date_trunc('day', ts) AS t FROM base WHERE event_id % 10 = 0 OR event_id % 11 = 0)
+    w AS (SELECT event_id, 'c' || event_id AS commit_sha, '/repo/' || (user_id % 3) AS repo_root, CASE WHEN event_id % 2 = 0 THEN 'a.py' ELSE 'old.py' END AS rel_path, date_trunc('day', ts) AS t FROM base)
     SELECT w.repo_root, commit_sha, count(*) AS bug_signal_count, min(ref) AS first_bug_signal_commit_sha FROM w JOIN s ON s.repo_root = w.repo_root AND s.rel_path = w.rel_path WHERE TIMESTAMP '2024-03-01' > t AND TIMESTAMP '2024-03-01' <= t + INTERVAL 60 DAY GROUP BY ALL""", ("issues", "pull_files"))(
-    lambda read: outcomes.bug_signals(outcomes.overlapping_signals(read("base").filter("event_id % 10 = 0 OR event_id % 11 = 0").select(F.concat(F.lit("/repo/"), F.col("user_id") % 3).alias("repo_root"), F.concat(F.lit("c"), "event_id").alias("commit_sha"), F.when(F.col("event_id") % 2 == 0, "a.py").otherwise("old.py").alias("rel_path"),
+    lambda read: outcomes.bug_signals(outcomes.overlapping_signals(read("base").select(F.concat(F.lit("/repo/"), F.col("user_id") % 3).alias("repo_root"), F.concat(F.lit("c"), "event_id").alias("commit_sha"), F.when(F.col("event_id") % 2 == 0, "a.py").otherwise("old.py").alias("rel_path"),
         F.md5(F.lit("same")).alias("line_hash"), F.lit(1).cast("bigint").alias("budget"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("commit_time")), hosted_signals(read))).select("repo_root", "commit_sha", "bug_signal_count", "first_bug_signal_commit_sha")
 )
 query("a25_owning_pulls", "SELECT repo_key, commit_sha, first(pr_number ORDER BY created_at IS NULL, created_at, pr_number) AS owning_pr_number FROM pulls_of_commit GROUP BY repo_key, commit_sha", ("pulls_of_commit",))(lambda read: outcomes.owning_pull(read("pulls_of_commit")))

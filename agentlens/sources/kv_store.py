@@ -51,7 +51,8 @@ def bubbles(rows: DataFrame) -> DataFrame:
         "session_id", F.col("item").alias("bubble_id"), j("$.type").try_cast("int").alias("type"), j("$.text").alias("content"), F.timestamp_millis(j("$.createdAt").try_cast("bigint")).alias("message_ts"),
         j("$.modelInfo.modelName").alias("model_name"), j("$.toolFormerData.name").alias("tool"), j("$.toolFormerData.status").alias("status"), j("$.toolFormerData.params").alias("params"), j("$.toolFormerData.result").alias("result"),
     )
-    order = sessions(rows).select("session_id", F.posexplode("headers").alias("message_index", "h")).select("session_id", "message_index", F.col("h.bubbleId").alias("bubble_id"))
+    # a bubble that the headers name twice has its last place
+    order = sessions(rows).select("session_id", F.posexplode("headers").alias("_at", "h")).groupBy("session_id", F.col("h.bubbleId").alias("bubble_id")).agg(F.max("_at").alias("message_index"))
     role = F.when(F.col("type") == 1, "user").when(F.col("type") == 2, "assistant")
     return own.join(order, ["session_id", "bubble_id"], "left").withColumn("role", role)
 

@@ -44,7 +44,7 @@ def test_queries_without_sql_have_rows(spark):
 
 def test_changed_multisets_read_all_events(spark):
     late = spark.range(60_000, 60_100).withColumnRenamed("id", "event_id")
-    assert sorted(r["id"] for r in engine.changed_multisets(late).collect()) == list(range(0, 100, 10))
+    assert sorted(r["id"] for r in engine.changed_multisets(late).collect()) == sorted({i // 7 for i in range(60_000, 60_100) if i % 10 == 0})
 
 
 def test_entry_module(spark):
