@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from agentlens.functions import hashing
 from agentlens.operators import incremental, outcomes
 from agentlens.queries import Read, query
-from agentlens.sources import claude_logs, codex_logs, kv_store, patches, pull_files, store_changes
+from agentlens.sources import claude_logs, codex_logs, kv_store, patches, path_resolution, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
@@ -205,3 +205,66 @@ query("p25_confident_paths", f"""WITH s AS (SELECT *, 100 * historical_removed +
 query("p27_block_versions", """SELECT user_id AS session_id, 'f' AS path, count(*) AS lines_added, count(*) - 1 AS lines_removed FROM base GROUP BY user_id""", ("base",))(
     lambda read: store_changes.legacy_changes(read("base").select(F.col("user_id").alias("session_id"), F.lit("f").alias("path"), F.lit(None).cast("string").alias("diff_id"), F.concat(F.lit("v"), F.col("event_id")).alias("content"), F.col("event_id").cast("int").alias("version"), F.lit(0).alias("idx"), F.lit(True).alias("applied")))
 )
+
+# ---- paths of partial diffs that name none
+
+S = lambda x: f"CAST({x} AS STRING)"
+RELATIONS |= {
+    "partial_lines": f"""SELECT user_id AS session_id, event_id AS item, '+' AS side, 'value = ' || {S("event_id % 9")} AS line FROM base WHERE event_type = 'error'
+        UNION ALL SELECT user_id, event_id, '+', CASE event_id % 3 WHEN 0 THEN 'return None' WHEN 1 THEN 'import os' ELSE 'x = 1' END FROM base WHERE event_type = 'error'
+        UNION ALL SELECT user_id, event_id, '+', '}}' FROM base WHERE event_type = 'error' AND event_id % 2 = 0 UNION ALL SELECT user_id, event_id, '-', 'old ' || {S("event_id % 5")} FROM base WHERE event_type = 'error' AND event_id % 4 <> 0""",
+    "hint_rows": f"""SELECT user_id AS session_id, event_id AS hint_id, '/repo/' || {S("user_id % 2")} || '/src/f' || {S("CASE WHEN user_id % 6 = 2 THEN 0 ELSE n END")} || '.py' AS path, n FROM
+        (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM base WHERE event_type = 'click') AS c WHERE CASE user_id % 6 WHEN 0 THEN n = 1 WHEN 3 THEN false WHEN 4 THEN false ELSE n <= 3 END""",
+    "hint_lines": f"SELECT session_id, hint_id, 'old ' || {S('(n + session_id) % 5')} AS line FROM hint_rows WHERE n <> 3 UNION ALL SELECT session_id, hint_id, 'kept' FROM hint_rows WHERE n <> 3",
+    "named_paths": f"""SELECT DISTINCT user_id AS session_id, '/repo/' || {S("user_id % 2")} || CASE WHEN event_id % 3 = 0 THEN '/src/f' ELSE '/lib/f' END || {S("CASE WHEN user_id % 12 IN (3, 10) THEN 1 ELSE event_id % 4 END")} || '.py' AS path,
+        CASE user_id % 6 WHEN 3 THEN 'strong' WHEN 4 THEN 'weak' ELSE 'checkpoint' END AS kind FROM base WHERE user_id % 6 IN (1, 3, 4) AND (user_id % 12 NOT IN (3, 10) OR event_id % 3 = 0) AND event_type IN ('view', 'signup') AND (user_id % 6 <> 1 OR user_id % 5 = 0)""",
+    "original_states": f"SELECT DISTINCT user_id AS session_id, '/repo/' || {S('user_id % 2')} || '/src/f' || {S('event_id % 3')} || '.py' AS path, 'old ' || {S('user_id % 5')} || chr(10) || 'old ' || {S('event_id % 3')} || chr(10) AS content FROM base WHERE user_id % 3 = 1",
+    "seen_paths": f"SELECT DISTINCT user_id AS session_id, '/repo/' || {S('user_id % 2')} || '/src/f1.py' AS path FROM base WHERE user_id % 7 = 0",
+    "repo_files": f"""SELECT DISTINCT '/repo/' || {S("user_id % 2")} AS repo_root, '/repo/' || {S("user_id % 2")} || CASE WHEN event_id % 10 > 7 THEN '/node_modules/f' WHEN event_id % 10 > 3 THEN '/lib/f' ELSE '/src/f' END || {S("event_id % 4")} || '.py' AS path,
+        'import os' || chr(10) || 'value = ' || {S("event_id % 10")} || chr(10) || 'return None' || chr(10) || CASE WHEN event_id % 2 = 0 THEN 'value = ' || {S("event_id % 10 + 1")} ELSE 'old ' || {S("event_id % 10 - 1")} END || chr(10) || '}}' || chr(10) AS content FROM base""",
+}
+NEEDS |= {"partial_lines": ["base"], "hint_rows": ["base"], "hint_lines": ["base", "hint_rows"], "named_paths": ["base"], "original_states": ["base"], "seen_paths": ["base"], "repo_files": ["base"]}
+PARTIAL = ("partial_lines", "hint_lines", "named_paths", "original_states", "seen_paths", "repo_files")
+
+
+def partial_hints(read: Read) -> DataFrame:
+    lines = read("hint_lines").groupBy("session_id", "hint_id").agg(F.collect_list("line").alias("original_lines"))
+    return read("hint_rows").join(lines, ["session_id", "hint_id"], "left").select("session_id", "hint_id", "path", F.coalesce("original_lines", F.array().cast("array<string>")).alias("original_lines"))
+
+
+def resolved_partials(read: Read) -> tuple[DataFrame, DataFrame]:
+    return path_resolution.resolved(read("partial_lines"), partial_hints(read), read("named_paths"), read("original_states"), read("seen_paths"), read("repo_files"))
+
+
+TELLING = "len(trim(line)) >= 3 AND regexp_matches(line, '[A-Za-z0-9]')"
+INDEX = f"""idx AS (SELECT repo_root, path, line, count(*) AS n FROM (SELECT repo_root, path, unnest(string_split(content, chr(10))) AS line FROM repo_files WHERE NOT contains(path, '/node_modules/')) WHERE {TELLING} GROUP BY ALL)"""
+#: Each rung from the relations themselves; the last one tries every file that shares a line.
+LADDER = f"""WITH items AS (SELECT DISTINCT session_id, item FROM partial_lines), inline_ AS (SELECT * FROM hint_rows ANTI JOIN seen_paths USING (session_id, path)), known AS (SELECT * FROM named_paths ANTI JOIN seen_paths USING (session_id, path)),
+    sc AS (SELECT i.session_id, i.item, h.hint_id, h.path, (SELECT count(*) FROM partial_lines p WHERE p.session_id = i.session_id AND p.item = i.item AND p.side = '-' AND EXISTS (SELECT 1 FROM hint_lines l WHERE l.hint_id = h.hint_id AND l.line = p.line)) AS ov,
+        CASE WHEN NOT EXISTS (SELECT 1 FROM partial_lines p WHERE p.item = i.item AND p.side = '-') AND NOT EXISTS (SELECT 1 FROM hint_lines l WHERE l.hint_id = h.hint_id) THEN 1 ELSE 0 END AS nw,
+        (SELECT count(*) FROM named_paths k WHERE k.session_id = h.session_id AND k.path = h.path AND k.kind = 'checkpoint') AS cp, (SELECT count(*) FROM named_paths k WHERE k.session_id = h.session_id AND k.path = h.path AND k.kind = 'strong') AS st,
+        (SELECT count(*) FROM named_paths k WHERE k.session_id = h.session_id AND k.path = h.path AND k.kind = 'weak') AS wk FROM items i JOIN inline_ h ON h.session_id = i.session_id),
+    hr AS (SELECT *, rank() OVER (PARTITION BY item ORDER BY ov DESC, nw DESC, cp DESC, st DESC, wk DESC) AS rk FROM sc),
+    firm AS (SELECT session_id, min(path) AS path, count(DISTINCT path) AS n FROM known WHERE kind IN ('checkpoint', 'strong') GROUP BY ALL), weak_ AS (SELECT session_id, min(path) AS path, count(DISTINCT path) AS n FROM known WHERE kind = 'weak' GROUP BY ALL),
+    rungs AS (SELECT session_id, item, min(path) AS path, 0 AS rung FROM sc GROUP BY ALL HAVING count(*) = 1 UNION ALL SELECT session_id, item, min(path), 1 FROM hr WHERE rk = 1 GROUP BY ALL HAVING count(*) = 1 AND max(ov + nw + cp + st) > 0
+        UNION ALL SELECT i.session_id, item, path, 2 FROM items i JOIN firm f ON f.session_id = i.session_id AND n = 1 UNION ALL SELECT session_id, item, min(path), 3 FROM sc GROUP BY ALL HAVING count(DISTINCT path) = 1
+        UNION ALL SELECT i.session_id, item, path, 4 FROM items i JOIN weak_ f ON f.session_id = i.session_id AND n = 1 WHERE NOT EXISTS (SELECT 1 FROM firm x WHERE x.session_id = i.session_id)),
+    low AS (SELECT session_id, item, first(path ORDER BY rung) AS path, min(rung) AS rung FROM rungs GROUP BY ALL), rest AS (SELECT * FROM items ANTI JOIN low USING (session_id, item)),
+    near_ AS (SELECT DISTINCT session_id, item, path FROM sc SEMI JOIN rest USING (session_id, item) WHERE ov > 0 OR nw > 0),
+    named AS (SELECT * FROM near_ UNION SELECT r.session_id, r.item, a.path FROM rest r JOIN (SELECT session_id, path FROM inline_ UNION SELECT session_id, path FROM known) a ON a.session_id = r.session_id WHERE NOT EXISTS (SELECT 1 FROM near_ n WHERE n.item = r.item)),
+    {INDEX}, own AS (SELECT session_id, item, side, line, count(*) AS n FROM partial_lines SEMI JOIN rest USING (session_id, item) WHERE {TELLING} GROUP BY ALL),
+    cand AS (SELECT session_id, item, path FROM named UNION SELECT o.session_id, o.item, x.path FROM own o SEMI JOIN named USING (session_id, item) JOIN idx x ON o.line = x.line AND o.side = '+' AND x.repo_root = '/repo/' || (o.session_id % 2)),
+    texts AS (SELECT h.session_id, h.path, CAST(h.hint_id AS VARCHAR) AS src, l.line, count(*) AS n FROM hint_rows h JOIN hint_lines l ON l.hint_id = h.hint_id GROUP BY ALL UNION ALL SELECT session_id, path, 'state', line, count(*) FROM (SELECT session_id, path, unnest(string_split(content, chr(10))) AS line FROM original_states) WHERE line <> '' GROUP BY ALL),
+    part AS (SELECT c.*, coalesce((SELECT max(s) FROM (SELECT t.src, sum(least(o.n, t.n)) AS s FROM own o JOIN texts t ON t.session_id = o.session_id AND t.line = o.line WHERE o.item = c.item AND o.side = '-' AND t.path = c.path GROUP BY t.src)), 0) AS historical_removed,
+        coalesce((SELECT sum(least(o.n, x.n)) FROM own o JOIN idx x ON x.line = o.line WHERE o.item = c.item AND o.side = '+' AND x.path = c.path), 0) AS live_added, coalesce((SELECT sum(least(o.n, x.n)) FROM own o JOIN idx x ON x.line = o.line WHERE o.item = c.item AND o.side = '-' AND x.path = c.path), 0) AS live_removed,
+        {", ".join(f"(SELECT count(*) FROM named_paths k WHERE k.session_id = c.session_id AND k.path = c.path AND k.kind = '{k}') AS {n}" for k, n in (("checkpoint", "checkpoint"), ("strong", "strong_hint"), ("weak", "weak_hint")))},
+        (SELECT max(CASE WHEN regexp_extract(m.path, '[^/]*$') = regexp_extract(c.path, '[^/]*$') THEN 1 ELSE 0 END) FROM named m WHERE m.item = c.item AND m.path <> c.path) AS b,
+        (SELECT max(CASE WHEN regexp_extract(m.path, '^/repo/./[^/]*') = regexp_extract(c.path, '^/repo/./[^/]*') THEN 1 ELSE 0 END) FROM named m WHERE m.item = c.item AND m.path <> c.path) AS p FROM cand c),
+    ranks AS (SELECT * EXCLUDE (b, p), coalesce(b, 0) AS basename, coalesce(p, 0) AS proximity FROM part)"""
+PICKED = f"""s AS (SELECT *, 100 * historical_removed + 10 * live_added + live_removed AS a, 100 * checkpoint + 10 * strong_hint + 5 * weak_hint + 2 * basename + proximity AS b, ({", ".join(n for n, _ in SCORES)}) AS r FROM ranks),
+    o AS (SELECT *, row_number() OVER w AS place, lead(a) OVER w AS na, lead(b) OVER w AS nb, lead(r) OVER w AS nr FROM s WINDOW w AS (PARTITION BY session_id, item ORDER BY {RANKED}, path)),
+    sure AS (SELECT session_id, item, path, 5 AS rung FROM o WHERE place = 1 AND a > 0 AND CASE WHEN na IS NULL THEN historical_removed > 0 OR live_added > 0 OR live_removed >= 2 WHEN r = nr THEN false WHEN a > na THEN historical_removed > 0 OR live_added > 0 OR live_removed >= 2
+        ELSE a = na AND b > nb AND (historical_removed > 0 OR live_added >= 2 OR live_removed >= 2) END)"""
+query("p24_resolved_paths", f"{LADDER}, {PICKED} SELECT * FROM low UNION ALL SELECT * FROM sure", PARTIAL)(lambda read: resolved_partials(read)[0])
+query("p24_ambiguous_partials", f"{LADDER}, {PICKED} SELECT session_id, item, 'ambiguous partial diff: ' || count(*) || ' paths are named' AS error FROM named ANTI JOIN sure USING (session_id, item) GROUP BY ALL", PARTIAL)(lambda read: resolved_partials(read)[1])
+query("p26_content_index", f"WITH {INDEX} SELECT repo_root, md5(line) AS line_hash, path, n AS count FROM idx", ("repo_files",))(lambda read: path_resolution.content_index(read("repo_files")))

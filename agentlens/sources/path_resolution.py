@@ -69,13 +69,14 @@ def shared(left: DataFrame, right: DataFrame, on: list[str], keys: list[str], na
     return both.groupBy(*keys).agg(F.sum(F.least("count", "_count")).alias(name))
 
 
-def found_by_lines(added: DataFrame, index: DataFrame, known: DataFrame) -> DataFrame:
+def found_by_lines(added: DataFrame, index: DataFrame, known: DataFrame, earlier: DataFrame) -> DataFrame:
     """(ITEM, repo_root, path): paths that share an added line with an item and can win or contest the best place.
 
     A path that only shares the commonest lines of an item, which sum to `rest`, has at most so many in common. So the
     rarest lines are looked up first; where two paths have more than `rest` in common, no other can matter, and common
     lines (those that a hundred thousand files share) join no file. Only the other items' lines are looked up in full.
-    `known` are the paths that an item's session names.
+    `known` are the paths that an item's session names; `earlier` (session_id, path) are those of earlier texts, which
+    can be ahead with few lines in common and are looked up by path and line.
     """
     files = index.groupBy("repo_root", "line_hash").agg(F.count("*").alias("_files"))
     held = added.join(files, ["repo_root", "line_hash"])
@@ -92,7 +93,8 @@ def found_by_lines(added: DataFrame, index: DataFrame, known: DataFrame) -> Data
     ahead = first.withColumn("_place", F.row_number().over(top)).filter("_place <= 2").groupBy(*ITEM).agg(second.alias("_second"))
     open_ = written(rest.join(ahead, ITEM, "left").filter((F.col("_rest") > 0) & (F.coalesce("_second", F.lit(0)) <= F.col("_rest"))).select(*ITEM))
     full = ranked.filter("NOT _rare").join(open_, ITEM, "left_semi").join(postings, on).select(*ITEM, "repo_root", "path")
-    return first.select(*ITEM, "repo_root", "path").unionByName(full).unionByName(known.select(*ITEM, "repo_root", "path")).distinct()
+    old = added.join(earlier.distinct(), "session_id").join(index.drop("count"), ["repo_root", "path", "line_hash"], "left_semi").select(*ITEM, "repo_root", "path")
+    return first.select(*ITEM, "repo_root", "path").unionByName(full).unionByName(old).unionByName(known.select(*ITEM, "repo_root", "path")).distinct()
 
 
 def content_ranks(lines: DataFrame, named: DataFrame, hints: DataFrame, paths: DataFrame, originals: DataFrame, index: DataFrame) -> DataFrame:
@@ -103,7 +105,8 @@ def content_ranks(lines: DataFrame, named: DataFrame, hints: DataFrame, paths: D
     repos = named.select(*ITEM, "repo_root").distinct()
     own = written(counted(lines, [*ITEM, "side"]).join(repos, ITEM))
     added, removed = (own.filter(F.col("side") == s).drop("side") for s in "+-")
-    candidates = written(found_by_lines(added, index, named))
+    earlier = hints.select("session_id", "path").unionByName(originals.select("session_id", "path"))
+    candidates = written(found_by_lines(added, index, named, earlier))
     key, line = [*ITEM, "path"], ["repo_root", "path", "line_hash"]
     live = [shared(part.join(candidates, [*ITEM, "repo_root"]), index, line, key, name) for part, name in ((added, "live_added"), (removed, "live_removed"))]
     hinted = counted(hints.select("session_id", "hint_id", "path", F.explode("original_lines").alias("line")), ["session_id", "hint_id", "path"])
@@ -175,4 +178,4 @@ def by_content(lines: DataFrame, items: DataFrame, scored: DataFrame, known: Dat
     session_paths = hints.select("session_id", "path").unionByName(paths.select("session_id", "path")).distinct()
     roots = session_paths.join(repository_of(session_paths, files), "path")
     one = roots.groupBy("session_id").agg(F.count_distinct("repo_root").alias("_n"), F.min("repo_root").alias("repo_root")).filter("_n = 1").drop("_n")
-    return content_ranks(lines, named.join(one, "session_id"), hints, paths, originals, content_index(files)), named
+    return content_ranks(lines, named.join(one, "session_id"), hints, paths, originals, written(content_index(files))), named
