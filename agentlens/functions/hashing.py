@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
-from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,15 +57,91 @@ def split_lines(text: str) -> list[str]:
     return text.removesuffix("\n").split("\n") if text else []
 
 
+#: Cells of a table of two sequences that is kept to read the common lines from; larger ones are halved first.
+KEPT_CELLS = 1 << 24
+
+
+def mask_of(places: list[int]) -> int:
+    return sum(1 << j for j in places)
+
+
+def common_rows(old: list[int], new: list[int]) -> Iterator[int]:
+    """For each beginning of `old`, a bit for each place of `new`: 0 where one more line of `new` makes the longest common part longer."""
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(new):
+        places.setdefault(x, []).append(j)
+    # a mask is as long as `new`, so only those of frequent lines are kept
+    masks = {x: mask_of(at) for x, at in places.items() if len(at) > 8}
+    row = every = (1 << len(new)) - 1
+    for x in old:
+        at = places.get(x)
+        if at:
+            met = row & (masks[x] if x in masks else mask_of(at))
+            row = ((row + met) | (row - met)) & every
+        yield row
+
+
+def common_lengths(old: list[int], new: list[int]) -> np.ndarray:
+    """How long the longest common part of `old` and each beginning of `new` is."""
+    row = (1 << len(new)) - 1
+    for row in common_rows(old, new):
+        pass
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(len(new) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(new)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common_pairs(old: list[int], new: list[int]) -> list[tuple[int, int]]:
+    """Places of a longest common part, in order. Space is linear: large tables are cut at the middle of `old`, where the two halves' lengths tell the place in `new`."""
+    start = 0
+    while start < min(len(old), len(new)) and old[start] == new[start]:
+        start += 1
+    end = 0
+    while end < min(len(old), len(new)) - start and old[-1 - end] == new[-1 - end]:
+        end += 1
+    a, b = old[start : len(old) - end], new[start : len(new) - end]
+    head = [(i, i) for i in range(start)]
+    tail = [(len(old) - k, len(new) - k) for k in range(end, 0, -1)]
+    if not a or not b:
+        return head + tail
+    if len(a) * len(b) <= KEPT_CELLS or len(a) == 1:
+        middle = pairs_of(list(common_rows(a, b)), len(b))
+    else:
+        half = len(a) // 2
+        cut = int(np.argmax(common_lengths(a[:half], b) + common_lengths(a[half:][::-1], b[::-1])[::-1]))
+        middle = common_pairs(a[:half], b[:cut]) + [(half + i, cut + j) for i, j in common_pairs(a[half:], b[cut:])]
+    return head + [(start + i, start + j) for i, j in middle] + tail
+
+
+def pairs_of(rows: list[int], n_new: int) -> list[tuple[int, int]]:
+    """Read backwards: a bit of 0 that the row before doesn't have is a line in common."""
+    found: list[tuple[int, int]] = []
+    i, j = len(rows), n_new
+    while i and j:
+        if rows[i - 1] >> (j - 1) & 1:
+            j -= 1
+        else:
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                found.append((i, j))
+    return found[::-1]
+
+
 def diff_counts(before: str, after: str) -> tuple[int, int, list[tuple[str, str]]]:
-    """Added lines, removed lines, and each as (side, line)."""
+    """Added lines, removed lines, and each as (side, line): the fewest that make `after` of `before`."""
     old, new = split_lines(before), split_lines(after)
+    number: dict[str, int] = {}
+    ids_old, ids_new = ([number.setdefault(x, len(number)) for x in side] for side in (old, new))
+    # lines that only one side has are no part of what both have
+    both = set(ids_old) & set(ids_new)
+    kept_old, kept_new = ([i for i, x in enumerate(side) if x in both] for side in (ids_old, ids_new))
+    pairs = common_pairs([ids_old[i] for i in kept_old], [ids_new[i] for i in kept_new])
     out: list[tuple[str, str]] = []
-    for op, a, b, c, d in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-        if op != "equal":
-            out += [("-", x) for x in old[a:b]] + [("+", x) for x in new[c:d]]
-    sides = Counter(s for s, _ in out)
-    return sides["+"], sides["-"], out
+    i = j = 0
+    for a, b in [*((kept_old[a], kept_new[b]) for a, b in pairs), (len(old), len(new))]:
+        out += [("-", x) for x in old[i:a]] + [("+", x) for x in new[j:b]]
+        i, j = a + 1, b + 1
+    return len(new) - len(pairs), len(old) - len(pairs), out
 
 
 def with_line_diff(df: DataFrame, before: str, after: str) -> DataFrame:

@@ -1,3 +1,7 @@
+import random
+import time
+from collections import Counter
+
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns as C
@@ -52,3 +56,39 @@ def test_lines_and_hashes(spark):
     rows = spark.createDataFrame([(1, "a\nb\nc\n", "a\nc\nd\n"), (2, "", ""), (3, None, "x")], "i int, b string, a string")
     got = {r["i"]: (r["added"], r["removed"]) for r in H.with_line_diff(rows, "b", "a").collect()}
     assert got == {1: (1, 1), 2: (0, 0), 3: (1, 0)}
+
+
+def plain_common(a, b):
+    """Length of a longest common part, by the table of all beginnings."""
+    last = [0] * (len(b) + 1)
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+        last = row
+    return last[-1]
+
+
+def test_line_diffs_are_the_shortest(monkeypatch):
+    rng = random.Random(2)
+    for kept in (1 << 24, 60):  # with few kept cells the tables are halved
+        monkeypatch.setattr(H, "KEPT_CELLS", kept)
+        for _ in range(300):
+            old, new = ([rng.choice("abcdefg"[: rng.randint(1, 7)]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+            if rng.random() < 0.5:
+                new = [x for x in old if rng.random() < 0.8]
+            added, removed, out = H.diff_counts("\n".join(old) + "\n" * bool(old), "\n".join(new) + "\n" * bool(new))
+            n = plain_common(old, new)
+            assert (added, removed) == (len(new) - n, len(old) - n)
+            # what is left of one side without its changes is what is left of the other
+            gone, come = ([x for s, x in out if s == side] for side in "-+")
+            assert Counter(old) - Counter(gone) == Counter(new) - Counter(come) and len(gone) == removed and len(come) == added
+
+
+def test_long_line_diffs_are_quick():
+    rng = random.Random(3)
+    old, new = ([f"line {rng.randint(0, 30_000)}" if i % 5 else "common" for i in range(50_000)] for _ in range(2))
+    began = time.time()
+    added, removed, _ = H.diff_counts("\n".join(old), "\n".join(new))
+    assert added == removed > 10_000 and time.time() - began < 10
+    assert H.diff_counts("\n".join(old), "\n".join(old[:25_000] + ["new"] + old[25_000:]))[:2] == (1, 0)
