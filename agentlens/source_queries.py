@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import hashing
-from agentlens.operators import incremental, outcomes
+from agentlens.operators import branches, commit_graph, incremental, outcomes
 from agentlens.queries import Read, query
 from agentlens.sources import claude_logs, codex_logs, kv_store, patches, path_resolution, pull_files, store_changes
-from agentlens.sources.log_relations import NEEDS, RELATIONS  # with the logs' relations
+from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
 NAMED = f"SELECT *, session_id || '.jsonl' AS source_file, {SECOND} AS t0 FROM placed_"
@@ -268,3 +268,27 @@ PICKED = f"""s AS (SELECT *, 100 * historical_removed + 10 * live_added + live_r
 query("p24_resolved_paths", f"{LADDER}, {PICKED} SELECT * FROM low UNION ALL SELECT * FROM sure", PARTIAL)(lambda read: resolved_partials(read)[0])
 query("p24_ambiguous_partials", f"{LADDER}, {PICKED} SELECT session_id, item, 'ambiguous partial diff: ' || count(*) || ' paths are named' AS error FROM named ANTI JOIN sure USING (session_id, item) GROUP BY ALL", PARTIAL)(lambda read: resolved_partials(read)[1])
 query("p26_content_index", f"WITH {INDEX} SELECT repo_root, md5(line) AS line_hash, path, n AS count FROM idx", ("repo_files",))(lambda read: path_resolution.content_index(read("repo_files")))
+
+# ---- the commit graph: three lines of commits in each repository, every tenth commit a merge
+
+BEFORE = "OVER (PARTITION BY repo_root ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+RELATIONS |= {
+    "commit_lines": f"SELECT *, user_id % 3 AS lane, {', '.join(f'max(CASE WHEN user_id % 3 = {n} THEN event_id END) {BEFORE} AS last{n}' for n in range(3))} FROM commits",
+    "parent_ids": """SELECT repo_root, event_id, CASE lane WHEN 0 THEN last0 WHEN 1 THEN coalesce(last1, last0) ELSE coalesce(last2, last0) END AS parent_id, 0 AS parent_index FROM commit_lines
+        UNION ALL SELECT repo_root, event_id, CASE lane WHEN 0 THEN last1 WHEN 1 THEN last2 ELSE last0 END, 1 FROM commit_lines WHERE event_id % 10 = 0""",
+    "commit_parents": f"SELECT repo_root, {SHA.format('event_id')} AS commit_sha, {SHA.format('parent_id')} AS parent_sha, parent_index FROM parent_ids WHERE parent_id IS NOT NULL",
+    "branch_tips": f"""SELECT repo_root, CASE user_id % 3 WHEN 0 THEN 'main' WHEN 1 THEN 'staging' ELSE 'PAC-1_line' END AS branch, {SHA.format('max(event_id)')} AS commit_sha FROM commits GROUP BY repo_root, user_id % 3
+        UNION ALL SELECT repo_root, 'AB-' || CAST(event_id AS STRING), commit_sha FROM commits WHERE event_id % 1000 = 7""",
+}
+NEEDS |= {"commit_lines": ["base", "commits"], "parent_ids": ["base", "commits", "commit_lines"], "commit_parents": ["base", "commits", "commit_lines", "parent_ids"], "branch_tips": ["base", "commits"]}
+GRAPH = ("commit_parents", "branch_tips")
+CHAINS = "chains AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT repo_root, branch, commit_sha, CAST(0 AS BIGINT) AS distance FROM branch_tips UNION ALL SELECT r.repo_root, r.branch, p.parent_sha, r.distance + 1 FROM r JOIN commit_parents p ON p.repo_root = r.repo_root AND p.commit_sha = r.commit_sha AND p.parent_index = 0) SELECT * FROM r))"
+REACHED = "reached AS (SELECT * FROM (WITH RECURSIVE r AS (SELECT repo_root, branch, commit_sha FROM branch_tips UNION SELECT r.repo_root, r.branch, p.parent_sha FROM r JOIN commit_parents p ON p.repo_root = r.repo_root AND p.commit_sha = r.commit_sha) SELECT * FROM r))"
+query("w10_first_parent_chains", f"WITH {CHAINS} SELECT * FROM chains", GRAPH)(lambda read: commit_graph.first_parent_chains(read("branch_tips"), read("commit_parents")))
+query("src9_branch_commits", f"""WITH {CHAINS}, {REACHED} SELECT e.repo_root, e.branch, e.commit_sha, row_number() OVER (PARTITION BY e.repo_root, e.branch ORDER BY c.commit_time DESC, e.commit_sha) - 1 AS distance, CASE WHEN h.commit_sha IS NULL THEN 0 ELSE 1 END AS on_first_parent
+    FROM reached e JOIN commits c ON c.repo_root = e.repo_root AND c.commit_sha = e.commit_sha LEFT JOIN chains h ON h.repo_root = e.repo_root AND h.branch = e.branch AND h.commit_sha = e.commit_sha""", (*GRAPH, "commits"))(
+    lambda read: commit_graph.branch_commits(read("branch_tips"), read("commit_parents"), read("commits"))
+)
+query("w10_owned_commits", f"""WITH {CHAINS} SELECT repo_root, commit_sha, count(*) AS n_owners, min(distance) AS nearest FROM chains c WHERE branch NOT IN ('main', 'staging') AND NOT EXISTS (SELECT 1 FROM chains i WHERE i.branch IN ('main', 'staging') AND i.repo_root = c.repo_root AND i.commit_sha = c.commit_sha) GROUP BY ALL""", GRAPH)(
+    lambda read: branches.owned(commit_graph.first_parent_chains(read("branch_tips"), read("commit_parents")).withColumn("on_first_parent", F.lit(1))).groupBy("repo_root", "commit_sha").agg(F.count("*").alias("n_owners"), F.min("distance").alias("nearest"))
+)
