@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions.hashing import differs
+from agentlens.operators import attribution
+from agentlens.operators.tables import written
 
 
 def changed_files(files: DataFrame, cursors: DataFrame, parser: str) -> DataFrame:
@@ -122,3 +124,30 @@ def running_index(changes: DataFrame, known: DataFrame) -> DataFrame:
     last = known.groupBy(*keys).agg(F.max("change_index").alias("_last"))
     order = Window.partitionBy(*keys).orderBy("change_ts", "change_id")
     return changes.join(last, keys, "left").withColumn("change_index", F.coalesce(F.col("_last") + 1, F.lit(0)) + F.row_number().over(order) - 1).drop("_last")
+
+
+COMMIT = ["repo_root", "commit_sha"]
+
+
+def changed_lines(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(repo_root, side, line_hash) of which a session has more, less or for the first time, under some path, than it had at the read before."""
+    who = [*attribution.LINE, "provider", "session_id"]
+    both = attribution.session_availability(old).withColumn("_at", F.lit(0)).unionByName(attribution.session_availability(new).withColumn("_at", F.lit(1)))
+    most = lambda at: F.max(F.when(F.col("_at") == at, F.col("avail")))
+    changed = both.groupBy(*who).agg(most(0).alias("_old"), most(1).alias("_new")).filter(~F.col("_old").eqNullSafe(F.col("_new")))
+    return changed.select("repo_root", "side", "line_hash").distinct()
+
+
+def reassociated(facts: DataFrame, shares: DataFrame, commit_rows: DataFrame, old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What `attribution.attributed` gives for all of `commit_rows` and the sessions' `new` rows, from its result for the `old` ones, and which commits were attributed again.
+
+    What a commit gets depends on what sessions have of its own lines, under any path. So only commits that hold a changed
+    line, or that weren't there before, are attributed, and only session rows of their lines are read for it.
+    """
+    fresh = commit_rows.join(facts.select(*COMMIT), COMMIT, "left_anti").select(*COMMIT)
+    again = written(dirty_commits(commit_rows, written(changed_lines(old, new))).unionByName(fresh).distinct())
+    rows = written(commit_rows.join(again, COMMIT, "left_semi"))
+    lines = rows.select("repo_root", "side", "line_hash").distinct()
+    own_facts, own_shares = attribution.attributed(rows, new.join(lines, ["repo_root", "side", "line_hash"], "left_semi"))
+    kept = lambda before, now: before.join(again, COMMIT, "left_anti").unionByName(now)
+    return kept(facts, own_facts), kept(shares, own_shares), again

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,8 +11,8 @@ from pyspark.sql import functions as F
 from agentlens.functions import columns as C
 from agentlens.functions import hashing
 from agentlens.operators import attribution, branches, conversation, incremental, outcomes
-from agentlens.operators.tables import written
-from agentlens.plans import events, reports, scorecards, stream, views
+from agentlens.operators.tables import own_folder, shared_folder, written
+from agentlens.plans import events, refresh, reports, scorecards, stream, views
 from agentlens.sources.adapter import prelude, relation
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -468,6 +469,47 @@ def changed_multisets(base: DataFrame) -> DataFrame:
     return hashing.differs(old.drop("event_id"), new.drop("event_id"), ["id"], ["line_hash"])
 
 
+#: A first read of the sessions lacks the sessions of some weeks, has fewer lines of others, and some that are gone later; it knows no commits of the last days.
+NEW_ROWS = "(provider <> 'cursor' OR line_hash NOT LIKE '0%')"
+OLD_ROWS = "(session_id NOT LIKE '%-01-08' AND line_hash NOT LIKE '1%')"
+OLD_COMMITS = "commit_time < TIMESTAMP '2024-01-20 00:00:00'"
+
+
+def association(read: Read, old_commits: str = OLD_COMMITS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An association of the first read, brought up to date with the second one."""
+    rows, sessions = read("commit_hashes"), read("change_hashes")
+    old, new = sessions.filter(OLD_ROWS), sessions.filter(NEW_ROWS)
+    before = [written(df) for df in attribution.attributed(rows.filter(old_commits), old)]
+    return incremental.reassociated(*before, rows, old, new)
+
+
+NOW = ATTRIBUTED.replace("FROM change_hashes", f"FROM (SELECT * FROM change_hashes WHERE {NEW_ROWS})")
+query("i2_updated_facts", f"WITH {NOW} SELECT *, matched_added_lines + matched_removed_lines AS matched_total_lines, round((matched_added_lines + matched_removed_lines) / (total_added + total_removed), 6) AS ai_share, CASE WHEN (matched_added_lines + matched_removed_lines) / (total_added + total_removed) >= 0.5 THEN 1 ELSE 0 END AS heavy_ai FROM facts", LINES)(
+    lambda read: association(read)[0].withColumn("ai_share", F.round("ai_share", 6))
+)
+query("i2_updated_shares", f"WITH {NOW}{SHARES[len(ATTRIBUTED):]} SELECT repo_root, commit_sha, provider, session_id, round(matched_lines, 5) AS matched_lines, round(share_of_commit, 5) AS share_of_commit, round(share_of_ai, 5) AS share_of_ai FROM shares", LINES)(
+    lambda read: association(read)[1].withColumns({c: F.round(c, 5) for c in ("matched_lines", "share_of_commit", "share_of_ai")})
+)
+query("i2_recomputed_commits", f"""WITH o AS (SELECT repo_root, rel_path, side, line_hash, provider, session_id, max(count) AS n FROM change_hashes WHERE {OLD_ROWS} GROUP BY ALL), n AS (SELECT repo_root, rel_path, side, line_hash, provider, session_id, max(count) AS n FROM change_hashes WHERE {NEW_ROWS} GROUP BY ALL),
+    d AS (SELECT repo_root, side, line_hash FROM (FROM o EXCEPT FROM n) UNION SELECT repo_root, side, line_hash FROM (FROM n EXCEPT FROM o)) SELECT DISTINCT repo_root, commit_sha FROM commit_hashes c WHERE NOT ({OLD_COMMITS}) OR EXISTS (SELECT 1 FROM d WHERE d.repo_root = c.repo_root AND d.side = c.side AND d.line_hash = c.line_hash)""", LINES)(lambda read: association(read)[2])
+
+
+def refreshed_shares(read: Read) -> DataFrame:
+    """The commits' sessions as an event table that was built from the first read and of which the weeks with changes were replaced."""
+    rows, sessions = read("commit_hashes"), read("change_hashes")
+    spark, commits = rows.sparkSession, read("commits").select("repo_root", "commit_sha", "commit_time")
+    old, new = sessions.filter(OLD_ROWS), sessions.filter(NEW_ROWS)
+    facts, shares = (written(df) for df in attribution.attributed(rows.filter(OLD_COMMITS), old))
+    store = refresh.EventStore(spark, f"{own_folder(shared_folder(spark), spark.sparkContext.applicationId, spark)}/events-{uuid.uuid4().hex}")
+    store.build("commit_session", shares.join(commits, ["repo_root", "commit_sha"]), "commit_time")
+    _, after, again = incremental.reassociated(facts, shares, rows, old, new)
+    store.refresh("commit_session", after.join(commits, ["repo_root", "commit_sha"]), "commit_time", again.join(commits, ["repo_root", "commit_sha"]))
+    return store.read("commit_session")
+
+
+query("snk3_refreshed_events", f"WITH {NOW}{SHARES[len(ATTRIBUTED):]} SELECT s.repo_root, s.commit_sha, provider, session_id, round(matched_lines, 5) AS matched_lines, round(share_of_commit, 5) AS share_of_commit, round(share_of_ai, 5) AS share_of_ai, commit_time FROM shares s JOIN commits c ON c.repo_root = s.repo_root AND c.commit_sha = s.commit_sha", (*LINES, "commits"))(
+    lambda read: refreshed_shares(read).withColumns({c: F.round(c, 5) for c in ("matched_lines", "share_of_commit", "share_of_ai")})
+)
 query("i3_planned_commits", """SELECT repo_root, commit_sha, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 1 ELSE 0 END AS recompute, CASE WHEN event_id % 5 = 0 OR event_id % 7 = 0 THEN 0 ELSE 1 END AS task_only FROM commits
     WHERE event_id % 5 = 0 OR event_id % 7 = 0 OR repo_root = '/repo/1'""", ("commits",))(
     lambda read: (lambda c: incremental.planned_commits(c.select("repo_root", "commit_sha"), c.filter("event_id % 5 <> 0").select("repo_root", "commit_sha"), c.filter("event_id % 7 = 0").select("repo_root", "commit_sha"), c.filter("repo_root = '/repo/1'").select("repo_root").distinct()))(read("commits"))
