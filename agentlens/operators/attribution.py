@@ -92,6 +92,25 @@ def chosen_lines(commit_rows: DataFrame, session_rows: DataFrame) -> tuple[DataF
     return lines, availability, written(strict.join(better, FILE, "left_anti").unionByName(moved.join(better, FILE, "left_semi")))
 
 
+def line_classes(availability: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(LINE, _class) and (_class, provider, session_id, _part): lines of which the same sessions have the same parts are one class.
+
+    Lines that come together, as those of one change or of a file that all sessions copy, meet commits once as a class instead
+    of once each. A class is named by two 64-bit sums of its members' hashes and their number, which tasks add up.
+    """
+    totals = availability.groupBy(*LINE).agg(F.sum("avail").alias("_total"))
+    parts = availability.join(totals, LINE).withColumn("_part", F.col("avail") / F.col("_total"))  # equal ratios are equal doubles
+    member = lambda seed: F.bit_xor(F.xxhash64("provider", "session_id", "_part", F.lit(seed)))
+    lines = written(parts.groupBy(*LINE).agg(member(1).alias("_a"), member(2).alias("_b"), F.count("*").alias("_n")).select(*LINE, F.struct("_a", "_b", "_n").alias("_class")))
+    one = lines.groupBy("_class").agg(F.min(F.struct(*LINE)).alias("_line")).select("_class", "_line.*")
+    return lines, parts.join(one, LINE).select("_class", "provider", "session_id", "_part")
+
+
+def classes_of(chosen: DataFrame, lines: DataFrame) -> DataFrame:
+    """`chosen` with the class of the line that each matches."""
+    return chosen.join(lines.withColumnRenamed("rel_path", "_path"), ["repo_root", "_path", "side", "line_hash"])
+
+
 def attributed(commit_rows: DataFrame, session_rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Per commit (totals, share, heavy_ai) and per commit and session (lines and shares; a human row if nothing matched)."""
     rows, availability, chosen = chosen_lines(commit_rows, session_rows)
@@ -103,9 +122,10 @@ def attributed(commit_rows: DataFrame, session_rows: DataFrame) -> tuple[DataFra
     changed, matched = F.col("total_added") + F.col("total_removed"), F.col("matched_added_lines") + F.col("matched_removed_lines")
     commits = totals.withColumn("matched_total_lines", matched).withColumn("ai_share", F.when(changed > 0, matched / changed).otherwise(0.0)).withColumn("heavy_ai", (F.col("ai_share") >= HEAVY_SHARE).cast("int"))
 
-    have = availability.withColumnRenamed("rel_path", "_path")
-    split = chosen.join(have, ["repo_root", "_path", "side", "line_hash"]).withColumn("_part", F.col("matched") * F.col("avail") / F.col("_total"))
-    shares = split.groupBy(*commit, "provider", "session_id").agg(F.sum("_part").alias("matched_lines")).join(commits.select(*commit, "total_added", "total_removed", "matched_total_lines"), commit)
+    by_line, members = line_classes(availability)
+    by_class = classes_of(chosen, by_line).groupBy(*commit, "_class").agg(F.sum("matched").alias("matched"))
+    split = by_class.join(members, "_class").groupBy(*commit, "provider", "session_id")
+    shares = split.agg(F.sum(F.col("matched") * F.col("_part")).alias("matched_lines")).join(commits.select(*commit, "total_added", "total_removed", "matched_total_lines"), commit)
     sessions = shares.select(
         *commit, "provider", "session_id", "matched_lines",
         F.when(changed > 0, F.col("matched_lines") / changed).otherwise(0.0).alias("share_of_commit"),
@@ -120,16 +140,18 @@ def attributed(commit_rows: DataFrame, session_rows: DataFrame) -> tuple[DataFra
 def matches_within(commit_rows: DataFrame, session_rows: DataFrame, commits: DataFrame, spans: DataFrame, hours: int = 4) -> DataFrame:
     """(provider, session_id, commit_time) of commits that match lines of a session, from its begin until `hours` after its end.
 
-    `spans` are (provider, session_id, _begin, _end). Weeks are part of the join's key, so lines that all sessions share
-    only meet commits of their own time.
+    `spans` are (provider, session_id, _begin, _end). Classes of lines and weeks are the join's key, so lines that all
+    sessions share only meet commits of their own time, and together.
     """
     _, availability, chosen = chosen_lines(commit_rows, session_rows)
     week = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / (7 * 86400))
     until = F.col("_end") + F.expr(f"INTERVAL {hours} HOURS")
-    held = availability.select("repo_root", F.col("rel_path").alias("_path"), "side", "line_hash", "provider", "session_id").join(spans, ["provider", "session_id"])
+    by_line, members = line_classes(availability)
+    held = members.drop("_part").join(spans, ["provider", "session_id"])
     held = held.withColumn("_until", until).filter(F.col("_until") >= F.col("_begin")).withColumn("_week", F.explode(F.sequence(week(F.col("_begin")), week(F.col("_until")))))
-    timed = chosen.select("repo_root", "commit_sha", "_path", "side", "line_hash").join(commits.select("repo_root", "commit_sha", "commit_time"), ["repo_root", "commit_sha"]).withColumn("_week", week(F.col("commit_time")))
-    met = timed.join(held, ["repo_root", "_path", "side", "line_hash", "_week"]).filter(F.col("commit_time").between(F.col("_begin"), F.col("_until")))
+    of_class = classes_of(chosen, by_line).select("repo_root", "commit_sha", "_class").distinct()
+    timed = of_class.join(commits.select("repo_root", "commit_sha", "commit_time"), ["repo_root", "commit_sha"]).withColumn("_week", week(F.col("commit_time")))
+    met = timed.select("_class", "_week", "commit_time").distinct().join(held, ["_class", "_week"]).filter(F.col("commit_time").between(F.col("_begin"), F.col("_until")))
     return met.select("provider", "session_id", "commit_time").distinct()
 
 

@@ -93,15 +93,31 @@ def churn(budget: DataFrame, removed: DataFrame, merged: DataFrame) -> DataFrame
     return lines.groupBy(*COMMIT).agg(F.sum(F.least("budget", "gone")).alias("ai_added_lines_removed_within_window"))
 
 
+def members(*columns: str) -> list[Column]:
+    """Two sums of the hashes of a line's distinct rows and their number: what names the set of them."""
+    return [F.bit_xor(F.xxhash64(*columns, F.lit(seed))).alias(name) for seed, name in ((1, "_a"), (2, "_b"))] + [F.count("*").alias("_n")]
+
+
+def one_of_each_class(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(LINE): of the lines that both have with the same two sets, one."""
+    name = lambda df, c: df.select(*LINE, F.struct("_a", "_b", "_n").alias(c))
+    both = name(left, "_left").join(name(right, "_right"), LINE)
+    return written(both.groupBy("repo_root", "_left", "_right").agg(F.min(F.struct("rel_path", "line_hash")).alias("_line")).select("repo_root", "_line.*"))
+
+
 def overlapping_signals(budget: DataFrame, signals: DataFrame) -> DataFrame:
     """(COMMIT, signal_ref, signal_time, source): signals after a commit, within 60 days, that remove lines of it.
 
     `signals` have LINE, count, anchor_time (which the window is about), signal_time, signal_ref and source. A window
-    reaches into two spans of 61 days, which are part of the key: a line only meets signals of about its own time.
+    reaches into two spans of 61 days, which are part of the key: a line only meets signals of about its own time. Lines
+    that the same commits add and the same signals remove tell the same pairs, so one of them is asked for all.
     """
     span = lambda t: F.floor(F.unix_seconds(t.cast("timestamp")) / ((BUG_DAYS + 1) * 86400))
-    told = signals.filter("count > 0").select(*LINE, "anchor_time", "signal_time", "signal_ref", "source").distinct().withColumn("_span", span(F.col("anchor_time")))
-    asked = budget.filter("budget > 0").select(*LINE, "commit_sha", "commit_time").withColumn("_span", F.explode(F.array(span(F.col("commit_time")), span(F.col("commit_time")) + 1)))
+    said = written(signals.filter("count > 0").select(*LINE, "anchor_time", "signal_time", "signal_ref", "source").distinct())
+    own = written(budget.filter("budget > 0").select(*LINE, "commit_sha", "commit_time").distinct())
+    lines = one_of_each_class(own.groupBy(*LINE).agg(*members("commit_sha", "commit_time")), said.groupBy(*LINE).agg(*members("signal_ref", "anchor_time", "signal_time", "source")))
+    told = said.join(lines, LINE, "left_semi").withColumn("_span", span(F.col("anchor_time")))
+    asked = own.join(lines, LINE, "left_semi").withColumn("_span", F.explode(F.array(span(F.col("commit_time")), span(F.col("commit_time")) + 1)))
     rows = asked.join(told, [*LINE, "_span"])
     inside = rows.filter((F.col("anchor_time") > F.col("commit_time")) & (F.col("anchor_time") <= F.col("commit_time") + days(BUG_DAYS)))
     return inside.select(*COMMIT, "signal_ref", "signal_time", "source").distinct()
