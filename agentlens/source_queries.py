@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from agentlens.functions import hashing
 from agentlens.operators import branches, commit_graph, incremental, outcomes
 from agentlens.queries import Read, query
-from agentlens.sources import claude_logs, codex_logs, kv_store, patches, path_resolution, pull_files, store_changes
+from agentlens.sources import claude_logs, code_blocks, codex_logs, kv_store, patches, path_resolution, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
@@ -292,3 +292,45 @@ query("src9_branch_commits", f"""WITH {CHAINS}, {REACHED} SELECT e.repo_root, e.
 query("w10_owned_commits", f"""WITH {CHAINS} SELECT repo_root, commit_sha, count(*) AS n_owners, min(distance) AS nearest FROM chains c WHERE branch NOT IN ('main', 'staging') AND NOT EXISTS (SELECT 1 FROM chains i WHERE i.branch IN ('main', 'staging') AND i.repo_root = c.repo_root AND i.commit_sha = c.commit_sha) GROUP BY ALL""", GRAPH)(
     lambda read: branches.owned(commit_graph.first_parent_chains(read("branch_tips"), read("commit_parents")).withColumn("on_first_parent", F.lit(1))).groupBy("repo_root", "commit_sha").agg(F.count("*").alias("n_owners"), F.min("distance").alias("nearest"))
 )
+
+# ---- code blocks of older sessions
+
+SIDE = lambda lines: f'[{{"modified":[{lines}]}},{{"other":1}}]'
+RELATIONS |= {
+    "block_targets": f"""SELECT user_id AS session_id, 'f' || {S("event_id % 4")} AS path, CASE WHEN event_id % 3 <> 2 THEN 'd' || {S("event_id")} END AS diff_id, CASE WHEN event_id % 5 <> 0 AND user_id % 3 <> 1 THEN 'a' || chr(10) || {S("event_id % 5")} END AS content,
+        CAST(event_id AS INT) AS version, 0 AS idx, event_id FROM base WHERE event_type = 'click' AND (user_id % 2 = 0 OR event_id % 4 = 1)""",
+    "block_diffs": f"""SELECT session_id, diff_id, CASE event_id % 9 WHEN 0 THEN '{{"originalModelDiffWrtV0":{SIDE('"x"')},"newModelDiffWrtV0":{SIDE('"y","z"')}}}' WHEN 1 THEN '{{"newModelDiffWrtV0":[]}}' WHEN 3 THEN '{{"originalModelDiffWrtV0":[],"newModelDiffWrtV0":[]}}'
+        ELSE '{{"originalModelDiffWrtV0":[],"newModelDiffWrtV0":7}}' END AS value FROM block_targets WHERE diff_id IS NOT NULL AND event_id % 9 <> 6 AND (session_id % 2 = 0 OR event_id % 9 <> 0)""",
+    "block_seen": "SELECT DISTINCT session_id, path FROM block_targets WHERE session_id % 7 = 0 AND path = 'f2'",
+    "block_totals": "SELECT user_id AS session_id, CAST(max(event_id) % 4 AS BIGINT) AS lines_added, CAST(max(event_id) % 2 AS BIGINT) AS lines_removed FROM base GROUP BY user_id",
+    "block_originals": "SELECT DISTINCT session_id, path FROM block_targets WHERE session_id % 5 <> 0",
+}
+NEEDS |= {"block_targets": ["base"], "block_diffs": ["base", "block_targets"], "block_seen": ["base", "block_targets"], "block_totals": ["base"], "block_originals": ["base", "block_targets"]}
+CODE_BLOCKS = ("block_targets", "block_diffs", "block_seen", "block_totals", "block_originals")
+
+
+def told_blocks(read: Read) -> tuple[DataFrame, DataFrame]:
+    return code_blocks.block_changes(read("block_targets").drop("event_id"), *map(read, CODE_BLOCKS[1:]))
+
+
+TOLD_BLOCKS = """WITH t AS (SELECT t.*, d.value, row_number() OVER w AS seq, last_value(content IGNORE NULLS) OVER (PARTITION BY t.session_id, path ORDER BY version ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM block_targets t LEFT JOIN block_diffs d ON d.session_id = t.session_id AND d.diff_id = t.diff_id WINDOW w AS (PARTITION BY t.session_id, path ORDER BY version)),
+    k AS (SELECT *, diff_id IS NOT NULL AND value IS NOT NULL AND event_id % 9 = 0 AS own, CASE WHEN diff_id IS NULL THEN NULL WHEN value IS NULL THEN 'the diff of the code block is missing' WHEN event_id % 9 = 1 THEN 'the diff has no list of originalModelDiffWrtV0'
+        WHEN event_id % 9 NOT IN (0, 3) THEN 'the diff has no list of newModelDiffWrtV0' END AS error FROM t ANTI JOIN block_seen USING (session_id, path)),
+    s AS (SELECT *, CASE WHEN own THEN 'diff' WHEN before <> content THEN 'content' END AS rung, CASE WHEN own THEN 2 ELSE 1 END AS a FROM k),
+    l AS (SELECT session_id, path, max(seq) FILTER (rung IS NOT NULL) AS last FROM s GROUP BY ALL), e AS (SELECT s.session_id, s.path, last, first(error ORDER BY seq) AS error FROM s JOIN l USING (session_id, path) WHERE error IS NOT NULL AND rung IS NULL AND (last IS NULL OR seq > last) GROUP BY ALL),
+    o AS (SELECT e.session_id, e.path, x.lines_added, x.lines_removed FROM e JOIN block_totals x USING (session_id) SEMI JOIN block_originals USING (session_id, path) WHERE last IS NULL AND (SELECT count(*) FROM e y WHERE y.session_id = e.session_id) = 1 AND lines_added + lines_removed > 0)"""
+query("p27_block_changes", f"{TOLD_BLOCKS} SELECT session_id, path, version, idx, rung, a AS lines_added, 1 AS lines_removed FROM s WHERE rung IS NOT NULL UNION ALL SELECT session_id, path, NULL, NULL, 'totals', lines_added, lines_removed FROM o", CODE_BLOCKS)(lambda read: told_blocks(read)[0])
+query("p27_block_errors", f"{TOLD_BLOCKS} SELECT session_id, path, error FROM e ANTI JOIN o USING (session_id, path)", CODE_BLOCKS)(lambda read: told_blocks(read)[1])
+RELATIONS |= {
+    "history_entries": f"SELECT 'f' || {S('user_id % 40')} AS path, event_id AS id, event_id AS timestamp, CASE WHEN event_id % 3 = 0 THEN 'Undo edit' ELSE 'Edit' END AS source, 'a' || chr(10) || {S('event_id % 4')} || chr(10) || 'b' || chr(10) AS content FROM base",
+    "wanted_files": f"SELECT user_id AS session_id, 'f' || {S('user_id % 40 + event_id % 2')} AS path, min(event_id) AS begin_ms, max(event_id) AS end_ms FROM base WHERE user_id % 4 <> 0 AND event_type = 'view' GROUP BY user_id, event_id % 2",
+    "session_edits": f"SELECT user_id AS session_id, 'g' || {S('event_id % 3')} AS path, count(*) AS lines_added, CAST(0 AS BIGINT) AS lines_removed FROM base WHERE user_id % 3 = 0 AND event_type = 'click' GROUP BY user_id, event_id % 3",
+}
+NEEDS |= {"history_entries": ["base"], "wanted_files": ["base"], "session_edits": ["base"]}
+query("p19_session_lines", """WITH v AS (SELECT *, coalesce(lead(content) OVER (PARTITION BY path ORDER BY timestamp, id), '') AS after FROM history_entries),
+    n AS (SELECT w.session_id, w.path, coalesce(sum(CASE WHEN after = '' THEN 0 WHEN after <> content THEN 1 ELSE 0 END) FILTER (v.id IS NOT NULL), 0) AS lines_added, coalesce(sum(CASE WHEN after = '' THEN 3 WHEN after <> content THEN 1 ELSE 0 END) FILTER (v.id IS NOT NULL), 0) AS lines_removed
+        FROM wanted_files w LEFT JOIN v ON v.path = w.path AND source = 'Undo edit' AND v.timestamp BETWEEN begin_ms AND end_ms GROUP BY ALL)
+    SELECT *, 0 AS stage FROM session_edits UNION ALL SELECT *, 1 FROM n WHERE session_id NOT IN (SELECT session_id FROM session_edits)
+    UNION ALL SELECT session_id, '__total__', lines_added, lines_removed, 2 FROM block_totals WHERE lines_added + lines_removed > 0 AND session_id NOT IN (SELECT session_id FROM session_edits) AND session_id NOT IN (SELECT session_id FROM n)""", ("history_entries", "wanted_files", "session_edits", "block_totals"))(
+    lambda read: code_blocks.session_lines(read("session_edits"), read("wanted_files"), read("history_entries"), read("block_totals"))
+)
