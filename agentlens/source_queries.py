@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from agentlens.functions import hashing
 from agentlens.operators import branches, commit_graph, incremental, outcomes
 from agentlens.queries import Read, query
-from agentlens.sources import claude_logs, code_blocks, codex_logs, kv_store, patches, path_resolution, pull_files, store_changes
+from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, kv_store, patches, path_resolution, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
@@ -334,3 +334,38 @@ query("p19_session_lines", """WITH v AS (SELECT *, coalesce(lead(content) OVER (
     UNION ALL SELECT session_id, '__total__', lines_added, lines_removed, 2 FROM block_totals WHERE lines_added + lines_removed > 0 AND session_id NOT IN (SELECT session_id FROM session_edits) AND session_id NOT IN (SELECT session_id FROM n)""", ("history_entries", "wanted_files", "session_edits", "block_totals"))(
     lambda read: code_blocks.session_lines(read("session_edits"), read("wanted_files"), read("history_entries"), read("block_totals"))
 )
+
+# ---- what parsers could not read
+
+N = "chr(10)"
+RELATIONS |= {
+    "shell_commands": f"""SELECT session_id || '.sh' AS source_file, event_id AS line_no, CASE event_id % 8 WHEN 0 THEN 'cd x && cat > "a b.txt" <<"E F"' || {N} || 'x' || {S("event_id % 4")} || {N} || ' E F' || {N} || 'E F'
+        WHEN 1 THEN 'cat > f.txt <<EOF' || {N} || 'never ends' WHEN 2 THEN 'cat > f.txt <<EOF' || {N} || 'y' || {N} || 'EOF' || {N} || 'cat >> g.txt << END' || {N} || 'EOF' || {N} WHEN 3 THEN 'cat >> f.txt <<EOF;' || {N} || 'EOF;' || {N} || 'ls'
+        WHEN 4 THEN 'cat > a.txt << ' WHEN 5 THEN 'cat > "a.txt' WHEN 6 THEN 'concat > a <<EOF' || {N} || 'cat a.txt' ELSE 'cat > a <<EOF' || {N} || 'cat > "b' || {N} || 'EOF' || {N} || 'echo; cat > c <<X' || {N} || 'X' END AS cmd FROM base WHERE event_type = 'click'""",
+    "broken_diffs": f"""SELECT event_id, CASE event_id % 4 WHEN 0 THEN '@@ -1 +1 @@' || {N} || '-a' || {N} || '+b' || {N} || 'diff --git a/x b/x' || {N} || '@@ -1 +1 @@' || {N} || '-a' || {N} || '+b' WHEN 1 THEN 'diff --git a/x b/x' || {N} || '--- a/x' || {N} || '+++ b/x' || {N} || '@@ -1,3 +1,2 @@ f()' || {N} || ' a' || {N} || '-b' || {N} || '@@ -9,1 +9,1 @@' || {N} || ' c'
+        WHEN 2 THEN 'diff --git a/x b/x' || {N} || '@@ -1,0 +1,2 @@' || {N} || '+b' WHEN 3 THEN 'diff --git a/x b/x' || {N} || 'rename from x' END AS patch FROM base WHERE event_type = 'purchase'""",
+}
+NEEDS |= {"shell_commands": ["base"], "broken_diffs": ["base"]}
+COMMAND = ["source_file", "line_no"]
+query("p10_read_documents", f"""SELECT source_file, line_no, x.i AS doc_index, x.m AS mode, x.p AS path, x.c AS content FROM shell_commands, unnest(CASE line_no % 8 WHEN 0 THEN [{{'i': 0, 'm': 'overwrite', 'p': 'a b.txt', 'c': 'x' || (line_no % 4) || {N} || ' E F' || {N}}}]
+    WHEN 3 THEN [{{'i': 0, 'm': 'append', 'p': 'f.txt', 'c': ''}}] WHEN 7 THEN [{{'i': 0, 'm': 'overwrite', 'p': 'a', 'c': 'cat > "b' || {N}}}, {{'i': 1, 'm': 'overwrite', 'p': 'c', 'c': ''}}] ELSE [] END) AS u(x)""", ("shell_commands",))(lambda read: dead_letters.written_documents(read("shell_commands"), COMMAND, "cmd")[0])
+DOCUMENT_ERROR = "CASE line_no % 8 WHEN 1 THEN 'heredoc terminator ''EOF'' not found' WHEN 2 THEN 'heredoc terminator ''END'' not found' WHEN 4 THEN 'missing heredoc marker' ELSE 'unterminated quoted path in heredoc command' END"
+DIFF_ERROR = "CASE event_id % 4 WHEN 0 THEN 'a hunk outside of any file' WHEN 1 THEN 'a hunk says 3 lines and has 2' ELSE 'a hunk says 2 lines and has 1' END"
+DIFF_LINE = "CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 3 ELSE 1 END"
+query("snk6_document_errors", f"SELECT source_file, line_no, {DOCUMENT_ERROR} AS error FROM shell_commands WHERE line_no % 8 IN (1, 2, 4, 5)", ("shell_commands",))(lambda read: dead_letters.written_documents(read("shell_commands"), COMMAND, "cmd")[1])
+query("snk6_diff_errors", f"SELECT event_id, {DIFF_LINE} AS line_no, {DIFF_ERROR} AS error FROM broken_diffs WHERE event_id % 4 <> 3", ("broken_diffs",))(lambda read: dead_letters.diff_errors(read("broken_diffs"), ["event_id"], "patch"))
+
+
+def all_letters(read: Read) -> DataFrame:
+    return dead_letters.dead_letters(
+        dead_letters.record_errors(read("claude_log"), "claude log"),
+        dead_letters.record_errors(read("codex_log"), "codex log"),
+        dead_letters.letters(patched(read)[2], "patch"),
+        dead_letters.letters(dead_letters.written_documents(read("shell_commands"), COMMAND, "cmd")[1], "here-document"),
+        dead_letters.letters(dead_letters.diff_errors(read("broken_diffs").withColumn("source_file", F.col("event_id").cast("string")), ["source_file"], "patch"), "diff"),
+    )
+
+
+query("snk6_dead_letters", f"""{C}, d AS (SELECT source_file, CAST(3 * place AS BIGINT) AS line_no, 'claude log' AS parser, 'the line is no JSON' AS error FROM c WHERE event_type = 'view' AND event_id % 2 = 1
+    UNION ALL SELECT source_file, line_no, 'here-document', {DOCUMENT_ERROR} FROM shell_commands WHERE line_no % 8 IN (1, 2, 4, 5) UNION ALL SELECT CAST(event_id AS VARCHAR), {DIFF_LINE}, 'diff', {DIFF_ERROR} FROM broken_diffs WHERE event_id % 4 <> 3)
+    SELECT source_file, line_no, CAST(NULL AS VARCHAR) AS call_id, parser, error FROM d""", ("claude_log", "codex_log", "shell_commands", "broken_diffs"))(all_letters)
