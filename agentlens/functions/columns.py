@@ -172,7 +172,7 @@ def is_bug_issue(labels: Column) -> Column:
 
 def repo_key(origin_url: Column) -> Column:
     """`git:host/path` of a remote's address, host in lower case, without user and `.git`."""
-    url = F.regexp_replace(F.trim(origin_url), r"/+$|(\.git)+$", "")
+    url = F.regexp_replace(F.regexp_replace(F.trim(origin_url), "/+$", ""), r"(\.git)+$", "")
     scp = F.regexp_replace(F.regexp_replace(url, "^git@", ""), "^([^:]*):/*", "$1/")
     other = F.regexp_replace(F.regexp_replace(url, r"^[^:]*://", ""), "^.*@", "")
     whole = F.when(url.startswith("git@") & F.contains(url, F.lit(":")), scp).when(~url.startswith("git@"), other)

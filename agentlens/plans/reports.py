@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns as C
@@ -106,8 +106,9 @@ def finished(df: DataFrame, args: ReportArgs, keep: Column, order: list[Column])
     if args.implicit_model and args.group_by == "model":
         if args.weekly:
             return df.orderBy("week_start", "group_value")
-        every = Window.partitionBy()
-        chosen = df.withColumn("_keep", keep).withColumn("_any", F.max("_keep").over(every)).filter(F.col("_keep") | ~F.col("_any")).drop("_keep", "_any")
+        told = df.withColumn("_keep", keep)
+        some = told.agg(F.coalesce(F.max("_keep"), F.lit(False)).alias("_any"))  # one row
+        chosen = told.join(F.broadcast(some), F.col("_keep") | ~F.col("_any")).drop("_keep", "_any")
         return chosen.orderBy(*order).limit(limit)
     ordered = df.orderBy("week_start", "group_value")
     return ordered.limit(limit) if args.group_by or args.weekly else ordered
@@ -224,3 +225,12 @@ def session_list(e: Events, args: ReportArgs) -> DataFrame:
         branch = V.branch_session_metrics(e.task_commit, e.commit_session, e.quality)
         rows = rows.join(branch.filter(F.col("branch_name") == args.branch), V.SESSION, "left_semi")
     return rows.orderBy(F.desc_nulls_last("last_active"), "provider", "session_id").limit(max(args.limit, 1))
+
+
+def hidden_branches(e: Events, args: ReportArgs) -> DataFrame:
+    """(hint): one row if a session report by task has none although the same report by branch has some, else none."""
+    if args.group_by != "task" or args.task is not None:
+        return e.quality.sparkSession.createDataFrame([], "hint string")
+    by_branch = session_report(e, replace(args, group_by="branch", limit=1)).select(F.lit("no branch names a task; group by branch instead").alias("hint"))
+    any_task = session_report(e, replace(args, limit=1)).agg(F.count("*").alias("_n"))  # one row
+    return by_branch.limit(1).join(F.broadcast(any_task), F.col("_n") == 0).select("hint")

@@ -177,6 +177,21 @@ delivery_query("r2_delivery_weekly_by_model", delivery_sql(V5, True, "model_name
 delivery_query("r2_delivery_by_task", f"SELECT * FROM ({delivery_sql(V6, False, 'task_key', False, True)}) WHERE {REPORTABLE} ORDER BY group_value, branch_name LIMIT 50", group_by="task")
 delivery_query("r2_delivery_by_branch_of_claude", delivery_sql(f"SELECT * FROM ({V7}) x WHERE EXISTS (SELECT 1 FROM ev_commit_session f WHERE f.repo_root = x.repo_root AND f.commit_sha = x.commit_sha AND f.provider = 'claude')", False, "branch_name", False) + " ORDER BY 2 LIMIT 50", group_by="branch", provider="claude")
 
+delivery_query("r2_delivery_implicit_model", f"""WITH r AS ({delivery_sql(V5, False, "model_name", True)}), k AS (SELECT *, heavy_commit_count >= 3 AND group_value <> 'human/(unknown)' AS keep FROM r), s AS (SELECT *, max(keep) OVER () AS has_some FROM k)
+    SELECT * EXCLUDE (keep, has_some) FROM s WHERE keep OR NOT has_some ORDER BY heavy_commit_count DESC, CASE WHEN mainline_d > 0 THEN mainline_n / mainline_d ELSE -1 END, group_value LIMIT 4""", group_by="model", implicit_model=True, limit=4)
+
+
+class NoTasks(EventTables):
+    """Event tables of branches that name no task."""
+
+    def __getattr__(self, name: str) -> DataFrame:
+        table = super().__getattr__(name)
+        return table.filter("task_key IN ('main', '(unknown)')") if name.startswith("task_") else table
+
+
+query("r8_hint_of_branches", f"SELECT 'no branch names a task; group by branch instead' AS hint WHERE (SELECT count(*) FROM ({V3}) b WHERE branch_name IN ('main', '(unknown)')) > 0", COMMIT_EVENTS)(lambda read: reports.hidden_branches(NoTasks(read), reports.ReportArgs(group_by="task")))
+query("r8_no_hint", f"SELECT 'x' AS hint WHERE (SELECT count(*) FROM ({V2}) t WHERE {REPORTABLE.replace('group_value', 'task_key')}) = 0", COMMIT_EVENTS)(lambda read: reports.hidden_branches(event_tables(read), reports.ReportArgs(group_by="task")))
+
 
 def quality_sql(base: str, week_: bool, value: str | None, by_session: bool, branch: bool = False) -> str:
     cols, by = group_sql(week_, value, branch)

@@ -8,10 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentlens.functions import hashing
+from agentlens.functions import columns, hashing
 from agentlens.operators import branches, commit_graph, incremental, outcomes
 from agentlens.queries import Read, query
-from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, kv_store, patches, path_resolution, pull_files, store_changes
+from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, kv_store, patches, path_resolution, places, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
@@ -107,7 +107,7 @@ query("p13_store_messages", f"""{U} SELECT c.session_id, CASE c.event_id WHEN h.
     CASE WHEN event_type = 'signup' THEN 3 ELSE 1 END AS content_words FROM c JOIN h ON h.session_id = c.session_id WHERE (event_type = 'view' OR event_type = 'signup' AND event_id % 4 <> 0)""", ("store_rows",))(
     lambda read: kv_store.messages(store(read)).select("session_id", "message_index", "role", "content", F.col("content_words").cast("int").alias("content_words"))
 )
-query("p15_store_edits", f"""{U} SELECT c.session_id, '/r/f' || (event_id % 6) || '.py' AS path, 2 * count(*) AS lines_added, count(*) AS lines_removed FROM c WHERE event_type = 'click' AND event_id % 5 <> 0 AND event_id % 3 <> 0 GROUP BY ALL""", ("store_rows",))(
+query("p15_store_edits", f"""{U} SELECT c.session_id, '/r/f' || (event_id % 6) || '.py' AS path, 2 * count(*) AS lines_added, count(*) AS lines_removed FROM c WHERE event_type = 'click' AND event_id % 5 <> 0 AND event_id % 3 <> 0 AND event_id % 7 <> 2 GROUP BY ALL""", ("store_rows",))(
     lambda read: kv_store.tool_edits(store(read))
 )
 query("p23_accepted_lines", f"{U} SELECT session_id, CAST(event_id AS VARCHAR) AS item, '/r/p' || (event_id % 4) AS path, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS lines_added FROM c WHERE event_type = 'error'", ("store_rows",))(
@@ -369,3 +369,33 @@ def all_letters(read: Read) -> DataFrame:
 query("snk6_dead_letters", f"""{C}, d AS (SELECT source_file, CAST(3 * place AS BIGINT) AS line_no, 'claude log' AS parser, 'the line is no JSON' AS error FROM c WHERE event_type = 'view' AND event_id % 2 = 1
     UNION ALL SELECT source_file, line_no, 'here-document', {DOCUMENT_ERROR} FROM shell_commands WHERE line_no % 8 IN (1, 2, 4, 5) UNION ALL SELECT CAST(event_id AS VARCHAR), {DIFF_LINE}, 'diff', {DIFF_ERROR} FROM broken_diffs WHERE event_id % 4 <> 3)
     SELECT source_file, line_no, CAST(NULL AS VARCHAR) AS call_id, parser, error FROM d""", ("claude_log", "codex_log", "shell_commands", "broken_diffs"))(all_letters)
+
+# ---- places of paths, local histories, small rules
+
+RELATIONS |= {
+    "logged_paths": f"""SELECT event_id, CASE event_id % 6 WHEN 0 THEN '/repo/1/src/../lib/f.py' WHEN 1 THEN ' "src//a b.py" ' WHEN 2 THEN 'C:' || chr(92) || 'Work' || chr(92) || 'x.py' WHEN 3 THEN './g.py' WHEN 4 THEN 'file:///repo/2/a%20b.py' ELSE '/elsewhere/f.py' END AS path,
+        CASE WHEN event_id % 2 = 0 THEN NULL ELSE '/repo/' || {S("user_id % 3")} || '/' END AS workdir, '/repo/' || {S("user_id % 3")} || '/sub' AS cwd FROM base""",
+    "root_list": "SELECT DISTINCT repo_root FROM base WHERE repo_root IS NOT NULL UNION ALL SELECT 'c:/Work' UNION ALL SELECT '/repo/2/nested'",
+    "entries_json": f"""SELECT {S("user_id")} AS folder, '{{"version":1,' || CASE WHEN user_id % 5 = 0 THEN '' ELSE '"resource":"file:///r/f' || {S("user_id % 9")} || '%20x.py",' END || '"entries":[{{"id":"a' || {S("min(event_id)")} || '","source":"Undo","timestamp":' || {S("min(event_id)")} || '}},{{"id":"b"}},{{"timestamp":3}}]}}' AS value FROM base GROUP BY user_id""",
+    "hosted_pulls": f"SELECT 'k' || {S('user_id % 3')} AS repo_key, event_id AS pr_number, CASE WHEN event_id % 3 = 0 THEN 'closed' ELSE 'open' END AS state, ts AS last_checked_at FROM base WHERE event_type = 'click'",
+}
+NEEDS |= {"logged_paths": ["base"], "root_list": ["base"], "entries_json": ["base"], "hosted_pulls": ["base"]}
+query("p28_located_paths", """WITH a AS (SELECT event_id, CASE event_id % 6 WHEN 0 THEN '/repo/1/lib/f.py' WHEN 1 THEN rtrim(workdir, '/') || '/src/a b.py' WHEN 2 THEN 'c:/Work/x.py' WHEN 3 THEN rtrim(workdir, '/') || '/g.py' WHEN 4 THEN '/repo/2/a b.py' ELSE path END AS abs_path FROM logged_paths),
+    b AS (SELECT a.*, (SELECT max(repo_root) FROM root_list r WHERE starts_with(a.abs_path, r.repo_root || '/')) AS repo_root FROM a) SELECT *, substr(abs_path, length(repo_root) + 2) AS rel_path FROM b""", ("logged_paths", "root_list"))(
+    lambda read: places.located(read("logged_paths"), read("root_list")).select("event_id", "abs_path", "repo_root", "rel_path")
+)
+query("src7_history_entries", """SELECT folder, '/r/f' || (CAST(folder AS BIGINT) % 9) || ' x.py' AS path, x.i AS id, x.s AS source, x.t AS timestamp FROM (SELECT folder, regexp_extract(value, '"id":"a([0-9]+)"', 1) AS n FROM entries_json WHERE CAST(folder AS BIGINT) % 5 <> 0),
+    unnest([{'i': 'a' || n, 's': 'Undo', 't': CAST(n AS BIGINT)}, {'i': 'b', 's': '', 't': 0}]) AS u(x)""", ("entries_json",))(lambda read: places.history_entries(read("entries_json")))
+query("i5_pulls_to_refresh", "SELECT repo_key, pr_number FROM hosted_pulls WHERE state = 'open' AND last_checked_at < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 6 HOUR", ("hosted_pulls",))(lambda read: incremental.pulls_to_refresh(read("hosted_pulls"), "2024-01-15 12:00:00").select("repo_key", "pr_number"))
+query("x21_task_parts", """SELECT branch, k, CASE WHEN regexp_matches(k, '^[A-Z]+-[0-9]+$') THEN string_split(k, '-')[1] END AS prefix, CASE WHEN regexp_matches(k, '^[A-Z]+-[0-9]+$') THEN CAST(string_split(k, '-')[2] AS BIGINT) END AS number
+    FROM (SELECT DISTINCT branch, CASE WHEN event_id % 2 = 0 THEN 'AB-' || (event_id % 50) WHEN event_id % 3 = 0 THEN 'x-' || event_id % 7 ELSE branch END AS k FROM base)""", ("base",))(
+    lambda read: read("base").select("branch", F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("AB-"), F.col("event_id") % 50)).when(F.col("event_id") % 3 == 0, F.concat(F.lit("x-"), F.col("event_id") % 7)).otherwise(F.col("branch")).alias("k")).distinct().withColumns({"prefix": columns.task_prefix(F.col("k")), "number": columns.task_number(F.col("k"))})
+)
+query("x22_integration_branches", "SELECT b, b IN ('main', 'master', 'staging', 'develop') OR starts_with(b, 'release/') AS integration FROM (SELECT DISTINCT CASE WHEN event_id % 3 = 0 THEN 'release/' || (event_id % 9) ELSE branch END AS b FROM base)", ("base",))(
+    lambda read: read("base").select(F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("release/"), F.col("event_id") % 9)).otherwise(F.col("branch")).alias("b")).distinct().withColumn("integration", columns.is_metadata_integration(F.col("b")))
+)
+query("src16_repository_keys", """SELECT DISTINCT event_id % 60 AS k, CASE event_id % 5 WHEN 3 THEN NULL ELSE 'git:github.com/Acme/r' || (event_id % 12) END AS repo_key FROM base""", ("base",))(
+    lambda read: read("base").select((F.col("event_id") % 60).alias("k"), columns.repo_key(F.concat(F.element_at(F.array(*map(F.lit, ("git@GitHub.com:Acme/r", "https://u:p@github.com/Acme/r", "ssh://git@github.com/Acme/r", "nowhere", " https://github.com/Acme/r"))), (F.col("event_id") % 5 + 1).cast("int")), F.col("event_id") % 12, F.lit(".git/"))).alias("repo_key")).withColumn("repo_key", F.when(F.col("k") % 5 != 3, F.col("repo_key"))).distinct()
+)
+query("h4_line_totals", "SELECT repo_root, commit_sha, CAST(sum(count) AS BIGINT) AS total FROM commit_hashes GROUP BY ALL", ("commit_hashes",))(lambda read: hashing.total(read("commit_hashes"), ["repo_root", "commit_sha"]))
+query("h7_most_of_each_line", "SELECT repo_root, rel_path, line_hash, max(count) AS count FROM change_hashes GROUP BY ALL", ("change_hashes",))(lambda read: hashing.max_merge(read("change_hashes"), ["repo_root", "rel_path", "line_hash"]))

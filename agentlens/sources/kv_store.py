@@ -12,6 +12,7 @@ from agentlens.functions.columns import word_count
 
 PREFIXES = ("composerData", "bubbleId", "checkpointId", "inlineDiffUndoRedo", "inlineDiff", "codeBlockPartialInlineDiffFates", "codeBlockDiff")
 WRITERS = ("edit_file_v2", "apply_patch", "write_file", "write_file_v2")
+PATH_KEYS = ("relativeWorkspacePath", "targetFile", "target_file", "effectiveUri", "path")
 HEADERS = "array<struct<bubbleId:string,type:int>>"
 
 
@@ -65,7 +66,10 @@ def messages(rows: DataFrame) -> DataFrame:
 def tool_edits(rows: DataFrame) -> DataFrame:
     """(session_id, path, lines_added, lines_removed): finished writes of one path, summed by path."""
     calls = bubbles(rows).filter(F.col("tool").isin(*WRITERS) & F.coalesce(F.col("status") == "completed", F.lit(False)))
-    path = F.coalesce(F.get_json_object("params", "$.relativeWorkspacePath"), F.get_json_object("params", "$.target_file"), F.get_json_object("params", "$.path"))
+    named = F.array(*[F.get_json_object("params", f"$.{k}") for k in PATH_KEYS])
+    listed = F.transform(F.from_json(F.get_json_object("params", "$.paths"), "array<string>"), lambda x: F.coalesce(F.get_json_object(x, "$.relativeWorkspacePath"), x))
+    every = F.array_distinct(F.array_compact(F.concat(named, F.coalesce(listed, F.array().cast("array<string>")))))
+    path = F.when(F.size(every) == 1, every[0])  # a call that names several tells of none
     diffs = F.regexp_extract_all(F.coalesce("result", F.lit("")), F.lit(r'"diffString"\s*:\s*("(?:[^"\\]|\\.)*")'), F.lit(1))
     lines = F.flatten(F.transform(diffs, lambda d: F.split(F.get_json_object(F.concat(F.lit('{"x":'), d, F.lit("}")), "$.x"), "\n")))
     count = lambda sign: F.size(F.filter("lines", lambda x: x.startswith(sign) & ~x.startswith(sign * 3)))

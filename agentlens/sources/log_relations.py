@@ -49,7 +49,7 @@ MARKS = {"@at": AT, "@file": FILE_NO, "@q": "chr(92) || chr(34)", "@n": "chr(92)
 
 def marked(template: str) -> str:
     for name, sql in MARKS.items():
-        template = template.replace(f"[[{name}]]", f"[[{sql}]]")
+        template = template.replace(f"[[{name}]]", f"[[{sql}]]").replace(f"{name} ", f"{sql} ")
     return template
 
 
@@ -71,7 +71,7 @@ STORE = [
     ("signup", '"bubbleId:" || session_id || ":b" || event_id', '{"type":1,"createdAt":[[1000 * event_id]],"text":"[[CASE WHEN event_id % 4 = 0 THEN \'\' ELSE \'please  go on\' END]]"}'),
     ("view", '"bubbleId:" || session_id || ":b" || event_id', '{"type":2,"createdAt":[[1000 * event_id]],"text":"sure","modelInfo":{"modelName":"m[[event_id % 3]]"}}'),
     ("click", '"bubbleId:" || session_id || ":b" || event_id',
-     '{"type":2,"text":"","toolFormerData":{"name":"[[CASE WHEN event_id % 5 = 0 THEN \'read_file\' ELSE \'edit_file_v2\' END]]","status":"[[CASE WHEN event_id % 3 = 0 THEN \'error\' ELSE \'completed\' END]]","params":"{[[@q]]path[[@q]]:[[@q]]/r/f[[@file]].py[[@q]]}","result":"{[[@q]]diffs[[@q]]:[{[[@q]]diffString[[@q]]:[[@q]]+a[[@n]]-b[[@n]]+c[[@n]] d[[@q]]}]}"}}'),
+     '{"type":2,"text":"","toolFormerData":{"name":"[[CASE WHEN event_id % 5 = 0 THEN \'read_file\' ELSE \'edit_file_v2\' END]]","status":"[[CASE WHEN event_id % 3 = 0 THEN \'error\' ELSE \'completed\' END]]","params":"{[[CASE event_id % 7 WHEN 1 THEN @q || \'paths\' || @q || \':[\' || @q ELSE @q || \'path\' || @q || \':\' || @q END]]/r/f[[@file]].py[[CASE event_id % 7 WHEN 1 THEN @q || \']\' WHEN 2 THEN @q || \',\' || @q || \'targetFile\' || @q || \':\' || @q || \'/r/other.py\' || @q ELSE @q END]]}","result":"{[[@q]]diffs[[@q]]:[{[[@q]]diffString[[@q]]:[[@q]]+a[[@n]]-b[[@n]]+c[[@n]] d[[@q]]}]}"}}'),
     ("error", '"codeBlockPartialInlineDiffFates:" || session_id || ":" || event_id', '{"path":"/r/p[[event_id % 4]]","fates":[{"fate":"accepted","line":"q[[event_id % 2]]"},{"fate":"[[CASE WHEN event_id % 3 = 0 THEN \'accepted\' ELSE \'rejected\' END]]","line":"w"}]}'),
     ("purchase", '"unknownKind:" || session_id || ":" || event_id', "{}"),
 ]
