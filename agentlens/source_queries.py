@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from agentlens.functions import columns, hashing
 from agentlens.operators import branches, commit_graph, incremental, outcomes
 from agentlens.queries import Read, query
-from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, kv_store, patches, path_resolution, places, pull_files, store_changes
+from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, kv_store, model_names, patches, path_resolution, places, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
@@ -399,3 +399,17 @@ query("src16_repository_keys", """SELECT DISTINCT event_id % 60 AS k, CASE event
 )
 query("h4_line_totals", "SELECT repo_root, commit_sha, CAST(sum(count) AS BIGINT) AS total FROM commit_hashes GROUP BY ALL", ("commit_hashes",))(lambda read: hashing.total(read("commit_hashes"), ["repo_root", "commit_sha"]))
 query("h7_most_of_each_line", "SELECT repo_root, rel_path, line_hash, max(count) AS count FROM change_hashes GROUP BY ALL", ("change_hashes",))(lambda read: hashing.max_merge(read("change_hashes"), ["repo_root", "rel_path", "line_hash"]))
+RELATIONS["model_texts"] = f"""SELECT event_id, CASE event_id % 8 WHEN 0 THEN '{{"a":{{"model":"gpt-1"}},"model":"claude-' || {S("event_id % 5")} || '"}}' WHEN 1 THEN '{{"model":{{"slug":"x","name":" gpt-4' || {S("event_id % 3")} || ' "}}}}' WHEN 2 THEN '[{{"b":[{{"chatModel":"o1-b"}}]}},{{"a":1,"model":"o3"}}]'
+    WHEN 3 THEN '{{"z":{{"model":"default"}},"b":{{"defaultModel":"other"}}}}' WHEN 4 THEN '{{"usageData":{{"Default":{{}},"zz-opus":{{}}}},"model":"gpt-9"}}' WHEN 5 THEN '{{"model":"none","b":{{"modelName":"haiku-b"}},"a":[{{"currentModel":{{"id":{{"name":"qwen"}}}}}}]}}' WHEN 6 THEN '{{"model":4,"x":"gpt"}}' ELSE 'no {{json' END AS value FROM base"""
+NEEDS["model_texts"] = ["base"]
+query("p17_models_by_object", "SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'claude-' || (event_id % 5) WHEN 1 THEN 'gpt-4' || (event_id % 3) WHEN 2 THEN 'o1-b' WHEN 3 THEN 'default' WHEN 4 THEN 'zz-opus' WHEN 5 THEN 'qwen' END AS model_name FROM base", ("base",))(lambda read: model_names.model_names(read("model_texts"), ["event_id"], "value"))
+query("p21_cascade", """WITH t AS (SELECT session_id, path, lines_added, lines_removed FROM session_edits), i AS (SELECT session_id, path, count(*) AS lines_added, CAST(0 AS BIGINT) AS lines_removed FROM hint_rows GROUP BY ALL), p AS (SELECT session_id, path, CAST(1 AS BIGINT) AS a, CAST(2 AS BIGINT) AS r FROM wanted_files), l AS (SELECT DISTINCT session_id, path, CAST(3 AS BIGINT) AS a, CAST(0 AS BIGINT) AS r FROM block_targets)
+    SELECT *, 0 AS stage FROM t UNION ALL SELECT *, 1 FROM i ANTI JOIN t USING (session_id, path) UNION ALL SELECT *, 2 FROM p ANTI JOIN t USING (session_id, path) ANTI JOIN i USING (session_id, path) UNION ALL SELECT *, 3 FROM l ANTI JOIN t USING (session_id, path) ANTI JOIN i USING (session_id, path) ANTI JOIN p USING (session_id, path)""",
+      ("session_edits", "hint_rows", "wanted_files", "block_targets"))(
+    lambda read: (lambda edits, *more: store_changes.cascade(edits, *more))(
+        read("session_edits"),
+        read("hint_rows").groupBy("session_id", "path").agg(F.count("*").alias("lines_added"), F.lit(0).cast("bigint").alias("lines_removed")),
+        read("wanted_files").select("session_id", "path", F.lit(1).cast("bigint").alias("lines_added"), F.lit(2).cast("bigint").alias("lines_removed")),
+        read("block_targets").select("session_id", "path", F.lit(3).cast("bigint").alias("lines_added"), F.lit(0).cast("bigint").alias("lines_removed")).distinct(),
+    )
+)
