@@ -16,7 +16,7 @@ the best of all blocks are the answer.
 Queries meet blocks as (block, chunk of queries) groups of bounded size; the
 index covers every row. Vectors that are null, empty, zero or hold a null or
 non-finite component take no part. Only vectors of one length are compared.
-Defined cases: ties go to the smaller id, equal vectors have equal scores;
+Defined cases: components may be of any finite size; ties go to the smaller id, equal vectors have equal scores;
 repeated rows of one id are one candidate if their vectors are equal; a row with a
 null id takes no part; other columns are ignored.
 """
@@ -91,8 +91,11 @@ class Block:
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Rows, each scaled so that its largest component is between 0.5 and 1; a cosine doesn't depend on it."""
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    rows = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+    # by a power of two, which changes no digit: squares of very large or small components would leave the range
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1))[1][:, None]) if rows.size else rows
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:

@@ -10,7 +10,8 @@
    mandatory trigram (runs of hexadecimal digits) is tried on every text.
 
 Spans are code points, end exclusive, leftmost and non-overlapping per kind.
-Defined cases: a null text is empty; a document without a match has no spans;
+Defined cases: a null text is empty; a document without a match has no spans; a text of any
+length is searched as a whole, in time about linear in its length and matches;
 repeated rows (the same id again) and rows with a null id are scanned each; other
 columns are ignored.
 """
@@ -136,23 +137,48 @@ def candidates(index: DataFrame, rules=RULES, key: str = "doc_id") -> DataFrame:
     return held.select(key, kinds.alias("_kinds")).filter(F.size("_kinds") > 0)
 
 
+#: Numbers that are summed one by one; running sums of more are put together from as many sums.
+SUMMED = 256
+
+
+def running(xs: Column, start: Column) -> Column:
+    """Running sums of a short array of integers."""
+    first = F.struct(start.alias("sum"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(xs, first, lambda acc, x: F.struct((acc["sum"] + x).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + x)).alias("all")), lambda acc: acc["all"])
+
+
+def bound(value: Column, use) -> Column:
+    """`use` of a value that is computed once, however often it is used and in whatever functions of elements."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(xs: Column) -> Column:
+    """Running sums of an array of integers of any length, in blocks: each array that grows number by number stays short."""
+
+    def cut(all_: Column) -> Column:
+        last = F.floor((F.size(all_) - 1) / SUMMED).cast("int")
+        return F.when(F.size(all_) > 0, F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(all_, b * SUMMED + 1, F.lit(SUMMED)))).otherwise(F.array().cast("array<array<int>>"))
+
+    def joined(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, x: a + x))
+        before = F.concat(F.array(F.lit(0)), running(sums, F.lit(0)))
+        return F.flatten(F.zip_with(blocks, F.slice(before, F.lit(1), F.size(blocks)), lambda b, start: running(b, start)))
+
+    return bound(bound(xs, cut), joined)
+
+
 def spans_of(text: str, rule: Rule, rank: int) -> Column:
-    """array<struct<start, rank, kind, end>> of one rule: lengths of the pieces between matches give the places."""
-    pieces, found, told = (F.split(text, rule.pattern, -1), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)))
-    lengths = F.zip_with(
-        F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda a, b: F.struct(F.char_length(a).alias("gap"), F.char_length(b).alias("own"))),
-        told,
-        lambda a, b: F.struct(a["gap"].alias("gap"), a["own"].alias("own"), F.char_length(b).alias("told")),
-    )
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    """array<struct<start, rank, kind, end>> of one rule: lengths of the pieces between matches give the places, in time linear in the text but for the sums of blocks."""
+    gaps = F.transform(F.split(text, rule.pattern, -1), lambda x: F.char_length(x))
+    found, told = (F.transform(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(g)), lambda x: F.char_length(x)) for g in (0, rule.group))
+    own = F.zip_with(found, told, lambda a, b: F.struct(a.alias("own"), b.alias("told")))
+    widths = F.zip_with(F.slice(gaps, F.lit(1), F.size(gaps) - 1), found, lambda a, b: a + b)
 
-    def step(acc: Column, x: Column) -> Column:
-        begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["own"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(x["told"] >= rule.least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def span(end: Column, x: Column) -> Column:
+        return F.struct((end - x["own"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), x["told"].alias("told"))
 
-    return F.aggregate(lengths, start, step, lambda acc: acc["spans"])
+    kept = F.filter(F.zip_with(running_sums(widths), own, span), lambda s: s["told"] >= rule.least)
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")))
 
 
 #: Candidates up to this number are broadcast (ids and a few kinds: under 100 bytes each); more join by shuffle.

@@ -4,11 +4,12 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
 
-from agentlens.llm import collocations, exact_copies, lexical_search
+from agentlens.llm import collocations, exact_copies, lexical_search, neighbours, secrets
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -198,3 +199,26 @@ def test_parts_of_a_long_text_add_up():
         pieces = " ".join(t.decode() for t in tokens).split(".")
         told = Counter(" ".join(ws[i : i + k]) for p in pieces for ws in [p.split()] for i in range(len(ws) - k + 1))
         assert found == told
+
+
+# ---- very long texts and extreme vectors in other operators
+
+
+def test_secrets_of_a_text_with_very_many(spark):
+    text = " ".join(f"{i:032x} token={i:010d} x" for i in range(20_000))
+    began = time.time()
+    (row,) = secrets.find_secrets(spark.createDataFrame([(1, text, "clash")], "doc_id bigint, text string, spans string")).collect()
+    assert time.time() - began < 60
+    told = [(s["start"], s["kind"], s["end"]) for s in row["spans"] if s["kind"] in ("hex", "assign")]
+    want = [(m.start(), "hex", m.end()) for m in re.finditer("[0-9a-f]{32,}", text)] + [(m.start(), "assign", m.end()) for m in re.finditer("token=[0-9]{10}", text)]
+    assert told == sorted(want)
+
+
+def test_neighbours_of_extreme_vectors(spark):
+    rows = [(50, [1.0, 1.0]), (1, [0.0, 1e-200]), (2, [1e200, 0.0]), (3, [1e-300, 1e-300]), (4, [1e300, 1e300]), (5, [-1e-320, 0.0]), (100, [1e-310, 1e-310]), (3, [1e-300, 1e-300]), (3, [5.0, 4.0]), (6, []), (7, [1.0, float("nan")])]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], round(r["score"], 12)) for r in neighbours.nearest_neighbours(vectors, vectors.filter("vec_id % 50 = 0"), k=9).collect()}
+    half = round(math.sqrt(0.5), 12)
+    assert {got[(50, n)] for n in (1, 2, 3)} == {(3, 1.0), (4, 1.0), (100, 1.0)}  # equal but for the last digit
+    assert [got[(50, n)] for n in range(4, 8)] == [(3, round(9 / math.sqrt(82), 12)), (1, half), (2, half), (5, -half)]
+    assert {got[(100, n)][0] for n in range(1, 4)} == {3, 4, 50} and (50, 8) not in got
