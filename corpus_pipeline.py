@@ -3,7 +3,8 @@
 All stages but the last return the columns of documents, more columns included, and
 treat odd rows alike: a null text is empty and stays null; rows that repeat an id are
 one document in decisions (they stay or go together); rows without an id can't be
-named by a decision and stay; equal texts are treated equally; a text of any length
+named by a decision and stay, but for decontamination, which names them by their text;
+equal texts are treated equally; a text of any length
 is worked on as a whole; an empty table gives an empty one.
 """
 
@@ -36,8 +37,16 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents into which a benchmark item leaks."""
-    return without_ids(docs, decontaminate.leaks(docs, table(spark, sf_dir, "benchmark")))
+    """Without the documents into which a benchmark item leaks; rows without an id go by their text."""
+    items = table(spark, sf_dir, "benchmark")
+    kept = without_ids(docs, decontaminate.leaks(docs, items))
+    nameless = docs.filter(F.col("doc_id").isNull())
+    if nameless.isEmpty():
+        return kept
+    name = "_" * (1 + max(map(len, docs.columns)))
+    told = lambda df: df.withColumn(name, F.when(F.col("doc_id").isNull(), F.sha2("text", 256)))
+    gone = decontaminate.leaks(told(nameless).filter(F.col(name).isNotNull()).select(name, "text").distinct(), items, key=name)
+    return without_ids(told(kept), gone, name).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
