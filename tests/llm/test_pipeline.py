@@ -68,3 +68,12 @@ def test_odd_rows_pass_through(spark, tmp_path):
             assert out.filter("doc_id IS NULL").count() == docs.filter("doc_id IS NULL").count() and out.filter("kept <> 'mine'").count() == 0, name
         last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
         assert last.count() == len(table_rows) and last.filter("NOT coalesce(round_trip, true)").count() == 0
+
+
+def test_leaks_without_an_id_go(spark, tmp_path):
+    item = " ".join(f"secret{i} question" for i in range(20))
+    spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, f"before it {item} and after"), (None, "a clean text without an id"), (None, None), (3, item), (4, "another clean text"), (4, f"{item} again")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("__", F.lit(1))
+    out = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([(None, "a clean text without an id"), (None, None)], key=str)
