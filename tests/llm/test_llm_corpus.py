@@ -113,7 +113,7 @@ def test_search_of_nothing(spark):
 
 
 def test_blocks_below_the_threshold_are_not_scored(monkeypatch):
-    """A task in this process: of 60 blocks only the few whose bound reaches the best scores are scored."""
+    """A task in this process, groups of a few blocks one after another: from the third good one on only blocks whose bound reaches the best scores are scored, and with the threshold of the first round no others at all."""
     import pyarrow as pa
 
     texts = [("rare word in it " if i % 20 == 0 else "") + "common text about a thing " * 3 for i in range(60)]
@@ -128,7 +128,10 @@ def test_blocks_below_the_threshold_are_not_scored(monkeypatch):
     plain = lexical_search.Lot.scores
     monkeypatch.setattr(lexical_search.Lot, "scores", lambda self, block, *a: scored.append(block["block"]) or plain(self, block, *a))
     out = pa.Table.from_batches(lexical_search.scored(lot, 3, {}, 60, 900)(iter([batch])))
-    assert out["doc_id"].to_pylist() == [0, 20, 40] and len(scored) < 40
+    assert out["doc_id"].to_pylist() == [0, 20, 40] and max(scored) == 40
+    scored.clear()
+    again = pa.Table.from_batches(lexical_search.scored(lot, 3, {0: out["score"].to_pylist()[-1]}, 60, 900)(iter([batch])))
+    assert again.equals(out) and scored == [0, 20, 40]
 
 
 # ---- collocations
