@@ -101,7 +101,7 @@ def parsed(page: str) -> Page:
 
     def flush() -> None:
         if pieces:
-            text = SPACE.sub(" ", references.unescape("".join(pieces))).strip()
+            text = SPACE.sub(" ", "".join(map(references.unescape, pieces))).strip()  # no reference reaches over a tag
             pieces.clear()
             if text:
                 top = open_[-1]

@@ -33,11 +33,11 @@ Style nodes are counted as (host, branch, digest, body), so a host with a third
 all pages is a partial aggregation like any other.
 
 Defined cases: null or empty html has no text; character references are decoded
-(also ones without a semicolon, where HTML allows it); `br` is white space, other
+(also ones without a semicolon, where HTML allows it; a tag ends one); `br` is white space, other
 elements within a block part no words; unclosed elements end with their parent; a
 tag that the page's end cuts off is left out; repeated pages are extracted each; a
 null url is a host of its own; other columns are kept, but for ones named `text`,
-`n_chars`, `_host`, `_low` or `_texts`, which are replaced.
+`n_chars`, `_host` or `_low`, which are replaced.
 """
 
 from __future__ import annotations

@@ -202,3 +202,8 @@ def test_odd_markup():
         began = time.time()
         markup.parsed(odd * (400_000 // len(odd)))
         assert time.time() - began < 20
+
+
+def test_references_end_at_tags():
+    texts = lambda h: [b.text for b in markup.parsed(h).blocks]
+    assert texts("<p>a &<b>lt;</b> b &lt;b&gt; &amp;lt; 1 < 2 &amp;</p>") == ["a &lt; b <b> &lt; 1 < 2 &"]
