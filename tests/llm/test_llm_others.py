@@ -163,6 +163,37 @@ def test_articles_on_test_pages_are_whole(spark):
         assert r["text"] == "\n\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_words_tell_menus_without_their_names(spark):
+    """What the tree alone leaves of the test pages, without names of elements and without a look at articles.
+
+    On the hosts whose menus, adverts and footers have shown most of their words, that is the article, whole.
+    """
+    pages = table(spark, "/root/testdata/sf0.1", "pages").withColumn("_host", url_filter.url_host(F.col("url")))
+    low = {(r["_host"], r["branch"]) for r in page_text.low_branches(page_text.style_tree(page_text.node_counts(pages))).collect()}
+    whole = 0
+    for r in pages.select("_host", "html").collect():
+        blocks = markup.parsed(r["html"]).blocks
+        left = [b for b in blocks if (r["_host"], b.path) not in low]
+        article = [b for b in blocks if b.content and not b.outside]
+        assert [b for b in left if b.content] == article  # nothing of it is lost on any host
+        whole += left == article
+    assert whole >= 320  # of 2500
+
+
+def test_words_and_a_body_of_few_words(spark):
+    """A menu of a fixed vocabulary goes; a body whose words repeat as well is still the body, and so are an article's headings."""
+    rng = random.Random(3)
+    menu = lambda: " ".join(rng.sample(["start", "news", "sport", "music", "books", "about", "help", "shop"], 4))
+    page = "<body><div class=x1>{0}</div><div class=x2><p>item {1} of the list costs {2} and no more than that</p></div></body>"
+    rows = [(i, f"http://a.org/{i}", page.format(menu(), i, i * 7)) for i in range(60)]
+    paper = "<body><div class=x1>{0}</div><article><h2>{1}</h2><p>{2}</p></article></body>"
+    words = lambda i: " ".join(f"w{i * 9 + k}" for k in range(9))
+    rows += [(i, f"http://b.org/{i}", paper.format(menu(), rng.choice(["Results", "Methods", "Related work"]) + " " + rng.choice(["here", "there"]), words(i))) for i in range(100, 160)]
+    got = {r["page_id"]: r["text"] for r in page_text.extracted(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(got[i] == f"item {i} of the list costs {i * 7} and no more than that" for i in range(60))
+    assert all(got[i].endswith("here\n\n" + words(i)) for i in range(100, 160))
+
+
 def test_copied_articles_stay(spark):
     page = "<html><body><article><p>The same article</p></article></body></html>"
     df = spark.createDataFrame([(i, f"http://a.org/{i}", page) for i in range(12)], "page_id bigint, url string, html string")
