@@ -31,12 +31,17 @@ def own_folder(folder: str, application: str, session: SparkSession) -> str:
     return path.toString()
 
 
+def new_table(spark: SparkSession) -> str:
+    """A path in the shared folder that nothing has been written to."""
+    return f"{own_folder(shared_folder(spark), spark.sparkContext.applicationId, spark)}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, **options: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder: what several plans start from is computed once, and a lost executor loses nothing.
 
     `options` go to the writer, such as a smaller row group for rows of large lists, which are read a row group at a time.
     """
     spark = df.sparkSession
-    path = f"{own_folder(shared_folder(spark), spark.sparkContext.applicationId, spark)}/{uuid.uuid4().hex}"
+    path = new_table(spark)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

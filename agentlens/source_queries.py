@@ -5,13 +5,13 @@ The SQL tells from the events what the parsers have to find in the texts made of
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns, hashing
-from agentlens.operators import branches, commit_graph, incremental, outcomes
+from agentlens.operators import branches, commit_graph, incremental, outcomes, tables
 from agentlens.queries import Read, query
-from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, kv_store, model_names, patches, path_resolution, places, pull_files, store_changes
+from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, files, kv_store, model_names, patches, path_resolution, places, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
 
 SECOND = "date_trunc('second', ts)"
@@ -413,3 +413,32 @@ query("p21_cascade", """WITH t AS (SELECT session_id, path, lines_added, lines_r
         read("block_targets").select("session_id", "path", F.lit(3).cast("bigint").alias("lines_added"), F.lit(0).cast("bigint").alias("lines_removed")).distinct(),
     )
 )
+
+
+def logs_as_files(read: Read) -> tuple[SparkSession, str]:
+    """A folder with the logs of each provider and week as one file of lines."""
+    week = F.regexp_extract("source_file", "([0-9]{4}-[0-9]{2}-[0-9]{2}).jsonl$", 1)
+    logs = read("claude_log").withColumn("provider", F.lit("claude")).unionByName(read("codex_log").withColumn("provider", F.lit("codex"))).withColumn("week", week)
+    folder = tables.new_table(logs.sparkSession)
+    sorted_ = logs.repartition("provider", "week").sortWithinPartitions("provider", "week", "source_file", "line_no")
+    sorted_.select("provider", "week", "value").write.partitionBy("provider", "week").text(folder)
+    return logs.sparkSession, folder
+
+
+def log_name() -> list[Column]:
+    return [F.regexp_extract("source_file", "provider=([a-z]+)/week=([-0-9]+)/", k).alias(name) for k, name in ((1, "provider"), (2, "week"))]
+
+
+BOTH = "WITH l AS (SELECT 'claude' AS provider, source_file, line_no, value FROM claude_log UNION ALL SELECT 'codex', source_file, line_no, value FROM codex_log), w AS (SELECT *, regexp_extract(source_file, '([0-9]{4}-[0-9]{2}-[0-9]{2}).jsonl$', 1) AS week FROM l)"
+
+
+@query("src1_log_files", f"{BOTH} SELECT provider, week, CAST(sum(strlen(value) + 1) AS BIGINT) AS size FROM w GROUP BY provider, week", ("claude_log", "codex_log"))
+def _(read: Read) -> DataFrame:
+    found = files.log_files(*logs_as_files(read), pattern="*.txt")
+    return found.select(*log_name(), "size")
+
+
+@query("src2_log_lines", f"{BOTH} SELECT provider, week, row_number() OVER (PARTITION BY provider, week ORDER BY source_file, line_no) - 1 AS line_no, md5(value) AS line FROM w", ("claude_log", "codex_log"))
+def _(read: Read) -> DataFrame:
+    lines = files.log_lines(*logs_as_files(read), pattern="*.txt")
+    return lines.select(*log_name(), "line_no", F.md5("value").alias("line"))

@@ -4,23 +4,32 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from agentlens.functions.columns import is_error_paste
+from agentlens.sources.files import in_order, numbered_lines, raw_lines
 
 
 def new_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines of log files as they appear; the checkpoint remembers the files that have been read."""
-    return spark.readStream.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", True).text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "value")).filter(F.trim("value") != "")
+    return raw_lines(spark.readStream, path)
 
 
 def ingest(lines: DataFrame, parse: Callable[[DataFrame], DataFrame], target: str, checkpoint: str) -> StreamingQuery:
-    """Parses each batch of files and appends its rows to a Parquet table; a batch that is tried again replaces its own part."""
+    """Numbers and parses each batch of files and appends its rows to a Parquet table; a batch that is tried again replaces its own part.
+
+    A batch's lines are held until its rows are written; those that an executor takes with it are read again, by the same pieces.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        parse(batch).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        held = in_order(batch).persist(StorageLevel.DISK_ONLY)
+        try:
+            parse(numbered_lines(held)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
+        finally:
+            held.unpersist()
 
     return lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

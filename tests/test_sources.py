@@ -9,7 +9,7 @@ from agentlens.streaming import ingest
 def lines(spark, tmp_path, name, records):
     (tmp_path / "p").mkdir(exist_ok=True)
     (tmp_path / "p" / name).write_text("\n".join(r if isinstance(r, str) else json.dumps(r) for r in records) + "\n")
-    return files.log_lines(files.log_files(spark, str(tmp_path)).filter(F.endswith("source_file", F.lit(name))))
+    return files.log_lines(spark, str(tmp_path)).filter(F.endswith("source_file", F.lit(name)))
 
 
 def test_first_log_kind(spark, tmp_path):
@@ -132,3 +132,26 @@ def test_project_path_is_a_repository(spark):
 
 def test_store_key_ranges():
     assert kv_store.key_range("bubbleId") == ("bubbleId:", "bubbleId;") and kv_store.key_range("inlineDiffUndoRedo") == ("inlineDiffUndoRedo-", "inlineDiffUndoRedo.")
+
+
+def test_lines_of_files_read_in_pieces(spark, tmp_path):
+    """Numbers of lines, blank ones too, are those of the file, however many tasks read it."""
+    texts = {f"{k}.jsonl": "".join(f"{k} {i} {'x' * (i * 7 % 50)}" + ("\n\n" if i % 5 == 0 else "\r\n" if i % 7 == 0 else "\n") for i in range(n)) + last for k, n, last in ((1, 900, ""), (2, 0, ""), (3, 1, "no end"), (4, 300, "\n \n"))}
+    for name, text in texts.items():
+        (tmp_path / "deep" / name[0]).mkdir(parents=True)
+        (tmp_path / "deep" / name[0] / name).write_bytes(text.encode())
+    want = sorted((name, i, line) for name, text in texts.items() for i, line in enumerate(text.split("\n")) if line.strip(" "))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("1000b", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "10b")
+            found = files.log_lines(spark, str(tmp_path))
+            assert sorted((r["source_file"].rsplit("/", 1)[1], r["line_no"], r["value"]) for r in found.collect()) == want
+            assert size != "1000b" or files.raw_lines(spark.read, str(tmp_path)).select("source_file", "_piece").distinct().count() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    listed = {r["source_file"].rsplit("/", 1)[1]: r["size"] for r in files.log_files(spark, str(tmp_path)).collect()}
+    assert listed == {name: len(text.encode()) for name, text in texts.items() if text}
+    assert files.log_files(spark, str(tmp_path / "deep" / "1"), recursive=False).count() == 1
