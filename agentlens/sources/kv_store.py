@@ -22,11 +22,19 @@ def key_range(prefix: str) -> tuple[str, str]:
     return f"{prefix}{mark}", f"{prefix}{chr(ord(mark) + 1)}"
 
 
-def read_store(spark: SparkSession, url: str, table: str = "cursorDiskKV", sessions: Sequence[str] = ()) -> DataFrame:
-    """(key, value) of a store that a JDBC driver reaches, in a task for each range of keys: each kind, or each kind and session."""
-    ranges = [key_range(p) for p in PREFIXES] if not sessions else [(f"{low}{s}", f"{low}{s};") for p in PREFIXES for low, _ in [key_range(p)] for s in sessions]
+def key_conditions(sessions: Sequence[str] = ()) -> list[str]:
+    """SQL conditions on keys, no two of which hold for one key: one for each kind, or each kind and session."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
-    return spark.read.jdbc(url, table, predicates=[f"key >= {quoted(low)} AND key < {quoted(high)}" for low, high in ranges]).select("key", "value")
+    within = lambda low, high: f'("key" >= {quoted(low)} AND "key" < {quoted(high)})'
+    if not sessions:
+        return [within(*key_range(p)) for p in PREFIXES]
+    heads = [key_range(p)[0] + s for p in PREFIXES for s in dict.fromkeys(sessions)]
+    return [f'("key" = {quoted(h)} OR {within(f"{h}:", f"{h};")})' for h in heads]  # not those of a session that begins with this one's name
+
+
+def read_store(spark: SparkSession, url: str, table: str = "cursorDiskKV", sessions: Sequence[str] = ()) -> DataFrame:
+    """(key, value) of a store that a JDBC driver reaches, in a task for each of `key_conditions`, which the store's index of keys answers."""
+    return spark.read.jdbc(url, table, predicates=key_conditions(sessions)).select("key", "value")
 
 
 def entries(store: DataFrame) -> DataFrame:

@@ -155,3 +155,18 @@ def test_lines_of_files_read_in_pieces(spark, tmp_path):
     listed = {r["source_file"].rsplit("/", 1)[1]: r["size"] for r in files.log_files(spark, str(tmp_path)).collect()}
     assert listed == {name: len(text.encode()) for name, text in texts.items() if text}
     assert files.log_files(spark, str(tmp_path / "deep" / "1"), recursive=False).count() == 1
+
+
+def test_store_through_jdbc(spark, tmp_path):
+    """Kinds and sessions are read from a database by ranges of keys, each row once, also where a session's name begins another's."""
+    spark._jvm.java.lang.System.setProperty("derby.stream.error.file", str(tmp_path / "derby.log"))
+    url = f"jdbc:derby:memory:{tmp_path.name};create=true"
+    keys = ["composerData:a", "composerData:a1", "composerData:it's", "bubbleId:a:1", "bubbleId:a:2", "bubbleId:a1:1", "bubbleId:b:1", "inlineDiffUndoRedo-a:9", "inlineDiff:a:9", "codeBlockDiff:b:x:y", "unknownKind:a:1", "bubbleIdx:a:1"]
+    rows = spark.createDataFrame([(k, f"{{{i}}}") for i, k in enumerate(keys)], "key string, value string")
+    rows.write.option("createTableColumnTypes", "key VARCHAR(200)").jdbc(url, "cursorDiskKV", mode="overwrite")
+    read = lambda *sessions: kv_store.read_store(spark, url, sessions=sessions)
+    assert sorted(r["key"] for r in read().collect()) == sorted(keys[:10])
+    assert read().rdd.getNumPartitions() == len(kv_store.PREFIXES)
+    assert sorted(r["key"] for r in read("a", "a1", "it's", "a").collect()) == sorted(k for k in keys[:10] if k not in ("bubbleId:b:1", "codeBlockDiff:b:x:y"))
+    assert sorted(r["key"] for r in read("a").collect()) == sorted(["composerData:a", "bubbleId:a:1", "bubbleId:a:2", "inlineDiffUndoRedo-a:9", "inlineDiff:a:9"])
+    assert {(r["kind"], r["session_id"], r["item"]) for r in kv_store.entries(read("b")).collect()} == {("bubbleId", "b", "1"), ("codeBlockDiff", "b", "x:y")}
