@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns, hashing
-from agentlens.operators import branches, commit_graph, incremental, outcomes, tables
+from agentlens.operators import branches, commit_graph, identity, incremental, outcomes, tables
 from agentlens.queries import Read, query
 from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, files, kv_store, model_names, patches, path_resolution, places, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
@@ -442,3 +442,14 @@ def _(read: Read) -> DataFrame:
 def _(read: Read) -> DataFrame:
     lines = files.log_lines(*logs_as_files(read), pattern="*.txt")
     return lines.select(*log_name(), "line_no", F.md5("value").alias("line"))
+
+
+@query("src17_identities", """WITH e AS (SELECT repo_root, 'dev' || max(user_id) || '@acme.org' AS email FROM base WHERE repo_root <> '/repo/1' GROUP BY repo_root)
+    SELECT s.provider, s.session_id, coalesce(e.email, 'all@acme.org') AS member_email,
+        'device:' || md5(CASE WHEN s.provider = 'claude' THEN '(unknown-host)' ELSE s.provider END || chr(10) || CASE WHEN s.provider = 'codex' THEN '(unknown-home)' ELSE '/home/' || s.session_id END) AS device_id
+    FROM sessions AS s LEFT JOIN e ON e.repo_root = s.project_path""", ("base", "sessions"))
+def _(read: Read) -> DataFrame:
+    emails = read("base").filter("repo_root <> '/repo/1'").groupBy("repo_root").agg(F.concat(F.lit("dev"), F.max("user_id"), F.lit("@acme.org")).alias("email"))
+    told = identity.with_member(read("sessions").drop("repo_root"), emails, "all@acme.org", "project_path")
+    host, home = F.when(F.col("provider") == "claude", " ").otherwise(F.col("provider")), F.when(F.col("provider") != "codex", F.concat(F.lit("/home/"), "session_id"))
+    return told.select("provider", "session_id", "member_email", identity.device_id(host, home).alias("device_id"))

@@ -1,9 +1,10 @@
+import hashlib
 import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from agentlens.operators import attribution, branches, conversation, incremental, outcomes
+from agentlens.operators import attribution, branches, conversation, identity, incremental, outcomes
 from agentlens.functions import hashing
 from agentlens.sources import pull_files
 
@@ -202,3 +203,14 @@ def test_issue_linked_signals(spark):
     budget = spark.createDataFrame([("r", "c", "a.py", line["line_hash"], 1, DAY)], "repo_root string, commit_sha string, rel_path string, line_hash string, budget bigint, commit_time timestamp")
     (r,) = outcomes.bug_signals(outcomes.overlapping_signals(budget, signals)).collect()
     assert (r["first_bug_signal_commit_sha"], r["bug_signal_count"], r["signal_source"]) == ("issue#7/pr#1", 1, "github_issue_fix_pr_exact_hash")
+
+
+def test_members_and_devices(spark):
+    rows = spark.createDataFrame([(1, "/r"), (2, " /r "), (3, None), (4, " "), (5, "/other"), (6, "/blank")], "k int, repo_root string")
+    emails = spark.createDataFrame([("/r", "b@x"), ("/r", "a@x"), ("/blank", " "), (None, "n@x")], "repo_root string, email string")
+    of = lambda everywhere: {r["k"]: r["member_email"] for r in identity.with_member(rows, emails, everywhere).collect()}
+    assert of("g@x") == {1: "a@x", 2: "a@x", 3: "g@x", 4: "g@x", 5: "g@x", 6: "g@x"}
+    assert of(None) == {1: "a@x", 2: "a@x"} | dict.fromkeys((3, 4, 5, 6), "(unknown)")
+    devices = spark.createDataFrame([("h", "/home/a"), (" ", "/home/a"), (None, None)], "host string, home string")
+    told = [r[0] for r in devices.select(identity.device_id(F.col("host"), F.col("home"))).collect()]
+    assert told == ["device:" + hashlib.md5(t.encode()).hexdigest() for t in ("h\n/home/a", "(unknown-host)\n/home/a", "(unknown-host)\n(unknown-home)")]
