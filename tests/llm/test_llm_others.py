@@ -194,6 +194,28 @@ def test_words_and_a_body_of_few_words(spark):
     assert all(got[i].endswith("here\n\n" + words(i)) for i in range(100, 160))
 
 
+def test_importance_by_words_equals_dictionaries(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(rng.choice(["ab", "CD", "cd", "ef", "gh", "x1"]) for _ in range(rng.randint(1, 4)))
+    pages = [f"<body><div class=top>{line()}{rng.choice(['', '<hr>'])}</div><article><p>{i} {line()}</p></article><div class=x>{line()}</div></body>" for i in range(40)]
+    df = spark.createDataFrame([("h.org", page) for page in pages * 2], "_host string, html string")  # copies count once
+    got = {r["branch"]: r for r in page_text.style_tree(page_text.node_counts(df)).collect()}
+    words, sizes, pages_of = {}, {}, {}
+    for i, page in enumerate(pages):
+        for b in markup.parsed(page).blocks:
+            pages_of.setdefault(b.path, set()).add(i)
+            sizes[b.path] = sizes.get(b.path, 0) + len(b.text)
+            for w in b.text.lower().split() if not b.content else ():
+                words.setdefault(b.path, {}).setdefault(w, set()).add(i)
+    assert {b: r["size"] for b, r in got.items()} == sizes and len(words) == 2
+    for b, r in got.items():
+        if b not in words:
+            assert r["by_words"] is None
+        else:
+            content = sum(1 - math.log(len(k)) / math.log(len(pages_of[b])) for k in words[b].values()) / len(words[b])
+            assert math.isclose(r["by_words"], 1 - (1 - r["presentation"]) * (1 - content))
+
+
 def test_copied_articles_stay(spark):
     page = "<html><body><article><p>The same article</p></article></body></html>"
     df = spark.createDataFrame([(i, f"http://a.org/{i}", page) for i in range(12)], "page_id bigint, url string, html string")
