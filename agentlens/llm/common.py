@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.operators.tables import written
+from agentlens.operators.tables import discarded, written
 
-__all__ = ["LOWER", "UPPER", "ascii_lower", "dealt", "table", "text_bytes", "whole_text", "without_ids", "written"]
+__all__ = ["LOWER", "UPPER", "ascii_lower", "dealt", "discarded", "table", "text_bytes", "whole_text", "without_ids", "written"]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 

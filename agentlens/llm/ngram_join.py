@@ -43,14 +43,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import LOWER, UPPER, dealt, table, text_bytes, whole_text, written
+from agentlens.llm.common import LOWER, UPPER, dealt, discarded, table, text_bytes, whole_text, written
 from agentlens.llm.components import components
 
 WORDS, PERCENT = 5, 75
 LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
 PLACES = np.array([(0x9E3779B97F4A7C15 * (2 * i + 3)) % 2**64 | 1 for i in range(WORDS)], np.uint64)
 PART_BYTES = 4_000_000  # of text in one packed part
-FRAGMENT_ENTRIES = 1_500_000
+FRAGMENT_ENTRIES = 4_000_000  # with fewer, a part's documents are named in more fragments, which takes more than their shingles
 BITS = 1024  # of a parity bitmap
 LEAST_FRAGMENTS = 4  # in which overlaps are counted
 #: Ids of documents to look at again are broadcast up to this number (8 bytes each); more join by shuffle.
@@ -207,9 +207,27 @@ def shingle_sets(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(sets, "doc_id bigint, n bigint, `sum` bigint, `xor` bigint, shingles array<bigint>, bits array<bigint>")
 
 
-def cut_of(shingle: str, fragments: int) -> Column:
-    """The fragment of the n-gram order that a shingle is in."""
-    return F.shiftright(F.shiftrightunsigned(F.col(shingle), 40) * F.lit(fragments), 24).cast("int")
+SEGMENTS = "set_id bigint, fragment int, segment array<bigint>, n bigint, `sum` bigint, `xor` bigint, representative bigint, bits array<bigint>"
+
+
+def segmented(sets: DataFrame, fragments: int) -> DataFrame:
+    """Sets cut along the n-gram order: a row for each fragment with shingles of the set; its first row alone also has `sum`, `xor`, representative and bits."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shingles = batch.column("shingles")
+            flat, lengths = shingles.flatten(), shingles.value_lengths().to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), lengths)
+            # a set's hashes are sorted, so those of a fragment are a run
+            fragment = (((flat.to_numpy().view(np.uint64) >> np.uint64(40)) * np.uint64(fragments)) >> np.uint64(24)).astype(np.int64)
+            starts, _ = runs(row * fragments + fragment)
+            of = row[starts]
+            first = pa.array(of, mask=np.concatenate([np.zeros(1, bool), of[1:] == of[:-1]])[: len(of)])
+            segment = pa.ListArray.from_arrays(pa.array(np.append(starts, len(flat)), pa.int32()), flat)
+            cols = [batch.column("set_id").take(pa.array(of)), pa.array(fragment[starts], pa.int32()), segment, batch.column("n").take(pa.array(of)), *[batch.column(c).take(first) for c in ("sum", "xor", "representative", "bits")]]
+            yield pa.RecordBatch.from_arrays(cols, names=["set_id", "fragment", "segment", "n", "sum", "xor", "representative", "bits"])
+
+    return sets.mapInArrow(cut, SEGMENTS)
 
 
 def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
@@ -221,6 +239,13 @@ def verified(pairs: DataFrame, segments: DataFrame) -> DataFrame:
     return both.filter(100 * F.col("overlap") >= PERCENT * (F.col("n_a") + F.col("n_b") - F.col("overlap"))).select("a", "b")
 
 
+def segments_of(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """The segments of the sets in `pairs`; all of them, if these are too many to broadcast."""
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct())
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return segments.join(F.broadcast(ids), "set_id", "left_semi") if few else segments
+
+
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sizes (doc_id, n) of all rows; members (doc_id, set_id, representative); links (a, b) that join up sets."""
     rows = docs.select(F.col(key).cast("bigint").alias("doc_id"), whole_text(text).alias("text"))
@@ -230,34 +255,34 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     few = open_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     sets = written(shingle_sets(rows.join(F.broadcast(open_ids) if few else open_ids, "doc_id", "left_semi")))
     name = ["n", "sum", "xor"]
-    # one number for each distinct set; written, so that it stays the same and a large class is split in the join with its members
-    groups = written(sets.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("representative")).withColumn("set_id", F.monotonically_increasing_id()))
-    members = written(sets.select("doc_id", *name).join(groups, name).select("doc_id", "set_id", "representative").distinct())
-    chosen = groups.withColumnRenamed("representative", "doc_id")
-    own = written(sets.join(chosen, ["doc_id", *name]).dropDuplicates(["set_id"]).select("set_id", "n", "shingles", "bits"))
+    fragments = max(LEAST_FRAGMENTS, n_fragments // 3)
+    # equal sets travel once from each task; written, so that a set's number stays the same and a large class is split in the join with its members
+    same = sets.filter("n > 0").groupBy(*name).agg(F.min("doc_id").alias("representative"), F.first("shingles").alias("shingles"), F.first("bits").alias("bits"))
+    segments = written(segmented(same.withColumn("set_id", F.monotonically_increasing_id()), fragments))
+    groups = segments.filter(F.col("representative").isNotNull())
+    members = written(sets.select("doc_id", *name).join(groups.select(*name, "set_id", "representative"), name).select("doc_id", "set_id", "representative").distinct())
+    discarded(sets)
 
     # frequencies among sets; a shingle of one set only is at the head of the order and takes no part in joins
-    long = own.select("set_id", "n", F.explode("shingles").alias("shingle"))
+    long = segments.select("set_id", "n", F.explode("segment").alias("shingle"))
     often = long.groupBy("shingle").agg(F.count("*").alias("df")).filter(F.col("df") > 1)
     shared = long.join(often, "shingle").groupBy("set_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared"))
     # by whole numbers: ceil(n * 75 / 100) is exact in doubles for any size of a text
     first = (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int")
     alone = (F.col("n") - F.size("shared")).cast("int")
     heads = written(shared.withColumn("alone", alone).withColumn("take", first - alone).filter(F.col("take") > 0).select("set_id", "n", "alone", F.transform(F.slice("shared", F.lit(1), F.col("take")), lambda x: x["shingle"]).alias("head")))
-    fragments = max(LEAST_FRAGMENTS, n_fragments // 8)
-    segments = written(long.join(heads.select("set_id"), "set_id", "left_semi").groupBy("set_id", "n", cut_of("shingle", fragments).alias("fragment")).agg(F.collect_list("shingle").alias("segment")))
 
     entries = heads.select("set_id", "n", "alone", F.posexplode("head").alias("at", "shingle")).withColumn("at", F.col("at") + F.col("alone"))
     central = (F.col("n") - F.col("alone")) / F.col("n")
     hubs = entries.groupBy("shingle").agg(F.max(F.struct(central.alias("central"), -F.col("set_id"), "n")).alias("hub"), F.count("*").alias("m")).filter("m > 1").select("shingle", (-F.col("hub.col2")).alias("hub"), F.col("hub.n").alias("n_hub"))
     close = lambda x, y: (100 * F.least(x, y) >= PERCENT * F.greatest(x, y))
-    star = entries.join(hubs, "shingle").filter((F.col("set_id") != F.col("hub")) & close("n", "n_hub")).select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+    star = written(entries.join(hubs, "shingle").filter((F.col("set_id") != F.col("hub")) & close("n", "n_hub")).select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct())
     by_hubs = written(verified(star, segments))
     found = components(by_hubs)
 
     placed = entries.join(found.withColumnRenamed("vertex", "set_id"), "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
     split = placed.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("shingle")
-    rest = written(placed.join(split, "shingle", "left_semi").join(own.select("set_id", "bits"), "set_id"))
+    rest = written(placed.join(split, "shingle", "left_semi").join(groups.select("set_id", "bits"), "set_id"))
     # linked sets overlap in 3/7 of their sizes' sum or more, so in 6/7 of the smaller one, and differ by at most a seventh of the sum
     x, y = rest.filter(7 * F.col("at") <= F.col("n")).alias("x"), rest.alias("y")
     sum_of = F.col("x.n") + F.col("y.n")
@@ -265,7 +290,9 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     ahead = 7 * F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at")) >= 3 * sum_of  # holds where the pair first meets
     near = (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n")) & close(F.col("x.n"), F.col("y.n")) & ahead & (7 * apart <= sum_of)
     cross = x.join(y, near).select(F.least("x.set_id", "y.set_id").alias("a"), F.greatest("x.set_id", "y.set_id").alias("b")).distinct()
-    second = written(verified(cross.join(star, ["a", "b"], "left_anti"), segments))
+    pairs = written(cross.join(star, ["a", "b"], "left_anti"))
+    second = written(verified(pairs, segments_of(pairs, segments)))
+    discarded(segments, heads, rest, star, pairs)
     return sizes.select("doc_id", "n"), members, by_hubs.unionByName(second)
 
 

@@ -39,12 +39,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentlens.llm.common import table, written
+from agentlens.llm.common import discarded, table, written
 from agentlens.llm.components import components
 
 DEPTH, MIN_DOCS, CONSTANT_SHARE, FIELD_SHARE, COPY_PERCENT = 3, 5, 0.75, 0.5, 75
 #: Leaves to look at again up to this number are broadcast (8 bytes each); more join by shuffle.
 BROADCAST_LEAVES = 200_000
+#: Bits of the bitmap of the texts that lose lines: 16 for each text, and this number (of which 8 MB are broadcast) at most.
+MOST_BITS = 1 << 26
 FIELD = "<*>"
 HOLDS_DIGIT = r"(?<!\S)[^\s0-9]*+[0-9]\S*"
 
@@ -124,15 +126,30 @@ def dropped_lines(docs: DataFrame, text: str = "text") -> DataFrame:
     often = written(recurring(placed, "_template").select("_template"))
     found = written(placed.join(often, "_template"))
     bodies = written(copies(lines.join(found.select("_text_id").distinct(), "_text_id", "left_semi")))
+    discarded(lines, placed, often)
     independent = found.select("_template", "_text_id").distinct().join(bodies, "_text_id", "left").select("_template", F.coalesce("_body", "_text_id").alias("_body"))
     evident = written(recurring(independent, "_template", "_body").select("_template"))
     return found.join(evident, "_template", "left_semi").select("_text_id", "_check", "_at")
 
 
-def without_templates(docs: DataFrame, text: str = "text") -> DataFrame:
+def marked(rows: DataFrame, gone: DataFrame, most_bits: int) -> DataFrame:
+    """`rows` with `_some`, which is false only for texts that aren't in `gone`: most texts lose no line and needn't be moved to find out."""
+    n_bits = 64
+    while n_bits < min(16 * gone.count(), most_bits):
+        n_bits *= 2
+    place = F.pmod("_text_id", F.lit(n_bits))
+    word, bit = F.shiftright(place, 6), place.bitwiseAND(63).cast("int")
+    bits = gone.select(word.alias("_word"), F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]), bit + 1).alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    held = F.coalesce(F.getbit("_bits", bit) == 1, F.lit(False))
+    return rows.withColumn("_word", word).join(F.broadcast(bits), "_word", "left").withColumn("_some", held).drop("_word", "_bits")  # at most most_bits / 64 rows
+
+
+def without_templates(docs: DataFrame, text: str = "text", most_bits: int = MOST_BITS) -> DataFrame:
     """`docs` with recurring lines taken out of `text`, and n_lines_dropped."""
     gone = written(dropped_lines(docs.select(text), text).groupBy("_text_id", "_check").agg(F.collect_set("_at").alias("_gone")))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_lines_dropped"]).alias("_row"), *text_names(text)).join(gone, ["_text_id", "_check"], "left")
+    rows = marked(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "n_lines_dropped"]).alias("_row"), *text_names(text)), gone, most_bits)
+    untouched = rows.filter(~F.col("_some")).select("_row", F.lit(None).cast("array<int>").alias("_gone"))
+    rows = untouched.unionByName(rows.filter("_some").join(gone, ["_text_id", "_check"], "left").select("_row", "_gone"))
     own = lambda c: F.col("_row").getField(c)
     rest = F.array_join(F.filter(F.split(own(text), "\n"), lambda line, at: ~F.array_contains("_gone", at)), "\n")
     kept = F.when(F.col("_gone").isNull(), own(text)).otherwise(rest)

@@ -6,10 +6,15 @@ import re
 import tempfile
 import uuid
 from functools import lru_cache
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders of the tables that `written` gave, for as long as these are referred to.
+FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder. Only a session within one process, as in tests, may do without and gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -44,4 +49,13 @@ def written(df: DataFrame, **options: str) -> DataFrame:
     spark = df.sparkSession
     path = new_table(spark)
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    again = spark.read.schema(df.schema).parquet(path)
+    FOLDERS[again] = path
+    return again
+
+
+def discarded(*tables: DataFrame) -> None:
+    """Deletes the files of tables from `written`: what was derived from them is written itself, so that nothing reads them again."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(FOLDERS.pop(df))
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

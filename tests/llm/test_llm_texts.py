@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from agentlens.llm import decontaminate, ngram_join, quality, repeats, secrets, sentence_pieces, templates
 from agentlens.llm.components import components
 from agentlens.llm.common import table, written
+from agentlens.operators import tables
 
 sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 ODD = ["", " ", "  ", "a  b ", " a", "▁▁x ▁", "\n\n", "x\0y", "😀 ü　z  \t", "a" * 500, "  " * 17 + "q", " " * 40, "<s> </s> <unk>", "▁", "word " * 3000, "x" * 20000]
@@ -256,6 +257,18 @@ def test_short_boilerplate_goes(spark):
     assert {r["text"] for r in templates.without_templates(rows).collect()} == {t.split("\n")[0] for t in texts}
 
 
+def test_texts_that_lose_no_line_are_not_moved(spark):
+    """A bitmap tells nearly all of them; where it is too small, more are moved and the result stays."""
+    texts = [f"{' '.join(prose(25, 6000 + i))}\nRead more" for i in range(9)] + [" ".join(prose(25, 9000 + i)) for i in range(200)] + [None]
+    rows = docs(spark, texts).select("doc_id", *templates.text_names("text"))
+    gone = rows.filter("doc_id < 9").drop("doc_id")
+    some = {r["doc_id"] for r in templates.marked(rows, gone, templates.MOST_BITS).filter("_some").collect()}
+    assert set(range(9)) <= some and len(some) < 60
+    for bits in (64, templates.MOST_BITS):
+        kept = {r["doc_id"]: (r["text"], r["n_lines_dropped"]) for r in templates.without_templates(docs(spark, texts), most_bits=bits).collect()}
+        assert kept == {i: (t and t.split("\n")[0], int(i < 9)) for i, t in enumerate(texts)}
+
+
 # ---- quality
 
 
@@ -484,3 +497,16 @@ def test_repeats_across_pieces_and_empty(spark):
 def test_written_tables_come_back(spark):
     df = spark.range(5).withColumn("x", F.lit("y"))
     assert written(df).orderBy("id").collect() == df.orderBy("id").collect()
+
+
+def test_sets_do_not_stay_on_disk(spark):
+    """Of the n-gram join only ids and links stay, no shingles."""
+    base = prose(60, 3)
+    before = set(tables.FOLDERS.values())
+    kept = []
+    sizes, members, links = ngram_join.classes(docs(spark, [" ".join(edited(base, 0.01, k)) for k in range(12)]))
+    folder = tables.own_folder(tables.shared_folder(spark), spark.sparkContext.applicationId, spark).removeprefix("file:")
+    for name in os.listdir(folder):
+        if f"{folder}/{name}" not in before and os.path.isdir(f"{folder}/{name}"):
+            kept += spark.read.parquet(f"{folder}/{name}").columns
+    assert links.count() > 0 and not {"shingles", "segment", "head"} & set(kept)
