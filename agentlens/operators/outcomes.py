@@ -2,8 +2,8 @@
 
 As-of and interval aggregates are sweeps: commits and mainline events of a line are
 sorted by time together, and a running maximum or sum tells each commit what comes
-after it. So a line that k commits and k events share costs k log k, not k * k. Only
-bug signals, which are pairs of a commit and a fix, join, with the time in the key.
+after it. So a line that k commits and k events share costs k log k, not k * k. Later bugs are
+counted so as well; only commits whose lines different sets of fixes remove are paired with them.
 """
 
 from __future__ import annotations
@@ -123,6 +123,33 @@ def overlapping_signals(budget: DataFrame, signals: DataFrame) -> DataFrame:
     return inside.select(*COMMIT, "signal_ref", "signal_time", "source").distinct()
 
 
+def bugs_after(budget: DataFrame, signals: DataFrame) -> DataFrame:
+    """`bug_signals` of `overlapping_signals`, without making the pairs where counting does.
+
+    Lines that the same signals remove are one set. A commit whose lines all have one set is told by a sweep over its
+    signals and such commits: of those after a time and after the window's end, the running numbers and the first. Commits
+    of several sets are paired, since a signal that is in two of them counts once.
+    """
+    said = written(signals.filter("count > 0 AND anchor_time IS NOT NULL").select(*LINE, "anchor_time", "signal_time", "signal_ref", "source").distinct())
+    sets = said.groupBy(*LINE).agg(*members("anchor_time", "signal_time", "signal_ref", "source"), F.min((F.col("anchor_time") == F.col("signal_time")).cast("int")).alias("_plain"))
+    sets = sets.select(*LINE, F.struct("_a", "_b", "_n").alias("_set"), (F.coalesce("_plain", F.lit(0)) == 1).alias("_plain"))
+    held = budget.filter("budget > 0").join(sets, LINE).groupBy(*COMMIT, "commit_time", "_set", "_plain").agg(F.min(F.struct("rel_path", "line_hash")).alias("_line"))
+    asked = written(held.withColumn("_alone", (F.count("*").over(Window.partitionBy(*COMMIT)) == 1) & F.col("_plain")))
+    told = said.join(asked.filter("_alone").groupBy("repo_root", "_set").agg(F.min("_line").alias("_line")).select("repo_root", "_set", "_line.*"), LINE)
+    events = told.select("repo_root", "_set", "source", F.col("signal_time").alias("_t"), "signal_ref", F.lit(0).alias("_sign"))
+    alone = asked.filter("_alone").join(events.select("repo_root", "_set", "source").distinct(), ["repo_root", "_set"])
+    mark = lambda t, sign: alone.select("repo_root", "_set", "source", t.alias("_t"), "commit_sha", F.lit(sign).alias("_sign"))
+    marks = mark(F.col("commit_time"), 1).unionByName(mark(F.col("commit_time") + days(BUG_DAYS), -1))
+    # from the end; what is of a mark's own time comes after it
+    later = Window.partitionBy("repo_root", "_set", "source").orderBy(F.desc("_t"), F.col("_sign") == 0).rowsBetween(Window.unboundedPreceding, 0)
+    event = F.col("_sign") == 0
+    swept = events.unionByName(marks, allowMissingColumns=True).withColumns({"_later": F.count(F.when(event, 1)).over(later), "_next": F.min(F.when(event, F.struct(F.col("_t").alias("signal_time"), "signal_ref"))).over(later)})
+    counted = swept.filter("_sign <> 0").groupBy(*COMMIT, "source").agg(F.sum(F.col("_sign") * F.col("_later")).alias("_n"), F.min(F.when(F.col("_sign") == 1, F.col("_next"))).alias("_first")).filter("_n > 0")
+    several = asked.filter("NOT _alone").select(*COMMIT).distinct()
+    pairs = overlapping_signals(budget.join(several, COMMIT, "left_semi"), said.withColumn("count", F.lit(1)))
+    return summed(counted.unionByName(by_source(pairs)))
+
+
 def fix_signals(commits: DataFrame, commit_rows: DataFrame) -> DataFrame:
     """What commits remove whose message speaks of a fix and that revert nothing."""
     message = F.col("message")
@@ -140,16 +167,26 @@ def issue_signals(issues: DataFrame, links: DataFrame, pulls: DataFrame, removed
     return joined.select(*LINE, "count", F.col("merged_at").alias("anchor_time"), F.col("merged_at").alias("signal_time"), ref.alias("signal_ref"), F.lit("github_issue_fix_pr_exact_hash").alias("source"))
 
 
-def bug_signals(found: DataFrame) -> DataFrame:
-    """(COMMIT, bug_after_merge_flag, first signal, count, source) of commits with signals."""
-    return found.groupBy(*COMMIT).agg(
+def by_source(found: DataFrame) -> DataFrame:
+    """(COMMIT, source, _n, _first) of `overlapping_signals`."""
+    return found.groupBy(*COMMIT, "source").agg(F.count("*").alias("_n"), F.min(F.struct("signal_time", "signal_ref")).alias("_first"))
+
+
+def summed(counts: DataFrame) -> DataFrame:
+    """(COMMIT, bug_after_merge_flag, first signal, count, source) of `by_source`."""
+    return counts.groupBy(*COMMIT).agg(
         F.lit(1).alias("bug_after_merge_flag"),
-        F.min(F.struct("signal_time", "signal_ref")).alias("_first"),
-        F.count("*").alias("bug_signal_count"),
+        F.min("_first").alias("_first"),
+        F.sum("_n").alias("bug_signal_count"),
         F.array_join(F.array_sort(F.collect_set("source")), "+").alias("signal_source"),
     ).select(*COMMIT, "bug_after_merge_flag", F.col("_first.signal_ref").alias("first_bug_signal_commit_sha"), F.col("_first.signal_time").alias("first_bug_signal_commit_time"), "bug_signal_count", F.lit(BUG_DAYS).alias("window_days"), "signal_source")
 
 
+def bug_signals(found: DataFrame) -> DataFrame:
+    """(COMMIT, bug_after_merge_flag, first signal, count, source) of commits with signals."""
+    return summed(by_source(found))
+
+
 def owning_pull(pulls_of_commit: DataFrame) -> DataFrame:
     """(repo_key, commit_sha, owning_pr_number): the pull request created first, unknown times last."""
     order = F.struct(F.col("created_at").isNull().alias("unknown"), "created_at", "pr_number")

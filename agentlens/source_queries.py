@@ -135,8 +135,8 @@ query("j14_issue_signals", f"""{BUGS} SELECT '/repo/' || substr(repo_key, 2) AS
 query("j13_issue_bugs", f"""{BUGS}, s AS (SELECT DISTINCT '/repo/' || substr(repo_key, 2) AS repo_root, rel_path, md5('same') AS line_hash, 'issue#' || issue_number || '/pr#' || pr_number AS ref FROM b),
     w AS (SELECT event_id, 'c' || event_id AS commit_sha, '/repo/' || (user_id % 3) AS repo_root, CASE WHEN event_id % 2 = 0 THEN 'a.py' ELSE 'old.py' END AS rel_path, date_trunc('day', ts) AS t FROM base)
     SELECT w.repo_root, commit_sha, count(*) AS bug_signal_count, min(ref) AS first_bug_signal_commit_sha FROM w JOIN s ON s.repo_root = w.repo_root AND s.rel_path = w.rel_path WHERE TIMESTAMP '2024-03-01' > t AND TIMESTAMP '2024-03-01' <= t + INTERVAL 60 DAY GROUP BY ALL""", ("issues", "pull_files"))(
-    lambda read: outcomes.bug_signals(outcomes.overlapping_signals(read("base").select(F.concat(F.lit("/repo/"), F.col("user_id") % 3).alias("repo_root"), F.concat(F.lit("c"), "event_id").alias("commit_sha"), F.when(F.col("event_id") % 2 == 0, "a.py").otherwise("old.py").alias("rel_path"),
-        F.md5(F.lit("same")).alias("line_hash"), F.lit(1).cast("bigint").alias("budget"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("commit_time")), hosted_signals(read))).select("repo_root", "commit_sha", "bug_signal_count", "first_bug_signal_commit_sha")
+    lambda read: outcomes.bugs_after(read("base").select(F.concat(F.lit("/repo/"), F.col("user_id") % 3).alias("repo_root"), F.concat(F.lit("c"), "event_id").alias("commit_sha"), F.when(F.col("event_id") % 2 == 0, "a.py").otherwise("old.py").alias("rel_path"),
+        F.md5(F.lit("same")).alias("line_hash"), F.lit(1).cast("bigint").alias("budget"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("commit_time")), hosted_signals(read)).select("repo_root", "commit_sha", "bug_signal_count", "first_bug_signal_commit_sha")
 )
 query("a25_owning_pulls", "SELECT repo_key, commit_sha, first(pr_number ORDER BY created_at IS NULL, created_at, pr_number) AS owning_pr_number FROM pulls_of_commit GROUP BY repo_key, commit_sha", ("pulls_of_commit",))(lambda read: outcomes.owning_pull(read("pulls_of_commit")))
 query("a26_first_links", "SELECT repo_key, issue_number, pr_number, first(linked_at ORDER BY linked_at IS NULL, position) AS linked_at FROM issue_timeline GROUP BY repo_key, issue_number, pr_number", ("issue_timeline",))(lambda read: outcomes.first_links(read("issue_timeline")))
