@@ -376,7 +376,7 @@ query("j11_churn", f"""WITH {BUDGET} SELECT repo_root, commit_sha, CAST(sum(leas
 query("j12_bug_signals", f"""WITH {BUDGET}, fixes AS (SELECT h.repo_root, h.commit_sha AS ref, h.commit_time AS fixed, h.rel_path, h.line_hash, sum(h.count) AS n FROM commit_hashes h JOIN commits c ON c.repo_root = h.repo_root AND c.commit_sha = h.commit_sha WHERE side = '-' AND c.message = 'fix parser' GROUP BY ALL),
     found AS (SELECT b.repo_root, b.commit_sha, f.ref, f.fixed, sum(least(b.budget, f.n)) AS overlap FROM budget b JOIN fixes f USING (repo_root, rel_path, line_hash) WHERE f.fixed > b.commit_time AND f.fixed <= b.commit_time + INTERVAL 60 DAY GROUP BY ALL)
     SELECT repo_root, commit_sha, 1 AS bug_after_merge_flag, first(ref ORDER BY fixed, ref) AS first_bug_signal_commit_sha, min(fixed) AS first_bug_signal_commit_time, count(*) AS bug_signal_count, 60 AS window_days, 'git_fix_commit' AS signal_source FROM found WHERE overlap > 0 GROUP BY ALL""", FACT_LINES)(
-    lambda read: outcomes.bug_signals(outcomes.overlapping_signals(timed_budget(read), outcomes.fix_signals(read("commits"), read("commit_hashes"))))
+    lambda read: outcomes.bugs_after(timed_budget(read), outcomes.fix_signals(read("commits"), read("commit_hashes")))
 )
 query("m4_pr_outcomes", """SELECT o.repo_root, o.commit_sha, l.status AS lookup_status, l.owning_pr_number AS pr_number, CASE WHEN l.status = 'resolved' THEN 1 ELSE 0 END AS pr_opened_flag,
     CASE WHEN l.status = 'resolved' AND p.merged = 1 THEN 1 ELSE 0 END AS pr_merged_flag FROM ev_outcome o JOIN pr_lookups l ON l.repo_key = o.repo_key AND l.commit_sha = o.commit_sha
