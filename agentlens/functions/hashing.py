@@ -148,7 +148,11 @@ def with_line_diff(df: DataFrame, before: str, after: str) -> DataFrame:
     """`df` with added, removed and changes array<struct<side, line>>: the one step that has no relational form."""
 
     def diff(old: pd.Series, new: pd.Series) -> pd.DataFrame:
-        rows = [diff_counts(a or "", b or "") for a, b in zip(old, new)]
+        known: dict[tuple[str, str], tuple[int, int, list[tuple[str, str]]]] = {}  # of one batch
+        for pair in zip(old, new):
+            if pair not in known:
+                known[pair] = diff_counts(pair[0] or "", pair[1] or "")
+        rows = [known[pair] for pair in zip(old, new)]
         return pd.DataFrame({"added": [r[0] for r in rows], "removed": [r[1] for r in rows], "changes": [[{"side": s, "line": x} for s, x in r[2]] for r in rows]})
 
     udf = F.pandas_udf(diff, "added bigint, removed bigint, changes array<struct<side:string,line:string>>")

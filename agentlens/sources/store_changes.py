@@ -101,10 +101,18 @@ def history_lines(history: DataFrame, wanted: DataFrame) -> DataFrame:
     before a change is an undo entry's, the one after it is the next entry's (empty if there is none).
     """
     order = Window.partitionBy("path").orderBy("timestamp", "id")
-    versions = history.withColumn("_after", F.coalesce(F.lead("content").over(order), F.lit(""))).filter(F.col("source").startswith("Undo"))
-    met = wanted.join(versions, "path").filter(F.col("timestamp").between(F.col("begin_ms"), F.col("end_ms")))
-    counted = with_line_diff(met.select("session_id", "path", "content", "_after"), "content", "_after")
-    return counted.groupBy("session_id", "path").agg(F.sum("added").alias("lines_added"), F.sum("removed").alias("lines_removed"))
+    asked = wanted.filter("begin_ms <= end_ms")
+    texts = history.join(asked.select("path").distinct(), "path", "left_semi")
+    versions = texts.withColumn("_after", F.coalesce(F.lead("content").over(order), F.lit(""))).filter(F.col("source").startswith("Undo") & F.col("timestamp").isNotNull())
+    # a version is compared once, however many sessions want it: they take the difference of running sums
+    counted = with_line_diff(versions.select("path", F.col("timestamp").alias("_t"), "content", "_after"), "content", "_after").select("path", "_t", F.lit(1).alias("_kind"), "added", "removed")
+    mark = lambda t, kind: asked.select("path", F.col(t).alias("_t"), F.lit(kind).alias("_kind"), "session_id")
+    rows = counted.unionByName(mark("begin_ms", 0).unionByName(mark("end_ms", 2)), allowMissingColumns=True)
+    until = Window.partitionBy("path").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    sums = {"_added": F.coalesce(F.sum("added").over(until), F.lit(0)), "_removed": F.coalesce(F.sum("removed").over(until), F.lit(0)), "_n": F.sum((F.col("_kind") == 1).cast("int")).over(until)}
+    between = lambda c: F.sum((F.col("_kind") - 1) * F.col(c))
+    told = rows.withColumns(sums).filter("_kind <> 1").groupBy("session_id", "path").agg(between("_added").alias("lines_added"), between("_removed").alias("lines_removed"), between("_n").alias("_n"))
+    return told.filter("_n > 0").drop("_n")
 
 
 def legacy_changes(blocks: DataFrame) -> DataFrame:
