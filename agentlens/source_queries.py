@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns, hashing
-from agentlens.operators import branches, commit_graph, identity, incremental, outcomes, tables
+from agentlens.operators import commit_graph, identity, incremental, outcomes, tables
 from agentlens.queries import Read, query
 from agentlens.sources import claude_logs, code_blocks, codex_logs, dead_letters, files, kv_store, model_names, patches, path_resolution, places, pull_files, store_changes
 from agentlens.sources.log_relations import NEEDS, RELATIONS, SHA  # with the logs' relations
@@ -290,7 +290,7 @@ query("src9_branch_commits", f"""WITH {CHAINS}, {REACHED} SELECT e.repo_root, e.
     lambda read: commit_graph.branch_commits(read("branch_tips"), read("commit_parents"), read("commits"))
 )
 query("w10_owned_commits", f"""WITH {CHAINS} SELECT repo_root, commit_sha, count(*) AS n_owners, min(distance) AS nearest FROM chains c WHERE branch NOT IN ('main', 'staging') AND NOT EXISTS (SELECT 1 FROM chains i WHERE i.branch IN ('main', 'staging') AND i.repo_root = c.repo_root AND i.commit_sha = c.commit_sha) GROUP BY ALL""", GRAPH)(
-    lambda read: branches.owned(commit_graph.first_parent_chains(read("branch_tips"), read("commit_parents")).withColumn("on_first_parent", F.lit(1))).groupBy("repo_root", "commit_sha").agg(F.count("*").alias("n_owners"), F.min("distance").alias("nearest"))
+    lambda read: commit_graph.owners(read("branch_tips"), read("commit_parents"), columns.INTEGRATION_BRANCHES)
 )
 
 # ---- code blocks of older sessions
