@@ -12,12 +12,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentlens.functions import columns as C
-from agentlens.operators.attribution import FILE, MIN_LINES, MIN_RATIO, alias_candidates, alias_names
+from agentlens.operators.attribution import BY_COMMIT, BY_FILE, FILE, MIN_LINES, MIN_RATIO, alias_candidates, alias_names
 from agentlens.operators.tables import written
 
 CHURN_DAYS, BUG_DAYS = 14, 60
 LINE = ["repo_root", "rel_path", "line_hash"]
 COMMIT = ["repo_root", "commit_sha"]
+#: As joins and windows sort them, see `attribution`.
+BY_LINE = ["line_hash", "rel_path", "repo_root"]
 
 
 def days(n: int) -> Column:
@@ -31,7 +33,7 @@ def most_later(marks: DataFrame, added: DataFrame) -> DataFrame:
     asked = marks.select(*LINE, F.col("commit_time").alias("_t"), F.struct(*own).alias("_own"))
     rows = asked.unionByName(events, allowMissingColumns=True)
     # events come before the commits of their time
-    from_end = Window.partitionBy(*LINE).orderBy(F.desc("_t"), F.col("_own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    from_end = Window.partitionBy(*BY_LINE).orderBy(F.desc("_t"), F.col("_own").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     swept = rows.withColumn("_most", F.max("_n").over(from_end)).filter(F.col("_own").isNotNull())
     found = F.coalesce(F.when(F.col("_t").isNotNull(), F.col("_most")), F.lit(0))
     return swept.select(*LINE, F.col("_t").alias("commit_time"), "_own.*", found.alias("found"))
@@ -47,13 +49,14 @@ def content_merged(budget: DataFrame, added: DataFrame) -> DataFrame:
     own = added_later(budget, added)
     files = written(own.groupBy(*FILE).agg(F.sum("budget").alias("total_lines"), F.sum(F.least("budget", "found")).alias("strict")))
     weak = files.filter(F.col("strict") / F.col("total_lines") < 0.20)
-    rows = budget.join(weak.select(*FILE, "total_lines"), FILE)
-    other = alias_candidates(rows.withColumnRenamed("budget", "count"), added, FILE, ["repo_root", "line_hash"])
-    tried = rows.join(other, FILE).select("repo_root", F.col("candidate").alias("rel_path"), "line_hash", "commit_time", "commit_sha", F.col("rel_path").alias("_own_path"), "budget", "total_lines")
+    rows = budget.join(weak.select(*FILE, "total_lines"), BY_FILE)
+    known = written(added.select(*LINE).distinct())
+    other = alias_candidates(rows.withColumnRenamed("budget", "count"), known, BY_FILE, ["line_hash", "repo_root"])
+    tried = rows.join(other, BY_FILE).select("repo_root", F.col("candidate").alias("rel_path"), "line_hash", "commit_time", "commit_sha", F.col("rel_path").alias("_own_path"), "budget", "total_lines")
     there = most_later(tried, added).select("repo_root", "commit_sha", F.col("rel_path").alias("candidate"), F.col("_own_path").alias("rel_path"), "total_lines", F.least("budget", "found").alias("got"))
     scored = written(there.groupBy(*FILE, "total_lines", "candidate").agg(F.sum("got").alias("score")).filter("score > 0"))
-    moved = scored.join(alias_names(scored, FILE).withColumnRenamed("alias", "candidate"), [*FILE, "candidate"]).select(*FILE, F.col("score").alias("alias_lines"))
-    best = files.join(moved, FILE, "left").withColumn("_best", F.greatest("strict", F.coalesce("alias_lines", F.lit(0))))
+    moved = scored.join(alias_names(scored, BY_FILE).withColumnRenamed("alias", "candidate"), [*BY_FILE, "candidate"]).select(*FILE, F.col("score").alias("alias_lines"))
+    best = files.join(moved, BY_FILE, "left").withColumn("_best", F.greatest("strict", F.coalesce("alias_lines", F.lit(0))))
     sums = best.groupBy(*COMMIT).agg(F.sum("total_lines").alias("total"), F.sum("_best").alias("got"))
     return sums.filter((F.col("got") >= MIN_LINES) & (F.col("got") / F.col("total") >= MIN_RATIO)).select(*COMMIT)
 
@@ -83,11 +86,11 @@ def outcomes(commits: DataFrame, budget: DataFrame, added: DataFrame, mainline:
 def churn(budget: DataFrame, removed: DataFrame, merged: DataFrame) -> DataFrame:
     """(COMMIT, ai_added_lines_removed_within_window): lines of merged commits that the mainline removes in 14 days."""
     events = removed.groupBy(*LINE, F.col("event_time").alias("_t")).agg(F.sum("count").alias("_n")).withColumn("_kind", F.lit(1))
-    rows = budget.join(merged.select(*COMMIT), COMMIT, "left_semi")
+    rows = budget.join(merged.select(*COMMIT), BY_COMMIT, "left_semi")
     # each commit is marked before the events of its own time and after those of the window's end: what is removed between the marks counts
     mark = lambda t, kind: rows.select(*LINE, t.alias("_t"), F.lit(kind).alias("_kind"), F.struct("commit_sha", "budget").alias("_own"))
     marks = mark(F.col("commit_time"), 0).unionByName(mark(F.col("commit_time") + days(CHURN_DAYS), 2))
-    until = Window.partitionBy(*LINE).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    until = Window.partitionBy(*BY_LINE).orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, 0)
     swept = marks.unionByName(events, allowMissingColumns=True).withColumn("_sum", F.coalesce(F.sum("_n").over(until), F.lit(0))).filter("_kind <> 1")
     lines = swept.groupBy(*LINE, F.col("_own.commit_sha").alias("commit_sha"), F.col("_own.budget").alias("budget")).agg(F.sum((F.col("_kind") - 1) * F.col("_sum")).alias("gone")).filter("gone > 0")
     return lines.groupBy(*COMMIT).agg(F.sum(F.least("budget", "gone")).alias("ai_added_lines_removed_within_window"))
@@ -133,9 +136,9 @@ def bugs_after(budget: DataFrame, signals: DataFrame) -> DataFrame:
     said = written(signals.filter("count > 0 AND anchor_time IS NOT NULL").select(*LINE, "anchor_time", "signal_time", "signal_ref", "source").distinct())
     sets = said.groupBy(*LINE).agg(*members("anchor_time", "signal_time", "signal_ref", "source"), F.min((F.col("anchor_time") == F.col("signal_time")).cast("int")).alias("_plain"))
     sets = sets.select(*LINE, F.struct("_a", "_b", "_n").alias("_set"), (F.coalesce("_plain", F.lit(0)) == 1).alias("_plain"))
-    held = budget.filter("budget > 0").join(sets, LINE).groupBy(*COMMIT, "commit_time", "_set", "_plain").agg(F.min(F.struct("rel_path", "line_hash")).alias("_line"))
+    held = budget.filter("budget > 0").join(sets, BY_LINE).groupBy(*COMMIT, "commit_time", "_set", "_plain").agg(F.min(F.struct("rel_path", "line_hash")).alias("_line"))
     asked = written(held.withColumn("_alone", (F.count("*").over(Window.partitionBy(*COMMIT)) == 1) & F.col("_plain")))
-    told = said.join(asked.filter("_alone").groupBy("repo_root", "_set").agg(F.min("_line").alias("_line")).select("repo_root", "_set", "_line.*"), LINE)
+    told = said.join(asked.filter("_alone").groupBy("repo_root", "_set").agg(F.min("_line").alias("_line")).select("repo_root", "_set", "_line.*"), BY_LINE)
     events = told.select("repo_root", "_set", "source", F.col("signal_time").alias("_t"), "signal_ref", F.lit(0).alias("_sign"))
     alone = asked.filter("_alone").join(events.select("repo_root", "_set", "source").distinct(), ["repo_root", "_set"])
     mark = lambda t, sign: alone.select("repo_root", "_set", "source", t.alias("_t"), "commit_sha", F.lit(sign).alias("_sign"))
@@ -146,7 +149,7 @@ def bugs_after(budget: DataFrame, signals: DataFrame) -> DataFrame:
     swept = events.unionByName(marks, allowMissingColumns=True).withColumns({"_later": F.count(F.when(event, 1)).over(later), "_next": F.min(F.when(event, F.struct(F.col("_t").alias("signal_time"), "signal_ref"))).over(later)})
     counted = swept.filter("_sign <> 0").groupBy(*COMMIT, "source").agg(F.sum(F.col("_sign") * F.col("_later")).alias("_n"), F.min(F.when(F.col("_sign") == 1, F.col("_next"))).alias("_first")).filter("_n > 0")
     several = asked.filter("NOT _alone").select(*COMMIT).distinct()
-    pairs = overlapping_signals(budget.join(several, COMMIT, "left_semi"), said.withColumn("count", F.lit(1)))
+    pairs = overlapping_signals(budget.join(several, BY_COMMIT, "left_semi"), said.withColumn("count", F.lit(1)))
     return summed(counted.unionByName(by_source(pairs)))
 
 
@@ -155,7 +158,7 @@ def fix_signals(commits: DataFrame, commit_rows: DataFrame) -> DataFrame:
     message = F.col("message")
     fixes = commits.filter(C.is_fix_like(message) & ~C.is_revert(message)).select("repo_root", "commit_sha", "commit_time")
     removed = commit_rows.filter("side = '-'").groupBy(*FILE, "line_hash").agg(F.sum("count").alias("count"))
-    return removed.join(fixes, COMMIT).select(*LINE, "count", F.col("commit_time").alias("anchor_time"), F.col("commit_time").alias("signal_time"), F.col("commit_sha").alias("signal_ref"), F.lit("git_fix_commit").alias("source"))
+    return removed.join(fixes, BY_COMMIT).select(*LINE, "count", F.col("commit_time").alias("anchor_time"), F.col("commit_time").alias("signal_time"), F.col("commit_sha").alias("signal_ref"), F.lit("git_fix_commit").alias("source"))
 
 
 def issue_signals(issues: DataFrame, links: DataFrame, pulls: DataFrame, removed: DataFrame) -> DataFrame:
