@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,35 +63,88 @@ def session_events(sessions: DataFrame, messages: DataFrame, changes: DataFrame,
     return quality, productivity
 
 
-def commit_events(commits: DataFrame, commit_rows: DataFrame, session_rows: DataFrame, sessions: DataFrame, mainline: DataFrame, merges: DataFrame, extra_signals: DataFrame | None = None) -> dict[str, DataFrame]:
+class CommitEvents(Mapping):
+    """commit, outcome, churn, bug, commit_session and rejected by name; what a table needs is computed when it is first asked for."""
+
+    NAMES = ("commit", "outcome", "churn", "bug", "commit_session", "rejected")
+
+    def __init__(self, commits: DataFrame, commit_rows: DataFrame, session_rows: DataFrame, sessions: DataFrame, mainline: DataFrame, merges: DataFrame, extra_signals: DataFrame | None):
+        self._commits, self._commit_rows, self._session_rows, self._sessions, self._mainline, self._merges, self._extra_signals = commits, commit_rows, session_rows, sessions, mainline, merges, extra_signals
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self.NAMES:
+            raise KeyError(name)
+        return getattr(self, f"_{name}")
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self.NAMES)
+
+    def __len__(self) -> int:
+        return len(self.NAMES)
+
+    @cached_property
+    def _plain(self) -> DataFrame:
+        return self._commits.join(self._merges.select(*COMMIT), COMMIT, "left_anti")
+
+    @cached_property
+    def _rejected(self) -> DataFrame:
+        return self._commits.join(self._merges.select(*COMMIT), COMMIT, "left_semi").select(*COMMIT, "commit_time", F.lit("merge commit").alias("reason"))
+
+    @cached_property
+    def _matched(self) -> attribution.Matched:
+        return attribution.Matched(self._commit_rows, self._session_rows)
+
+    @cached_property
+    def _commit(self) -> DataFrame:
+        return attribution.commit_facts(self._matched)
+
+    @cached_property
+    def _budget(self) -> DataFrame:
+        return written(attribution.ai_budget(self._commit_rows, self._session_rows).join(self._plain.select(*COMMIT, "commit_time"), attribution.BY_COMMIT).select(*attribution.FILE, "line_hash", "budget", "commit_time"))
+
+    @cached_property
+    def _on_main(self) -> DataFrame:
+        bounds = self._commits.groupBy("repo_root").agg(F.min("commit_time").alias("_low"), (F.max("commit_time") + outcomes.days(outcomes.CHURN_DAYS)).alias("_high"))
+        times = self._mainline.select(*COMMIT, F.col("commit_time").alias("event_time")).join(bounds, "repo_root").filter(F.col("event_time").between(F.col("_low"), F.col("_high")))
+        return self._commit_rows.join(times.select(*COMMIT, "event_time"), attribution.BY_COMMIT)
+
+    @cached_property
+    def _derived(self) -> DataFrame:
+        derived = outcomes.outcomes(self._plain.join(self._commit, COMMIT), self._budget, self._on_main.filter("side = '+'"), self._mainline, outcomes.revert_times(self._commits))
+        return written(derived.select(
+            *COMMIT, "commit_time", F.col("heavy_ai").alias("heavy_ai_flag"), "merged_to_mainline_flag", "reverted_later_flag", (F.col("total_added") + F.col("total_removed")).alias("commit_total_changed_lines"),
+            "matched_total_lines", "ai_added_lines_reaching_mainline",
+        ))
+
+    @cached_property
+    def _outcome(self) -> DataFrame:
+        return self._derived.drop("ai_added_lines_reaching_mainline")
+
+    @cached_property
+    def _churn(self) -> DataFrame:
+        lost = outcomes.churn(self._budget, self._on_main.filter("side = '-'"), self._derived.filter("merged_to_mainline_flag = 1"))
+        return self._derived.select(*COMMIT, "ai_added_lines_reaching_mainline").join(lost, COMMIT, "left").fillna(0, ["ai_added_lines_removed_within_window"]).withColumn("window_days", F.lit(outcomes.CHURN_DAYS))
+
+    @cached_property
+    def _bug(self) -> DataFrame:
+        heavy = self._derived.filter("merged_to_mainline_flag = 1 AND heavy_ai_flag = 1").select(*COMMIT)
+        signals = outcomes.fix_signals(self._commits, self._commit_rows)
+        if self._extra_signals is not None:
+            signals = signals.unionByName(self._extra_signals.select(*signals.columns))
+        return outcomes.bugs_after(self._budget.join(heavy, attribution.BY_COMMIT, "left_semi"), signals)
+
+    @cached_property
+    def _commit_session(self) -> DataFrame:
+        shares = attribution.session_shares(self._matched, self._commit, self._plain.select(*COMMIT, "commit_time"), self._sessions.select(*SESSION, "model_name"))
+        return shares.withColumn("model_name", C.normalized_model(F.col("provider"), F.col("model_name")))
+
+
+def commit_events(commits: DataFrame, commit_rows: DataFrame, session_rows: DataFrame, sessions: DataFrame, mainline: DataFrame, merges: DataFrame, extra_signals: DataFrame | None = None) -> CommitEvents:
     """outcome, churn, bug and commit_session; merges have no events and are returned as `rejected`, for the caller to report.
 
     Mainline events run from the first commit to 14 days after the last one of a repository.
     """
-    plain = commits.join(merges.select(*COMMIT), COMMIT, "left_anti")
-    rejected = commits.join(merges.select(*COMMIT), COMMIT, "left_semi").select(*COMMIT, "commit_time", F.lit("merge commit").alias("reason"))
-    facts, shares = attribution.attributed(commit_rows, session_rows)
-    known = plain.join(facts, COMMIT)
-    budget = written(attribution.ai_budget(commit_rows, session_rows).join(plain.select(*COMMIT, "commit_time"), COMMIT))
-    bounds = commits.groupBy("repo_root").agg(F.min("commit_time").alias("_low"), (F.max("commit_time") + outcomes.days(outcomes.CHURN_DAYS)).alias("_high"))
-    on_main = commit_rows.join(mainline.select(*COMMIT, F.col("commit_time").alias("event_time")), COMMIT).join(bounds, "repo_root").filter(F.col("event_time").between(F.col("_low"), F.col("_high")))
-    added, removed = on_main.filter("side = '+'"), on_main.filter("side = '-'")
-    derived = outcomes.outcomes(known, budget, added, mainline, outcomes.revert_times(commits))
-    outcome = written(derived.select(
-        *COMMIT, "commit_time", F.col("heavy_ai").alias("heavy_ai_flag"), "merged_to_mainline_flag", "reverted_later_flag", (F.col("total_added") + F.col("total_removed")).alias("commit_total_changed_lines"),
-        "matched_total_lines", "ai_added_lines_reaching_mainline",
-    ))
-    merged = outcome.filter("merged_to_mainline_flag = 1")
-    lost = outcomes.churn(budget, removed, merged)
-    churn = outcome.select(*COMMIT, "ai_added_lines_reaching_mainline").join(lost, COMMIT, "left").fillna(0, ["ai_added_lines_removed_within_window"]).withColumn("window_days", F.lit(outcomes.CHURN_DAYS))
-    heavy = merged.filter("heavy_ai_flag = 1").select(*COMMIT)
-    at_risk = budget.join(heavy, COMMIT, "left_semi")
-    found = outcomes.overlapping_signals(at_risk, outcomes.fix_signals(commits, commit_rows))
-    if extra_signals is not None:
-        found = found.unionByName(outcomes.overlapping_signals(at_risk, extra_signals))
-    models = sessions.select(*SESSION, "model_name")
-    commit_session = shares.join(plain.select(*COMMIT, "commit_time"), COMMIT).join(models, SESSION, "left").withColumn("model_name", C.normalized_model(F.col("provider"), F.col("model_name")))
-    return {"commit": facts, "outcome": outcome.drop("ai_added_lines_reaching_mainline"), "churn": churn, "bug": outcomes.bug_signals(found), "commit_session": commit_session, "rejected": rejected}
+    return CommitEvents(commits, commit_rows, session_rows, sessions, mainline, merges, extra_signals)
 
 
 def task_commits(assignments: DataFrame, commits: DataFrame) -> DataFrame:
