@@ -90,7 +90,7 @@ def dirty_hashes(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
 
 def dirty_commits(commit_rows: DataFrame, dirty: DataFrame) -> DataFrame:
     """Commits that hold a dirty line."""
-    return commit_rows.join(dirty, ["repo_root", "side", "line_hash"], "left_semi").select("repo_root", "commit_sha").distinct()
+    return commit_rows.join(dirty, ["line_hash", "repo_root", "side"], "left_semi").select("repo_root", "commit_sha").distinct()
 
 
 def planned_commits(listed: DataFrame, cached: DataFrame, dirty: DataFrame, changed_branches: DataFrame) -> DataFrame:
@@ -131,23 +131,52 @@ COMMIT = ["repo_root", "commit_sha"]
 
 def changed_lines(old: DataFrame, new: DataFrame) -> DataFrame:
     """(repo_root, side, line_hash) of which a session has more, less or for the first time, under some path, than it had at the read before."""
-    who = [*attribution.LINE, "provider", "session_id"]
-    both = attribution.session_availability(old).withColumn("_at", F.lit(0)).unionByName(attribution.session_availability(new).withColumn("_at", F.lit(1)))
-    most = lambda at: F.max(F.when(F.col("_at") == at, F.col("avail")))
+    who = [*attribution.BY_LINE, "provider", "session_id"]
+    read = lambda rows, at: rows.filter("rel_path IS NOT NULL").select(*who, "count", F.lit(at).alias("_at"))
+    both = read(old, 0).unionByName(read(new, 1))
+    most = lambda at: F.max(F.when(F.col("_at") == at, F.col("count")))
     changed = both.groupBy(*who).agg(most(0).alias("_old"), most(1).alias("_new")).filter(~F.col("_old").eqNullSafe(F.col("_new")))
     return changed.select("repo_root", "side", "line_hash").distinct()
 
 
-def reassociated(facts: DataFrame, shares: DataFrame, commit_rows: DataFrame, old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """What `attribution.attributed` gives for all of `commit_rows` and the sessions' `new` rows, from its result for the `old` ones, and which commits were attributed again.
+def stale_commits(known: DataFrame, commit_rows: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
+    """(COMMIT) to attribute again: those of `commit_rows` that hold a line of which sessions have something else now, or that aren't among the `known`."""
+    fresh = commit_rows.select(*COMMIT).distinct().join(known.select(*COMMIT), COMMIT, "left_anti")
+    return written(dirty_commits(commit_rows, changed_lines(old, new)).unionByName(fresh).distinct())
+
+
+#: Commits to attribute again up to this number (under 100 bytes each) are broadcast; more join by shuffle.
+MOST_COMMITS = 200_000
+
+
+class Reassociation:
+    """What `attribution.attributed` gives for all of `commit_rows` and the sessions' `new` rows, from its results for the `old` ones.
 
     What a commit gets depends on what sessions have of its own lines, under any path. So only commits that hold a changed
-    line, or that weren't there before, are attributed, and only session rows of their lines are read for it.
+    line, or that weren't there before (`known` were), are attributed, and only session rows of their lines are read for it.
     """
-    fresh = commit_rows.join(facts.select(*COMMIT), COMMIT, "left_anti").select(*COMMIT)
-    again = written(dirty_commits(commit_rows, written(changed_lines(old, new))).unionByName(fresh).distinct())
-    rows = written(commit_rows.join(again, COMMIT, "left_semi"))
-    lines = rows.select("repo_root", "side", "line_hash").distinct()
-    own_facts, own_shares = attribution.attributed(rows, new.join(lines, ["repo_root", "side", "line_hash"], "left_semi"))
-    kept = lambda before, now: before.join(again, COMMIT, "left_anti").unionByName(now)
-    return kept(facts, own_facts), kept(shares, own_shares), again
+
+    def __init__(self, known: DataFrame, commit_rows: DataFrame, old: DataFrame, new: DataFrame):
+        self.again = stale_commits(known, commit_rows, old, new)
+        few = self.again.limit(MOST_COMMITS + 1).count() <= MOST_COMMITS
+        self._gone = F.broadcast(self.again) if few else self.again
+        rows = commit_rows.join(self._gone, attribution.BY_COMMIT, "left_semi")
+        lines = rows.select("repo_root", "side", "line_hash").distinct()
+        self._matched = attribution.Matched(rows, new.join(lines, ["line_hash", "repo_root", "side"], "left_semi"))
+        self._own = written(attribution.commit_facts(self._matched))
+
+    def _kept(self, before: DataFrame, now: DataFrame) -> DataFrame:
+        return before.join(self._gone, COMMIT, "left_anti").unionByName(now)
+
+    def facts(self, before: DataFrame) -> DataFrame:
+        return self._kept(before, self._own)
+
+    def shares(self, before: DataFrame, of_commits: DataFrame | None = None) -> DataFrame:
+        """`of_commits` has more columns of all commits, as `before` has them already."""
+        return self._kept(before, attribution.session_shares(self._matched, self._own, of_commits))
+
+
+def reassociated(facts: DataFrame, shares: DataFrame, commit_rows: DataFrame, old: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """`Reassociation` of results for the `old` rows: facts, shares, and which commits were attributed again."""
+    now = Reassociation(facts, commit_rows, old, new)
+    return now.facts(facts), now.shares(shares), now.again

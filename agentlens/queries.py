@@ -337,7 +337,7 @@ query("a15_provider_availability", "SELECT repo_root, rel_path, line_hash, CAST(
 )
 query("a17_commit_attribution", f"""WITH {ATTRIBUTED} SELECT *, matched_added_lines + matched_removed_lines AS matched_total_lines, round((matched_added_lines + matched_removed_lines) / (total_added + total_removed), 6) AS ai_share,
     CASE WHEN (matched_added_lines + matched_removed_lines) / (total_added + total_removed) >= 0.5 THEN 1 ELSE 0 END AS heavy_ai FROM facts""", LINES)(
-    lambda read: attribution.attributed(read("commit_hashes"), read("change_hashes"))[0].withColumn("ai_share", F.round("ai_share", 6))
+    lambda read: attribution.commit_facts(attribution.Matched(read("commit_hashes"), read("change_hashes"))).withColumn("ai_share", F.round("ai_share", 6))
 )
 SHARES = f"""{ATTRIBUTED}, parts AS (SELECT c.repo_root, c.commit_sha, a.provider, a.session_id, sum(c.matched * a.avail / c.total) AS matched_lines FROM chosen c JOIN avail a ON a.repo_root = c.repo_root AND a.rel_path = c.used AND a.side = c.side AND a.line_hash = c.line_hash GROUP BY ALL),
     shares AS (SELECT p.*, p.matched_lines / (total_added + total_removed) AS share_of_commit, p.matched_lines / (matched_added_lines + matched_removed_lines) AS share_of_ai FROM parts p JOIN facts USING (repo_root, commit_sha)
@@ -354,8 +354,10 @@ BUDGET = """added_ AS (SELECT repo_root, commit_sha, rel_path, line_hash, sum(co
 FACT_LINES = ("commit_hashes", "change_hashes", "commits")
 
 
-def timed_budget(read: Read) -> DataFrame:
-    return attribution.ai_budget(read("commit_hashes"), read("change_hashes")).join(read("commits").select("repo_root", "commit_sha", "commit_time"), ["repo_root", "commit_sha"])
+def timed_budget(read: Read, lines: DataFrame | None = None) -> DataFrame:
+    """With `lines`, only of lines that these have."""
+    tables = [read("commit_hashes"), read("change_hashes")]
+    return attribution.ai_budget(*(tables if lines is None else attribution.on_lines(lines, *tables))).join(read("commits").select("repo_root", "commit_sha", "commit_time"), attribution.BY_COMMIT)
 
 
 def mainline_events(read: Read, side: str) -> DataFrame:
@@ -371,12 +373,12 @@ query("j10_added_later", f"WITH {LATER} SELECT repo_root, commit_sha, rel_path,
 query("j11_churn", f"""WITH {BUDGET} SELECT repo_root, commit_sha, CAST(sum(least(budget, gone)) AS BIGINT) AS ai_added_lines_removed_within_window FROM (SELECT b.repo_root, b.commit_sha, b.rel_path, b.line_hash, b.budget, sum(e.count) AS gone FROM budget b
     JOIN commits c ON c.repo_root = b.repo_root AND c.commit_sha = b.commit_sha AND c.on_mainline = 1
     JOIN commit_hashes e ON e.side = '-' AND e.on_mainline = 1 AND e.repo_root = b.repo_root AND e.rel_path = b.rel_path AND e.line_hash = b.line_hash AND e.commit_time BETWEEN b.commit_time AND b.commit_time + INTERVAL 14 DAY GROUP BY ALL) GROUP BY ALL""", FACT_LINES)(
-    lambda read: outcomes.churn(timed_budget(read), mainline_events(read, "-"), read("commits").filter("on_mainline = 1"))
+    lambda read: (lambda removed: outcomes.churn(timed_budget(read, removed), removed, read("commits").filter("on_mainline = 1")))(mainline_events(read, "-"))
 )
 query("j12_bug_signals", f"""WITH {BUDGET}, fixes AS (SELECT h.repo_root, h.commit_sha AS ref, h.commit_time AS fixed, h.rel_path, h.line_hash, sum(h.count) AS n FROM commit_hashes h JOIN commits c ON c.repo_root = h.repo_root AND c.commit_sha = h.commit_sha WHERE side = '-' AND c.message = 'fix parser' GROUP BY ALL),
     found AS (SELECT b.repo_root, b.commit_sha, f.ref, f.fixed, sum(least(b.budget, f.n)) AS overlap FROM budget b JOIN fixes f USING (repo_root, rel_path, line_hash) WHERE f.fixed > b.commit_time AND f.fixed <= b.commit_time + INTERVAL 60 DAY GROUP BY ALL)
     SELECT repo_root, commit_sha, 1 AS bug_after_merge_flag, first(ref ORDER BY fixed, ref) AS first_bug_signal_commit_sha, min(fixed) AS first_bug_signal_commit_time, count(*) AS bug_signal_count, 60 AS window_days, 'git_fix_commit' AS signal_source FROM found WHERE overlap > 0 GROUP BY ALL""", FACT_LINES)(
-    lambda read: outcomes.bugs_after(timed_budget(read), outcomes.fix_signals(read("commits"), read("commit_hashes")))
+    lambda read: (lambda fixes: outcomes.bugs_after(timed_budget(read, fixes), fixes))(outcomes.fix_signals(read("commits"), read("commit_hashes")))
 )
 query("m4_pr_outcomes", """SELECT o.repo_root, o.commit_sha, l.status AS lookup_status, l.owning_pr_number AS pr_number, CASE WHEN l.status = 'resolved' THEN 1 ELSE 0 END AS pr_opened_flag,
     CASE WHEN l.status = 'resolved' AND p.merged = 1 THEN 1 ELSE 0 END AS pr_merged_flag FROM ev_outcome o JOIN pr_lookups l ON l.repo_key = o.repo_key AND l.commit_sha = o.commit_sha
@@ -490,35 +492,48 @@ OLD_ROWS = "(session_id NOT LIKE '%-01-08' AND line_hash NOT LIKE '1%')"
 OLD_COMMITS = "commit_time < TIMESTAMP '2024-01-20 00:00:00'"
 
 
-def association(read: Read, old_commits: str = OLD_COMMITS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """An association of the first read, brought up to date with the second one."""
-    rows, sessions = read("commit_hashes"), read("change_hashes")
-    old, new = sessions.filter(OLD_ROWS), sessions.filter(NEW_ROWS)
-    before = [written(df) for df in attribution.attributed(rows.filter(old_commits), old)]
-    return incremental.reassociated(*before, rows, old, new)
+class Association:
+    """An association of the first read, brought up to date with the second one; what of it isn't asked for isn't computed."""
+
+    def __init__(self, read: Read, old_commits: str = OLD_COMMITS):
+        self.rows, sessions = read("commit_hashes"), read("change_hashes")
+        self.first, self.old, self.new = self.rows.filter(old_commits), sessions.filter(OLD_ROWS), sessions.filter(NEW_ROWS)
+        self.matched = attribution.Matched(self.first, self.old)
+
+    def stale(self) -> DataFrame:
+        """The facts of the first read have a row for each of its commits."""
+        return incremental.stale_commits(self.first.select("repo_root", "commit_sha").distinct(), self.rows, self.old, self.new)
+
+    def facts(self) -> DataFrame:
+        before = written(attribution.commit_facts(self.matched))
+        return incremental.Reassociation(before, self.rows, self.old, self.new).facts(before)
+
+    def shares(self) -> DataFrame:
+        facts = written(attribution.commit_facts(self.matched))
+        before = written(attribution.session_shares(self.matched, facts))
+        return incremental.Reassociation(facts, self.rows, self.old, self.new).shares(before)
 
 
 NOW = ATTRIBUTED.replace("FROM change_hashes", f"FROM (SELECT * FROM change_hashes WHERE {NEW_ROWS})")
 query("i2_updated_facts", f"WITH {NOW} SELECT *, matched_added_lines + matched_removed_lines AS matched_total_lines, round((matched_added_lines + matched_removed_lines) / (total_added + total_removed), 6) AS ai_share, CASE WHEN (matched_added_lines + matched_removed_lines) / (total_added + total_removed) >= 0.5 THEN 1 ELSE 0 END AS heavy_ai FROM facts", LINES)(
-    lambda read: association(read)[0].withColumn("ai_share", F.round("ai_share", 6))
+    lambda read: Association(read).facts().withColumn("ai_share", F.round("ai_share", 6))
 )
 query("i2_updated_shares", f"WITH {NOW}{SHARES[len(ATTRIBUTED):]} SELECT repo_root, commit_sha, provider, session_id, round(matched_lines, 5) AS matched_lines, round(share_of_commit, 5) AS share_of_commit, round(share_of_ai, 5) AS share_of_ai FROM shares", LINES)(
-    lambda read: association(read)[1].withColumns({c: F.round(c, 5) for c in ("matched_lines", "share_of_commit", "share_of_ai")})
+    lambda read: Association(read).shares().withColumns({c: F.round(c, 5) for c in ("matched_lines", "share_of_commit", "share_of_ai")})
 )
 query("i2_recomputed_commits", f"""WITH o AS (SELECT repo_root, rel_path, side, line_hash, provider, session_id, max(count) AS n FROM change_hashes WHERE {OLD_ROWS} GROUP BY ALL), n AS (SELECT repo_root, rel_path, side, line_hash, provider, session_id, max(count) AS n FROM change_hashes WHERE {NEW_ROWS} GROUP BY ALL),
-    d AS (SELECT repo_root, side, line_hash FROM (FROM o EXCEPT FROM n) UNION SELECT repo_root, side, line_hash FROM (FROM n EXCEPT FROM o)) SELECT DISTINCT repo_root, commit_sha FROM commit_hashes c WHERE NOT ({OLD_COMMITS}) OR EXISTS (SELECT 1 FROM d WHERE d.repo_root = c.repo_root AND d.side = c.side AND d.line_hash = c.line_hash)""", LINES)(lambda read: association(read)[2])
+    d AS (SELECT repo_root, side, line_hash FROM (FROM o EXCEPT FROM n) UNION SELECT repo_root, side, line_hash FROM (FROM n EXCEPT FROM o)) SELECT DISTINCT repo_root, commit_sha FROM commit_hashes c WHERE NOT ({OLD_COMMITS}) OR EXISTS (SELECT 1 FROM d WHERE d.repo_root = c.repo_root AND d.side = c.side AND d.line_hash = c.line_hash)""", LINES)(lambda read: Association(read).stale())
 
 
 def refreshed_shares(read: Read) -> DataFrame:
     """The commits' sessions as an event table that was built from the first read and of which the weeks with changes were replaced."""
-    rows, sessions = read("commit_hashes"), read("change_hashes")
-    spark, commits = rows.sparkSession, read("commits").select("repo_root", "commit_sha", "commit_time")
-    old, new = sessions.filter(OLD_ROWS), sessions.filter(NEW_ROWS)
-    facts, shares = (written(df) for df in attribution.attributed(rows.filter(OLD_COMMITS), old))
+    two, times = Association(read), read("commits").select("repo_root", "commit_sha", "commit_time")
+    spark = times.sparkSession
+    facts = written(attribution.commit_facts(two.matched))
     store = refresh.EventStore(spark, f"{own_folder(shared_folder(spark), spark.sparkContext.applicationId, spark)}/events-{uuid.uuid4().hex}")
-    store.build("commit_session", shares.join(commits, ["repo_root", "commit_sha"]), "commit_time")
-    _, after, again = incremental.reassociated(facts, shares, rows, old, new)
-    store.refresh("commit_session", after.join(commits, ["repo_root", "commit_sha"]), "commit_time", again.join(commits, ["repo_root", "commit_sha"]))
+    store.build("commit_session", attribution.session_shares(two.matched, facts, times), "commit_time")
+    now = incremental.Reassociation(facts, two.rows, two.old, two.new)
+    store.refresh("commit_session", now.shares(store.read("commit_session"), times), "commit_time", now.again.join(times, ["repo_root", "commit_sha"]))
     return store.read("commit_session")
 
 
